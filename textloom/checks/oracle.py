@@ -110,8 +110,8 @@ found AS (SELECT d.doc_id, g.name, g.type, min(d.i) AS seen FROM (
 
 # Chunks
 
-_CHUNKS = f"""ws AS (SELECT doc_id, {_words('text')} AS ws FROM documents),
-sums AS (SELECT doc_id, list(total ORDER BY i) AS cum FROM (
+_CHUNKS = f"""ws AS MATERIALIZED (SELECT doc_id, {_words('text')} AS ws FROM documents),
+sums AS MATERIALIZED (SELECT doc_id, list(total ORDER BY i) AS cum FROM (
     SELECT doc_id, i, sum(strlen(ws[i])) OVER (PARTITION BY doc_id ORDER BY i) AS total
     FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM ws)) GROUP BY doc_id),
 cut(doc_id, chunk_no, s, e) AS (
@@ -141,9 +141,9 @@ _PHRASES = f"""said AS (SELECT doc_id, chunk_no, trim(unnest(string_split(array_
     list_transform({_words('lower(chunk)')}, lambda w: {_PIECE}), ' '), chr(1)))) AS phrase FROM chunks),
 scored AS (SELECT doc_id, chunk_no, phrase, (count(*) * len(string_split(phrase, ' ')))::DOUBLE AS score
   FROM said WHERE phrase <> '' GROUP BY doc_id, chunk_no, phrase),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, chunk_no ORDER BY score DESC, phrase) - 1 AS rank FROM scored)"""
+ranked AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, chunk_no ORDER BY score DESC, phrase) - 1)::INTEGER AS rank FROM scored)"""
 _ENTITIES = f"""entity_list AS (SELECT doc_id, chunk_no, regexp_extract_all(chunk, {_PII}) AS ms FROM chunks),
-entity AS (SELECT doc_id, chunk_no, pos - 1 AS pos, value, {_TYPE} AS type FROM (
+entity AS (SELECT doc_id, chunk_no, (pos - 1)::INTEGER AS pos, value, {_TYPE} AS type FROM (
     SELECT doc_id, chunk_no, pos, ms[pos] AS value FROM (
       SELECT doc_id, chunk_no, ms, unnest(range(1, len(ms) + 1)) AS pos FROM entity_list)))"""
 _INSIGHTS = f"""WITH RECURSIVE {_LABELS}, {_VOTE}, {_PHRASES}, {_ENTITIES},
@@ -233,7 +233,7 @@ SELECT doc_id, ("end" - length(value))::INTEGER AS begin, "end"::INTEGER AS "end
     "pii_restored_table": f"""SELECT doc_id, text,
   CASE WHEN NOT regexp_matches(text, {_PII}) THEN 'token map is missing' END AS error FROM documents""",
     "gazetteer_names": f"""WITH {_GAZETTEER}
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY seen) - 1 AS pos, name, type FROM found""",
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY seen) - 1)::INTEGER AS pos, name, type FROM found""",
     "org_anonymized": f"""WITH {_GAZETTEER},
 orgs AS (SELECT doc_id, list(name ORDER BY length(name) DESC, name) AS names FROM found WHERE type = 'ORG' GROUP BY doc_id)
 SELECT d.doc_id, CASE WHEN names IS NULL THEN text
