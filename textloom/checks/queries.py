@@ -13,7 +13,7 @@ from textloom.functions.insights import entities, key_phrases
 from textloom.functions.prompts import json_string
 from textloom.functions.text import bare, words
 from textloom.operators import blocks, chat, glossary, insights, names, privacy, prompting, routing, summarize, web
-from textloom.operators.lookup import materialize
+from textloom.operators.lookup import materialize, spread
 from textloom.plans import enrich
 from textloom.sinks import tables as sinks
 from textloom.sources.files import transcript_text
@@ -34,7 +34,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -52,7 +52,7 @@ def html_body(spark, sf_dir):
 
 
 def html_text(spark, sf_dir):
-    return enrich.page_texts(table(spark, sf_dir, "pages")).select("page_id", "text")
+    return enrich.page_texts(spread(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id")).select("page_id", "text")
 
 
 def thread_text(spark, sf_dir):

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import Column, functions as F
 
 from textloom.functions.arrays import let, run_counts
 from textloom.functions.privacy import find_private
-from textloom.functions.text import bare, words
+from textloom.functions.text import PUNCT, SPACE, bare_words
 
 # Word weights and stop words used when the caller gives none.
 LEXICON = {
@@ -56,24 +57,23 @@ def sentiment(text: Column, lexicon: Mapping[str, int] = LEXICON) -> Column:
         ]
         return sum(parts[1:], parts[0]) if parts else F.lit(0)
 
-    return let(F.transform(words(F.lower(text)), bare), lambda w: label(total(w, 1), total(w, -1)))
+    weighted = F.filter(bare_words(F.lower(text)), lambda x: x.isin(list(lexicon)))
+    return let(weighted, lambda w: label(total(w, 1), total(w, -1)))
 
 
 def phrases(text: Column, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
-    """Runs of words between stop words and punctuation, in lower case and reading order."""
-
-    def piece(word: Column) -> Column:
-        core = bare(word)
-        return F.when((core == "") | core.isin(list(stop_words)), F.lit(_BREAK)).otherwise(
-            F.concat(
-                F.when(word.startswith(core), "").otherwise(_BREAK),
-                core,
-                F.when(word.endswith(core), "").otherwise(_BREAK),
-            )
-        )
+    """Runs of words between stop words and punctuation, in lower case and reading order.
 
-    joined = F.array_join(F.transform(words(F.lower(text)), piece), " ")
-    return F.filter(F.transform(F.split(joined, _BREAK), lambda p: F.btrim(p)), lambda p: p != "")
+    Punctuation counts where it touches white space. It becomes a break mark first; then stop
+    words between blanks or marks are cut out.
+    """
+    plain = F.regexp_replace(F.lower(text), SPACE + "++", " ")
+    marked = F.regexp_replace(plain, rf"(?<!{PUNCT}){PUNCT}++(?= |\z)|(?<![^ ]){PUNCT}++", _BREAK)
+    stops = "|".join(re.escape(w) for w in stop_words)
+    parts = F.split(
+        F.concat(F.lit(" "), marked, F.lit(" ")), f"[ {_BREAK}](?:{stops})(?=[ {_BREAK}])|{_BREAK}"
+    )
+    return F.filter(F.transform(parts, lambda p: F.btrim(p)), lambda p: p != "")
 
 
 def key_phrases(text: Column, top_k: int | None = None, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:

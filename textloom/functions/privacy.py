@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from textloom.functions.arrays import interleave, let
-from textloom.functions.text import WS_CLASS
+from textloom.functions.text import SPACE
 
 # The types that are replaced by tokens, and the token prefix.
 PRIVATE_TYPES = ("NAME", "DATE", "ADDRESS", "PHONE", "EMAIL")
@@ -29,7 +29,7 @@ def _names_pattern(names: Column) -> Column:
         F.sort_array(F.transform(names, lambda n: F.struct(-F.length(n["name"]), n["name"].alias("name")))),
         lambda s: s["name"],
     )
-    blank = WS_CLASS.replace("\\", "\\\\") + "+"
+    blank = SPACE.replace("\\", "\\\\") + "+"
     escaped = F.transform(
         longest_first,
         lambda n: F.regexp_replace(F.regexp_replace(n, r"([^\p{L}\p{N} ])", r"\\$1"), " ", blank),
@@ -56,7 +56,7 @@ def find_private(text: Column, names: Column | None = None) -> tuple[Column, Col
         )
         if names is None:
             return rule
-        plain = F.regexp_replace(value, WS_CLASS + "+", " ")
+        plain = F.regexp_replace(value, SPACE + "+", " ")
         return F.coalesce(F.get(F.filter(names, lambda n: n["name"] == plain), F.lit(0))["type"], rule)
 
     values = F.regexp_extract_all(text, pattern, F.lit(0))

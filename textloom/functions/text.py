@@ -28,7 +28,11 @@ def _char_class(chars: str) -> str:
 
 
 WS_CLASS = _char_class(WHITESPACE)
+# The same class for Java alone: letters fail after a bit set and one range test.
+_RARE_SPACE = _char_class("".join(c for c in WHITESPACE if ord(c) > 255))
+SPACE = "[" + "".join(rf"\x{{{ord(c):x}}}" for c in WHITESPACE if ord(c) < 256) + r"[\x{1680}-\x{3000}&&" + _RARE_SPACE + "]]"
 PUNCTUATION = ".,;:!?\"'()[]{}<>|/\\*#%$&=~`^_-+"
+PUNCT = "[" + "".join("\\" + c for c in PUNCTUATION) + "]"
 
 
 def strip(text: Column) -> Column:
@@ -37,7 +41,14 @@ def strip(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Words between runs of white space, never empty ones."""
-    return F.array_remove(F.split(strip(text), WS_CLASS + "+"), "")
+    return F.array_remove(F.split(strip(text), SPACE + "++"), "")
+
+
+def bare_words(text: Column) -> Column:
+    """``bare`` of every word in one pass, without the words that have nothing left."""
+    return F.array_remove(
+        F.split(F.btrim(text, F.lit(WHITESPACE + PUNCTUATION)), f"{PUNCT}*+{SPACE}++{PUNCT}*+"), ""
+    )
 
 
 def bare(word: Column) -> Column:
@@ -45,12 +56,12 @@ def bare(word: Column) -> Column:
     return F.btrim(word, F.lit(PUNCTUATION))
 
 
-def ngrams(word_array: Column, longest: int) -> Column:
+def ngrams(text: Column, longest: int) -> Column:
     """Blank-joined n-grams in reading order, the longest first at each position."""
     if longest == 1:
-        return F.transform(word_array, bare)
+        return bare_words(text)
     return let(
-        word_array,
+        words(text),
         lambda w: F.flatten(
             F.transform(
                 w,

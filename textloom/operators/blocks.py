@@ -14,7 +14,8 @@ def rebuild_lines(blocks: DataFrame, key: str = "doc_id", strict: bool = True) -
     LINE is one line, in block order. An unknown word fails, or is left out when not strict. Of
     two words with one id the later counts.
     """
-    word = blocks.where("block_type = 'WORD'")
+    # Ids hardly repeat: moving the rows once is cheaper than grouping them before as well.
+    word = blocks.where("block_type = 'WORD'").select(key, "id", "ord", "text").repartition(key, "id")
     word_text = word.groupBy(key, "id").agg(F.max_by(F.coalesce("text", F.lit("")), "ord").alias("word"))
     line = blocks.where("block_type = 'LINE'").groupBy(key, "id").agg(
         F.min("ord").alias("ord"), F.max_by("relationships", "ord").alias("relationships")

@@ -17,7 +17,7 @@ from textloom.functions.insights import (
     majority,
     sentiment,
 )
-from textloom.functions.text import bare, words
+from textloom.functions.text import bare_words
 from textloom.operators.assemble import in_order
 from textloom.operators.lookup import lookup_join, rows_if_small
 
@@ -79,7 +79,7 @@ def label_chunks(
         weights = {row["word"]: row["weight"] for row in rows}
         return chunks.withColumn("label", sentiment(F.col("chunk"), weights))
     counted = (
-        chunks.select(key, "chunk_no", F.explode(F.transform(words(F.lower("chunk")), bare)).alias("word"))
+        chunks.select(key, "chunk_no", F.explode(bare_words(F.lower("chunk"))).alias("word"))
         .groupBy(key, "chunk_no", "word")
         .agg(F.count(F.lit(1)).alias("_n"))
     )

@@ -26,6 +26,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores for an input with fewer splits than cores, such as one small file.
+
+    Larger inputs stay as they are: a shuffle would cost more than it gains.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def _size(df: DataFrame, max_rows: int) -> tuple[int, int]:
     """Rows and bytes as JSON, counted only up to one row past the limit."""
     row = (

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from textloom.functions.arrays import let
 from textloom.functions.privacy import replace_names
-from textloom.functions.text import ngrams, words
+from textloom.functions.text import ngrams
 from textloom.operators.lookup import MAX_INLINE_ROWS, lookup_join, rows_if_small
 
 NAMES_TYPE = "array<struct<name:string,type:string>>"
@@ -30,7 +30,7 @@ def find_names(
     """
     names = gazetteer.groupBy("name").agg(F.min("type").alias("type"))
     rows = rows_if_small(names, max_inline)
-    grams = ngrams(words(F.col(text)), longest)
+    grams = ngrams(F.col(text), longest)
     if rows is not None:
         by_type: dict[str, list[str]] = {}
         for row in rows:

@@ -34,20 +34,23 @@ def word_statistics(df: DataFrame, text: str = "text") -> DataFrame:
 def _postings(df: DataFrame, text: str, key: str) -> DataFrame:
     """Per text and word: the sentences it stands in and how often it occurs, without a shuffle."""
 
-    def runs(pairs: Column) -> Column:
+    def runs(pairs: Column, listed: Column) -> Column:
         starts = F.filter(
-            F.sequence(F.lit(0), F.size(pairs) - 1),
-            lambda i: (i == 0) | (F.get(pairs, i)["word"] != F.get(pairs, i - 1)["word"]),
+            F.sequence(F.lit(0), F.size(listed) - 1),
+            lambda i: (i == 0) | (F.get(listed, i) != F.get(listed, i - 1)),
         )
 
         def run(s: Column, start: Column, k: Column) -> Column:
-            stop = F.coalesce(F.get(s, k + 1), F.size(pairs))
+            stop = F.coalesce(F.get(s, k + 1), F.size(listed))
             return F.struct(
-                F.get(pairs, start)["word"].alias("word"),
+                F.get(listed, start).alias("word"),
                 F.transform(F.slice(pairs, start + 1, stop - start), lambda p: p["no"]).alias("at"),
             )
 
-        listed = let(starts, lambda s: F.transform(s, lambda start, k: run(s, start, k)))
+        return let(starts, lambda s: F.transform(s, lambda start, k: run(s, start, k)))
+
+    def grouped(pairs: Column) -> Column:
+        listed = let(F.transform(pairs, lambda p: p["word"]), lambda w: runs(pairs, w))
         return F.when(F.size(pairs) > 0, listed)
 
     pairs = F.flatten(
@@ -56,7 +59,7 @@ def _postings(df: DataFrame, text: str, key: str) -> DataFrame:
             lambda s, no: F.transform(terms(s), lambda w: F.struct(w.alias("word"), no.alias("no"))),
         )
     )
-    return df.select(key, F.explode(let(F.sort_array(pairs), runs)).alias("_run")).select(key, "_run.word", "_run.at")
+    return df.select(key, F.explode(let(F.sort_array(pairs), grouped)).alias("_run")).select(key, "_run.word", "_run.at")
 
 
 def score_sentences(
