@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from textloom.functions.arrays import let
 from textloom.functions.privacy import replace_names
-from textloom.functions.text import ngrams
+from textloom.functions.text import bare, ngrams, words
 from textloom.operators.lookup import MAX_INLINE_ROWS, lookup_join, rows_if_small
 
 NAMES_TYPE = "array<struct<name:string,type:string>>"
@@ -18,17 +18,22 @@ def find_names(
     text: str = "text",
     key: str = "doc_id",
     out: str = "names",
-    longest: int = 3,
+    longest: int | None = None,
     max_inline: int = MAX_INLINE_ROWS,
     max_broadcast: int | None = None,
 ) -> DataFrame:
     """Add the names of ``gazetteer(name, type)`` that occur in each text, by first appearance.
 
-    Names have up to ``longest`` words and match whole words. A small gazetteer becomes hash
-    sets inside the plan and the stage needs no shuffle. Otherwise the distinct n-grams of each
-    text are joined with it, broadcast or salted by its size.
+    Names match whole words, both without punctuation at their ends. ``longest`` is the number of
+    words of the longest name, looked up when not given. A small gazetteer becomes hash sets
+    inside the plan and the stage needs no shuffle. Otherwise the distinct n-grams of each text
+    are joined with it, broadcast or salted by its size.
     """
-    names = gazetteer.groupBy("name").agg(F.min("type").alias("type"))
+    plain = bare(F.array_join(words(F.col("name")), " "))
+    names = gazetteer.select(plain.alias("name"), "type").where("name <> ''")
+    names = names.groupBy("name").agg(F.min("type").alias("type"))
+    if longest is None:
+        longest = names.agg(F.max(F.size(words(F.col("name"))))).first()[0] or 1
     rows = rows_if_small(names, max_inline)
     grams = ngrams(F.col(text), longest)
     if rows is not None:

@@ -28,7 +28,6 @@ def detect_spans(df: DataFrame, text: str = "text", key: str = "doc_id", names:
     gaps, matches = find_private(F.col(text), F.col(names) if names else None)
     pieces = (
         df.select(key, gaps.alias("_gaps"), matches.alias("_matches"))
-        .where(F.size("_matches") > 0)
         .select(key, F.transform("_gaps", F.length).alias("_gaps"), F.posexplode("_matches").alias("_k", "_match"))
         .select(key, "_k", F.get("_gaps", F.col("_k")).alias("_gap"), "_match.value", "_match.type")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def read_binary(spark: SparkSession, path: str) -> DataFrame:
-    """``files(path, content)``; one row per file, whole."""
+    """``files(path, content)``; one row per file, whole. Spark lists no row for an empty file."""
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
