@@ -79,9 +79,11 @@ def test_templates(spark):
     templates = prompting.template_table(spark, {"two": "<{input_text}|{{}}|{input_text}>"})
     rows = [(1, "two", "a"), (2, "nosuch", "{input_text}"), (3, "two", None), (4, None, "b")]
     df = spark.createDataFrame(rows, "doc_id long, prompt_name string, text string")
-    got = {r["doc_id"]: r["text"] for r in prompting.fill_prompts(df, templates).collect()}
     fallback = "Please provide a summary of the following text: "
-    assert got == {1: "<a|{}|a>", 2: fallback + "{input_text}", 3: "<None|{}|None>", 4: fallback + "b"}
+    for limit in (200, 0):
+        filled = prompting.fill_prompts(df, templates, max_inline=limit)
+        got = {r["doc_id"]: r["text"] for r in filled.collect()}
+        assert got == {1: "<a|{}|a>", 2: fallback + "{input_text}", 3: "<None|{}|None>", 4: fallback + "b"}
 
 
 def test_templates_from_a_folder(spark, tmp_path):

@@ -13,7 +13,7 @@ from textloom.functions.insights import entities, key_phrases
 from textloom.functions.prompts import json_string
 from textloom.functions.text import bare, words
 from textloom.operators import blocks, chat, glossary, insights, names, privacy, prompting, routing, summarize, web
-from textloom.operators.lookup import materialize, spread
+from textloom.operators.lookup import shared_dir, spread
 from textloom.plans import enrich
 from textloom.sinks import tables as sinks
 from textloom.sources.files import transcript_text
@@ -38,9 +38,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the shared folder that the cluster names for checkpoints."""
-    materialize(spark.range(1))
-    return f"{spark.sparkContext.getCheckpointDir()}/textloom-{uuid.uuid4().hex}"
+    """A new folder below the one that the cluster names for checkpoints."""
+    return f"{shared_dir(spark)}/textloom-{uuid.uuid4().hex}"
 
 
 # Pages

@@ -31,8 +31,7 @@ _MARKUP = (
 
 def html_to_text(html: Column) -> Column:
     """Text nodes of the body, each stripped, empty ones dropped, joined by a blank."""
-    body = F.when(
-        html.rlike(r"(?i)<body[\s/>]"), F.regexp_replace(html, r"(?is)\A.*?(?=<body[\s/>])", "")
-    ).otherwise(html)
+    whole = ~html.startswith("<body") & html.rlike(r"(?i)<body[\s/>]")
+    body = F.when(whole, F.regexp_replace(html, r"(?is)\A.*?(?=<body[\s/>])", "")).otherwise(html)
     nodes = F.transform(F.split(body, _MARKUP), lambda t: strip(decode_entities(t)))
     return F.array_join(F.filter(nodes, lambda t: t != ""), " ")

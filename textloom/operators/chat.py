@@ -18,45 +18,52 @@ def _messages(listed: Column) -> Column:
     return F.concat(F.lit('{"messages":['), listed, F.lit("]}"))
 
 
+def _expand(pages: DataFrame, questions_only: bool) -> DataFrame:
+    """One row per turn of a page: the text before the page and the messages up to the turn."""
+    turns = pages.select("conv_id", "_before", "_n", "_turns", F.posexplode("_turns").alias("_i", "_turn"))
+    if questions_only:
+        turns = turns.where((F.col("_turn.role") == "user") & (F.col("_turn.turn") > 0))
+    here = F.array_join(F.transform(F.slice("_turns", 1, F.col("_i") + 1), lambda t: t["_m"]), ",")
+    return turns.select(
+        "conv_id",
+        F.col("_turn.turn").alias("turn"),
+        (F.col("_n") + F.col("_i") + 1).alias("n_messages"),
+        _messages(F.when(F.col("_n") > 0, F.concat("_before", F.lit(","), here)).otherwise(here)).alias("messages"),
+    )
+
+
 def chat_requests(turns: DataFrame, questions_only: bool = True, page: int = PAGE) -> DataFrame:
     """``requests(conv_id, turn, n_messages, messages)``: the history sent with each question.
 
     ``turns`` has conv_id, turn (from 0), role, text; turn 0 is the document text. A question is
-    any later turn of the user. Histories of a long conversation are written by many tasks: each
-    page of ``page`` turns is expanded on its own, after the text of the earlier pages.
+    any later turn of the user. The first ``page`` turns of a conversation form one group. Where
+    longer conversations exist, their later pages are expanded one by one, each after the joined
+    text of the pages before it, so a long conversation is written by many tasks.
     """
+    listed = F.sort_array(F.collect_list(F.struct("turn", "role", "_m"))).alias("_turns")
+    told = turns.select("conv_id", "turn", "role", _message().alias("_m"))
+    first = told.where(F.col("turn") < page).groupBy("conv_id").agg(listed)
+    requests = _expand(
+        first.withColumns({"_before": F.lit(""), "_n": F.lit(0).cast("long")}), questions_only
+    )
+    later = turns.where(F.col("turn") >= page).select("conv_id")
+    if later.isEmpty():
+        return requests
     pages = (
-        turns.select("conv_id", "turn", "role", _message().alias("_m"), F.floor(F.col("turn") / page).alias("_page"))
-        .groupBy("conv_id", "_page")
-        .agg(
-            F.sort_array(F.collect_list(F.struct("turn", "role", "_m"))).alias("_turns"),
-        )
+        told.join(later.distinct(), "conv_id", "left_semi")
+        .groupBy("conv_id", F.floor(F.col("turn") / page).alias("_page"))
+        .agg(listed)
         .withColumn("_text", F.array_join(F.transform("_turns", lambda t: t["_m"]), ","))
     )
     earlier = Window.partitionBy("conv_id").orderBy("_page").rowsBetween(Window.unboundedPreceding, -1)
-    before = pages.select(
+    continued = pages.select(
         "conv_id",
         "_page",
         "_turns",
         F.array_join(F.collect_list("_text").over(earlier), ",").alias("_before"),
         F.coalesce(F.sum(F.size("_turns")).over(earlier), F.lit(0)).alias("_n"),
-    )
-    expanded = before.select(
-        "conv_id",
-        "_before",
-        "_n",
-        "_turns",
-        F.posexplode("_turns").alias("_i", "_turn"),
-    )
-    if questions_only:
-        expanded = expanded.where((F.col("_turn.role") == "user") & (F.col("_turn.turn") > 0))
-    here = F.array_join(F.transform(F.slice("_turns", 1, F.col("_i") + 1), lambda t: t["_m"]), ",")
-    return expanded.select(
-        "conv_id",
-        F.col("_turn.turn").alias("turn"),
-        (F.col("_n") + F.col("_i") + 1).alias("n_messages"),
-        _messages(F.when(F.col("_n") > 0, F.concat("_before", F.lit(","), here)).otherwise(here)).alias("messages"),
-    )
+    ).where(F.col("_page") > 0)
+    return requests.unionByName(_expand(continued.repartition("conv_id", "_page"), questions_only))
 
 
 def chat_texts(turns: DataFrame, include: bool = True) -> DataFrame:

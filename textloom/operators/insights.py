@@ -24,9 +24,15 @@ from textloom.operators.lookup import lookup_join, rows_if_small
 Detector = Callable[[Column], Column]
 
 
-def explode_chunks(df: DataFrame, text: str = "text", key: str = "doc_id", max_bytes: int = MAX_BYTES) -> DataFrame:
-    """``chunks(key, chunk_no, chunk)``, numbered from 0."""
-    return df.select(key, F.posexplode(chunk_texts(F.col(text), max_bytes)).alias("chunk_no", "chunk"))
+def explode_chunks(
+    df: DataFrame, text: str = "text", key: str = "doc_id", max_bytes: int = MAX_BYTES, spread: bool = False
+) -> DataFrame:
+    """``chunks(key, chunk_no, chunk)``, numbered from 0.
+
+    With ``spread`` the chunks of one giant text go to many tasks, for costly detectors.
+    """
+    chunks = df.select(key, F.posexplode(chunk_texts(F.col(text), max_bytes)).alias("chunk_no", "chunk"))
+    return chunks.repartition(key, "chunk_no") if spread else chunks
 
 
 def insights(

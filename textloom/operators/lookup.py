@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, Row, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 MAX_INLINE_ROWS = 2_000
 MAX_BROADCAST_ROWS = 500_000
@@ -12,17 +12,19 @@ MAX_BROADCAST_BYTES = 64 << 20
 SALTS = 32
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder of the cluster.
-
-    The folder is ``spark.checkpoint.dir``; a local one is made only where none is named.
-    """
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder of the cluster, ``spark.checkpoint.dir``; a local one only where none is set."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(
             spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textloom-checkpoint-")
         )
+    return context.getCheckpointDir()
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
@@ -73,6 +75,9 @@ def lookup_join(
     """
     if fits_broadcast(table, max_rows):
         return left.join(F.broadcast(table), on, how)
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(F.to_json(F.struct("*"))), F.lit(salts)).cast("int"))
+    hashed = [c for c, kind in left.dtypes if "map<" not in kind and "variant" not in kind]
+    # Copies of one row differ by their partition; unlike a random salt this one survives a retry.
+    salt = F.pmod(F.xxhash64(*hashed, F.spark_partition_id()), F.lit(salts)).cast("int")
+    salted = left.withColumn("_salt", salt)
     copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")

@@ -103,16 +103,15 @@ def tokenize_spans(
     are cut from blocks, so the cost of a piece depends on its length and not its position.
     """
     begin, end = F.col("begin").cast("int"), F.col("end").cast("int")
-    per_text = (
+    # One span per start: a text has fewer of them than characters, however many were delivered.
+    longest = (
         keep_private(spans, types)
-        .groupBy(key)
-        .agg(
-            F.sort_array(
-                F.collect_list(
-                    F.struct(begin.alias("begin"), (-end).alias("backwards"), end.alias("end"), F.col("type"))
-                )
-            ).alias("_spans")
-        )
+        .groupBy(key, begin.alias("begin"))
+        .agg(F.min(F.struct((-end).alias("backwards"), end.alias("end"), "type")).alias("_span"))
+    )
+    per_text = (
+        longest.groupBy(key)
+        .agg(F.sort_array(F.collect_list(F.struct("begin", "_span.backwards", "_span.end", "_span.type"))).alias("_spans"))
         .withColumn("_spans", _disjoint(F.col("_spans")))
     )
 

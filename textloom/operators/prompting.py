@@ -34,15 +34,22 @@ def read_templates(spark, folder: str) -> DataFrame:
     return template_table(spark, {row["name"]: row["value"] for row in rows})
 
 
-def fill_prompts(df: DataFrame, templates: DataFrame, name: str = "prompt_name", text: str = "text") -> DataFrame:
-    """Replace ``text`` by the named template around it; an unknown name uses the fallback."""
+def fill_prompts(
+    df: DataFrame, templates: DataFrame, name: str = "prompt_name", text: str = "text", max_inline: int = 200
+) -> DataFrame:
+    """Replace ``text`` by the named template around it; an unknown name uses the fallback.
+
+    A few templates are part of the plan; more of them are joined by name.
+    """
     fallback = F.array(*map(F.lit, segments(FALLBACK)))
+    rows = rows_if_small(templates, max_inline)
+    if rows is not None:
+        chosen = F.when(F.lit(False), fallback)
+        for row in rows:
+            chosen = chosen.when(F.col(name) == row["prompt_name"], F.array(*map(F.lit, row["segments"])))
+        return df.withColumn(text, fill(chosen.otherwise(fallback), F.col(text)))
     joined = lookup_join(df, templates.withColumnRenamed("prompt_name", name), [name])
-    return (
-        joined.withColumn(text, fill(F.coalesce("segments", fallback), F.col(text)))
-        .drop("segments")
-        .select(*df.columns)
-    )
+    return joined.withColumn(text, fill(F.coalesce("segments", fallback), F.col(text))).select(*df.columns)
 
 
 def build_requests(

@@ -9,7 +9,7 @@ from textloom.functions.text import strip
 from textloom.operators.lookup import materialize
 
 HOT_WORDS = 100_000
-_LONGEST_HOT_WORD = 64
+_LONGEST_KEY = 64
 
 
 def sentences(text: Column) -> Column:
@@ -62,6 +62,26 @@ def _postings(df: DataFrame, text: str, key: str) -> DataFrame:
     return df.select(key, F.explode(let(F.sort_array(pairs), grouped)).alias("_run")).select(key, "_run.word", "_run.at")
 
 
+def _word_key(word: Column) -> Column:
+    """A key of bounded length: the word, or a digest of a long one (no word has a blank)."""
+    return F.when(F.octet_length(word) <= _LONGEST_KEY, word).otherwise(F.concat(F.lit(" "), F.md5(word.cast("binary"))))
+
+
+def _hot_level(statistics: DataFrame, hot_words: int) -> tuple[Column, int | None]:
+    """Frequency level of a word, and the lowest one above which there are ``hot_words`` at most.
+
+    Levels are logarithmic, so there are some hundreds of them whatever the corpus. The level is
+    None when all words are hot.
+    """
+    level = F.floor(F.log2("docs") * 8).cast("int")
+    total = 0
+    for row in statistics.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+        total += row["count"]
+        if total > hot_words:
+            return level, row["level"] + 1
+    return level, None
+
+
 def score_sentences(
     df: DataFrame,
     statistics: DataFrame,
@@ -73,24 +93,25 @@ def score_sentences(
     """``scores(key, sent_no, score, n_words)``; score is in millionths.
 
     Every occurrence of a word adds its count in the text times its inverse document frequency.
-    The ``hot_words`` most common words are broadcast, a table of bounded size, and only rarer
-    words are joined by shuffle: no join key holds a large share of the rows.
+    At most ``hot_words`` of the most common words are broadcast, with keys of bounded length,
+    and only rarer words are joined by shuffle: no join key holds a large share of the rows.
     """
     weight = F.round(F.log((F.lit(n_docs) + 1) / (F.col("docs") + 1)) * 1_000_000).cast("long")
-    weights = statistics.select("word", weight.alias("idf"), "docs")
-    hot = (
-        weights.where(F.octet_length("word") <= _LONGEST_HOT_WORD)
-        .orderBy(F.desc("docs"), "word")
-        .limit(hot_words)
-        .select("word", "idf")
+    weights = statistics.withColumn("idf", weight)
+    level, lowest = _hot_level(statistics, hot_words)
+    postings = _postings(df, text, key)
+    hot = (weights if lowest is None else weights.where(level >= lowest)).select(
+        _word_key(F.col("word")).alias("_key"), "idf"
     )
-    marked = _postings(df, text, key).join(F.broadcast(hot), "word", "left")
-    weighed = marked.where(F.col("idf").isNotNull())
-    if statistics.limit(hot_words + 1).count() > hot_words or not statistics.where(
-        F.octet_length("word") > _LONGEST_HOT_WORD
-    ).isEmpty():
-        rare = marked.where(F.col("idf").isNull()).drop("idf").join(weights.select("word", "idf"), "word")
-        weighed = weighed.unionByName(rare)
+    marked = postings.withColumn("_key", _word_key(F.col("word"))).join(
+        F.broadcast(hot), "_key", "inner" if lowest is None else "left"
+    )
+    weighed = marked.select(key, "at", "idf")
+    if lowest is not None:
+        rare = marked.where(F.col("idf").isNull()).drop("idf").join(
+            weights.where(level < lowest).select("word", "idf"), "word"
+        )
+        weighed = weighed.where(F.col("idf").isNotNull()).unionByName(rare.select(key, "at", "idf"))
     return (
         weighed.select(key, F.explode("at").alias("sent_no"), (F.size("at") * F.col("idf")).alias("_w"))
         .groupBy(key, "sent_no")
