@@ -204,6 +204,9 @@ _CATALOG = f"""SELECT CASE WHEN known THEN 'type-' || name ELSE 'glossary-' || m
   CASE WHEN NOT known THEN 'ENABLED' END AS status, NOT known AS created
 FROM (SELECT name, name IN (SELECT p_type FROM part) AS known FROM (SELECT DISTINCT category AS name FROM ({_GLOSSARY})))"""
 
+_FILES = """SELECT source, sum(len(string_split(text, chr(10))))::BIGINT AS n_lines,
+  sum(length(text) + 1)::BIGINT AS n_chars FROM documents GROUP BY source"""
+
 _FORM = "replace(url_encode({}), '%20', '+')"
 
 ORACLE: dict[str, str] = {
@@ -251,6 +254,7 @@ SELECT doc_id, chunk_no, rank, phrase, score AS "Score" FROM ranked""",
 SELECT doc_id, chunk_no, pos, value AS "Text", type AS "Type", 1.0::DOUBLE AS "Score" FROM entity""",
     "doc_insights": _INSIGHTS,
     "doc_insights_merged": _INSIGHTS,
+    "stream_insights": _INSIGHTS,
     "prompt_default": f"SELECT doc_id, {_prompt(_DEFAULT, 'text')} AS prompt FROM documents",
     "prompt_fallback": f"""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN {_prompt(_DEFAULT, 'text')}
   ELSE {_prompt(FALLBACK, 'text')} END AS prompt,
@@ -279,6 +283,8 @@ FROM orders GROUP BY o_custkey""",
     "glossary_new": _CATALOG,
     "glossary_placed": f"""SELECT c.id AS glossary_id, t.category, t.name, t."shortDescription", 'ENABLED' AS status
 FROM ({_GLOSSARY}) t JOIN ({_CATALOG}) c ON c.name = t.category""",
+    "local_files": _FILES,
+    "object_files": _FILES,
     "stored_texts": f"""SELECT doc_id, text, text IS NOT NULL AS status,
   CASE WHEN text IS NULL THEN 'no text to write' END AS error FROM ({_RESPONSES})""",
 }

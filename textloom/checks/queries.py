@@ -16,7 +16,7 @@ from textloom.operators import blocks, chat, glossary, insights, names, privacy,
 from textloom.operators.lookup import shared_dir, spread
 from textloom.plans import enrich
 from textloom.sinks import tables as sinks
-from textloom.sources.files import transcript_text
+from textloom.sources import files
 from textloom.streaming.files import run_on_files
 
 # Lexicon of the sentiment queries: frequent words of the test texts.
@@ -68,7 +68,7 @@ def transcripts(spark, sf_dir):
     transcript = F.array(F.struct(F.col("text").alias("transcript")))
     payload = F.to_json(F.struct(F.struct(transcript.alias("transcripts")).alias("results")))
     landed = documents(spark, sf_dir).select("doc_id", payload.alias("payload"))
-    return landed.select("doc_id", transcript_text(F.col("payload")).alias("text"))
+    return landed.select("doc_id", files.transcript_text(F.col("payload")).alias("text"))
 
 
 def upload_paths(spark, sf_dir):
@@ -479,7 +479,32 @@ def glossary_placed(spark, sf_dir):
     return glossary.place_terms(glossary_terms(spark, sf_dir), _catalog(spark, sf_dir))
 
 
-# Sinks and streams
+# Files, sinks and streams
+
+
+def _file_lines(spark, sf_dir, read):
+    """Lines and characters per source after the documents went through text files."""
+    folder = f"{shared_folder(spark)}/files"
+    docs = table(spark, sf_dir, "documents").select("source", "text")
+    docs.write.partitionBy("source").option("maxRecordsPerFile", 200).text(folder)
+    source = F.regexp_extract("path", "/source=([^/]*)/", 1)
+    text = F.col("text")
+    return (
+        read(spark, f"{folder}/*/*.txt")
+        .groupBy(source.alias("source"))
+        .agg(
+            F.sum(F.size(F.split(text, "\n")) - 1).alias("n_lines"),
+            F.sum(F.length(text)).alias("n_chars"),
+        )
+    )
+
+
+def local_files(spark, sf_dir):
+    return _file_lines(spark, sf_dir, files.read_local_texts)
+
+
+def object_files(spark, sf_dir):
+    return _file_lines(spark, sf_dir, files.read_object_texts)
 
 
 def stored_texts(spark, sf_dir):
@@ -491,19 +516,30 @@ def stored_texts(spark, sf_dir):
     return written.unionByName(spark.read.parquet(f"{folder}/rejects"))
 
 
-def stream_tokenized(spark, sf_dir):
-    """The token chain on a file stream of the documents."""
+def _streamed(spark, sf_dir, stage):
     folder = shared_folder(spark)
-
-    def stage(arriving):
-        return privacy.tokenize(arriving).select("doc_id", "text")
-
     run_on_files(
         spark, f"{sf_dir}/documents*.parquet", "doc_id long, text string", stage, f"{folder}/out", f"{folder}/state"
     ).awaitTermination()
     return spark.read.parquet(f"{folder}/out")
 
 
+def stream_tokenized(spark, sf_dir):
+    """The token chain on a file stream of the documents."""
+    return _streamed(spark, sf_dir, lambda arriving: privacy.tokenize(arriving).select("doc_id", "text"))
+
+
+def stream_insights(spark, sf_dir):
+    """The insights chain on the same stream."""
+
+    def stage(arriving):
+        found = insights.insights(arriving, lexicon=LEXICON, top_k=5)
+        flat = _flat_insights(F.col("insights.entities"), F.col("insights.key_phrases"))
+        return found.select("doc_id", "insights.sentiment", *flat)
+
+    return _streamed(spark, sf_dir, stage)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -518,6 +554,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         chat_requests, chat_history, chat_full,
         line_rebuild, page_lines, sheet_text, paragraph_text,
         glossary_valid, glossary_terms, glossary_new, glossary_placed,
-        stored_texts, stream_tokenized,
+        local_files, object_files, stored_texts, stream_tokenized, stream_insights,
     )
 }

@@ -26,7 +26,7 @@ def rebuild_lines(blocks: DataFrame, key: str = "doc_id", strict: bool = True) -
     wanted = children.select(
         key, "ord", "_list", F.posexplode_outer(F.coalesce("_rel.ids", F.array().cast("array<string>"))).alias("_no", "id")
     )
-    found = wanted.join(word_text, [key, "id"], "left")
+    found = wanted.join(word_text.hint("merge"), [key, "id"], "left")
     text = F.col("word")
     if strict:
         unknown = F.concat(F.lit("unknown word "), F.col("id"))

@@ -39,12 +39,11 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 def _size(df: DataFrame, max_rows: int) -> tuple[int, int]:
     """Rows and bytes as JSON, counted only up to one row past the limit."""
+    size = F.octet_length(F.to_json(F.struct("*"))).alias("size")
     row = (
-        df.limit(max_rows + 1)
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("bytes"),
-        )
+        df.select(size)
+        .limit(max_rows + 1)
+        .agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
         .first()
     )
     return row["n"], row["bytes"]

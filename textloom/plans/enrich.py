@@ -62,9 +62,13 @@ def document_insights(df: DataFrame, **options) -> DataFrame:
 
 
 def by_input_type(df: DataFrame, stages: dict[str, Stage]) -> DataFrame:
-    """Send the rows of each ``input_type`` through their own stage and put them together again."""
+    """Send the rows of each ``input_type`` through their own stage and put them together again.
+
+    Rows of other types stay as they are. Every stage filters its own rows, so read ``df`` from a
+    table partitioned by ``input_type``: each folder is then read once.
+    """
     parts = [stage(df.where(F.col("input_type") == kind)) for kind, stage in stages.items()]
-    rest = df.where(~F.col("input_type").isin(*stages))
+    rest = df.where(~F.coalesce(F.col("input_type").isin(*stages), F.lit(False)))
     for part in parts:
         rest = rest.unionByName(part, allowMissingColumns=True)
     return rest
