@@ -111,15 +111,16 @@ found AS (SELECT d.doc_id, g.name, g.type, min(d.i) AS seen FROM (
 # Chunks
 
 _CHUNKS = f"""ws AS MATERIALIZED (SELECT doc_id, {_words('text')} AS ws FROM documents),
-sums AS MATERIALIZED (SELECT doc_id, list(total ORDER BY i) AS cum FROM (
-    SELECT doc_id, i, sum(strlen(ws[i])) OVER (PARTITION BY doc_id ORDER BY i) AS total
-    FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM ws)) GROUP BY doc_id),
-cut(doc_id, chunk_no, s, e) AS (
-  SELECT doc_id, 0, 0::BIGINT, len(list_filter(cum, lambda x: x <= 4000)) FROM sums
+sums AS MATERIALIZED (SELECT doc_id, i, sum(size) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS total
+  FROM (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(list_transform(ws, lambda w: strlen(w))) AS size FROM ws)),
+cut(doc_id, chunk_no, s, e, used) AS (
+  SELECT doc_id, 0, 0::BIGINT, count(*) FILTER (total <= 4000), coalesce(max(total) FILTER (total <= 4000), 0)
+  FROM sums GROUP BY doc_id
   UNION ALL
-  SELECT cut.doc_id, chunk_no + 1, e,
-    greatest(len(list_filter(cum, lambda x: x <= coalesce(cum[e], 0) + 4000)), e + 1)
-  FROM cut JOIN sums ON sums.doc_id = cut.doc_id WHERE e < len(cum)),
+  SELECT doc_id, chunk_no + 1, e, greatest(max(i) FILTER (total <= used + 4000), min(i)),
+    greatest(max(total) FILTER (total <= used + 4000), min(total))
+  FROM (SELECT cut.doc_id, chunk_no, e, used, i, total FROM cut JOIN sums ON sums.doc_id = cut.doc_id AND sums.i > cut.e)
+  GROUP BY doc_id, chunk_no, e),
 chunks AS (SELECT cut.doc_id, chunk_no, array_to_string(ws[s + 1:e], ' ') AS chunk FROM cut JOIN ws ON ws.doc_id = cut.doc_id)"""
 _LEXICON = ", ".join(f"({quote(word)}, {weight})" for word, weight in LEXICON.items())
 _LABELS = f"""{_CHUNKS},
