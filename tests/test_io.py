@@ -28,8 +28,6 @@ def test_text_files(spark, tmp_path):
     (tmp_path / "bom.txt").write_bytes(b"\xef\xbb\xbfx")
     local = {k: r["text"] for k, r in by_name(files.read_local_texts(spark, str(tmp_path)).collect()).items()}
     assert local == {"plain.txt": "é😀", "crlf.txt": "a\nb\nc\n", "bad.txt": "", "bom.txt": "﻿x"}
-    asked = spark.createDataFrame([(r["path"].replace("plain", "empty"),) for r in files.read_local_texts(spark, f"{tmp_path}/plain.txt").collect()], "path string").withColumn("text", F.lit(None).cast("string"))
-    assert files.attach_texts(asked, files.read_local_texts(spark, str(tmp_path))).first()["text"] == ""
     with pytest.raises(Exception, match="UTF"):
         files.read_object_texts(spark, str(tmp_path)).collect()
     lenient = by_name(files.read_object_texts(spark, str(tmp_path), strict=False).collect())
@@ -119,11 +117,11 @@ def test_word_files(spark, tmp_path):
 
 def test_writers(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
-    outcome = tables.write_texts(df, f"{tmp_path}/out")
     tables.write_texts(df, f"{tmp_path}/out")
-    tables.write_rejects(outcome, f"{tmp_path}/bad")
-    assert [r["text"] for r in spark.read.parquet(f"{tmp_path}/out").collect()] == ["a", "a"]
-    assert [(r["doc_id"], r["error"]) for r in spark.read.parquet(f"{tmp_path}/bad").collect()] == [(2, "no text to write")]
+    tables.write_texts(df, f"{tmp_path}/out")
+    assert [r["text"] for r in tables.stored_rows(spark, f"{tmp_path}/out").collect()] == ["a", "a"]
+    rejected = tables.stored_rows(spark, f"{tmp_path}/out", False).collect()
+    assert [(r["doc_id"], r["error"]) for r in rejected] == [(2, "no text to write")] * 2
 
 
 def test_payloads_and_paths(values):

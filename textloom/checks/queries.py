@@ -508,12 +508,10 @@ def object_files(spark, sf_dir):
 
 
 def stored_texts(spark, sf_dir):
-    """Replies written to a table and read back; replies without text are kept apart."""
+    """Replies written to a table and read back; those without a text are kept apart."""
     folder = shared_folder(spark)
-    outcome = sinks.write_texts(response_text(spark, sf_dir), f"{folder}/texts")
-    sinks.write_rejects(outcome, f"{folder}/rejects")
-    written = spark.read.parquet(f"{folder}/texts")
-    return written.unionByName(spark.read.parquet(f"{folder}/rejects"))
+    sinks.write_texts(response_text(spark, sf_dir), folder)
+    return sinks.stored_rows(spark, folder).unionByName(sinks.stored_rows(spark, folder, False))
 
 
 def _streamed(spark, sf_dir, stage):

@@ -79,7 +79,8 @@ def ngrams(text: Column, longest: int) -> Column:
     )
 
 
-_REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});?"
+# A named reference needs its semicolon, a numeric one does not.
+_REFERENCE = r"&(?:#[0-9]{1,7};?|#[xX][0-9a-fA-F]{1,6};?|[A-Za-z][A-Za-z0-9]{1,31};)"
 _NAMED = json.dumps({**{k: chr(v) for k, v in name2codepoint.items()}, "apos": "'"})
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def with_status(df: DataFrame, text: str = "text") -> DataFrame:
@@ -14,16 +14,18 @@ def with_status(df: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def write_texts(df: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """Append the rows that have a text, as they are; returns all rows with their outcome."""
-    outcome = with_status(df, text)
-    outcome.where("status").write.mode("append").parquet(path)
-    return outcome
+def write_texts(df: DataFrame, path: str, text: str = "text") -> None:
+    """Append all rows with their outcome, those with and without a text in folders of their own.
 
+    One job writes both, so nothing before it, such as a model call, runs a second time.
+    """
+    with_status(df, text).write.mode("append").partitionBy("status").parquet(path)
 
-def write_rejects(outcome: DataFrame, path: str) -> None:
-    """Append the rows that were not written."""
-    outcome.where("not status").write.mode("append").parquet(path)
+
+def stored_rows(spark: SparkSession, path: str, status: bool = True) -> DataFrame:
+    """The rows that were written, or with ``status=False`` the rejected ones."""
+    rows = spark.read.parquet(path).where(F.col("status") == str(status).lower())
+    return rows.withColumn("status", F.col("status").cast("boolean"))
 
 
 def write_by_type(df: DataFrame, path: str, kind: str = "input_type") -> None:
