@@ -273,7 +273,7 @@ def test_glossary_terms_and_catalog(spark):
     assert sorted(rows) == ["A", "Z"]
     assert rows["Z"]["id"] == "id-1" and not rows["Z"]["created"] and rows["Z"]["status"] is None
     assert rows["A"]["created"] and rows["A"]["description"] == "Glossary for A" and rows["A"]["status"] == "ENABLED"
-    placed = glossary.place_terms(terms, catalog).collect()
+    placed = glossary.place_terms(terms, existing).collect()
     assert sorted((r["glossary_id"], r["name"]) for r in placed) == sorted(
         [("id-1", "1"), ("id-1", "2"), (rows["A"]["id"], "n"), (rows["A"]["id"], "n")]
     )

@@ -464,19 +464,17 @@ def glossary_terms(spark, sf_dir):
     return glossary.glossary_terms(_glossaries(spark, sf_dir))
 
 
-def _catalog(spark, sf_dir):
-    existing = table(spark, sf_dir, "part").select("p_type").distinct().select(
-        F.concat(F.lit("type-"), "p_type").alias("id"), F.col("p_type").alias("name")
-    )
-    return glossary.get_or_create(glossary_terms(spark, sf_dir), existing)
+def _existing(spark, sf_dir):
+    names = table(spark, sf_dir, "part").select(F.col("p_type").alias("name")).distinct()
+    return names.select(F.concat(F.lit("type-"), "name").alias("id"), "name")
 
 
 def glossary_new(spark, sf_dir):
-    return _catalog(spark, sf_dir)
+    return glossary.get_or_create(glossary_terms(spark, sf_dir), _existing(spark, sf_dir))
 
 
 def glossary_placed(spark, sf_dir):
-    return glossary.place_terms(glossary_terms(spark, sf_dir), _catalog(spark, sf_dir))
+    return glossary.place_terms(glossary_terms(spark, sf_dir), _existing(spark, sf_dir))
 
 
 # Files, sinks and streams

@@ -78,9 +78,16 @@ def get_or_create(categories: DataFrame, existing: DataFrame) -> DataFrame:
     )
 
 
-def place_terms(terms: DataFrame, glossaries: DataFrame) -> DataFrame:
-    """Rows to append to the catalog: each term with the id of its glossary."""
-    ids = glossaries.select(F.col("name").alias("category"), F.col("id").alias("glossary_id"))
-    return lookup_join(terms, ids, ["category"], "inner").select(
-        "glossary_id", "category", "name", "shortDescription", F.lit("ENABLED").alias("status")
+def place_terms(terms: DataFrame, existing: DataFrame) -> DataFrame:
+    """Rows to append to the catalog: each term with the id of its glossary.
+
+    Ids of new glossaries follow from their names, so the terms only meet the existing ones.
+    """
+    first = existing.groupBy(F.col("name").alias("category")).agg(F.min("id").alias("_known"))
+    return lookup_join(terms, first, ["category"]).select(
+        F.coalesce("_known", glossary_id(F.col("category"))).alias("glossary_id"),
+        "category",
+        "name",
+        "shortDescription",
+        F.lit("ENABLED").alias("status"),
     )

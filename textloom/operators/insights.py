@@ -49,8 +49,8 @@ def insights(
 ) -> DataFrame:
     """Add a struct of sentiment, entities and key phrases, chunk by chunk within the row.
 
-    There is no shuffle. Empty text gives NULL. White space alone fails in the reference
-    behaviour; here it gives NULL as well.
+    There is no shuffle. Text without a word gives NULL. Detectors given here are Spark
+    expressions; Python models work on the table of ``explode_chunks`` instead.
     """
     label_of = detect_sentiment or (lambda c: sentiment(c, lexicon))
     entities_of = detect_entities or (lambda c: entities(c, F.col(names) if names else None))

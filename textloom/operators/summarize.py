@@ -8,7 +8,8 @@ from textloom.functions.arrays import let
 from textloom.functions.text import strip
 from textloom.operators.lookup import materialize
 
-HOT_WORDS = 100_000
+# At 64 bytes a key at most, this many broadcast words stay far below 100 MB.
+HOT_WORDS = 400_000
 _LONGEST_KEY = 64
 
 
@@ -31,35 +32,14 @@ def word_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     return materialize(per_text.groupBy("word").agg(F.count(F.lit(1)).alias("docs")))
 
 
-def _postings(df: DataFrame, text: str, key: str) -> DataFrame:
-    """Per text and word: the sentences it stands in and how often it occurs, without a shuffle."""
+def _occurrences(df: DataFrame, text: str, key: str) -> DataFrame:
+    """Per occurrence of a word: its sentence and how often the text has it.
 
-    def runs(pairs: Column, listed: Column) -> Column:
-        starts = F.filter(
-            F.sequence(F.lit(0), F.size(listed) - 1),
-            lambda i: (i == 0) | (F.get(listed, i) != F.get(listed, i - 1)),
-        )
-
-        def run(s: Column, start: Column, k: Column) -> Column:
-            stop = F.coalesce(F.get(s, k + 1), F.size(listed))
-            return F.struct(
-                F.get(listed, start).alias("word"),
-                F.transform(F.slice(pairs, start + 1, stop - start), lambda p: p["no"]).alias("at"),
-            )
-
-        return let(starts, lambda s: F.transform(s, lambda start, k: run(s, start, k)))
-
-    def grouped(pairs: Column) -> Column:
-        listed = let(F.transform(pairs, lambda p: p["word"]), lambda w: runs(pairs, w))
-        return F.when(F.size(pairs) > 0, listed)
-
-    pairs = F.flatten(
-        F.transform(
-            sentences(F.col(text)),
-            lambda s, no: F.transform(terms(s), lambda w: F.struct(w.alias("word"), no.alias("no"))),
-        )
-    )
-    return df.select(key, F.explode(let(F.sort_array(pairs), grouped)).alias("_run")).select(key, "_run.word", "_run.at")
+    On texts that are partitioned by ``key`` this only sorts inside each partition.
+    """
+    split = df.select(key, F.posexplode(sentences(F.col(text))).alias("sent_no", "_sentence"))
+    found = split.select(key, "sent_no", F.explode(terms(F.col("_sentence"))).alias("word"))
+    return found.withColumn("_tf", F.count(F.lit(1)).over(Window.partitionBy(key, "word")))
 
 
 def _word_key(word: Column) -> Column:
@@ -99,24 +79,19 @@ def score_sentences(
     weight = F.round(F.log((F.lit(n_docs) + 1) / (F.col("docs") + 1)) * 1_000_000).cast("long")
     weights = statistics.withColumn("idf", weight)
     level, lowest = _hot_level(statistics, hot_words)
-    postings = _postings(df, text, key)
     hot = (weights if lowest is None else weights.where(level >= lowest)).select(
         _word_key(F.col("word")).alias("_key"), "idf"
     )
-    marked = postings.withColumn("_key", _word_key(F.col("word"))).join(
-        F.broadcast(hot), "_key", "inner" if lowest is None else "left"
-    )
-    weighed = marked.select(key, "at", "idf")
+    occurrences = _occurrences(df, text, key).withColumn("_key", _word_key(F.col("word")))
+    marked = occurrences.join(F.broadcast(hot), "_key", "inner" if lowest is None else "left")
+    wanted = [key, "sent_no", (F.col("_tf") * F.col("idf")).alias("_w")]
+    weighed = marked.where(F.col("idf").isNotNull()).select(*wanted)
     if lowest is not None:
         rare = marked.where(F.col("idf").isNull()).drop("idf").join(
-            weights.where(level < lowest).select("word", "idf"), "word"
+            weights.where(level < lowest).select("word", "idf").hint("merge"), "word"
         )
-        weighed = weighed.where(F.col("idf").isNotNull()).unionByName(rare.select(key, "at", "idf"))
-    return (
-        weighed.select(key, F.explode("at").alias("sent_no"), (F.size("at") * F.col("idf")).alias("_w"))
-        .groupBy(key, "sent_no")
-        .agg(F.sum("_w").alias("score"), F.count(F.lit(1)).alias("n_words"))
-    )
+        weighed = weighed.unionByName(rare.select(*wanted))
+    return weighed.groupBy(key, "sent_no").agg(F.sum("_w").alias("score"), F.count(F.lit(1)).alias("n_words"))
 
 
 def summarize(
@@ -132,11 +107,14 @@ def summarize(
     """Add the ``k`` sentences with the highest mean score, in reading order.
 
     Pass ``statistics`` and ``n_docs`` of a corpus to score against it; else they come from
-    ``df`` itself. Texts without a word get an empty summary.
+    ``df`` itself. Texts without a word or without a key get an empty summary.
     """
     if statistics is None or n_docs is None:
         statistics, n_docs = word_statistics(df, text), df.count()
-    scores = score_sentences(df, statistics, n_docs, text, key, hot_words)
+    # One move of the texts; words, scores and sentences of a text then stay where it is. Both
+    # uses filter missing keys, so that they share the move.
+    placed = df.where(F.col(key).isNotNull()).repartition(key)
+    scores = score_sentences(placed, statistics, n_docs, text, key, hot_words)
     best = F.row_number().over(
         Window.partitionBy(key).orderBy(F.desc(F.col("score") / F.col("n_words")), "sent_no")
     )
@@ -149,4 +127,5 @@ def summarize(
     picked = let(
         sentences(F.col(text)), lambda s: F.array_join(F.transform("_chosen", lambda i: F.get(s, i)), " ")
     )
-    return df.join(chosen, key, "left").withColumn(out, F.coalesce(picked, F.lit(""))).drop("_chosen")
+    summarized = placed.join(chosen, key, "left").withColumn(out, F.coalesce(picked, F.lit(""))).drop("_chosen")
+    return summarized.unionByName(df.where(F.col(key).isNull()).withColumn(out, F.lit("")))
