@@ -34,6 +34,15 @@ def test_types_can_be_limited(spark):
     assert row["text"] == TEXT.replace("+1 (499) 555-6503", "T1")
 
 
+def test_many_matches_in_one_text(spark):
+    text = " ".join(f"u{i % 20_000}@b.org" for i in range(30_000))
+    tokenized = privacy.tokenize(texts(spark, (1, text)))
+    row = tokenized.first()
+    assert len(row["token_map"]) == 20_000
+    assert row["text"] == " ".join(f"T{i % 20_000 + 1}" for i in range(30_000))
+    assert privacy.restore(tokenized).first()["text"] == text
+
+
 def test_long_runs_take_linear_time(spark):
     row = privacy.tokenize(texts(spark, (1, "a" * 300_000 + "1" * 300_000 + "@"))).first()
     assert row["token_map"] == []
@@ -70,6 +79,13 @@ def test_many_tokens_in_long_text_restore(spark):
     assert privacy.restore(tokenized).first()["text"] == text
 
 
+def test_many_overlapping_spans(spark):
+    text = "ab" * 3000
+    spans = [(1, i, i + 2, "NAME") for i in range(5998)]
+    row = privacy.tokenize_spans(texts(spark, (1, text)), spark.createDataFrame(spans, SPANS)).first()
+    assert row["text"] == "T1" * 2999 + "ab" and len(row["token_map"]) == 1
+
+
 def test_round_trip_of_random_spans(spark):
     rng = random.Random(11)
     docs, spans = [], []

@@ -28,18 +28,20 @@ def interleave(gaps: Column, fills: Column, fill: Callable[[Column], Column]) ->
     )
 
 
+def _run_starts(ordered: Column, same: Callable[[Column, Column], Column]) -> Column:
+    """Positions in a sorted array where a new run of equal elements starts."""
+    positions = F.when(F.size(ordered) > 0, F.sequence(F.lit(0), F.size(ordered) - 1)).otherwise(
+        F.array().cast("array<int>")
+    )
+    return F.filter(positions, lambda i: (i == 0) | ~same(F.get(ordered, i), F.get(ordered, i - 1)))
+
+
 def run_counts(values: Column) -> Column:
     """``array<struct<item, n>>`` of the distinct values, in n log n time, sorted by item."""
 
     def count_runs(ordered: Column) -> Column:
-        starts = F.filter(
-            F.when(F.size(ordered) > 0, F.sequence(F.lit(0), F.size(ordered) - 1)).otherwise(
-                F.array().cast("array<int>")
-            ),
-            lambda i: (i == 0) | ~F.get(ordered, i).eqNullSafe(F.get(ordered, i - 1)),
-        )
         return let(
-            starts,
+            _run_starts(ordered, lambda a, b: a.eqNullSafe(b)),
             lambda s: F.transform(
                 s,
                 lambda start, k: F.struct(
@@ -50,3 +52,25 @@ def run_counts(values: Column) -> Column:
         )
 
     return let(F.sort_array(values), count_runs)
+
+
+def group_positions(items: Column) -> Column:
+    """``array<struct<first, item, at>>`` from ``array<struct<value, at, item>>``, in n log n time.
+
+    One entry per distinct value with the positions it stands at and the item of the first one,
+    in the order of first appearance.
+    """
+
+    def group(ordered: Column) -> Column:
+        def run(starts: Column, start: Column, k: Column) -> Column:
+            stop = F.coalesce(F.get(starts, k + 1), F.size(ordered))
+            return F.struct(
+                F.get(ordered, start)["at"].alias("first"),
+                F.get(ordered, start)["item"].alias("item"),
+                F.transform(F.slice(ordered, start + 1, stop - start), lambda p: p["at"]).alias("at"),
+            )
+
+        starts = _run_starts(ordered, lambda a, b: a["value"] == b["value"])
+        return F.sort_array(let(starts, lambda s: F.transform(s, lambda start, k: run(s, start, k))))
+
+    return let(F.sort_array(items), group)

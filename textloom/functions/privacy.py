@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from textloom.functions.arrays import interleave, let
+from textloom.functions.arrays import group_positions, interleave
 from textloom.functions.text import SPACE
 
 # The types that are replaced by tokens, and the token prefix.
@@ -65,42 +65,48 @@ def find_private(text: Column, names: Column | None = None) -> tuple[Column, Col
     return gaps, F.when(hit, matches).otherwise(F.array().cast(MATCH_TYPE))
 
 
-def keep_types(matches: Column, types: tuple[str, ...] = PRIVATE_TYPES) -> Column:
-    return F.filter(matches, lambda m: m["type"].isin(*types))
+def group_matches(matches: Column, types: tuple[str, ...] = PRIVATE_TYPES) -> Column:
+    """Matches of the allowed types grouped by value, in the order of first appearance.
 
-
-def token_map(matches: Column) -> Column:
-    """``array<struct<token,value,type>>``: entry ``i`` is token ``T<i>``, by first appearance.
-
-    Equal values share one token whatever their type.
+    Equal values are one group whatever their type; the group number is the token number.
     """
-    return let(
-        matches,
-        lambda ms: let(
-            F.transform(ms, lambda m: m["value"]),
-            lambda vs: F.transform(
-                F.array_distinct(vs),
-                lambda v, i: F.struct(
-                    F.concat(F.lit(TOKEN_PREFIX), (i + 1).cast("string")).alias("token"),
-                    v.alias("value"),
-                    F.get(ms, (F.array_position(vs, v) - 1).cast("int"))["type"].alias("type"),
-                ),
-            ),
-        ),
+    placed = F.transform(
+        matches, lambda m, i: F.struct(m["value"].alias("value"), i.alias("at"), m.alias("item"))
     )
+    return group_positions(F.filter(placed, lambda p: p["item"]["type"].isin(*types)))
+
+
+def _token(number: Column) -> Column:
+    return F.concat(F.lit(TOKEN_PREFIX), (number + 1).cast("string"))
 
 
-def splice_tokens(gaps: Column, values: Column, tokens: Column) -> Column:
-    """Text with every mapped value between the gaps replaced by its token."""
+def token_map(groups: Column) -> Column:
+    """``array<struct<token,value,type>>``: entry ``i`` is token ``T<i>``."""
+    return F.transform(
+        groups,
+        lambda g, n: F.struct(
+            _token(n).alias("token"), g["item"]["value"].alias("value"), g["item"]["type"].alias("type")
+        ),
+    )
 
-    def token_of(known: Column, value: Column) -> Column:
-        at = F.array_position(known, value)
-        return F.when(at > 0, F.concat(F.lit(TOKEN_PREFIX), at.cast("string"))).otherwise(value)
 
-    return let(
-        F.transform(tokens, lambda t: t["value"]),
-        lambda known: interleave(gaps, values, lambda v: token_of(known, v)),
+def splice_tokens(gaps: Column, matches: Column, groups: Column, types: tuple[str, ...] = PRIVATE_TYPES) -> Column:
+    """The text with each match of an allowed type replaced by the token of its group."""
+    tokens = F.flatten(
+        F.transform(
+            groups,
+            lambda g, n: F.transform(g["at"], lambda i: F.struct(i.alias("at"), _token(n).alias("fill"))),
+        )
+    )
+    kept = F.filter(
+        F.transform(
+            matches,
+            lambda m, i: F.when(~m["type"].isin(*types), F.struct(i.alias("at"), m["value"].alias("fill"))),
+        ),
+        lambda f: f.isNotNull(),
     )
+    fills = F.transform(F.sort_array(F.concat(tokens, kept)), lambda f: f["fill"])
+    return interleave(gaps, fills, lambda f: f)
 
 
 def restore_tokens(text: Column, tokens: Column) -> Column:

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from textloom.functions.arrays import let
 from textloom.functions.privacy import (
     PRIVATE_TYPES,
     TOKEN_PREFIX,
     find_private,
-    keep_types,
+    group_matches,
     restore_tokens,
     restore_tokens_in_order,
     splice_tokens,
@@ -18,6 +17,7 @@ from textloom.functions.privacy import (
 
 TOKEN_MAP_TYPE = "array<struct<token:string,value:string,type:string>>"
 _BLOCK = 1024
+_PAGE = 256
 
 
 def detect_spans(df: DataFrame, text: str = "text", key: str = "doc_id", names: str | None = None) -> DataFrame:
@@ -58,35 +58,51 @@ def tokenize(
 ) -> DataFrame:
     """Replace personal data in ``text`` by tokens and add the ordered token map of the row."""
     gaps, matches = find_private(F.col(text), F.col(names) if names else None)
+    found = df.withColumns({"_gaps": gaps, "_matches": matches})
+    return _replace(found, text, out, types).drop("_gaps", "_matches")
+
+
+def _replace(found: DataFrame, text: str, out: str, types: tuple[str, ...]) -> DataFrame:
+    """Token map and new text from the gaps and matches of each row; NULL means no match."""
+    matches = F.coalesce("_matches", F.array().cast("array<struct<value:string,type:string>>"))
+    spliced = splice_tokens(F.col("_gaps"), F.col("_matches"), F.col("_groups"), types)
     return (
-        df.withColumns({"_gaps": gaps, "_matches": matches})
-        .withColumn(out, token_map(keep_types(F.col("_matches"), types)).cast(TOKEN_MAP_TYPE))
-        .withColumn(
-            text,
-            F.when(
-                F.size(out) > 0,
-                splice_tokens(F.col("_gaps"), F.transform("_matches", lambda m: m["value"]), F.col(out)),
-            ).otherwise(F.col(text)),
+        found.withColumn("_groups", group_matches(matches, types))
+        .withColumns(
+            {
+                out: token_map(F.col("_groups")).cast(TOKEN_MAP_TYPE),
+                text: F.when(F.size("_groups") > 0, spliced).otherwise(F.col(text)),
+            }
         )
-        .drop("_gaps", "_matches")
+        .drop("_groups")
     )
 
 
 def _disjoint(spans):
-    """Spans by begin, longest first, without those that start inside a kept one."""
+    """Spans by begin, longest first, without those that start inside a kept one.
+
+    Kept spans are gathered in pages, so that adding one copies a page and not all of them.
+    """
+    kind = "struct<begin:int,backwards:int,end:int,type:string>"
 
     def keep(acc, span):
         fits = span["begin"] >= acc["end"]
+        full = F.size(acc["page"]) >= _PAGE
         return F.struct(
-            F.when(fits, F.concat(acc["kept"], F.array(span))).otherwise(acc["kept"]).alias("kept"),
+            F.when(fits & full, F.concat(acc["pages"], F.array(acc["page"]))).otherwise(acc["pages"]).alias("pages"),
+            F.when(fits & full, F.array(span))
+            .when(fits, F.concat(acc["page"], F.array(span)))
+            .otherwise(acc["page"])
+            .alias("page"),
             F.when(fits, span["end"]).otherwise(acc["end"]).alias("end"),
         )
 
     zero = F.struct(
-        F.array().cast("array<struct<begin:int,backwards:int,end:int,type:string>>").alias("kept"),
+        F.array().cast(f"array<array<{kind}>>").alias("pages"),
+        F.array().cast(f"array<{kind}>").alias("page"),
         F.lit(0).alias("end"),
     )
-    return F.aggregate(spans, zero, keep, lambda acc: acc["kept"])
+    return F.aggregate(spans, zero, keep, lambda acc: F.concat(F.flatten(acc["pages"]), acc["page"]))
 
 
 def tokenize_spans(
@@ -133,19 +149,8 @@ def tokenize_spans(
     begins = F.concat(F.transform("_spans", lambda s: s["begin"]), F.array(F.length(text)))
     gaps = F.zip_with(ends, begins, lambda e, b: cut(F.col("_blocks"), e, b))
     some = F.col("_spans").isNotNull()
-    return (
-        joined.withColumns(
-            {"_values": F.when(some, values), "_gaps": F.when(some, gaps)}
-        )
-        .withColumn(out, F.when(some, token_map(F.col("_values"))).otherwise(F.array()).cast(TOKEN_MAP_TYPE))
-        .withColumn(
-            text,
-            F.when(
-                some, splice_tokens(F.col("_gaps"), F.transform("_values", lambda v: v["value"]), F.col(out))
-            ).otherwise(F.col(text)),
-        )
-        .drop("_spans", "_blocks", "_values", "_gaps")
-    )
+    found = joined.withColumns({"_matches": F.when(some, values), "_gaps": F.when(some, gaps)})
+    return _replace(found, text, out, types).drop("_spans", "_blocks", "_gaps", "_matches")
 
 
 def explode_token_map(df: DataFrame, key: str = "doc_id", tokens: str = "token_map") -> DataFrame:
