@@ -67,15 +67,20 @@ def phrases(text: Column, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
     Punctuation counts where it touches white space. It becomes a break mark first; then stop
     words between blanks or marks are cut out.
     """
-    plain = F.regexp_replace(F.lower(text), SPACE + "++", " ")
-    marked = F.regexp_replace(plain, rf"(?<!{PUNCT}){PUNCT}++(?= |\z)|(?<![^ ]){PUNCT}++", _BREAK)
-    stops = "|".join(re.escape(w) for w in stop_words)
-    parts = F.split(
-        F.concat(F.lit(" "), marked, F.lit(" ")), f"[ {_BREAK}](?:{stops})(?=[ {_BREAK}])|{_BREAK}"
-    )
+    plain = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), SPACE + "++", " "), F.lit(" "))
+    marked = F.regexp_replace(plain, rf"(?<!{PUNCT}){PUNCT}++(?= )| {PUNCT}++", _BREAK)
+    parts = F.split(marked, f"[ {_BREAK}](?:{_alternatives(stop_words)})(?=[ {_BREAK}])|{_BREAK}")
     return F.filter(F.transform(parts, lambda p: F.btrim(p)), lambda p: p != "")
 
 
+def _alternatives(listed: tuple[str, ...]) -> str:
+    """Alternation of words by first letter, so that most of them fail at one character."""
+    by_letter: dict[str, list[str]] = {}
+    for word in listed:
+        by_letter.setdefault(re.escape(word[0]), []).append(re.escape(word[1:]))
+    return "|".join(f"{letter}(?:{'|'.join(rests)})" for letter, rests in by_letter.items())
+
+
 def key_phrases(text: Column, top_k: int | None = None, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
     """Distinct phrases by falling score (occurrences times words), then by text."""
     scored = F.transform(
