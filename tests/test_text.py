@@ -59,6 +59,12 @@ def test_chunks_match_a_model(values):
     assert values(texts, lambda t: chunk_texts(t, 10)) == [chunk_model(t, 10) for t in texts]
 
 
+def test_chunks_of_long_texts_match_a_model(values):
+    texts = random_texts(n=20, length=4000, seed=4) + [" ".join(["abc", "é" * 30, "x" * 150] * 300), "a " * 9000]
+    for limit in (1, 100, 4000):
+        assert values(texts, lambda t, n=limit: chunk_texts(t, n)) == [chunk_model(t, limit) for t in texts]
+
+
 def test_chunks_hold_all_words_within_the_limit(values):
     text = " ".join(f"wörd{i}" for i in range(5000))
     (chunks,) = values([text], chunk_texts)
