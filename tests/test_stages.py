@@ -224,6 +224,18 @@ def test_histories_over_page_borders(spark):
             assert json.loads(row["messages"]) == {"messages": said} and row["n_messages"] == turn + 1
 
 
+def test_one_conversation_with_most_turns(spark):
+    turns = [(7, i, "user" if i % 2 == 0 else "assistant", f"t{i}") for i in range(500)]
+    turns += [(c, i, "user", "x") for c in range(100, 350) for i in range(2)]
+    got = chat.chat_requests(spark.createDataFrame(turns, TURNS), questions_only=False, page=16).collect()
+    assert len(got) == len(turns)
+    for row in got:
+        messages = json.loads(row["messages"])["messages"]
+        assert len(messages) == row["n_messages"] == row["turn"] + 1
+        if row["conv_id"] == 7:
+            assert [m["content"] for m in messages] == [f"t{i}" for i in range(row["turn"] + 1)]
+
+
 def test_chat_texts(spark):
     df = spark.createDataFrame([(1, 1, "assistant", "b"), (1, 0, "user", "a")], TURNS)
     assert json.loads(chat.chat_texts(df).first()["text"])["messages"] == [

@@ -40,7 +40,7 @@ def label(positive: Column, negative: Column) -> Column:
     )
 
 
-def sentiment(text: Column, lexicon: Mapping[str, int] = LEXICON) -> Column:
+def sentiment(text: Column, lexicon: Mapping[str, int] = LEXICON, space: str = SPACE) -> Column:
     """Label of a text by a bounded lexicon, which becomes hash sets in the plan."""
     by_weight: dict[int, list[str]] = {}
     for word, weight in lexicon.items():
@@ -57,17 +57,18 @@ def sentiment(text: Column, lexicon: Mapping[str, int] = LEXICON) -> Column:
         ]
         return sum(parts[1:], parts[0]) if parts else F.lit(0)
 
-    weighted = F.filter(bare_words(F.lower(text)), lambda x: x.isin(list(lexicon)))
+    weighted = F.filter(bare_words(F.lower(text), space), lambda x: x.isin(list(lexicon)))
     return let(weighted, lambda w: label(total(w, 1), total(w, -1)))
 
 
-def phrases(text: Column, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
+def phrases(text: Column, stop_words: tuple[str, ...] = STOP_WORDS, space: str = SPACE) -> Column:
     """Runs of words between stop words and punctuation, in lower case and reading order.
 
     Punctuation counts where it touches white space. It becomes a break mark first; then stop
     words between blanks or marks are cut out.
     """
-    plain = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), SPACE + "++", " "), F.lit(" "))
+    lowered = F.lower(text) if space == " " else F.regexp_replace(F.lower(text), space + "++", " ")
+    plain = F.concat(F.lit(" "), lowered, F.lit(" "))
     marked = F.regexp_replace(plain, rf"(?<!{PUNCT}){PUNCT}++(?= )| {PUNCT}++", _BREAK)
     parts = F.split(marked, f"[ {_BREAK}](?:{_alternatives(stop_words)})(?=[ {_BREAK}])|{_BREAK}")
     return F.filter(F.transform(parts, lambda p: F.btrim(p)), lambda p: p != "")
@@ -81,10 +82,12 @@ def _alternatives(listed: tuple[str, ...]) -> str:
     return "|".join(f"{letter}(?:{'|'.join(rests)})" for letter, rests in by_letter.items())
 
 
-def key_phrases(text: Column, top_k: int | None = None, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
+def key_phrases(
+    text: Column, top_k: int | None = None, stop_words: tuple[str, ...] = STOP_WORDS, space: str = SPACE
+) -> Column:
     """Distinct phrases by falling score (occurrences times words), then by text."""
     scored = F.transform(
-        run_counts(phrases(text, stop_words)),
+        run_counts(phrases(text, stop_words, space)),
         lambda r: F.struct(
             (-r["n"] * F.size(F.split(r["item"], " "))).cast("double").alias("rank"), r["item"].alias("item")
         ),

@@ -44,10 +44,13 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(strip(text), SPACE + "++"), "")
 
 
-def bare_words(text: Column) -> Column:
-    """``bare`` of every word in one pass, without the words that have nothing left."""
+def bare_words(text: Column, space: str = SPACE) -> Column:
+    """``bare`` of every word in one pass, without the words that have nothing left.
+
+    ``space`` is a blank for text such as chunks, where nothing else stands between words.
+    """
     return F.array_remove(
-        F.split(F.btrim(text, F.lit(WHITESPACE + PUNCTUATION)), f"{PUNCT}*+{SPACE}++{PUNCT}*+"), ""
+        F.split(F.btrim(text, F.lit(WHITESPACE + PUNCTUATION)), f"{PUNCT}*+{space}++{PUNCT}*+"), ""
     )
 
 

@@ -52,9 +52,9 @@ def insights(
     There is no shuffle. Text without a word gives NULL. Detectors given here are Spark
     expressions; Python models work on the table of ``explode_chunks`` instead.
     """
-    label_of = detect_sentiment or (lambda c: sentiment(c, lexicon))
+    label_of = detect_sentiment or (lambda c: sentiment(c, lexicon, " "))
     entities_of = detect_entities or (lambda c: entities(c, F.col(names) if names else None))
-    phrases_of = detect_key_phrases or (lambda c: key_phrases(c, top_k))
+    phrases_of = detect_key_phrases or (lambda c: key_phrases(c, top_k, space=" "))
     chunked = df.withColumn("_chunks", chunk_texts(F.col(text), max_bytes))
     found = F.struct(
         majority(F.transform("_chunks", label_of)).alias("sentiment"),
