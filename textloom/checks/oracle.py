@@ -279,6 +279,10 @@ WHERE role = 'user' AND turn > 0""",
 FROM orders GROUP BY o_custkey""",
     "paragraph_text": """SELECT conv_id AS doc_id, string_agg(text || chr(10), ''
   ORDER BY CASE WHEN role = 'user' THEN 0 ELSE 1 END, turn) AS text FROM conversations GROUP BY conv_id""",
+    "workbook_text": """SELECT o_orderkey::VARCHAR AS path, o_orderkey || ' '
+  || CASE WHEN o_orderstatus IN ('F', 'P') THEN o_orderstatus || ' ' ELSE '' END || chr(10) || chr(10)
+  || strftime(o_orderdate, '%Y-%m-%d') || ' 00:00:00 ' || o_orderpriority || ' ' || chr(10) AS text FROM orders""",
+    "word_file_text": "SELECT doc_id::VARCHAR AS path, text || chr(10) AS text FROM documents",
     "glossary_valid": "SELECT p_partkey AS doc_id, p_size % 5 IN (0, 1) AS valid FROM part",
     "glossary_terms": _GLOSSARY,
     "glossary_new": _CATALOG,

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import io
 import json
 import uuid
+import zipfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from textloom.functions.chunks import chunk_texts
 from textloom.functions.insights import entities, key_phrases
@@ -16,7 +19,7 @@ from textloom.operators import blocks, chat, glossary, insights, names, privacy,
 from textloom.operators.lookup import shared_dir, spread
 from textloom.plans import enrich
 from textloom.sinks import tables as sinks
-from textloom.sources import files
+from textloom.sources import files, office
 from textloom.streaming.files import run_on_files
 
 # Lexicon of the sentiment queries: frequent words of the test texts.
@@ -433,6 +436,81 @@ def paragraph_text(spark, sf_dir):
     return blocks.paragraph_texts(paragraphs)
 
 
+# Office files
+
+
+def _zipped(members: dict[str, Column]) -> Column:
+    names = list(members)
+
+    @F.pandas_udf("binary")
+    def pack(*contents: pd.Series) -> pd.Series:
+        def one(texts):
+            buffer = io.BytesIO()
+            with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
+                for name, text in zip(names, texts):
+                    archive.writestr(name, text)
+            return buffer.getvalue()
+
+        return pd.Series([one(texts) for texts in zip(*contents)])
+
+    return pack(*members.values())
+
+
+_MAIN = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+_LINKS = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+_WORDS = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+
+
+def workbook_text(spark, sf_dir):
+    """A workbook per order, packed and read again: number, shared string, empty row, date, text."""
+    status = F.array_position(F.array(F.lit("F"), F.lit("P")), F.col("o_orderstatus")) - 1
+    shared = F.format_string('<c r="C1" t="s"><v>%d</v></c>', status)
+    sheet = F.concat(
+        F.lit(f'<worksheet {_MAIN}><sheetData><row r="1"><c r="A1"><v>'),
+        F.col("o_orderkey").cast("string"),
+        F.lit("</v></c>"),
+        F.when(status >= 0, shared).otherwise(""),
+        F.lit('</row><row r="3"><c r="A3" s="1"><v>'),
+        F.date_diff("o_orderdate", F.lit("1899-12-30").cast("date")).cast("string"),
+        F.lit('</v></c><c r="B3" t="inlineStr"><is><t>'),
+        F.col("o_orderpriority"),
+        F.lit("</t></is></c></row></sheetData></worksheet>"),
+    )
+    members = {
+        "xl/workbook.xml": F.lit(
+            f'<workbook {_MAIN} xmlns:r="{_LINKS}"><sheets><sheet name="a" sheetId="1" r:id="r1"/></sheets></workbook>'
+        ),
+        "xl/_rels/workbook.xml.rels": F.lit(
+            '<Relationships><Relationship Id="r1" Target="worksheets/one.xml"/></Relationships>'
+        ),
+        "xl/sharedStrings.xml": F.lit(f"<sst {_MAIN}><si><t>F</t></si><si><t>P</t></si></sst>"),
+        "xl/styles.xml": F.lit(
+            f'<styleSheet {_MAIN}><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>'
+        ),
+        "xl/worksheets/one.xml": sheet,
+    }
+    orders = spread(table(spark, sf_dir, "orders"), "o_orderkey")
+    packed = orders.select(F.col("o_orderkey").cast("string").alias("path"), _zipped(members).alias("content"))
+    return blocks.sheet_texts(office.parse_cells(packed), "path")
+
+
+def word_file_text(spark, sf_dir):
+    """A word file per document, packed and read again: a paragraph per line."""
+    escaped = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    paragraphs = F.transform(
+        F.split(escaped, "\n"), lambda line: F.concat(F.lit("<w:p><w:r><w:t>"), line, F.lit("</w:t></w:r></w:p>"))
+    )
+    body = F.concat(
+        F.lit(f'<w:document xmlns:w="{_WORDS}"><w:body>'),
+        F.array_join(paragraphs, ""),
+        F.lit("</w:body></w:document>"),
+    )
+    packed = documents(spark, sf_dir).select(
+        F.col("doc_id").cast("string").alias("path"), _zipped({"word/document.xml": body}).alias("content")
+    )
+    return blocks.paragraph_texts(office.parse_paragraphs(packed), "path")
+
+
 # Glossaries
 
 
@@ -548,7 +626,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         prompt_default, prompt_fallback, request_bodies, response_text, model_answers,
         extractive_summary, extractive_summary_rare,
         chat_requests, chat_history, chat_full,
-        line_rebuild, page_lines, sheet_text, paragraph_text,
+        line_rebuild, page_lines, sheet_text, paragraph_text, workbook_text, word_file_text,
         glossary_valid, glossary_terms, glossary_new, glossary_placed,
         local_files, object_files, stored_texts, stream_tokenized, stream_insights,
     )

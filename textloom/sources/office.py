@@ -43,7 +43,7 @@ def _extract(
                 if rows:
                     yield pd.DataFrame(rows, columns=names, dtype="object")
 
-    return files.mapInPandas(run, f"path string, {types}, error string")
+    return files.select("path", "content").mapInPandas(run, f"path string, {types}, error string")
 
 
 def _texts(element: ET.Element, tag: str) -> str:
@@ -203,11 +203,19 @@ def _paragraphs(content: bytes) -> Iterator[tuple[int, int, str]]:
                     number += 1
 
 
+def parse_cells(files: DataFrame) -> DataFrame:
+    """``cells(path, row, col, value, error)`` of the active sheet of each workbook in files(path, content)."""
+    return _extract(files, _cells, ["row", "col", "value"], "row int, col int, value string")
+
+
+def parse_paragraphs(files: DataFrame) -> DataFrame:
+    """``paragraphs(path, part, ord, text, error)`` of each word file in files(path, content)."""
+    return _extract(files, _paragraphs, ["part", "ord", "text"], "part int, ord int, text string")
+
+
 def read_cells(spark: SparkSession, path: str) -> DataFrame:
-    """``cells(path, row, col, value, error)`` of the active sheet of each workbook."""
-    return _extract(read_binary(spark, path), _cells, ["row", "col", "value"], "row int, col int, value string")
+    return parse_cells(read_binary(spark, path))
 
 
 def read_paragraphs(spark: SparkSession, path: str) -> DataFrame:
-    """``paragraphs(path, part, ord, text, error)`` of each word file."""
-    return _extract(read_binary(spark, path), _paragraphs, ["part", "ord", "text"], "part int, ord int, text string")
+    return parse_paragraphs(read_binary(spark, path))
