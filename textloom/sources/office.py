@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from textloom.sources.files import read_binary
 
@@ -25,7 +25,7 @@ _DATE_FORMATS = {14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47}
 def _extract(
     files: DataFrame, rows_of: Callable[[bytes], Iterator[tuple]], columns: list[str], types: str
 ) -> DataFrame:
-    """Run ``rows_of`` on every file; a file that cannot be read gives one row with an ``error``."""
+    """Run ``rows_of`` on every file; one that breaks ends with a row that has an ``error``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["path", *columns, "error"]
@@ -38,7 +38,7 @@ def _extract(
                         if len(rows) >= _BATCH:
                             yield pd.DataFrame(rows, columns=names, dtype="object")
                             rows = []
-                except (zipfile.BadZipFile, KeyError, ET.ParseError, ValueError) as problem:
+                except Exception as problem:  # noqa: BLE001 - a broken file must not end the job
                     rows.append((path, *[None] * len(columns), str(problem)))
                 if rows:
                     yield pd.DataFrame(rows, columns=names, dtype="object")
@@ -213,6 +213,12 @@ def parse_paragraphs(files: DataFrame) -> DataFrame:
     return _extract(files, _paragraphs, ["part", "ord", "text"], "part int, ord int, text string")
 
 
+def intact(rows: DataFrame) -> DataFrame:
+    """The rows of files without an error; what came before an error goes too."""
+    error = F.max("error").over(Window.partitionBy("path"))
+    return rows.withColumn("_error", error).where("_error is null").drop("_error", "error")
+
+
 def read_cells(spark: SparkSession, path: str) -> DataFrame:
     return parse_cells(read_binary(spark, path))
 
