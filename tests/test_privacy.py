@@ -172,3 +172,13 @@ def test_organizations_are_replaced_everywhere(spark):
     }
     in_order = names.anonymize(found, in_order=True, replacement="X").where("doc_id = 1").first()["text"]
     assert in_order == "X and X Bank and Xs"
+
+
+def test_empty_gazetteer(spark):
+    gazetteer = spark.createDataFrame([], "name string, type string")
+    df = texts(spark, (1, "Acme a@b.org"), (2, None))
+    for limits in ({}, {"max_inline": -1}):
+        found = names.find_names(df, gazetteer, **limits)
+        assert [r["names"] or [] for r in found.collect()] == [[], []]
+        done = {r["doc_id"]: r["text"] for r in privacy.tokenize(names.anonymize(found), names="names").collect()}
+        assert done == {1: "Acme T1", 2: None}
