@@ -10,6 +10,7 @@ MAX_INLINE_ROWS = 2_000
 MAX_BROADCAST_ROWS = 500_000
 MAX_BROADCAST_BYTES = 64 << 20
 SALTS = 32
+MAX_SPREAD_SPLITS = 64
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,10 +32,11 @@ def materialize(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Use all cores for an input with fewer splits than cores, such as one small file.
 
-    Larger inputs stay as they are: a shuffle would cost more than it gains.
+    Inputs of more than a few splits stay as they are: a shuffle would cost more than it gains.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    few = df.rdd.getNumPartitions() < min(cores, MAX_SPREAD_SPLITS)
+    return df.repartition(cores, key) if few else df
 
 
 def _size(df: DataFrame, max_rows: int) -> tuple[int, int]:
