@@ -2,9 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textloom.llm import exact_dedup, url_filter
+from textloom.llm import (
+    decontaminate,
+    exact_dedup,
+    language_id,
+    packing,
+    simhash,
+    substring_dedup,
+    token_counts,
+    url_filter,
+    warc,
+)
+
+COUNTING_TOKENIZER, PACKING_TOKENIZER = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 # Rules of the URL query.
 URL_RULES = [
@@ -29,7 +42,51 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, sf_dir, "pages"), rules)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_url_filter)}
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(COUNTING_TOKENIZER)
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), path)
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.fingerprint_groups(_table(spark, sf_dir, "documents"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.archive_pages(_table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(PACKING_TOKENIZER))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_exact_dedup,
+        op2_url_filter,
+        op3_token_counts,
+        op4_language_id,
+        op5_decontamination,
+        op6_simhash,
+        op8_substring_dedup,
+        op9_warc,
+        op10_best_fit_packing,
+    )
+}
 
 ORACLE = {
     "op1_exact_dedup": """
