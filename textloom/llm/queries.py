@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -9,6 +11,7 @@ from textloom.llm import (
     decontaminate,
     exact_dedup,
     language_id,
+    licenses,
     packing,
     simhash,
     substring_dedup,
@@ -59,6 +62,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprint_groups(_table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    templates = spark.createDataFrame(licenses.NOTICES, "license string, text string")
+    found = licenses.scan_licenses(_table(spark, sf_dir, "documents"), templates)
+    return found.select("doc_id", "license", "containment", F.col("start").cast("long").alias("start"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -82,13 +91,45 @@ QUERIES = {
         op4_language_id,
         op5_decontamination,
         op6_simhash,
+        op7_license_scan,
         op8_substring_dedup,
         op9_warc,
         op10_best_fit_packing,
     )
 }
 
+
+
+def _license_sql() -> str:
+    """All windows against all templates: the windows of a class start every ``step`` words."""
+    lengths = [len(re.findall(r"\w+", text)) for _, text in licenses.NOTICES]
+    classes = licenses.length_classes(lengths)
+    rows = ", ".join(f"({c.least}, {c.most}, {c.size}, {c.window}, {c.step})" for c in classes)
+    notices = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in licenses.NOTICES)
+    cut = "[x FOR x IN string_split_regex(lower({}), '[^\\p{{L}}\\p{{N}}]+') IF x <> '']"
+    return f"""
+        WITH c(least, most, size, win, step) AS (VALUES {rows}),
+        n(license, notice) AS (VALUES {notices}),
+        t AS (SELECT license, notice, {cut.format("notice")} AS w FROM n),
+        ts AS (SELECT DISTINCT license, notice, size, win, step, array_to_string(w[i:i + size - 1], ' ') AS s
+               FROM t JOIN c ON len(w) BETWEEN least AND most, generate_series(1, len(w) - size + 1) g(i)),
+        total AS (SELECT license, notice, count(*) AS n FROM ts GROUP BY ALL),
+        d AS (SELECT doc_id, {cut.format("coalesce(text, '')")} AS w FROM documents),
+        p AS (SELECT doc_id, i - 1 AS p, c.size, array_to_string(w[i:i + c.size - 1], ' ') AS s
+              FROM d, (SELECT DISTINCT size FROM c) c, generate_series(1, len(w) - c.size + 1) g(i)),
+        h AS (SELECT doc_id, license, notice, k * step AS start, count(DISTINCT p.s) AS shared
+              FROM p JOIN ts ON p.s = ts.s AND p.size = ts.size,
+                   generate_series(greatest(0, ((p.p + p.size - win + step - 1) // step)::BIGINT), (p.p // step)::BIGINT) q(k)
+              GROUP BY ALL),
+        best AS (SELECT doc_id, license, shared / n AS containment, start FROM h JOIN total USING (license, notice)
+                 WHERE shared / n >= {licenses.CONTAINED})
+        SELECT doc_id, license, max(containment) AS containment, arg_min(start, (-containment, start)) AS start
+        FROM best GROUP BY doc_id, license
+    """
+
+
 ORACLE = {
+    "op7_license_scan": _license_sql(),
     "op1_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
