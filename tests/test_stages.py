@@ -80,8 +80,8 @@ def test_templates(spark):
     rows = [(1, "two", "a"), (2, "nosuch", "{input_text}"), (3, "two", None), (4, None, "b")]
     df = spark.createDataFrame(rows, "doc_id long, prompt_name string, text string")
     fallback = "Please provide a summary of the following text: "
-    for limit in (200, 0):
-        filled = prompting.fill_prompts(df, templates, max_inline=limit)
+    for limit in (None, 0):
+        filled = prompting.fill_prompts(df, templates, max_broadcast=limit)
         got = {r["doc_id"]: r["text"] for r in filled.collect()}
         assert got == {1: "<a|{}|a>", 2: fallback + "{input_text}", 3: "<None|{}|None>", 4: fallback + "b"}
 

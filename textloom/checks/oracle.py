@@ -1,12 +1,13 @@
-"""SQL for DuckDB that computes the registered queries independently."""
+"""SQL for DuckDB that computes the registered queries independently, with patterns of its own.
+
+Only fixed texts are shared: templates, stop words and the lexicon of the queries.
+"""
 
 from __future__ import annotations
 
 from textloom.checks.queries import LEXICON
 from textloom.functions.insights import STOP_WORDS
-from textloom.functions.privacy import DATE, PRIVATE
 from textloom.functions.prompts import FALLBACK
-from textloom.functions.text import PUNCTUATION, WHITESPACE, WS_CLASS
 from textloom.operators.prompting import DEFAULT_TEMPLATES
 
 
@@ -14,8 +15,16 @@ def quote(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-_SPACE, _SPACES = quote(WHITESPACE), quote(WS_CLASS + "+")
-_PUNCT, _PII, _DATE = quote(PUNCTUATION), quote(PRIVATE), quote(DATE)
+# The characters that Unicode and ASCII count as white space.
+_BLANKS = [*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
+_SPACE = quote("".join(map(chr, _BLANKS)))
+_SPACES = quote("[" + "".join(rf"\x{{{c:x}}}" for c in _BLANKS) + "]+")
+_PUNCT = quote("!\"#$%&'()*+,-./:;<=>?[\\]^_`{|}~")
+# An address has an @ between a run of its characters and names with full stops; the last name is letters.
+_MAIL = r"[A-Z0-9a-z%_.+-]+@(?:[0-9A-Za-z-]+[.])+[A-Za-z][A-Za-z]+"
+_DAY = r"\d{4}-\d\d-\d\d"
+_CALL = r"(?:[+]\d{1,3}[-. ]?)?(?:[(]\d{3}[)] ?|\d{3}[-. ])\d{3}[-. ]\d{4}"
+_PII, _DATE = quote(f"{_MAIL}|{_DAY}|{_CALL}"), quote(_DAY)
 _STOP = "[" + ", ".join(map(quote, STOP_WORDS)) + "]"
 
 
@@ -86,19 +95,52 @@ _CUT = f"CASE WHEN {_EVEN} OR {_THIRD} THEN '>fill_prompt' ELSE {_ALL_THREE} END
 
 # Personal data
 
-_GAPS = f"""gaps AS (SELECT doc_id, text, ms,
-    CASE WHEN len(ms) = 0 THEN [text] ELSE string_split_regex(text, {_PII}) END AS gs
-  FROM (SELECT doc_id, text, regexp_extract_all(text, {_PII}) AS ms FROM documents))"""
 _TYPE = f"CASE WHEN contains(value, '@') THEN 'EMAIL' WHEN regexp_full_match(value, {_DATE}) THEN 'DATE' ELSE 'PHONE' END"
-_MATCHES = f"""{_GAPS},
+
+
+def _matches(source: str = "documents") -> str:
+    return f"""gaps AS (SELECT doc_id, text, ms,
+    CASE WHEN len(ms) = 0 THEN [text] ELSE string_split_regex(text, {_PII}) END AS gs
+  FROM (SELECT doc_id, text, regexp_extract_all(text, {_PII}) AS ms FROM {source})),
 matches AS (SELECT doc_id, k, gs, ms, ms[k] AS value FROM (SELECT doc_id, gs, ms, unnest(range(1, len(ms) + 1)) AS k FROM gaps)),
-tokens AS (SELECT doc_id, value, 'T' || row_number() OVER (PARTITION BY doc_id ORDER BY seen) AS token
+tokens AS (SELECT doc_id, value, row_number() OVER (PARTITION BY doc_id ORDER BY seen) AS n, 'T' || n AS token
   FROM (SELECT doc_id, value, min(k) AS seen FROM matches GROUP BY doc_id, value))"""
-_TOKEN_MAP = f"WITH {_MATCHES} SELECT doc_id, token, value, {_TYPE} AS type FROM tokens"
-_TOKENIZED = f"""WITH {_MATCHES},
+
+
+def _token_map(source: str = "documents") -> str:
+    return f"WITH {_matches(source)} SELECT doc_id, token, value, {_TYPE} AS type FROM tokens"
+
+
+def _tokenized(source: str = "documents") -> str:
+    return f"""WITH {_matches(source)},
 parts AS (SELECT doc_id, ms, gs, unnest(range(1, len(gs) + 1)) AS k FROM gaps)
 SELECT p.doc_id, string_agg(p.gs[p.k] || coalesce(t.token, ''), '' ORDER BY p.k) AS text
 FROM parts p LEFT JOIN tokens t ON t.doc_id = p.doc_id AND t.value = p.ms[p.k] GROUP BY p.doc_id"""
+
+
+_MATCHES, _TOKEN_MAP, _TOKENIZED = _matches(), _token_map(), _tokenized()
+_LETTERS = """(SELECT c.c_custkey AS doc_id, CASE WHEN listed IS NULL THEN 'No order of ' || c.c_custkey
+  ELSE format('Write to {0}. Call +1 (555) 01{1}-{2}: {3}; again {0}.',
+    'customer.' || c.c_custkey || '@mail.shop.' || c.c_custkey || '.a.b.c.d.e.f.g.example.com', c.c_custkey % 10,
+    lpad((c.c_custkey % 10000)::VARCHAR, 4, '0'), listed) END AS text
+  FROM customer c LEFT JOIN (SELECT o_custkey,
+      string_agg('order ' || o_orderkey || ' of ' || strftime(o_orderdate, '%Y-%m-%d'), ', ' ORDER BY o_orderkey) AS listed
+    FROM orders GROUP BY o_custkey) o ON o.o_custkey = c.c_custkey)"""
+_IN_ORDER = f"""WITH t AS ({_tokenized(_LETTERS)}),
+m AS (SELECT doc_id, list([token, value] ORDER BY substr(token, 2)::INT) AS ms FROM ({_token_map(_LETTERS)}) GROUP BY doc_id)
+SELECT t.doc_id, CASE WHEN ms IS NULL THEN text
+  ELSE list_reduce(list_prepend([text, ''], ms), lambda a, b: [replace(a[1], b[1], b[2]), ''])[1] END AS text
+FROM t LEFT JOIN m ON m.doc_id = t.doc_id"""
+_PHRASED = f"""WITH texts AS (SELECT p_partkey AS doc_id,
+    'We sell (' || p_name || '), ' || p_brand || ' and more ' || p_name || 's by ' || p_type || '.' AS text FROM part),
+known AS (SELECT DISTINCT p_name AS name, len(string_split(p_name, ' ')) AS n FROM part),
+ws AS (SELECT doc_id, {_words('text')} AS ws FROM texts),
+grams AS (SELECT DISTINCT doc_id, trim(array_to_string(ws[i:i + n - 1], ' '), {_PUNCT}) AS name
+  FROM ws, (SELECT DISTINCT n FROM known) k, generate_series(1, len(ws) - n + 1) g(i)),
+orgs AS (SELECT doc_id, list(name ORDER BY length(name) DESC, name) AS names FROM grams JOIN known USING (name) GROUP BY doc_id)
+SELECT t.doc_id, CASE WHEN names IS NULL THEN text
+  ELSE list_reduce(list_prepend(text, names), lambda t, n: replace(t, n, '[Customer]')) END AS text
+FROM texts t LEFT JOIN orgs ON orgs.doc_id = t.doc_id"""
 _GAZETTEER = f"""listed AS (SELECT {_words('text')} AS ws FROM benchmark),
 gazetteer AS (SELECT name, min(type) AS type FROM (
     SELECT trim(ws[1], {_PUNCT}) AS name, 'ORG' AS type FROM listed
@@ -147,12 +189,18 @@ _ENTITIES = f"""entity_list AS (SELECT doc_id, chunk_no, regexp_extract_all(chun
 entity AS (SELECT doc_id, chunk_no, (pos - 1)::INTEGER AS pos, value, {_TYPE} AS type FROM (
     SELECT doc_id, chunk_no, pos, ms[pos] AS value FROM (
       SELECT doc_id, chunk_no, ms, unnest(range(1, len(ms) + 1)) AS pos FROM entity_list)))"""
+_TOP_PHRASES = f"""WITH RECURSIVE {_CHUNKS}, {_PHRASES},
+p AS (SELECT doc_id, string_agg(phrase || '=' || score::BIGINT, ',' ORDER BY chunk_no, rank) AS key_phrases
+  FROM ranked WHERE rank < 5 GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN len(ws) > 0 THEN coalesce(key_phrases, '') END AS key_phrases
+FROM ws d LEFT JOIN p ON p.doc_id = d.doc_id"""
 _INSIGHTS = f"""WITH RECURSIVE {_LABELS}, {_VOTE}, {_PHRASES}, {_ENTITIES},
 p AS (SELECT doc_id, string_agg(phrase || '=' || score::BIGINT, ',' ORDER BY chunk_no, rank) AS key_phrases
-  FROM ranked WHERE rank < 5 GROUP BY doc_id),
+  FROM ranked GROUP BY doc_id),
 e AS (SELECT doc_id, string_agg(type || '=' || value, ',' ORDER BY chunk_no, pos) AS entities FROM entity GROUP BY doc_id)
-SELECT v.doc_id, v.sentiment, coalesce(e.entities, '') AS entities, coalesce(p.key_phrases, '') AS key_phrases
-FROM voted v LEFT JOIN p ON p.doc_id = v.doc_id LEFT JOIN e ON e.doc_id = v.doc_id"""
+SELECT d.doc_id, v.sentiment, CASE WHEN v.doc_id IS NOT NULL THEN coalesce(e.entities, '') END AS entities,
+  CASE WHEN v.doc_id IS NOT NULL THEN coalesce(p.key_phrases, '') END AS key_phrases
+FROM documents d LEFT JOIN voted v ON v.doc_id = d.doc_id LEFT JOIN p ON p.doc_id = v.doc_id LEFT JOIN e ON e.doc_id = v.doc_id"""
 
 # Prompts
 
@@ -195,16 +243,26 @@ _MESSAGES = "'{\"messages\":[' || array_to_string(ms, ',') || ']}'"
 
 # Glossaries: the categories and terms that each valid form of the text holds.
 
-_GLOSSARY = """SELECT p_partkey AS doc_id, 0 AS category_no, p_brand AS category, 0 AS term_no, p_name AS name, p_type AS "shortDescription"
-  FROM part WHERE p_size % 5 = 0
-UNION ALL SELECT p_partkey, 0, p_brand, 1, p_brand, p_name FROM part WHERE p_size % 5 = 0
-UNION ALL SELECT p_partkey, 0, p_type, 0, p_name, p_type FROM part WHERE p_size % 5 = 1
-UNION ALL SELECT p_partkey, 1, p_brand, 0, p_brand, p_name FROM part WHERE p_size % 5 = 1"""
+_GLOSSARY = """WITH p AS (SELECT *, CASE WHEN p_partkey % 7 = 0 THEN 5 ELSE p_size % 5 END AS form FROM part)
+SELECT p_partkey AS doc_id, 0 AS category_no, p_brand AS category, 0 AS term_no, p_name AS name, p_type AS "shortDescription"
+  FROM p WHERE form = 0
+UNION ALL SELECT p_partkey, 0, p_brand, 1, p_brand, p_name FROM p WHERE form = 0
+UNION ALL SELECT p_partkey, 0, p_type, 0, p_name, p_type FROM p WHERE form = 1
+UNION ALL SELECT p_partkey, 1, p_brand, 0, p_brand, p_name FROM p WHERE form = 1
+UNION ALL SELECT p_partkey, 0, p_brand, 0, p_brand, p_name FROM p WHERE form = 5
+UNION ALL SELECT p_partkey, 1, p_type, 0, p_name, p_type FROM p WHERE form = 5"""
 _CATALOG = f"""SELECT CASE WHEN known THEN 'type-' || name ELSE 'glossary-' || md5(name) END AS id, name,
   CASE WHEN NOT known THEN 'Glossary for ' || name END AS description,
   CASE WHEN NOT known THEN 'ENABLED' END AS status, NOT known AS created
 FROM (SELECT name, name IN (SELECT p_type FROM part) AS known FROM (SELECT DISTINCT category AS name FROM ({_GLOSSARY})))"""
 
+_PLACED = f"""SELECT c.id AS glossary_id, t.category, t.name, t."shortDescription", 'ENABLED' AS status
+FROM ({_GLOSSARY}) t JOIN ({_CATALOG}) c ON c.name = t.category"""
+_SHEETS = """SELECT o_custkey AS doc_id, string_agg(o_orderkey || ' '
+  || CASE WHEN o_orderstatus <> 'O' THEN o_orderstatus || ' ' ELSE '' END
+  || strftime(o_orderdate, '%Y-%m-%d') || ' ' || o_orderpriority || ' ' || chr(10), '' ORDER BY o_orderkey) AS text
+FROM orders GROUP BY o_custkey"""
+
 _FILES = """SELECT source, sum(len(string_split(text, chr(10))))::BIGINT AS n_lines,
   sum(length(text) + 1)::BIGINT AS n_chars FROM documents GROUP BY source"""
 
@@ -236,6 +294,13 @@ SELECT doc_id, ("end" - length(value))::INTEGER AS begin, "end"::INTEGER AS "end
     "pii_roundtrip": "SELECT doc_id, text, true AS reversible FROM documents",
     "pii_restored_table": f"""SELECT doc_id, text,
   CASE WHEN NOT regexp_matches(text, {_PII}) THEN 'token map is missing' END AS error FROM documents""",
+    "pii_customers": _tokenized(_LETTERS),
+    "pii_customer_map": _token_map(_LETTERS),
+    "stored_token_map": f"""SELECT doc_id, text,
+  CASE WHEN starts_with(text, 'No order') THEN 'token map is missing' END AS error FROM {_LETTERS}""",
+    "restored_in_order": _IN_ORDER,
+    "org_phrases": _PHRASED,
+    "org_phrases_joined": _PHRASED,
     "gazetteer_names": f"""WITH {_GAZETTEER}
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY seen) - 1)::INTEGER AS pos, name, type FROM found""",
     "org_anonymized": f"""WITH {_GAZETTEER},
@@ -256,6 +321,7 @@ SELECT doc_id, chunk_no, pos, value AS "Text", type AS "Type", 1.0::DOUBLE AS "S
     "doc_insights": _INSIGHTS,
     "doc_insights_merged": _INSIGHTS,
     "stream_insights": _INSIGHTS,
+    "top_phrases": _TOP_PHRASES,
     "prompt_default": f"SELECT doc_id, {_prompt(_DEFAULT, 'text')} AS prompt FROM documents",
     "prompt_fallback": f"""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN {_prompt(_DEFAULT, 'text')}
   ELSE {_prompt(FALLBACK, 'text')} END AS prompt,
@@ -263,6 +329,8 @@ SELECT doc_id, chunk_no, pos, value AS "Text", type AS "Type", 1.0::DOUBLE AS "S
     "request_bodies": _BODIES,
     "response_text": _RESPONSES,
     "model_answers": f"""SELECT page_id, {_prompt(_DEFAULT, 'text')} AS answer, NULL::VARCHAR AS error FROM ({_PAGE_TEXT})""",
+    "model_failures": """SELECT page_id, CASE WHEN NOT contains(url, '7') THEN url END AS text, contains(url, '7') AS failed
+FROM pages""",
     "extractive_summary": _SUMMARY,
     "extractive_summary_rare": _SUMMARY,
     "chat_requests": f"""SELECT conv_id, turn, len(ms) AS n_messages, {_MESSAGES} AS messages FROM ({_HISTORY})
@@ -272,22 +340,22 @@ WHERE role = 'user' AND turn > 0""",
   SELECT conv_id, list(json_object('role', role, 'content', text)::VARCHAR ORDER BY turn) AS ms FROM conversations GROUP BY conv_id)""",
     "line_rebuild": f"""SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)),
   lambda l: array_to_string({_words('l')}, ' ')), chr(10)) AS text FROM documents""",
+    "line_rebuild_gaps": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE text END AS text FROM documents",
     "page_lines": "SELECT doc_id, text || chr(10) AS text FROM documents",
-    "sheet_text": """SELECT o_custkey AS doc_id, string_agg(o_orderkey || ' '
-  || CASE WHEN o_orderstatus <> 'O' THEN o_orderstatus || ' ' ELSE '' END
-  || strftime(o_orderdate, '%Y-%m-%d') || ' ' || o_orderpriority || ' ' || chr(10), '' ORDER BY o_orderkey) AS text
-FROM orders GROUP BY o_custkey""",
+    "sheet_text": _SHEETS,
+    "sheet_text_all": f"""SELECT c_custkey AS doc_id, coalesce(text, '') AS text
+FROM customer LEFT JOIN ({_SHEETS}) s ON s.doc_id = c_custkey""",
     "paragraph_text": """SELECT conv_id AS doc_id, string_agg(text || chr(10), ''
   ORDER BY CASE WHEN role = 'user' THEN 0 ELSE 1 END, turn) AS text FROM conversations GROUP BY conv_id""",
     "workbook_text": """SELECT o_orderkey::VARCHAR AS path, o_orderkey || ' '
   || CASE WHEN o_orderstatus IN ('F', 'P') THEN o_orderstatus || ' ' ELSE '' END || chr(10) || chr(10)
   || strftime(o_orderdate, '%Y-%m-%d') || ' 00:00:00 ' || o_orderpriority || ' ' || chr(10) AS text FROM orders""",
     "word_file_text": "SELECT doc_id::VARCHAR AS path, text || chr(10) AS text FROM documents",
-    "glossary_valid": "SELECT p_partkey AS doc_id, p_size % 5 IN (0, 1) AS valid FROM part",
+    "glossary_valid": "SELECT p_partkey AS doc_id, p_partkey % 7 = 0 OR p_size % 5 IN (0, 1) AS valid FROM part",
     "glossary_terms": _GLOSSARY,
     "glossary_new": _CATALOG,
-    "glossary_placed": f"""SELECT c.id AS glossary_id, t.category, t.name, t."shortDescription", 'ENABLED' AS status
-FROM ({_GLOSSARY}) t JOIN ({_CATALOG}) c ON c.name = t.category""",
+    "glossary_placed": _PLACED,
+    "catalog_terms": _PLACED,
     "local_files": _FILES,
     "object_files": _FILES,
     "stored_texts": f"""SELECT doc_id, text, text IS NOT NULL AS status,

@@ -16,7 +16,9 @@ from textloom.functions.insights import entities, key_phrases
 from textloom.functions.prompts import json_string
 from textloom.functions.text import bare, words
 from textloom.operators import blocks, chat, glossary, insights, names, privacy, prompting, routing, summarize, web
-from textloom.operators.lookup import shared_dir, spread
+from textloom.operators.assemble import complete
+from textloom.operators.inference import call_model
+from textloom.operators.lookup import shared_dir
 from textloom.plans import enrich
 from textloom.sinks import tables as sinks
 from textloom.sources import files, office
@@ -37,7 +39,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -54,7 +56,7 @@ def html_body(spark, sf_dir):
 
 
 def html_text(spark, sf_dir):
-    return enrich.page_texts(spread(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id")).select("page_id", "text")
+    return enrich.page_texts(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", "text")
 
 
 def thread_text(spark, sf_dir):
@@ -171,6 +173,64 @@ def pii_restored_table(spark, sf_dir):
     return privacy.restore(joined).select("doc_id", "text", "error")
 
 
+def _customer_texts(spark, sf_dir):
+    """A letter per customer about all its orders: an address, a phone number and a date per order."""
+    orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.sort_array(F.collect_list(F.struct("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")))).alias("o")
+    )
+    key = F.col("c_custkey").cast("string")
+    told = F.transform("o", lambda o: F.concat(F.lit("order "), o["o_orderkey"].cast("string"), F.lit(" of "), o["day"]))
+    phone = F.concat(F.lit("+1 (555) 01"), (F.col("c_custkey") % 10).cast("string"), F.lit("-"), F.lpad((F.col("c_custkey") % 10_000).cast("string"), 4, "0"))
+    text = F.concat(
+        F.lit("Write to customer."), key, F.lit("@mail.shop."), key, F.lit(".a.b.c.d.e.f.g.example.com. Call "), phone, F.lit(": "),
+        F.array_join(told, ", "), F.lit("; again customer."), key, F.lit("@mail.shop."), key, F.lit(".a.b.c.d.e.f.g.example.com."),
+    )
+    customers = table(spark, sf_dir, "customer").select("c_custkey").join(orders, "c_custkey", "left")
+    return customers.select(F.col("c_custkey").alias("doc_id"), F.coalesce(text, F.concat(F.lit("No order of "), key)).alias("text"))
+
+
+def pii_customers(spark, sf_dir):
+    return privacy.tokenize(_customer_texts(spark, sf_dir)).select("doc_id", "text")
+
+
+def pii_customer_map(spark, sf_dir):
+    return privacy.explode_token_map(privacy.tokenize(_customer_texts(spark, sf_dir)))
+
+
+def stored_token_map(spark, sf_dir):
+    """Texts and token maps written to tables, read by another read, and put together again."""
+    folder = shared_folder(spark)
+    tokenized = privacy.tokenize(_customer_texts(spark, sf_dir))
+    privacy.explode_token_map(tokenized).write.parquet(f"{folder}/maps")
+    tokenized.select("doc_id", "text").write.parquet(f"{folder}/texts")
+    joined = privacy.attach_token_map(spark.read.parquet(f"{folder}/texts"), spark.read.parquet(f"{folder}/maps"))
+    return privacy.restore(joined).select("doc_id", "text", "error")
+
+
+def restored_in_order(spark, sf_dir):
+    """Token by token as plain text: T1 also changes T10."""
+    return privacy.restore(privacy.tokenize(_customer_texts(spark, sf_dir)), in_order=True).select("doc_id", "text")
+
+
+def _product_names(spark, sf_dir):
+    """Names of parts, of several words, as organizations; and a text per supplier made of some of them."""
+    parts = table(spark, sf_dir, "part")
+    listed = parts.select(F.col("p_name").alias("name"), F.lit("ORG").alias("type")).distinct()
+    text = F.concat(F.lit("We sell ("), "p_name", F.lit("), "), "p_brand", F.lit(" and more "), "p_name", F.lit("s by "), "p_type", F.lit("."))
+    return parts.select(F.col("p_partkey").alias("doc_id"), text.alias("text")), listed
+
+
+def org_phrases(spark, sf_dir):
+    texts, listed = _product_names(spark, sf_dir)
+    return names.anonymize(names.find_names(texts, listed)).select("doc_id", "text")
+
+
+def org_phrases_joined(spark, sf_dir):
+    """The same through the join that large gazetteers take."""
+    texts, listed = _product_names(spark, sf_dir)
+    return names.anonymize(names.find_names(texts, listed, max_inline=0)).select("doc_id", "text")
+
+
 def _gazetteer(spark, sf_dir):
     """First words of the benchmark texts as organizations, last words as names."""
     listed = words(F.col("text"))
@@ -185,12 +245,12 @@ def _gazetteer(spark, sf_dir):
 
 
 def gazetteer_names(spark, sf_dir):
-    found = names.find_names(documents(spark, sf_dir), _gazetteer(spark, sf_dir), longest=1)
+    found = names.find_names(documents(spark, sf_dir), _gazetteer(spark, sf_dir))
     return found.select("doc_id", F.posexplode("names").alias("pos", "entry")).select("doc_id", "pos", "entry.*")
 
 
 def org_anonymized(spark, sf_dir):
-    found = names.find_names(documents(spark, sf_dir), _gazetteer(spark, sf_dir), longest=1)
+    found = names.find_names(documents(spark, sf_dir), _gazetteer(spark, sf_dir))
     return names.anonymize(found).select("doc_id", "text")
 
 
@@ -253,23 +313,25 @@ def _flat_insights(entities_col, phrases_col):
 
 
 def doc_insights(spark, sf_dir):
-    found = insights.insights(documents(spark, sf_dir), lexicon=LEXICON, top_k=5)
+    found = insights.insights(documents(spark, sf_dir), lexicon=LEXICON)
     flat = _flat_insights(F.col("insights.entities"), F.col("insights.key_phrases"))
     return found.select("doc_id", "insights.sentiment", *flat)
 
 
 def doc_insights_merged(spark, sf_dir):
-    """The same from a table of chunks: detected per chunk, voted and merged per document."""
-    found = insights.label_chunks(chunks(spark, sf_dir), _lexicon(spark)).select(
-        "doc_id",
-        "chunk_no",
-        "label",
-        entities(F.col("chunk")).alias("entities"),
-        key_phrases(F.col("chunk"), 5).alias("key_phrases"),
+    """The same from a table of chunks, empty texts included: detected per chunk, merged per document."""
+    labelled = insights.label_chunks(chunks(spark, sf_dir), _lexicon(spark)).select(
+        "doc_id", "chunk_no", "label", entities(F.col("chunk")).alias("entities"), key_phrases(F.col("chunk")).alias("key_phrases")
     )
-    merged = insights.merge_chunks(found, "entities").join(insights.merge_chunks(found, "key_phrases"), "doc_id")
-    voted = insights.vote(found).join(merged, "doc_id")
-    return voted.select("doc_id", "sentiment", *_flat_insights(F.col("entities"), F.col("key_phrases")))
+    empty = documents(spark, sf_dir).where(F.size(chunk_texts(F.col("text"))) == 0).select("doc_id")
+    merged = insights.merge_insights(labelled.unionByName(empty, allowMissingColumns=True))
+    return merged.select("doc_id", "sentiment", *_flat_insights(F.col("entities"), F.col("key_phrases")))
+
+
+def top_phrases(spark, sf_dir):
+    """The five best phrases of each chunk."""
+    found = insights.insights(documents(spark, sf_dir), lexicon=LEXICON, top_k=5)
+    return found.select("doc_id", _flat_insights(F.col("insights.entities"), F.col("insights.key_phrases"))[1])
 
 
 # Prompts and models
@@ -335,6 +397,26 @@ def model_answers(spark, sf_dir):
     return answered.select(F.col("doc_id").alias("page_id"), F.col("text").alias("answer"), "error")
 
 
+def failing_client():
+    """A client that cannot answer prompts with a digit 7."""
+    answer = echo_client()
+
+    def call(body: str) -> str:
+        if "7" in json.loads(body)["messages"][0]["content"]:
+            raise RuntimeError("model is busy")
+        return answer(body)
+
+    return call
+
+
+def model_failures(spark, sf_dir):
+    """Which answers of a client that fails for some rows are there."""
+    named = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("url").alias("text"))
+    asked = prompting.build_requests(named, CHAT_PROPS, "$.messages[0].content")
+    answered = prompting.read_replies(call_model(asked, failing_client), "$.content[0].text")
+    return answered.select(F.col("doc_id").alias("page_id"), "text", F.col("error").isNotNull().alias("failed"))
+
+
 def extractive_summary(spark, sf_dir):
     return summarize.summarize(documents(spark, sf_dir)).select("doc_id", "summary")
 
@@ -397,6 +479,28 @@ def line_rebuild(spark, sf_dir):
     return blocks.rebuild_lines(line.unionByName(word))
 
 
+def line_rebuild_gaps(spark, sf_dir):
+    """OCR blocks where every third document has a page block alone, and its lines are no lines."""
+    block = F.when(F.col("doc_id") % 3 == 0, "PAGE").otherwise("LINE")
+    relation = F.array(F.struct(F.lit("CHILD").alias("type"), F.array("id").alias("ids")))
+    split = _lines(spark, sf_dir).withColumn("id", F.concat(F.lit("w"), F.col("no").cast("string")))
+    line = split.select(
+        "doc_id", F.lit(1).alias("ord"), F.concat(F.lit("l"), F.lpad(F.col("no").cast("string"), 9, "0")).alias("id"), block.alias("block_type"),
+        F.lit(None).cast("string").alias("text"), relation.alias("relationships"),
+    )
+    word = split.select(
+        "doc_id", F.col("no").alias("ord"), "id", F.lit("WORD").alias("block_type"), F.col("line").alias("text"),
+        F.lit(None).cast(blocks.RELATIONSHIPS).alias("relationships"),
+    )
+    return blocks.rebuild_lines(line.unionByName(word))
+
+
+def sheet_text_all(spark, sf_dir):
+    """Every customer, also those without an order: their sheet is empty."""
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"))
+    return complete(sheet_text(spark, sf_dir), customers)
+
+
 def page_lines(spark, sf_dir):
     """Paged OCR results made from the documents, 20 lines to a page."""
     lines = _lines(spark, sf_dir).select(
@@ -489,7 +593,7 @@ def workbook_text(spark, sf_dir):
         ),
         "xl/worksheets/one.xml": sheet,
     }
-    orders = spread(table(spark, sf_dir, "orders"), "o_orderkey")
+    orders = table(spark, sf_dir, "orders")
     packed = orders.select(F.col("o_orderkey").cast("string").alias("path"), _zipped(members).alias("content"))
     return blocks.sheet_texts(office.parse_cells(packed), "path")
 
@@ -515,7 +619,7 @@ def word_file_text(spark, sf_dir):
 
 
 def _glossaries(spark, sf_dir):
-    """A glossary per part in five forms, three of them invalid."""
+    """A glossary per part in six forms, three of them invalid; one repeats a category."""
 
     def term(name, about):
         return F.concat(F.lit('{"name":'), json_string(name), F.lit(',"shortDescription":'), json_string(about), F.lit("}"))
@@ -523,19 +627,20 @@ def _glossaries(spark, sf_dir):
     good = term(F.col("p_name"), F.col("p_type"))
     other = term(F.col("p_brand"), F.col("p_name"))
     brand, kind = json_string(F.col("p_brand")), json_string(F.col("p_type"))
-    form = F.col("p_size") % 5
+    form = F.when(F.col("p_partkey") % 7 == 0, 5).otherwise(F.col("p_size") % 5)
     text = (
         F.when(form == 0, F.concat(F.lit("{"), brand, F.lit(":["), good, F.lit(","), other, F.lit("]}")))
         .when(form == 1, F.concat(F.lit("{"), kind, F.lit(":["), good, F.lit("],"), brand, F.lit(":["), other, F.lit("]}")))
         .when(form == 2, F.concat(F.lit("[["), good, F.lit("]]")))
         .when(form == 3, F.concat(F.lit("{"), brand, F.lit(':[{"name":'), kind, F.lit("}]}")))
+        .when(form == 5, F.concat(F.lit("{"), brand, F.lit(":["), good, F.lit("],"), kind, F.lit(":["), good, F.lit("],"), brand, F.lit(":["), other, F.lit("]}")))
         .otherwise(F.concat(F.lit("{"), brand, F.lit(":["), good, F.lit("]")))
     )
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), text.alias("text"))
 
 
 def glossary_valid(spark, sf_dir):
-    return _glossaries(spark, sf_dir).select("doc_id", glossary.is_glossary(F.col("text")).alias("valid"))
+    return glossary.flag_glossaries(_glossaries(spark, sf_dir)).drop("text")
 
 
 def glossary_terms(spark, sf_dir):
@@ -555,6 +660,16 @@ def glossary_placed(spark, sf_dir):
     return glossary.place_terms(glossary_terms(spark, sf_dir), _existing(spark, sf_dir))
 
 
+def catalog_terms(spark, sf_dir):
+    """Terms appended to a stored catalog in two runs and read back."""
+    folder = f"{shared_folder(spark)}/catalog"
+    placed = glossary_placed(spark, sf_dir)
+    half = F.crc32(F.col("name").cast("binary")) % 2 == 0
+    sinks.append_terms(placed.where(half), folder)
+    sinks.append_terms(placed.where(~half), folder)
+    return spark.read.parquet(folder)
+
+
 # Files, sinks and streams
 
 
@@ -607,7 +722,7 @@ def stream_insights(spark, sf_dir):
     """The insights chain on the same stream."""
 
     def stage(arriving):
-        found = insights.insights(arriving, lexicon=LEXICON, top_k=5)
+        found = insights.insights(arriving, lexicon=LEXICON)
         flat = _flat_insights(F.col("insights.entities"), F.col("insights.key_phrases"))
         return found.select("doc_id", "insights.sentiment", *flat)
 
@@ -620,14 +735,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         html_body, html_text, thread_text, transcripts, upload_paths, s3_paths, form_payload,
         route, route_plan, request_records,
         pii_spans, pii_token_map, pii_token_map_spans, pii_tokenized, pii_tokenized_spans, pii_roundtrip,
-        pii_restored_table, gazetteer_names, org_anonymized,
+        pii_restored_table, pii_customers, pii_customer_map, stored_token_map, restored_in_order,
+        gazetteer_names, org_anonymized, org_phrases, org_phrases_joined,
         chunks, chunk_sizes, chunk_labels, chunk_labels_joined, doc_sentiment, chunk_key_phrases, chunk_entities,
-        doc_insights, doc_insights_merged,
-        prompt_default, prompt_fallback, request_bodies, response_text, model_answers,
+        doc_insights, doc_insights_merged, top_phrases,
+        prompt_default, prompt_fallback, request_bodies, response_text, model_answers, model_failures,
         extractive_summary, extractive_summary_rare,
         chat_requests, chat_history, chat_full,
-        line_rebuild, page_lines, sheet_text, paragraph_text, workbook_text, word_file_text,
-        glossary_valid, glossary_terms, glossary_new, glossary_placed,
+        line_rebuild, line_rebuild_gaps, page_lines, sheet_text, sheet_text_all, paragraph_text, workbook_text, word_file_text,
+        glossary_valid, glossary_terms, glossary_new, glossary_placed, catalog_terms,
         local_files, object_files, stored_texts, stream_tokenized, stream_insights,
     )
 }

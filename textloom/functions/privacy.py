@@ -11,11 +11,12 @@ from textloom.functions.text import SPACE
 PRIVATE_TYPES = ("NAME", "DATE", "ADDRESS", "PHONE", "EMAIL")
 TOKEN_PREFIX = "T"
 
-# Patterns use the common subset of Java regular expressions and RE2. Repetitions are bounded,
-# so a long run of word characters costs linear time.
-EMAIL = r"[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
-DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}"
-PHONE = r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}"
+# No part of a value has a length limit. A match starts where a run of characters starts and the run
+# is possessive, so a long run costs linear time. The domain is one run of characters, not a loop over
+# labels, which would cost stack; its end may be given back, for a closing full stop.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-][A-Za-z0-9.-]*\.[A-Za-z]{2,}+"
+DATE = r"(?<![0-9])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9])"
+PHONE = r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
 PRIVATE = f"{EMAIL}|{DATE}|{PHONE}"
 # Every match of PRIVATE holds one of these; cheap to look for in text without any.
 _HINT = r"[0-9]{3}[ .-][0-9]{4}|[0-9]{4}-[0-9]{2}-[0-9]{2}"

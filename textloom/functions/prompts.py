@@ -9,6 +9,7 @@ from typing import Any
 
 from pyspark.sql import Column, functions as F
 
+# The template of unknown names.
 FALLBACK = "Please provide a summary of the following text: {input_text}"
 
 
@@ -25,6 +26,19 @@ def segments(template: str, field: str = "input_text") -> list[str]:
     return pieces
 
 
+def segments_of(template: Column, field: str = "input_text") -> Column:
+    """``segments`` of a template column; a template with anything but ``{field}`` fails."""
+    place = "{" + field + "}"
+    tokens = F.regexp_extract_all(template, F.lit(r"\{\{|\}\}|\{" + field + r"\}|[^{}]+|."), F.lit(0))
+    alone = F.exists(tokens, lambda t: t.isin("{", "}"))
+    plain = F.transform(
+        tokens,
+        lambda t: F.when(t == "{{", "{").when(t == "}}", "}").when(t == place, "\u0000").otherwise(t),
+    )
+    refused = F.raise_error(F.concat(F.lit(f"template placeholder is not {place}: "), template)).cast("array<string>")
+    return F.when(alone, refused).otherwise(F.split(F.array_join(plain, ""), "\u0000"))
+
+
 def fill(pieces: Column, text: Column) -> Column:
     """Put the text between the pieces, literally; a NULL text reads ``None``."""
     return F.call_function("array_join", pieces, F.coalesce(text, F.lit("None")))
@@ -75,11 +89,11 @@ def request_body(prompt: Column, props: str, input_path: str = "prompt", templat
 
 
 def reply_text(reply: Column, output_path: str = "$") -> Column:
-    """Value of a JSON reply at a path; the whole reply where the path finds nothing.
+    """Value of a JSON reply at a path of names and numbers; the whole reply where the path finds nothing.
 
-    A reply that is no JSON and a falsy value (empty, zero, false, null) give NULL.
+    Other paths are refused when the plan is built. A reply that is no JSON and a falsy value (empty, zero, false, null) give NULL.
     """
-    path = output_path if output_path.startswith("$") else "$." + output_path
+    path = "$" + "".join(f"[{s}]" if isinstance(s, int) else f".{s}" for s in _steps(output_path))
     parsed = F.try_parse_json(reply)
     found = F.try_variant_get(parsed, path, "variant")
     kind = F.schema_of_variant(found)

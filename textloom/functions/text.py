@@ -59,9 +59,9 @@ def bare(word: Column) -> Column:
     return F.btrim(word, F.lit(PUNCTUATION))
 
 
-def ngrams(text: Column, longest: int) -> Column:
-    """Blank-joined n-grams in reading order, the longest first at each position."""
-    if longest == 1:
+def ngrams(text: Column, lengths: list[int]) -> Column:
+    """Blank-joined n-grams of the given lengths in reading order, the longest first at each position."""
+    if list(lengths) == [1]:
         return bare_words(text)
     return let(
         words(text),
@@ -72,7 +72,7 @@ def ngrams(text: Column, longest: int) -> Column:
                     F.array(
                         *[
                             F.when(i + n <= F.size(w), bare(F.array_join(F.slice(w, i + 1, F.lit(n)), " ")))
-                            for n in range(longest, 0, -1)
+                            for n in sorted(lengths, reverse=True)
                         ]
                     ),
                     lambda g: g.isNotNull(),
@@ -83,7 +83,7 @@ def ngrams(text: Column, longest: int) -> Column:
 
 
 # A named reference needs its semicolon, a numeric one does not.
-_REFERENCE = r"&(?:#[0-9]{1,7};?|#[xX][0-9a-fA-F]{1,6};?|[A-Za-z][A-Za-z0-9]{1,31};)"
+_REFERENCE = r"&(?:#[0-9]++;?|#[xX][0-9a-fA-F]++;?|[A-Za-z][A-Za-z0-9]++;)"
 _NAMED = json.dumps({**{k: chr(v) for k, v in name2codepoint.items()}, "apos": "'"})
 
 
@@ -99,12 +99,19 @@ def _character(code: Column) -> Column:
     return F.when(allowed, F.decode(utf32, "UTF-32")).otherwise(F.lit(""))
 
 
+def _code_point(digits: Column, base: int) -> Column:
+    """The number of a reference; leading zeros do not count, and what is too long is no code point."""
+    plain = F.ltrim(digits, F.lit("0"))
+    number = F.conv(plain, base, 10).cast("long")
+    return F.when(F.length(plain) <= 7, F.coalesce(number, F.lit(0))).otherwise(F.lit(0))
+
+
 def _resolve(reference: Column) -> Column:
     name = F.btrim(reference, F.lit("&;"))
     named = F.from_json(F.lit(_NAMED), "map<string,string>")
     return (
-        F.when(F.lower(name).startswith("#x"), _character(F.conv(F.substr(name, F.lit(3)), 16, 10).cast("long")))
-        .when(name.startswith("#"), _character(F.substr(name, F.lit(2)).cast("long")))
+        F.when(F.lower(name).startswith("#x"), _character(_code_point(F.substr(name, F.lit(3)), 16)))
+        .when(name.startswith("#"), _character(_code_point(F.substr(name, F.lit(2)), 10)))
         .when(name == "amp", F.lit("&"))
         .when(name == "nbsp", F.lit(" "))
         .otherwise(F.coalesce(F.try_element_at(named, name), reference))

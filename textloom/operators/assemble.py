@@ -32,7 +32,8 @@ def concat_rows(
     change. Rows are first joined per stretch of ``span`` consecutive numbers and then per key,
     so sorting and joining one large key is spread over many tasks and the last step only holds
     one row per stretch. The numbers are those of the first order column, or with
-    ``within=("page",)`` those of the second one inside each page.
+    ``within=("page",)`` those of the second one inside each page. A NULL piece adds nothing, but its
+    key stays: a key without any piece has the empty text.
     """
     separators = separators or ("",) * len(order)
     counted = order[len(within)]
@@ -48,13 +49,18 @@ def concat_rows(
 
         return F.array_join(F.transform(rows, prefixed), "")
 
-    rows = F.sort_array(F.collect_list(F.struct(*order, "_piece")))
+    rows = F.sort_array(F.collect_list(F.when(F.col("_piece").isNotNull(), F.struct(*order, "_piece"))))
     parts = (
         df.select(key, *order, piece.alias("_piece"))
         .groupBy(key, *stretch)
         .agg(rows.alias("_rows"))
-        .select(key, *within, "_stretch", let(F.col("_rows"), join).alias("_part"))
-    )
-    return parts.groupBy(key).agg(
-        F.array_join(in_order([*within, "_stretch"], "_part"), separators[0]).alias(out)
+        .select(key, *within, "_stretch", F.when(F.size("_rows") > 0, let(F.col("_rows"), join)).alias("_part"))
     )
+    listed = F.filter(in_order([*within, "_stretch"], "_part"), lambda p: p.isNotNull())
+    return parts.groupBy(key).agg(F.array_join(listed, separators[0]).alias(out))
+
+
+def complete(texts: DataFrame, documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One text per row of ``documents(key, ...)``; those that no row was found for have the empty text."""
+    found = texts.select(key, F.col(text).alias("_text"))
+    return documents.drop(text).join(found, key, "left").withColumn(text, F.coalesce("_text", F.lit(""))).drop("_text")

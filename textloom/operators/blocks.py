@@ -6,46 +6,74 @@ from pyspark.sql import DataFrame, functions as F
 
 from textloom.operators.assemble import concat_rows
 
+RELATIONSHIPS = "array<struct<type:string,ids:array<string>>>"
+
 
 def rebuild_lines(blocks: DataFrame, key: str = "doc_id", strict: bool = True) -> DataFrame:
     """``texts(key, text)`` from OCR blocks: lines of words, words joined by blanks.
 
     ``blocks`` has key, ord, id, block_type, text, relationships(type, ids). Each CHILD list of a
-    LINE is one line, in block order. An unknown word fails, or is left out when not strict. Of
-    two words with one id the later counts.
+    LINE is one line, in the order of ord and id. An unknown word fails, or is left out when not
+    strict. Of two blocks with one id the later counts. A document without lines has the empty text.
+
+    The blocks move once, by document; a document is one text at the end in any case. Words and the places that
+    ask for them then meet in a group by id.
     """
-    # Ids hardly repeat: moving the rows once is cheaper than grouping them before as well.
-    word = blocks.where("block_type = 'WORD'").select(key, "id", "ord", "text").repartition(key, "id")
-    word_text = word.groupBy(key, "id").agg(F.max_by(F.coalesce("text", F.lit("")), "ord").alias("word"))
-    line = blocks.where("block_type = 'LINE'").groupBy(key, "id").agg(
-        F.min("ord").alias("ord"), F.max_by("relationships", "ord").alias("relationships")
-    )
-    children = line.select(key, "ord", F.posexplode("relationships").alias("_list", "_rel")).where(
-        "_rel.type = 'CHILD'"
+    nothing = F.lit(None)
+    place = "struct<ord:long,line:string,list:int,no:int>"
+    one = blocks.repartition(key).groupBy(key, "block_type", "id").agg(
+        F.min("ord").cast("long").alias("ord"),
+        F.max_by(F.coalesce("text", F.lit("")), "ord").alias("text"),
+        F.max_by("relationships", "ord").alias("relationships"),
     )
-    wanted = children.select(
-        key, "ord", "_list", F.posexplode_outer(F.coalesce("_rel.ids", F.array().cast("array<string>"))).alias("_no", "id")
+
+    def asked(list_of, n):
+        ids = F.coalesce(list_of["ids"], F.array().cast("array<string>"))
+        ids = F.when(F.size(ids) > 0, ids).otherwise(F.array(nothing.cast("string")))
+        found = F.transform(
+            ids,
+            lambda i, no: F.struct(
+                i.alias("id"),
+                nothing.cast("string").alias("word"),
+                F.struct(F.col("ord").alias("ord"), F.col("id").alias("line"), n.alias("list"), no.alias("no")).alias("place"),
+            ),
+        )
+        return F.when(list_of["type"] == "CHILD", found).otherwise(F.array().cast(found_type))
+
+    found_type = f"array<struct<id:string,word:string,place:{place}>>"
+    lines = F.flatten(F.transform(F.coalesce("relationships", F.array().cast(RELATIONSHIPS)), asked))
+    known = F.array(F.struct("id", F.col("text").alias("word"), nothing.cast(place).alias("place")))
+    rows = F.when(F.col("block_type") == "WORD", known.cast(found_type)).when(F.col("block_type") == "LINE", lines)
+    each = one.select(key, F.explode_outer(rows).alias("_row")).select(key, "_row.*")
+    met = each.groupBy(key, "id").agg(
+        F.max("word").alias("word"),
+        F.collect_list("place").alias("_places"),
     )
-    found = wanted.join(word_text.hint("merge"), [key, "id"], "left")
+    wanted = met.select(key, "id", "word", F.explode_outer("_places").alias("_place"))
     text = F.col("word")
     if strict:
         unknown = F.concat(F.lit("unknown word "), F.col("id"))
         text = F.when(text.isNull() & F.col("id").isNotNull(), F.raise_error(unknown).cast("string")).otherwise(text)
-    return concat_rows(
-        found, key, ["ord", "_list", "_no"], F.coalesce(text, F.lit("")), separators=("\n", "\n", " ")
-    )
+    piece = F.when(F.col("_place").isNotNull(), F.coalesce(text, F.lit("")))
+    order = ["ord", "line", "list", "no"]
+    placed = wanted.select(key, *[F.col(f"_place.{o}").alias(o) for o in order], piece.alias("_word"))
+    return concat_rows(placed, key, order, F.col("_word"), separators=("\n", "\n", "\n", " "))
 
 
 def page_lines(pages: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``texts(key, text)`` from paged OCR results: the own text of each LINE and a line end."""
-    lines = pages.where("block_type = 'LINE'")
-    return concat_rows(lines, key, ["page", "ord"], F.concat("text", F.lit("\n")), within=("page",))
+    """``texts(key, text)`` from paged OCR results: the own text of each LINE and a line end.
+
+    A line without text is an empty line; a document without lines has the empty text.
+    """
+    own = F.concat(F.coalesce("text", F.lit("")), F.lit("\n"))
+    return concat_rows(pages, key, ["page", "ord"], F.when(F.col("block_type") == "LINE", own), within=("page",))
 
 
 def sheet_texts(cells: DataFrame, key: str = "doc_id") -> DataFrame:
     """``texts(key, text)`` from cells(key, row, col, value): values with a blank, rows with a line end.
 
-    An empty row has at least one cell without a value.
+    An empty row has at least one cell without a value. A sheet without cells has no row here;
+    ``assemble.complete`` adds its document.
     """
     value = F.coalesce(F.concat("value", F.lit(" ")), F.lit(""))
     joined = concat_rows(cells, key, ["row", "col"], value, separators=("\n", ""))
@@ -53,5 +81,9 @@ def sheet_texts(cells: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def paragraph_texts(paragraphs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``texts(key, text)`` from paragraphs(key, part, ord, text): the body first, then tables."""
-    return concat_rows(paragraphs, key, ["part", "ord"], F.concat("text", F.lit("\n")), within=("part",))
+    """``texts(key, text)`` from paragraphs(key, part, ord, text): the body first, then tables.
+
+    A paragraph without text is an empty line. ``assemble.complete`` adds documents without paragraphs.
+    """
+    own = F.concat(F.coalesce("text", F.lit("")), F.lit("\n"))
+    return concat_rows(paragraphs, key, ["part", "ord"], own, within=("part",))

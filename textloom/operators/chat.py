@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from textloom.operators.assemble import concat_rows
 
@@ -36,34 +36,40 @@ def chat_requests(turns: DataFrame, questions_only: bool = True, page: int = PAG
     """``requests(conv_id, turn, n_messages, messages)``: the history sent with each question.
 
     ``turns`` has conv_id, turn (from 0), role, text; turn 0 is the document text. A question is
-    any later turn of the user. The first ``page`` turns of a conversation form one group. Where
-    longer conversations exist, their later pages are expanded one by one, each after the joined
-    text of the pages before it, so a long conversation is written by many tasks.
+    any later turn of the user. The turns of a conversation are gathered in pages of ``page``. Each
+    page goes to all later pages of its conversation, where it becomes part of the text before them,
+    so the prefixes of a long conversation are put together by as many tasks as it has pages.
     """
     listed = F.sort_array(F.collect_list(F.struct("turn", "role", "_m"))).alias("_turns")
-    told = turns.select("conv_id", "turn", "role", _message().alias("_m"))
-    first = told.where(F.col("turn") < page).groupBy("conv_id").agg(listed)
-    requests = _expand(
-        first.withColumns({"_before": F.lit(""), "_n": F.lit(0).cast("long")}), questions_only
-    )
-    later = turns.where(F.col("turn") >= page).select("conv_id")
-    if later.isEmpty():
-        return requests
+    number = F.floor(F.col("turn") / page)
     pages = (
-        told.join(later.distinct(), "conv_id", "left_semi")
-        .groupBy("conv_id", F.floor(F.col("turn") / page).alias("_page"))
+        turns.select("conv_id", "turn", "role", _message().alias("_m"))
+        .groupBy("conv_id", number.alias("_page"))
         .agg(listed)
-        .withColumn("_text", F.array_join(F.transform("_turns", lambda t: t["_m"]), ","))
     )
-    earlier = Window.partitionBy("conv_id").orderBy("_page").rowsBetween(Window.unboundedPreceding, -1)
-    continued = pages.select(
-        "conv_id",
-        "_page",
-        "_turns",
-        F.array_join(F.collect_list("_text").over(earlier), ",").alias("_before"),
-        F.coalesce(F.sum(F.size("_turns")).over(earlier), F.lit(0)).alias("_n"),
-    ).where(F.col("_page") > 0)
-    return requests.unionByName(_expand(continued.repartition("conv_id", "_page"), questions_only))
+    last = turns.groupBy(F.col("conv_id").alias("_conv")).agg(F.max(number).alias("_last"))
+    text = F.array_join(F.transform("_turns", lambda t: t["_m"]), ",")
+    later = (
+        pages.join(last, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("_page") < F.col("_last")))
+        .select(
+            F.col("conv_id").alias("_conv"),
+            F.explode(F.sequence(F.col("_page") + 1, F.col("_last"))).alias("_target"),
+            F.struct("_page", text.alias("text"), F.size("_turns").alias("n")).alias("_part"),
+        )
+        .groupBy("_conv", "_target")
+        .agg(F.sort_array(F.collect_list("_part")).alias("_parts"))
+    )
+    before = later.select(
+        "_conv",
+        "_target",
+        F.array_join(F.col("_parts.text"), ",").alias("_before"),
+        F.aggregate("_parts", F.lit(0).cast("long"), lambda n, p: n + p["n"]).alias("_n"),
+    )
+    same = F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("_page") == F.col("_target"))
+    placed = pages.join(before, same, "left").select(
+        "conv_id", "_turns", F.coalesce("_before", F.lit("")).alias("_before"), F.coalesce("_n", F.lit(0)).cast("long").alias("_n")
+    )
+    return _expand(placed, questions_only)
 
 
 def chat_texts(turns: DataFrame, include: bool = True) -> DataFrame:

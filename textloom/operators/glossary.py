@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from textloom.functions.arrays import let
+from textloom.functions.variants import last_key_wins
 from textloom.operators.lookup import lookup_join
 
-_SHAPE = "map<string,array<map<string,string>>>"
-
-
 def is_glossary(text: Column) -> Column:
     """True for a JSON object whose values are lists of objects with both term keys.
 
-    An object without categories is valid. A repeated key makes the text invalid.
+    An object without categories is valid. In DataFrames built under ``last_key_wins``, as by
+    ``flag_glossaries``, the last of repeated keys counts; else they make the text invalid.
     """
+    return let(F.try_parse_json(text), _is_valid)
+
+
+def _is_valid(parsed: Column) -> Column:
 
     def is_term(item: Column) -> Column:
         return (
@@ -26,32 +30,35 @@ def is_glossary(text: Column) -> Column:
         items = F.try_variant_get(terms, "$", "array<variant>")
         return F.schema_of_variant(terms).startswith("ARRAY") & F.coalesce(F.forall(items, is_term), F.lit(False))
 
-    parsed = F.try_parse_json(text)
     categories = F.map_values(F.try_variant_get(parsed, "$", "map<string,variant>"))
     valid = F.schema_of_variant(parsed).startswith("OBJECT") & F.forall(categories, is_category)
     return F.coalesce(valid, F.lit(False))
 
 
+def flag_glossaries(df: DataFrame, text: str = "text", out: str = "valid") -> DataFrame:
+    """Add whether each text is a glossary."""
+    with last_key_wins(df.sparkSession):
+        return df.withColumn(out, is_glossary(F.col(text)))
+
+
 def glossary_terms(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``terms(key, category_no, category, term_no, name, shortDescription)`` of valid texts."""
-    parsed = (
-        df.where(is_glossary(F.col(text)))
-        .select(key, F.posexplode(F.json_object_keys(F.col(text))).alias("category_no", "category"), text)
-        .select(key, "category_no", "category", F.from_json(text, _SHAPE).alias("_all"))
-    )
-    return parsed.select(
-        key,
-        "category_no",
-        "category",
-        F.posexplode(F.try_element_at("_all", F.col("category"))).alias("term_no", "_term"),
-    ).select(
-        key,
-        "category_no",
-        "category",
-        "term_no",
-        F.try_element_at("_term", F.lit("name")).alias("name"),
-        F.try_element_at("_term", F.lit("shortDescription")).alias("shortDescription"),
-    )
+    """``terms(key, category_no, category, term_no, name, shortDescription)`` of valid texts.
+
+    A text is parsed once; its categories stand where they first appear, with the terms of their last value.
+    """
+    with last_key_wins(df.sparkSession):
+        parsed = df.select(key, F.try_parse_json(text).alias("_parsed"), F.json_object_keys(F.col(text)).alias("_keys"))
+        valid = parsed.where(F.coalesce(_is_valid(F.col("_parsed")), F.lit(False)))
+        lists = F.try_variant_get(F.col("_parsed"), "$", "map<string,array<map<string,variant>>>")
+        each = valid.select(key, lists.alias("_lists"), F.posexplode(F.array_distinct("_keys")).alias("category_no", "category"))
+        terms = each.select(
+            key, "category_no", "category", F.posexplode(F.try_element_at("_lists", F.col("category"))).alias("term_no", "_term")
+        )
+
+        def value(name: str) -> Column:
+            return F.try_variant_get(F.try_element_at("_term", F.lit(name)), "$", "string").alias(name)
+
+        return terms.select(key, "category_no", "category", "term_no", value("name"), value("shortDescription"))
 
 
 def glossary_id(name: Column) -> Column:

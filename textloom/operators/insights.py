@@ -78,8 +78,9 @@ def label_chunks(
     """Add ``label`` to a table of chunks by a ``lexicon(word, weight)`` table of any size.
 
     A small lexicon stays inside the plan. A larger one is joined with the word counts of each
-    chunk, which are summed before they move.
+    chunk, which are summed before they move. The weights of a word that is listed twice add up.
     """
+    lexicon = lexicon.groupBy("word").agg(F.sum("weight").alias("weight"))
     rows = rows_if_small(lexicon, max_inline)
     if rows is not None:
         weights = {row["word"]: row["weight"] for row in rows}
@@ -109,6 +110,19 @@ def vote(labels: DataFrame, key: str = "doc_id", out: str = "sentiment") -> Data
     return votes.withColumn("_rank", best).where("_rank = 1").select(key, F.col("label").alias(out))
 
 
+def merge_insights(found: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``insights(key, sentiment, entities, key_phrases)`` from rows (key, chunk_no, label, entities, key_phrases).
+
+    One group per document: the vote over its labels and its lists in chunk order. A document whose only row
+    has no chunk (NULL chunk_no) has NULL insights.
+    """
+    some = F.count("chunk_no") > 0
+    return found.groupBy(key).agg(
+        F.when(some, majority(in_order(["chunk_no"], "label"))).alias("sentiment"),
+        *[F.when(some, F.flatten(in_order(["chunk_no"], c))).alias(c) for c in ("entities", "key_phrases")],
+    )
+
+
 def merge_chunks(found: DataFrame, column: str, key: str = "doc_id") -> DataFrame:
     """Concatenate per-chunk lists of (key, chunk_no, column) in chunk order, duplicates kept."""
     return found.groupBy(key).agg(F.flatten(in_order(["chunk_no"], column)).alias(column))

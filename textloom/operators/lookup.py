@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
+from textloom.session import local_folder
+
 MAX_INLINE_ROWS = 2_000
 MAX_BROADCAST_ROWS = 500_000
 MAX_BROADCAST_BYTES = 64 << 20
 SALTS = 32
-MAX_SPREAD_SPLITS = 64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster, ``spark.checkpoint.dir``; a local one only where none is set."""
+    """The shared folder of the cluster, ``spark.checkpoint.dir``. Only a local master may go without it."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textloom-checkpoint-")
-        )
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or local_folder())
     return context.getCheckpointDir()
 
 
@@ -29,16 +31,6 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores for an input with fewer splits than cores, such as one small file.
-
-    Inputs of more than a few splits stay as they are: a shuffle would cost more than it gains.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    few = df.rdd.getNumPartitions() < min(cores, MAX_SPREAD_SPLITS)
-    return df.repartition(cores, key) if few else df
-
-
 def _size(df: DataFrame, max_rows: int) -> tuple[int, int]:
     """Rows and bytes as JSON, counted only up to one row past the limit."""
     size = F.octet_length(F.to_json(F.struct("*"))).alias("size")

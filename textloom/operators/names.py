@@ -16,30 +16,29 @@ def find_names(
     df: DataFrame,
     gazetteer: DataFrame,
     text: str = "text",
-    key: str = "doc_id",
     out: str = "names",
-    longest: int | None = None,
     max_inline: int = MAX_INLINE_ROWS,
     max_broadcast: int | None = None,
 ) -> DataFrame:
     """Add the names of ``gazetteer(name, type)`` that occur in each text, by first appearance.
 
-    Names match whole words, both without punctuation at their ends. ``longest`` is the number of
-    words of the longest name, looked up when not given. A small gazetteer becomes hash sets
-    inside the plan and the stage needs no shuffle. Otherwise the distinct n-grams of each text
-    are joined with it, broadcast or salted by its size.
+    Names match whole words, both without punctuation at their ends; a name with several types has the
+    smallest. A small gazetteer becomes hash sets inside the plan and the stage needs no shuffle.
+    Otherwise the distinct n-grams of each text are joined with it, broadcast or salted by its
+    size, and come back by the digest of the text. Only n-grams as long as some name are
+    made. NULL and empty texts have no names.
     """
     plain = bare(F.array_join(words(F.col("name")), " "))
     names = gazetteer.select(plain.alias("name"), "type").where("name <> ''")
     names = names.groupBy("name").agg(F.min("type").alias("type"))
-    if longest is None:
-        longest = names.agg(F.max(F.size(words(F.col("name"))))).first()[0] or 1
+    lengths = [r["n"] for r in names.select(F.size(words(F.col("name"))).alias("n")).distinct().collect()] or [1]
     rows = rows_if_small(names, max_inline)
-    grams = ngrams(F.col(text), longest)
+    grams = ngrams(F.coalesce(F.col(text), F.lit("")), lengths)
     if rows is not None:
         by_type: dict[str, list[str]] = {}
         for row in rows:
-            by_type.setdefault(row["type"], []).append(row["name"])
+            if row["type"] is not None:
+                by_type.setdefault(row["type"], []).append(row["name"])
 
         def kind(name):
             found = F.lit(None).cast("string")
@@ -52,17 +51,19 @@ def find_names(
         typed = F.transform(hits, lambda g: F.struct(g.alias("name"), kind(g).alias("type")))
         return df.withColumn(out, typed.cast(NAMES_TYPE))
 
-    occurring = df.select(key, F.posexplode(F.array_distinct(grams)).alias("_pos", "name"))
+    digest = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("_digest")
+    occurring = df.select(digest, F.posexplode(F.array_distinct(grams)).alias("_pos", "name")).distinct()
     limit = {} if max_broadcast is None else {"max_rows": max_broadcast}
     hits = lookup_join(occurring, names, ["name"], "inner", **limit)
-    per_text = hits.groupBy(key).agg(
+    per_text = hits.groupBy("_digest").agg(
         F.sort_array(F.collect_list(F.struct("_pos", "name", "type"))).alias("_hits")
     )
     found = F.transform("_hits", lambda h: F.struct(h["name"].alias("name"), h["type"].alias("type")))
     return (
-        df.join(per_text, key, "left")
+        df.withColumn("_digest", digest)
+        .join(per_text, "_digest", "left")
         .withColumn(out, F.coalesce(found, F.array()).cast(NAMES_TYPE))
-        .drop("_hits")
+        .drop("_hits", "_digest")
     )
 
 

@@ -23,18 +23,33 @@ _PAGE = 256
 def detect_spans(df: DataFrame, text: str = "text", key: str = "doc_id", names: str | None = None) -> DataFrame:
     """``spans(key, begin, end, type, value)`` of the built-in detector, in code points.
 
-    Only lengths and values leave the text; the running position is a window over them.
+    Only values and positions leave the text. The ends are running sums inside the row, gathered in
+    pages, so there is no shuffle.
     """
     gaps, matches = find_private(F.col(text), F.col(names) if names else None)
-    pieces = (
-        df.select(key, gaps.alias("_gaps"), matches.alias("_matches"))
-        .select(key, F.transform("_gaps", F.length).alias("_gaps"), F.posexplode("_matches").alias("_k", "_match"))
-        .select(key, "_k", F.get("_gaps", F.col("_k")).alias("_gap"), "_match.value", "_match.type")
+    lengths = F.zip_with(
+        F.slice("_gaps", F.lit(1), F.size("_matches")), "_matches", lambda g, m: F.length(g) + F.length(m["value"])
     )
-    so_far = Window.partitionBy(key).orderBy("_k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    end = F.sum(F.col("_gap") + F.length("value")).over(so_far).cast("int")
-    return pieces.withColumn("end", end).select(
-        key, (F.col("end") - F.length("value")).alias("begin"), "end", "type", "value"
+    ends = F.aggregate(
+        lengths,
+        F.struct(F.array().cast("array<array<int>>").alias("pages"), F.array().cast("array<int>").alias("page"), F.lit(0).alias("end")),
+        _add_end,
+        lambda acc: F.concat(F.flatten(acc["pages"]), acc["page"]),
+    )
+    found = df.select(key, gaps.alias("_gaps"), matches.alias("_matches")).where(F.size("_matches") > 0)
+    pieces = found.select(key, F.explode(F.arrays_zip(F.col("_matches").alias("m"), ends.alias("end"))).alias("_span"))
+    end = F.col("_span.end")
+    return pieces.select(
+        key, (end - F.length("_span.m.value")).alias("begin"), end.alias("end"), F.col("_span.m.type").alias("type"), F.col("_span.m.value").alias("value")
+    )
+
+
+def _add_end(acc, length):
+    end, full = acc["end"] + length, F.size(acc["page"]) >= _PAGE
+    return F.struct(
+        F.when(full, F.concat(acc["pages"], F.array(acc["page"]))).otherwise(acc["pages"]).alias("pages"),
+        F.when(full, F.array(end)).otherwise(F.concat(acc["page"], F.array(end))).alias("page"),
+        end.alias("end"),
     )
 
 

@@ -6,8 +6,9 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, functions as F
 
-from textloom.functions.prompts import FALLBACK, fill, reply_text, request_body, segments
-from textloom.operators.lookup import lookup_join, rows_if_small
+from textloom.functions.prompts import FALLBACK, fill, reply_text, request_body, segments, segments_of
+from textloom.functions.variants import last_key_wins
+from textloom.operators.lookup import lookup_join
 
 # The default template.
 DEFAULT_TEMPLATES = {
@@ -24,32 +25,33 @@ def template_table(spark, templates: Mapping[str, str] = DEFAULT_TEMPLATES) -> D
 
 
 def read_templates(spark, folder: str) -> DataFrame:
-    """``templates(prompt_name, segments)`` from the ``.txt`` files of a folder."""
+    """``templates(prompt_name, segments)`` from the ``.txt`` files of a folder, however many.
+
+    A template with another placeholder ends the job that reads it.
+    """
     files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.txt").select(
         F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.txt$", 1).alias("name"), "value"
     )
-    rows = rows_if_small(files)
-    if rows is None:
-        raise ValueError(f"too many templates in {folder}")
-    return template_table(spark, {row["name"]: row["value"] for row in rows})
+    return files.select(F.col("name").alias("prompt_name"), segments_of(F.col("value")).alias("segments"))
 
 
 def fill_prompts(
-    df: DataFrame, templates: DataFrame, name: str = "prompt_name", text: str = "text", max_inline: int = 200
+    df: DataFrame,
+    templates: DataFrame,
+    name: str = "prompt_name",
+    text: str = "text",
+    max_broadcast: int | None = None,
 ) -> DataFrame:
     """Replace ``text`` by the named template around it; an unknown name uses the fallback.
 
-    A few templates are part of the plan; more of them are joined by name.
+    Templates are joined by name, broadcast where their size allows it. Of two with one name the first
+    in order of their pieces counts.
     """
     fallback = F.array(*map(F.lit, segments(FALLBACK)))
-    rows = rows_if_small(templates, max_inline)
-    if rows is not None:
-        chosen = F.when(F.lit(False), fallback)
-        for row in rows:
-            chosen = chosen.when(F.col(name) == row["prompt_name"], F.array(*map(F.lit, row["segments"])))
-        return df.withColumn(text, fill(chosen.otherwise(fallback), F.col(text)))
-    joined = lookup_join(df, templates.withColumnRenamed("prompt_name", name), [name])
-    return joined.withColumn(text, fill(F.coalesce("segments", fallback), F.col(text))).select(*df.columns)
+    one = templates.groupBy(F.col("prompt_name").alias(name)).agg(F.min("segments").alias("_segments"))
+    limit = {} if max_broadcast is None else {"max_rows": max_broadcast}
+    joined = lookup_join(df, one, [name], **limit)
+    return joined.withColumn(text, fill(F.coalesce("_segments", fallback), F.col(text))).select(*df.columns)
 
 
 def build_requests(
@@ -64,4 +66,6 @@ def build_requests(
 
 
 def read_replies(df: DataFrame, output_path: str = "$", reply: str = "reply", out: str = "text") -> DataFrame:
-    return df.withColumn(out, reply_text(F.col(reply), output_path))
+    """Add the text of each reply; of a key that a reply repeats the last value counts."""
+    with last_key_wins(df.sparkSession):
+        return df.withColumn(out, reply_text(F.col(reply), output_path))

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from textloom.operators.inference import call_model
-from textloom.operators.insights import insights
 from textloom.operators.names import find_names
 from textloom.operators.privacy import restore, tokenize
 from textloom.operators.prompting import build_requests, fill_prompts, read_replies
@@ -21,11 +20,11 @@ def page_texts(pages: DataFrame) -> DataFrame:
     return pages.transform(slice_bodies).transform(clean_html)
 
 
-def protected(df: DataFrame, inner: Stage, gazetteer: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+def protected(df: DataFrame, inner: Stage, gazetteer: DataFrame | None = None) -> DataFrame:
     """Run stages on text without personal data: tokens before, values back afterwards."""
     names = "names" if gazetteer is not None else None
     if gazetteer is not None:
-        df = find_names(df, gazetteer, key=key, out=names)
+        df = find_names(df, gazetteer, out=names)
     done = inner(tokenize(df, names=names))
     return restore(done).drop("token_map", *([names] if names else []))
 
@@ -45,7 +44,6 @@ def answers(
     output_path: str,
     template: str = "{prompt_text}",
     gazetteer: DataFrame | None = None,
-    key: str = "doc_id",
 ) -> DataFrame:
     """The default run: tokenize, prompt, model, restore; ``text`` holds the answer."""
 
@@ -53,12 +51,7 @@ def answers(
         asked = build_requests(prompts(tokenized, templates), props, input_path, template)
         return read_replies(call_model(asked, make_client), output_path).drop("body", "reply")
 
-    return protected(df, model, gazetteer, key)
-
-
-def document_insights(df: DataFrame, **options) -> DataFrame:
-    """The insights run: chunks, labels, entities and phrases instead of a model."""
-    return insights(df, **options)
+    return protected(df, model, gazetteer)
 
 
 def by_input_type(df: DataFrame, stages: dict[str, Stage]) -> DataFrame:

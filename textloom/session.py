@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
+def local_folder() -> str:
+    """A folder for sessions whose driver and executors are one process."""
+    return tempfile.mkdtemp(prefix="textloom-")
+
+
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     return (
         SparkSession.builder.master(f"local[{cpus}]")
