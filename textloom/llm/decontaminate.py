@@ -20,8 +20,9 @@ from textloom.llm.substring_dedup import window_hashes
 from textloom.operators.lookup import fits_broadcast
 
 WINDOW = 8
-#: Share of an item's words that a document must hold.
+#: Share of an item's words that a document must hold, or words of one passage with the item's own values.
 SHARE = 0.5
+PASSAGE = 13
 #: The prefilter is a bitmap of 2 ** BITS bits, whatever the number of items.
 BITS = 24
 
@@ -179,14 +180,20 @@ def _bitmap(windows: DataFrame) -> np.ndarray:
 
 
 def matches(
-    docs: DataFrame, items: DataFrame, text_col: str = "text", size: int = WINDOW, share: float = SHARE
+    docs: DataFrame,
+    items: DataFrame,
+    text_col: str = "text",
+    size: int = WINDOW,
+    share: float = SHARE,
+    passage: int = PASSAGE,
 ) -> DataFrame:
     """``hash`` (128 bits of the text), ``leaks`` (item_id, n_items, covered, exact), ``n``: for texts with a leak.
 
     Items that differ only in their values are one: the smallest id stands for all ``n_items``. A window that
     keeps fewer than half of its words must have the item's own values. Places must map one to one
     for names, and by a function for numbers and units. ``covered`` is the share of the item's words in
-    matching windows of consistent stretches; ``exact`` tells that all values are the item's own.
+    matching windows of consistent stretches; ``exact`` tells that all values are the item's own. A text holds an
+    item if it covers ``share`` of its words, or ``passage`` words in one stretch with the item's values.
     """
     spark = docs.sparkSession
     known = items.select(F.col("item_id").cast("bigint").alias("item_id"), text_of("text").alias("text"))
@@ -217,6 +224,7 @@ def matches(
     stretch = each.groupBy("hash", "item_id", "shift").agg(
         F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"),
         F.collect_list("place").alias("places"),
+        F.collect_list(F.when(F.col("own"), F.col("place"))).alias("own_places"),
         F.min("own").alias("exact"),
         F.max("n").alias("n"),
         F.first("n_words").alias("n_words"),
@@ -225,19 +233,23 @@ def matches(
     names = F.filter("pairs", lambda p: p["slot"].startswith("#name"))
     by_place = F.size(F.array_distinct(F.col("pairs.slot"))) == F.size("pairs")
     by_value = F.size(F.array_distinct(names["value"])) == F.size(names)
-    words = F.flatten(F.transform("places", lambda p: F.sequence(p, p + F.col("size") - 1)))
+
+    def words(places):
+        return F.array_distinct(F.flatten(F.transform(places, lambda p: F.sequence(p, p + F.col("size") - 1))))
+
     merged = (
         stretch.where(by_place & by_value)
-        .withColumn("words", words)
+        .withColumns({"words": words(F.col("places")), "own_words": F.size(words(F.col("own_places")))})
         .groupBy("hash", "item_id")
         .agg(
             F.size(F.array_distinct(F.flatten(F.collect_list("words")))).alias("words"),
+            F.max("own_words").alias("own_words"),
             F.min("exact").alias("exact"),
             F.max("n").alias("n"),
             F.first("n_words").alias("n_words"),
         )
         .withColumn("covered", F.col("words") / F.col("n_words"))
-        .where(F.col("covered") >= share)
+        .where((F.col("covered") >= share) | (F.col("own_words") >= passage))
     )
     named = merged.withColumnRenamed("item_id", "item_key").join(classes.drop("text"), "item_key")
     leak = F.struct("item_id", "n_items", "covered", "exact")

@@ -10,18 +10,21 @@ from textloom.llm.common import stored
 def components(links: DataFrame) -> DataFrame:
     """``node``, ``component`` (its smallest node) for all nodes of ``links`` (a, b of any one ordered type).
 
-    Each round hooks every node to its smallest neighbour, halves the paths, and replaces the nodes of
-    the links by where they point to, so the graph shrinks until no link is left. Every round is stored.
+    Each round hooks every node to its smallest neighbour, follows the hooks to their ends, halving the paths,
+    and replaces the nodes of the links by these ends, so the graph shrinks until no link is left.
+    Every step is stored.
     """
     edges = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
     labels = None
     while not edges.isEmpty():
         both = edges.union(edges.select(F.col("b"), F.col("a")))
         hooks = stored(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("to")))
-        for _ in range(2):
+        moving = True
+        while moving:
             onward = hooks.select(F.col("node").alias("to"), F.col("to").alias("next"))
-            hooks = hooks.join(onward, "to").select("node", F.col("next").alias("to"))
-        hooks = stored(hooks)
+            jumped = stored(hooks.join(onward, "to").select("node", "next", (F.col("next") != F.col("to")).alias("moved")))
+            moving = not jumped.where("moved").isEmpty()
+            hooks = jumped.select("node", F.col("next").alias("to"))
         if labels is None:
             labels = hooks.select("node", F.col("to").alias("component"))
         else:
