@@ -61,7 +61,7 @@ def test_ambiguous():
     counts[0, 1], counts[1, 2] = 100, 100
     model = language_id.Model(["x", "y"], counts)
     model.weights[:] = 0
-    assert model.judge("abc")[2]
+    assert model.judge("abc")[2] <= language_id.TIE
 
 
 @pytest.mark.parametrize("n", [2, 4, 7, 8, 40])

@@ -23,6 +23,8 @@ ORDERS = (1, 2, 3, 4)
 STRETCH = 1 << 20
 #: Languages up to which all splits into two sides are used; beyond, random splits.
 ALL_SPLITS = 7
+#: Differences of the losses of the two nearest codewords: below the first a language is ambiguous, at the second there is none.
+AMBIGUOUS, TIE = 0.02, 1e-9
 
 COUNTS = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("n", pa.int64())])
 JUDGED = pa.schema(
@@ -116,10 +118,10 @@ class Model:
         self.trust = self.trust / self.trust.max()
         self.scale = np.abs(margins).mean(axis=0) + 1e-9
 
-    def judge(self, text: str) -> tuple[str, float, bool]:
-        """Language, score from 0 to 1, and whether the two nearest codewords are about as near."""
+    def judge(self, text: str) -> tuple[str, float, float]:
+        """Language, score from 0 to 1, and how much nearer the nearest codeword is than the next."""
         if len(self.langs) < 2:
-            return self.langs[0], 1.0, False
+            return self.langs[0], 1.0, 1.0
         total, n = np.zeros(self.code.shape[1]), 0
         for found in buckets_of(text):
             total += np.bincount(found, minlength=BUCKETS) @ self.weights
@@ -129,7 +131,7 @@ class Model:
         order = np.argsort(loss, kind="stable")
         odds = np.exp(-(loss - loss[order[0]]) * 4)
         score = float(odds[order[0]] / odds.sum())
-        return self.langs[order[0]], score, bool(loss[order[1]] - loss[order[0]] < 1e-3)
+        return self.langs[order[0]], score, float(loss[order[1]] - loss[order[0]])
 
 
 def _judge(model):
@@ -141,9 +143,10 @@ def _judge(model):
                 held = table.column("held_out").to_pylist()
                 for i, out, text in zip(table.column("id").to_pylist(), held, table.column("text")):
                     text = text.as_py()
-                    lang, score, ambiguous = "und", 0.0, False
+                    lang, score, nearer = "und", 0.0, 1.0
                     if decoder.langs and has_letter(text):
-                        lang, score, ambiguous = decoder.judge(text)
+                        lang, score, nearer = decoder.judge(text)
+                    ambiguous = nearer < AMBIGUOUS
                     yield {"id": i, "held_out": out, "lang_pred": lang, "score": score, "ambiguous": ambiguous}
 
         yield from batches(rows(), JUDGED)
@@ -194,7 +197,7 @@ def flag_rejected(docs: DataFrame, model: Model, text_col: str = "text") -> Data
         decoder = shared.value
 
         def one(text):
-            return not decoder.langs or not has_letter(text) or decoder.judge(text)[2]
+            return not decoder.langs or not has_letter(text) or decoder.judge(text)[2] <= TIE
 
         return texts.map(one).astype(bool)
 
