@@ -10,13 +10,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from textloom.llm.common import batches, stored
+from textloom.llm.common import stored
 
 #: Pre-tokens that every task knows: the most frequent ones, this many at most, each of this many characters at most.
 COMMON = 100_000
 COMMON_LENGTH = 64
 #: Entries of a task's dictionaries before they are emptied.
-HELD = 300_000
+HELD = 500_000
 
 COUNTED = pa.schema([("piece", pa.string()), ("freq", pa.int64())])
 SIZED = pa.schema([("piece", pa.string()), ("freq", pa.int64()), ("n", pa.int64())])
@@ -32,12 +32,18 @@ ROWS = pa.schema(
     ]
 )
 
-#: A blank between two characters that are not blank: every byte-level pre-token starts or ends there.
-BOUNDARY = re.compile(r" (?=\S)(?<=\S )")
+#: Blanks beside other white space, and white space that is rare: such texts are left to the library as a whole.
+UNEVEN = ("  ", " \n", "\n ", "\n\n")
+RARE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Words of Latin letters, with punctuation after them (no apostrophe): two pre-tokens, or one.
+SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
 
 
 class Splitter:
-    """Cuts texts into chunks that the pre-tokenizer treats alone, and chunks into pre-tokens."""
+    """Cuts texts into chunks that the pre-tokenizer treats alone, and chunks into pre-tokens.
+
+    A chunk is a word with the blank before it (left out here), or a line end with the word after it.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -50,93 +56,138 @@ class Splitter:
         names = sorted((t.content for t in added), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, names))) if names else None
 
-    def chunks(self, text: str) -> tuple[int, Counter]:
-        """Special tokens of a text, and how often each chunk occurs."""
+    def listed(self, text: str) -> list[str]:
+        """Pre-tokens of a text by the library."""
+        return [text[a:b] for _, (a, b) in self.pre.pre_tokenize_str(text)]
+
+    def chunks(self, text: str) -> tuple[int, list[str], list[str]]:
+        """Special tokens of a text, its chunks, and pre-tokens of the parts that cannot be cut into chunks."""
         parts = self.special.split(text) if self.special and self.special.search(text) else [text]
-        found: Counter = Counter()
+        chunks, pieces = [], []
         for part in parts:
-            if part:
-                first, *others = BOUNDARY.split(part)
-                found[first] += 1
-                for chunk, times in Counter(others).items():
-                    found[" " + chunk] += times
-        return len(parts) - 1, found
-
-    def pieces(self, chunk: str) -> Counter:
-        return Counter(piece for piece, _ in self.pre.pre_tokenize_str(chunk))
+            if not part:
+                continue
+            ends = part[0] in " \n" or part[-1] in " \n"
+            if ends or RARE.search(part) or any(x in part for x in UNEVEN):
+                pieces += self.listed(part)
+            else:
+                first, *others = part.replace("\n", " \n").split(" ")
+                chunks += others
+                pieces += self.listed(first)
+        return len(parts) - 1, chunks, pieces
+
+    def pieces(self, chunk: str) -> list[str]:
+        """Pre-tokens of a chunk."""
+        line = chunk[0] == "\n"
+        word = chunk[1:] if line else chunk
+        simple = SIMPLE.fullmatch(word)
+        if not simple:
+            return ["\n", *self.listed(word)] if line else self.listed(" " + word)
+        letters, rest = simple.groups()
+        if line:
+            return [x for x in ("\n", letters, rest) if x]
+        return [" " + letters, rest] if letters and rest else [" " + word]
+
+    def size(self, piece: str) -> int:
+        """Tokens of a pre-token."""
+        return sum(len(self.model.tokenize(p)) for p, _ in self.pre.pre_tokenize_str(piece))
 
 
 def _frequencies(path: str):
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = Splitter(path)
+        chunks, pieces = Counter(), Counter()
+
+        def flush():
+            for chunk, times in chunks.items():
+                for piece in splitter.pieces(chunk):
+                    pieces[piece] += times
+            names, freqs = list(pieces), list(pieces.values())
+            chunks.clear()
+            pieces.clear()
+            for at in range(0, len(names), 20_000):
+                part = slice(at, at + 20_000)
+                yield pa.RecordBatch.from_pydict({"piece": names[part], "freq": freqs[part]}, COUNTED)
 
-        def rows():
-            chunks: Counter = Counter()
-
-            def flush():
-                pieces: Counter = Counter()
-                for chunk, times in chunks.items():
-                    for piece, n in splitter.pieces(chunk).items():
-                        pieces[piece] += n * times
-                chunks.clear()
-                for piece, freq in pieces.items():
-                    yield {"piece": piece, "freq": freq}
-
-            for table in tables:
-                for text in table.column(0):
-                    chunks.update(splitter.chunks(text.as_py())[1])
-                    if len(chunks) > HELD:
-                        yield from flush()
-            yield from flush()
-
-        yield from batches(rows(), COUNTED)
+        for table in tables:
+            for text in table.column(0):
+                _, found, others = splitter.chunks(text.as_py())
+                chunks.update(found)
+                pieces.update(others)
+                if len(chunks) + len(pieces) > HELD:
+                    yield from flush()
+        yield from flush()
 
     return run
 
 
 def _sizes(path: str):
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Splitter(path).model
+        splitter = Splitter(path)
         for table in tables:
-            n = [len(model.tokenize(piece)) for piece in table.column("piece").to_pylist()]
+            n = [splitter.size(piece) for piece in table.column("piece").to_pylist()]
             yield pa.RecordBatch.from_arrays([*table.columns, pa.array(n, pa.int64())], schema=SIZED)
 
     return run
 
 
+class Known(dict):
+    """By chunk: its tokens, or where not all pre-tokens are known, (tokens of the known ones, the others)."""
+
+    def __init__(self, splitter: Splitter, sizes: dict[str, int]):
+        super().__init__()
+        self.splitter, self.sizes = splitter, sizes
+
+    def __missing__(self, chunk: str):
+        known, others = self.of(self.splitter.pieces(chunk))
+        found = (known, others) if others else known
+        if len(self) < HELD and len(chunk) <= COMMON_LENGTH:
+            self[chunk] = found
+        return found
+
+    def of(self, pieces: list[str]) -> tuple[int, list[str]]:
+        sizes = self.sizes
+        return sum(sizes.get(p, 0) for p in pieces), [p for p in pieces if p not in sizes]
+
+
 def _rows(path: str, common):
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, sizes = Splitter(path), common.value
+        splitter = Splitter(path)
+        of = Known(splitter, common.value)
         part, row = TaskContext.get().partitionId(), 0
-        held: dict[str, tuple[int, tuple]] = {}
-
-        def of(chunk: str) -> tuple[int, tuple]:
-            if chunk not in held:
-                if len(held) > HELD:
-                    held.clear()
-                pieces = splitter.pieces(chunk)
-                known = sum(sizes[p] * n for p, n in pieces.items() if p in sizes)
-                held[chunk] = known, tuple((p, n) for p, n in pieces.items() if p not in sizes)
-            return held[chunk]
-
-        def rows():
-            nonlocal row
-            for table in tables:
-                for i, text in zip(table.column("id"), table.column("text")):
+        for whole in tables:
+            for at in range(0, whole.num_rows, 1_000):
+                table = whole.slice(at, 1_000)
+                sizes, knowns, offsets, names, times = [], [], [0], [], []
+                for text in table.column("text"):
                     text = text.as_py()
-                    known, chunks = splitter.chunks(text)
-                    unknown: Counter = Counter()
-                    for chunk, times in chunks.items():
-                        n, others = of(chunk)
-                        known += n * times
-                        for piece, m in others:
-                            unknown[piece] += m * times
-                    listed = [{"piece": p, "times": n} for p, n in unknown.items()]
-                    size = len(text.encode())
-                    yield {"part": part, "row": row, "id": i.as_py(), "n_bytes": size, "known": known, "unknown": listed}
-                    row += 1
-
-        yield from batches(rows(), ROWS, 2_000)
+                    known, chunks, pieces = splitter.chunks(text)
+                    more, unknown = of.of(pieces)
+                    known += more
+                    for chunk in chunks:
+                        found = of[chunk]
+                        if found.__class__ is int:
+                            known += found
+                        else:
+                            known += found[0]
+                            unknown += found[1]
+                    counted = Counter(unknown)
+                    names += counted
+                    times += counted.values()
+                    offsets.append(len(names))
+                    knowns.append(known)
+                    sizes.append(len(text.encode()))
+                pairs = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(times, pa.int64())], fields=list(UNKNOWN))
+                arrays = [
+                    pa.array([part] * len(sizes), pa.int32()),
+                    pa.array(range(row, row + len(sizes)), pa.int64()),
+                    table.column("id"),
+                    pa.array(sizes, pa.int64()),
+                    pa.array(knowns, pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs),
+                ]
+                yield pa.RecordBatch.from_arrays(arrays, names=ROWS.names)
+                row += len(sizes)
 
     return run
 
