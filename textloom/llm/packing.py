@@ -8,7 +8,9 @@ small pieces go where they fit best. The plan says, by length, which stretch of
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,7 +36,8 @@ PIECES = pa.schema(
 class WordIds(dict):
     """Token ids of words between ASCII blanks, as little-endian bytes.
 
-    Right for tokenizers that drop white space before they split: no token then spans two words.
+    Right for tokenizers that drop white space before they split: no token then spans two words. The letters of
+    a plain word and the punctuation after it are tokenized apart, as the tokenizer does.
     """
 
     def __init__(self, path: str):
@@ -42,14 +45,36 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.letters: dict[str, bytes] = {}
+        self.byte_level = {}
+        for code in (*range(97, 123), *range(223, 247), *range(248, 256)):
+            ((mapped, _),) = self.tokenizer.pre_tokenizer.pre_tokenize_str(chr(code))
+            self.byte_level[code] = mapped
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-        data = np.array(ids, "<u4").tobytes()
+        text = word.decode()
+        plain = SIMPLE.fullmatch(text)
+        data = self._letters(plain[1].lower()) + self._encoded(plain[2]) if plain else self._encoded(text)
         if len(self) < HELD and len(word) < 64:
             self[word] = data
         return data
 
+    def _letters(self, letters: str) -> bytes:
+        found = self.letters.get(letters)
+        if found is None:
+            tokens = self.tokenizer.model.tokenize(letters.translate(self.byte_level)) if letters else []
+            found = array("I", [t.id for t in tokens]).tobytes()
+            if len(self.letters) < HELD and len(letters) < 64:
+                self.letters[letters] = found
+        return found
+
+    def _encoded(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes() if text else b""
+
+
+#: Latin letters and the punctuation after them, without apostrophes.
+SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
+
 
 def _pieces(path: str, limit: int):
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
