@@ -13,6 +13,7 @@ import zlib
 from array import array
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -72,13 +73,19 @@ class WordIds(dict):
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes() if text else b""
 
 
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """The words that this Python worker knows, kept from one task to the next."""
+    return WordIds(path)
+
+
 #: Latin letters and the punctuation after them, without apostrophes.
 SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
 
 
 def _pieces(path: str, limit: int):
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds(path)
+        ids = word_ids(path)
         width = 4 * limit
         for table in tables:
             out: dict[str, list] = {name: [] for name in PIECES.names}
