@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from textloom.llm.common import batches, hot_join, stored, text_of
 from textloom.llm.substring_dedup import window_hashes
+from textloom.llm.url_filter import only_possible
 from textloom.operators.lookup import fits_broadcast
 
 WINDOW = 8
@@ -277,4 +278,7 @@ def drop_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", **opti
     names = [f"_{i}" for i in range(len(docs.columns))]
     text = text_of(names[docs.columns.index(text_col)])
     plain = docs.toDF(*names).withColumn("hash", F.unhex(F.md5(text.cast("binary"))))
-    return hot_join(plain, found, ["hash"], "n", ["leaks"]).where("leaks is null").select(*names).toDF(*docs.columns)
+    plain = plain.withColumn("key", F.hex("hash"))
+    some, clean = only_possible(plain, found.select(F.hex("hash").alias("key")), "key")
+    kept = hot_join(some, found, ["hash"], "n", ["leaks"]).where("leaks is null")
+    return clean.select(*names).union(kept.select(*names)).toDF(*docs.columns)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from textloom.llm import golay
 from textloom.llm.common import batches, hot_join, stored, text_of
 from textloom.llm.graph import components
-from textloom.llm.url_filter import bloom_filter, may_contain
+from textloom.llm.url_filter import only_possible
 
 SEED = 42
 MAX_ERRORS = 3
@@ -126,8 +126,8 @@ def fingerprint_groups(
 
 #: Fingerprints of two segments each.
 TABLES = 4
-#: Bits of the check fingerprint that a candidate may differ in, of 32. At similarity 0.8 about 2 differ.
-CHECK_ERRORS = 9
+#: Bits of the check fingerprint that a candidate may differ in, of 64: 4 to 9 at similarity 0.8, about 24 for other texts.
+CHECK_ERRORS = 15
 #: Documents of a key that the others are compared with.
 PIVOTS = 2
 SIMILARITY = 0.8
@@ -164,7 +164,7 @@ def _segments(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for node, digest, text in zip(table.column("node").to_pylist(), table.column("hash").to_pylist(), table.column("text")):
                 *found, check = word_fingerprints(text.as_py())
                 cut = [x for f in found for x in (f & low, f >> golay.LENGTH & low)]
-                yield {"node": node, "hash": digest, "check": check & 0xFFFFFFFF, "segments": cut}
+                yield {"node": node, "hash": digest, "check": _signed(check), "segments": cut}
 
     yield from batches(rows(), SEGMENTS)
 
@@ -239,7 +239,7 @@ def near_duplicates(
     pairs = stored(met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
 
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    possible = _possible(rows.select(node.alias("node"), "text"), wanted)
+    possible, _ = only_possible(rows.select(node.alias("node"), "text"), wanted, "node")
     texts = possible.groupBy("node").agg(F.first("text").alias("text"))
     texts = stored(texts.join(wanted, "node", "left_semi"))
     sides = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a")
@@ -252,21 +252,15 @@ def near_duplicates(
     return nodes.join(groups.where(F.col("all") > 1), "component").select("hash", "keep_id", "n")
 
 
-def _possible(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows whose node may be among the wanted ones: all that are, and few others."""
-    blocks = 65_536
-    keys = wanted.select(F.col("node").cast("string").alias("_key"))
-    filtered = rows.withColumn("_filter", bloom_filter(keys, "_key", blocks).scalar())
-    return filtered.where(may_contain(F.col("_filter"), F.col("node").cast("string"), blocks)).drop("_filter")
-
-
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The input with one document of each group of near copies, that with the smallest id; rows without id stay."""
     found = stored(near_duplicates(docs, id_col, text_col, **options))
     names = [f"_{i}" for i in range(len(docs.columns))]
     text = text_of(names[docs.columns.index(text_col)])
     plain = docs.toDF(*names).withColumn("hash", F.unhex(F.md5(text.cast("binary"))))
-    joined = hot_join(plain, found, ["hash"], "n", ["keep_id"])
+    plain = plain.withColumn("key", F.hex("hash"))
+    copies, others = only_possible(plain, found.select(F.hex("hash").alias("key")), "key")
+    joined = hot_join(copies, found, ["hash"], "n", ["keep_id"])
     mine = F.col(names[docs.columns.index(id_col)])
     kept = joined.where(F.col("keep_id").isNull() | mine.isNull() | (mine == F.col("keep_id")))
-    return kept.select(*names).toDF(*docs.columns)
+    return others.select(*names).union(kept.select(*names)).toDF(*docs.columns)

@@ -59,6 +59,17 @@ def may_contain(words_of: Column, key: Column, blocks: int) -> Column:
     return sure
 
 
+def only_possible(rows: DataFrame, keys: DataFrame, key: str, blocks: int = MAX_BLOCKS) -> tuple[DataFrame, DataFrame]:
+    """The rows whose ``key`` may be among ``keys``, all that are and few others; and the rows that have none of them.
+
+    Only the first part has to meet the keys in a join, so what moves follows the keys and not the rows.
+    """
+    known = keys.select(F.col(key).cast("string").alias("_key"))
+    filtered = rows.withColumn("_filter", bloom_filter(known, "_key", blocks).scalar())
+    may = F.coalesce(may_contain(F.col("_filter"), F.col(key).cast("string"), blocks), F.lit(False))
+    return filtered.where(may).drop("_filter"), filtered.where(~may).drop("_filter")
+
+
 def _rule_keys(rules: DataFrame) -> DataFrame:
     host, path = F.coalesce("host", F.lit("")), F.coalesce("path", F.lit(""))
     keyed = rules.select(host.alias("_rule_host"), path.alias("_rule_path"), "verdict")
