@@ -142,6 +142,25 @@ def test_near_copies_are_found(spark, edits):
     assert all(2 * i + 1 in kept for i in range(150) if i not in near)
 
 
+@pytest.mark.parametrize("kind", ["appended", "inserted", "cut"])
+def test_blocks_and_cuts_are_found(spark, kind):
+    """Pairs of similarity 0.8 to 0.81 whose words follow Zipf's law and differ in one block."""
+    r, made = np.random.default_rng(len(kind)), []
+    for i in range(300):
+        words = [f"w{x}" for x in r.zipf(1.3, 500)]
+        n = 100 + i % 300
+        block = n // 4 - (11 if kind == "inserted" else 2)
+        if kind == "inserted":
+            other = words[: n // 2] + words[400 : 400 + block] + words[n // 2 : n]
+        else:
+            other = words[: n + block]
+        pair = [words[:n], other] if kind != "cut" else [other, words[:n]]
+        made += [(2 * i + side, " ".join(x)) for side, x in enumerate(pair)]
+    near = [i for i in range(300) if simhash.similarity(made[2 * i][1], made[2 * i + 1][1]) >= 0.8]
+    kept = {row.doc_id for row in simhash.keep_one(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert len(near) > 100 and sum(2 * i + 1 not in kept for i in near) >= 0.99 * len(near)
+
+
 def test_large_group_of_near_copies(spark):
     words = sentence(77, 300).split()
     made = [(i, " ".join(words[: i % 290] + [f"w{i}"] + words[i % 290 + 1 :])) for i in range(400)]

@@ -1,7 +1,8 @@
-"""SimHash near-duplicates, found through Golay keys of fingerprint segments."""
+"""Near-duplicates: SimHash fingerprints, linked through Golay keys, and MinHash bands of shingles, verified on the texts."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from textloom.llm import golay
 from textloom.llm.common import batches, hot_join, stored, text_of
 from textloom.llm.graph import components
+from textloom.llm.substring_dedup import window_hashes
 from textloom.llm.url_filter import only_possible
 
 SEED = 42
@@ -122,32 +124,51 @@ def fingerprint_groups(
     )
 
 
-# Near-duplicates by similarity: several fingerprints of the set of words propose pairs, shingles decide.
+# Near-duplicates by similarity: bands of MinHash values over the shingles propose pairs, shingles decide.
 
-#: Fingerprints of two segments each.
-TABLES = 4
-#: Bits of the check fingerprint that a candidate may differ in, of 64: 4 to 9 at similarity 0.8, about 24 for other texts.
-CHECK_ERRORS = 15
+#: Minima that make a band. A pair of similarity s agrees in one with the probability s ** ROWS.
+ROWS = 6
+#: Probability that a pair of the least similarity that counts shares a band, at the least.
+FOUND = 0.999
 #: Documents of a key that the others are compared with.
 PIVOTS = 2
 SIMILARITY = 0.8
 SHINGLE = 5
+#: Shingles whose minima are taken at a time.
+PART = 1 << 10
 
-SEGMENTS = pa.schema([("node", pa.int64()), ("hash", pa.binary()), ("check", pa.int64()), ("segments", pa.list_(pa.int32()))])
-MEMBERS = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("check", pa.int64())])
+BANDS = pa.schema([("node", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
 
 @lru_cache(maxsize=200_000)
-def _word_bytes(word: bytes) -> bytes:
-    """Hash of a word for each table and for the check."""
-    return b"".join(xxhash.xxh64_digest(word, seed) for seed in range(TABLES + 1))
+def _word_hash(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word, SEED)
 
 
-def word_fingerprints(text: str) -> list[int]:
-    """SimHash over the set of words of a text, by table and for the check."""
-    words = set(words_of(text))
-    hashes = np.frombuffer(b"".join(_word_bytes(w) for w in words), np.uint64).reshape(-1, TABLES + 1)
-    return [simhash(np.ascontiguousarray(hashes[:, t])) for t in range(TABLES + 1)]
+def bands_for(similar: float, rows: int = ROWS, found: float = FOUND) -> int:
+    """How many bands find a pair of similarity ``similar`` with the probability ``found``."""
+    agree = similar**rows
+    return math.ceil(math.log(1 - found) / math.log(1 - agree)) if agree < 1 else 1
+
+
+@lru_cache(maxsize=8)
+def _functions(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """``n`` hash functions on 32 bits: a mask and an odd factor each."""
+    drawn = np.random.default_rng(SEED).integers(0, 1 << 32, (2, n, 1), np.uint32)
+    return drawn[0], drawn[1] | np.uint32(1)
+
+
+def band_keys(text: str, rows: int, bands: int, size: int = SHINGLE) -> list[int]:
+    """A key for each band of ``rows`` minima over the shingles of a text."""
+    words = words_of(text)
+    hashes = np.fromiter(map(_word_hash, words), np.uint64, len(words))
+    shingles = (window_hashes(hashes, min(size, len(words)))[0] >> np.uint64(32)).astype(np.uint32)
+    masks, factors = _functions(rows * bands)
+    least = np.full(rows * bands, (1 << 32) - 1, np.uint32)
+    for start in range(0, len(shingles) if words else 0, PART):
+        np.minimum(least, ((shingles[None, start : start + PART] ^ masks) * factors).min(axis=1), out=least)
+    flat, width = least.tobytes(), 4 * rows
+    return [_signed(xxhash.xxh64_intdigest(flat[b * width : (b + 1) * width], b)) for b in range(bands)]
 
 
 def similarity(left: str, right: str, size: int = SHINGLE) -> float:
@@ -156,34 +177,16 @@ def similarity(left: str, right: str, size: int = SHINGLE) -> float:
     return len(a & b) / len(a | b) if a or b else 1.0
 
 
-def _segments(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    low = (1 << golay.LENGTH) - 1
+def _bands(rows: int, bands: int, size: int):
+    def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found():
+            for table in tables:
+                for node, text in zip(table.column("node").to_pylist(), table.column("text")):
+                    yield {"node": node, "bands": band_keys(text.as_py(), rows, bands, size)}
 
-    def rows():
-        for table in tables:
-            for node, digest, text in zip(table.column("node").to_pylist(), table.column("hash").to_pylist(), table.column("text")):
-                *found, check = word_fingerprints(text.as_py())
-                cut = [x for f in found for x in (f & low, f >> golay.LENGTH & low)]
-                yield {"node": node, "hash": digest, "check": _signed(check), "segments": cut}
-
-    yield from batches(rows(), SEGMENTS)
-
-
-def _members(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a key: the documents that have it on either side."""
-    recipes = [[golay.Part("first", 2 * t), golay.Part("second", 2 * t + 1)] for t in range(TABLES)]
-    for table in tables:
-        if table.num_rows == 0:
-            continue
-        flat = table.column("segments").flatten().to_numpy().reshape(-1, 2 * TABLES).astype(np.uint32)
-        cuts = [np.ascontiguousarray(flat[:, s]) for s in range(2 * TABLES)]
-        sides = [golay.keys(cuts, recipes, side) for side in ("left", "right")]
-        pairs = np.unique(np.concatenate([np.stack([row, key], axis=1) for row, key in sides]), axis=0)
-        node, check = table.column("node").to_numpy(), table.column("check").to_numpy()
-        for start in range(0, len(pairs), 100_000):
-            row, key = pairs[start : start + 100_000].T
-            arrays = [pa.array(np.ascontiguousarray(key)), pa.array(node[row]), pa.array(check[row])]
-            yield pa.RecordBatch.from_arrays(arrays, schema=MEMBERS)
+        yield from batches(found(), BANDS, 5_000)
+
+    return run
 
 
 def _verified(similar: float, size: int):
@@ -213,7 +216,8 @@ def near_duplicates(
     """``hash`` (128 bits of the text), ``keep_id``, ``n``: for each text that has copies or near copies.
 
     Two texts are near copies where their sets of ``size``-word shingles have a Jaccard similarity of ``similar``
-    or more. Candidates share a Golay key of one of several SimHash fingerprints over their words. Each key
+    or more. Candidates share a band of MinHash values over these sets, whatever the edits between them: a pair of
+    similarity ``similar`` does with the probability FOUND, a closer one more surely. Each key
     compares its documents with PIVOTS of them, so work grows with the rows of a key and not with
     their square; copies of one text are one candidate. Groups are the components of the verified pairs, and the document
     with the smallest id stays.
@@ -224,18 +228,14 @@ def near_duplicates(
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), text_of(text_col).alias("text"))
     keyed = rows.select("id", node.alias("node"), digest.alias("hash"))
     counts = keyed.groupBy("node", "hash").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-    segments = rows.select(node.alias("node"), digest.alias("hash"), "text").mapInArrow(
-        _segments, "node bigint, hash binary, check bigint, segments array<int>"
-    )
-    distinct = segments.groupBy("node").agg(F.first("check").alias("check"), F.first("segments").alias("segments"))
-    members = distinct.mapInArrow(_members, "key bigint, node bigint, check bigint")
+    bands = bands_for(similar)
+    texts = rows.select(node.alias("node"), "text").mapInArrow(_bands(ROWS, bands, size), "node bigint, bands array<bigint>")
+    distinct = texts.groupBy("node").agg(F.first("bands").alias("bands"))
+    members = distinct.select(F.explode("bands").alias("key"), "node")
     group = F.pmod(F.xxhash64("node"), F.lit(PIVOTS))
-    first = members.groupBy("key", group.alias("part")).agg(F.min(F.struct("node", "check")).alias("p"))
-    pivots = first.select(F.col("key").alias("k"), F.col("p.node").alias("pivot"), F.col("p.check").alias("c"))
-    differing = F.bit_count(F.col("check").bitwiseXOR(F.col("c")))
-    met = members.join(
-        pivots, (F.col("key") == F.col("k")) & (F.col("node") != F.col("pivot")) & (differing <= CHECK_ERRORS)
-    )
+    first = members.groupBy("key", group.alias("part")).agg(F.min("node").alias("pivot"))
+    pivots = first.select(F.col("key").alias("k"), "pivot")
+    met = members.join(pivots, (F.col("key") == F.col("k")) & (F.col("node") != F.col("pivot")))
     pairs = stored(met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
 
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
