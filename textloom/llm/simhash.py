@@ -126,12 +126,13 @@ def fingerprint_groups(
 
 # Near-duplicates by similarity: bands of MinHash values over the shingles propose pairs, shingles decide.
 
-#: Minima that make a band. A pair of similarity s agrees in one with the probability s ** ROWS.
-ROWS = 6
+#: Minima that make a band, by level. A pair of similarity s agrees in a band with the probability s ** rows.
+LEVELS = (6, 12)
 #: Probability that a pair of the least similarity that counts shares a band, at the least.
 FOUND = 0.999
-#: Documents of a key that the others are compared with.
-PIVOTS = 2
+#: Documents of a key that are all compared with each other. Those of a crowded key are compared with one of them
+#: first; where that leaves several components, the next level tells them apart.
+COMPARED = 64
 SIMILARITY = 0.8
 SHINGLE = 5
 #: Shingles whose minima are taken at a time.
@@ -145,7 +146,7 @@ def _word_hash(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word, SEED)
 
 
-def bands_for(similar: float, rows: int = ROWS, found: float = FOUND) -> int:
+def bands_for(similar: float, rows: int = LEVELS[0], found: float = FOUND) -> int:
     """How many bands find a pair of similarity ``similar`` with the probability ``found``."""
     agree = similar**rows
     return math.ceil(math.log(1 - found) / math.log(1 - agree)) if agree < 1 else 1
@@ -206,20 +207,69 @@ def _node(text: Column) -> tuple[Column, Column]:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint"), F.unhex(digest)
 
 
+def _links(texts: DataFrame, pairs: DataFrame, similar: float, size: int) -> DataFrame:
+    """The pairs (a, b) whose texts are near copies; ``texts`` has each node once, with its text."""
+    sides = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a")
+    sides = sides.join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
+    return sides.select("a", "b", "left", "right").mapInArrow(_verified(similar, size), "a bigint, b bigint")
+
+
+def _texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``node`` and ``text`` for each node in ``wanted``, once."""
+    possible, _ = only_possible(rows, wanted, "node")
+    texts = possible.groupBy("node").agg(F.first("text").alias("text"))
+    return stored(texts.join(wanted, "node", "left_semi"))
+
+
+def _apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The distinct pairs whose nodes are in different components."""
+    pairs = pairs.distinct()
+    if labels is None:
+        return stored(pairs)
+    for side in ("a", "b"):
+        mine = labels.select(F.col("node").alias(side), F.col("component").alias(f"_{side}"))
+        pairs = pairs.join(mine, side, "left")
+    one = F.coalesce("_a", "a") == F.coalesce("_b", "b")
+    return stored(pairs.where(~one).select("a", "b"))
+
+
+def _proposed(heads: DataFrame, met: DataFrame) -> DataFrame:
+    """Pairs a < b of a key: all of them, or those with its first node if it is crowded."""
+    two = heads.where("n = 2").select(F.col("first").alias("a"), F.col("last").alias("b"))
+    lists = met.where(F.col("n") <= COMPARED).groupBy("key").agg(F.collect_list("node").alias("nodes"))
+    each = F.transform(
+        "nodes", lambda a: F.transform(F.filter("nodes", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))
+    )
+    few = lists.select(F.explode(F.flatten(each)).alias("p")).select("p.a", "p.b")
+    many = met.where((F.col("n") > COMPARED) & (F.col("node") > F.col("first")))
+    return two.union(few).union(many.select(F.col("first").alias("a"), F.col("node").alias("b")))
+
+
+def _mixed(crowded: DataFrame, labels: DataFrame) -> DataFrame:
+    """``key``, ``node``, ``component`` for the members of the crowded keys that hold several components."""
+    met = crowded.select("key", "node").join(labels, "node", "left")
+    met = met.select("key", "node", F.coalesce("component", "node").alias("component"))
+    several = met.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+    return stored(met.join(several.select("key"), "key"))
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     similar: float = SIMILARITY,
     size: int = SHINGLE,
+    levels: tuple[int, ...] = LEVELS,
 ) -> DataFrame:
     """``hash`` (128 bits of the text), ``keep_id``, ``n``: for each text that has copies or near copies.
 
     Two texts are near copies where their sets of ``size``-word shingles have a Jaccard similarity of ``similar``
     or more. Candidates share a band of MinHash values over these sets, whatever the edits between them: a pair of
-    similarity ``similar`` does with the probability FOUND, a closer one more surely. Each key
-    compares its documents with PIVOTS of them, so work grows with the rows of a key and not with
-    their square; copies of one text are one candidate. Groups are the components of the verified pairs, and the document
+    similarity ``similar`` does with the probability FOUND, a closer one more surely. The documents of a key
+    are compared all with each other, up to COMPARED. In a key that holds more, all are compared with one, which
+    joins a group of copies at the cost of its rows. If the key still holds several components, its documents go to the next
+    of ``levels``, whose bands of more minima part unrelated texts; after the last one all pairs of different components
+    are compared. Copies of one text are one candidate. Groups are the components of the verified pairs, and the document
     with the smallest id stays.
 
     Null texts count as empty; texts without words are copies of each other.
@@ -228,24 +278,35 @@ def near_duplicates(
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), text_of(text_col).alias("text"))
     keyed = rows.select("id", node.alias("node"), digest.alias("hash"))
     counts = keyed.groupBy("node", "hash").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-    bands = bands_for(similar)
-    texts = rows.select(node.alias("node"), "text").mapInArrow(_bands(ROWS, bands, size), "node bigint, bands array<bigint>")
-    distinct = texts.groupBy("node").agg(F.first("bands").alias("bands"))
-    members = distinct.select(F.explode("bands").alias("key"), "node")
-    group = F.pmod(F.xxhash64("node"), F.lit(PIVOTS))
-    first = members.groupBy("key", group.alias("part")).agg(F.min("node").alias("pivot"))
-    pivots = first.select(F.col("key").alias("k"), "pivot")
-    met = members.join(pivots, (F.col("key") == F.col("k")) & (F.col("node") != F.col("pivot")))
-    pairs = stored(met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
-
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    possible, _ = only_possible(rows.select(node.alias("node"), "text"), wanted, "node")
-    texts = possible.groupBy("node").agg(F.first("text").alias("text"))
-    texts = stored(texts.join(wanted, "node", "left_semi"))
-    sides = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a")
-    sides = sides.join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
-    links = sides.select("a", "b", "left", "right").mapInArrow(_verified(similar, size), "a bigint, b bigint")
-    labels = components(links)
+    plain = rows.select(node.alias("node"), "text")
+    links = labels = texts = mixed = None
+    for minima in levels:
+        made = (plain if texts is None else texts).mapInArrow(
+            _bands(minima, bands_for(similar, minima), size), "node bigint, bands array<bigint>"
+        )
+        distinct = stored(made.groupBy("node").agg(F.first("bands").alias("bands")))
+        members = distinct.select(F.explode("bands").alias("key"), "node")
+        heads = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"), F.max("node").alias("last"))
+        heads = stored(heads.where("n > 1"))
+        more = heads.where("n > 2").select("key", "n", "first")
+        some = only_possible(members, more, "key")[0] if texts is None else members
+        met = stored(some.join(more, "key"))
+        pairs = _apart(_proposed(heads, met), labels)
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        new = _links(_texts_of(plain, ends) if texts is None else texts, pairs, similar, size)
+        links = stored(new if links is None else links.union(new))
+        labels = components(links)
+        crowded = met.where(F.col("n") > COMPARED)
+        mixed = None if crowded.isEmpty() else _mixed(crowded, labels)
+        if mixed is None or mixed.isEmpty():
+            mixed = None
+            break
+        texts = _texts_of(plain, mixed.select("node").distinct())
+    if mixed is not None:
+        left = mixed.select("key", F.col("node").alias("a"), F.col("component").alias("x"))
+        right = mixed.select("key", F.col("node").alias("b"), F.col("component").alias("y"))
+        pairs = left.join(right, "key").where("a < b and x <> y").select("a", "b")
+        labels = components(links.union(_links(texts, _apart(pairs, labels), similar, size)))
 
     nodes = stored(counts.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
     groups = nodes.groupBy("component").agg(F.min("first_id").alias("keep_id"), F.sum("n").alias("all"))
