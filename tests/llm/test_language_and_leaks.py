@@ -128,6 +128,18 @@ def test_leaks(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [i for i, (_, want) in cases.items() if not want]
 
 
+def test_verbatim_words_beside_a_conflict(spark):
+    """A passage copied word for word counts, though one of two equal values beside it was changed."""
+    asked = f"Alice has 3 pens and 3 cups in the house {sentence(60, 30)} as she said to Bob before the long walk"
+    changed = asked.replace("3 cups", "4 cups")
+    swapped = asked.replace("to Bob", "to Alice")
+    few = " ".join(asked.split()[:9] + asked.split()[10:12]).replace("3 cups", "4 cups")
+    docs, known = leaks(spark, [(1, changed), (2, swapped), (3, few), (4, PLAIN)], [(1, asked)])
+    found = {r.doc_id: (r.item_id, r.exact) for r in decontaminate.find_leaks(docs, known).collect()}
+    assert found == {1: (1, False), 2: (1, False)}
+    assert sorted(r.doc_id for r in decontaminate.drop_leaks(docs, known).collect()) == [3, 4]
+
+
 def test_leaks_without_rows(spark):
     docs, known = leaks(spark, [(1, PLAIN)])
     assert decontaminate.find_leaks(docs.limit(0), known).count() == 0

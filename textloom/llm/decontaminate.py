@@ -193,8 +193,9 @@ def matches(
     Items that differ only in their values are one: the smallest id stands for all ``n_items``. A window that
     keeps fewer than half of its words must have the item's own values. Places must map one to one
     for names, and by a function for numbers and units. ``covered`` is the share of the item's words in
-    matching windows of consistent stretches; ``exact`` tells that all values are the item's own. A text holds an
-    item if it covers ``share`` of its words, or ``passage`` words in one stretch with the item's values.
+    matching windows of consistent stretches, and in windows with the item's own values of all others; ``exact`` tells
+    that all values are the item's own. A text holds an item if it covers ``share`` of its words, or ``passage`` words in
+    one stretch with the item's values, whatever the rest of that stretch holds.
     """
     spark = docs.sparkSession
     known = items.select(F.col("item_id").cast("bigint").alias("item_id"), text_of("text").alias("text"))
@@ -238,9 +239,9 @@ def matches(
     def words(places):
         return F.array_distinct(F.flatten(F.transform(places, lambda p: F.sequence(p, p + F.col("size") - 1))))
 
+    counted = F.when(by_place & by_value, F.col("places")).otherwise(F.col("own_places"))
     merged = (
-        stretch.where(by_place & by_value)
-        .withColumns({"words": words(F.col("places")), "own_words": F.size(words(F.col("own_places")))})
+        stretch.withColumns({"words": words(counted), "own_words": F.size(words(F.col("own_places")))})
         .groupBy("hash", "item_id")
         .agg(
             F.size(F.array_distinct(F.flatten(F.collect_list("words")))).alias("words"),
