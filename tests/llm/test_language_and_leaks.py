@@ -140,6 +140,19 @@ def test_verbatim_words_beside_a_conflict(spark):
     assert sorted(r.doc_id for r in decontaminate.drop_leaks(docs, known).collect()) == [3, 4]
 
 
+@pytest.mark.parametrize("change", [str.upper, str.lower, str.title])
+def test_copies_in_another_case(spark, change):
+    """Every item is found in any case, also one that another item stands for; other words are not."""
+    names = "Alice Bob Carol Dave Eve Mallory".split()
+    asked = [" ".join(w if k % 3 else f"{names[(i + k) % 6]}" for k, w in enumerate(sentence(70 + i, 24).split())) for i in range(4)]
+    asked += [ITEMS[0][1], ITEMS[1][1], "Short Item of Words"]
+    cases = [(i, f"{PLAIN} {change(t)} {PLAIN}") for i, t in enumerate(asked)] + [(50, change(PLAIN))]
+    docs, known = leaks(spark, cases, list(enumerate(asked)))
+    found = {r.doc_id: r.item_id for r in decontaminate.find_leaks(docs, known, any_case=True).collect()}
+    assert found == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 4, 6: 6}
+    assert {r.doc_id for r in decontaminate.drop_leaks(docs, known, any_case=True).collect()} == {50}
+
+
 def test_leaks_without_rows(spark):
     docs, known = leaks(spark, [(1, PLAIN)])
     assert decontaminate.find_leaks(docs.limit(0), known).count() == 0

@@ -1,6 +1,7 @@
 """Benchmark decontamination by templates.
 
-Numbers, names and units become typed placeholders. Windows of the resulting templates are joined by hash; a match counts
+Numbers, names and units become typed placeholders. Windows of the resulting templates, and of the plain words in lower
+case for copies in another case, are joined by hash; a match counts
 if the values in the places of a document follow from those of the item, so an item with other
 numbers and names is found as well.
 """
@@ -9,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +50,10 @@ HASHES: dict[str, int] = {}
 HELD = 300_000
 
 
+#: Keeps hashes of words in lower case apart from those of templates.
+FOLD = 1
+
+
 def canonical(word: str) -> tuple[str, str]:
     """Template word and value: a typed placeholder with its value, or the lower-cased word and ''."""
     bare = word.strip(EDGES) or word
@@ -64,30 +70,35 @@ def canonical(word: str) -> tuple[str, str]:
 
 
 class Canonical(dict):
-    """Hash of the template word, and value, of each word; bounded."""
+    """Hash of the template word, its kind and value, and hash of the lower-cased word, of each word; bounded."""
 
-    def __missing__(self, word: bytes) -> tuple[int, str, str]:
+    def __missing__(self, word: bytes) -> tuple[int, str, str, int]:
         kind, value = canonical(word.decode())
-        found = xxhash.xxh64_intdigest(kind.encode()), kind if value else "", value
+        folded = xxhash.xxh64_intdigest((value or kind).encode(), FOLD)
+        found = xxhash.xxh64_intdigest(kind.encode()), kind if value else "", value, folded
         if len(self) < HELD and len(word) < 64:
             self[word] = found
         return found
 
 
-def _read(text: str, known: Canonical) -> tuple[np.ndarray, list[tuple[int, str, str]]]:
+def _read(text: str, known: Canonical) -> tuple[np.ndarray, list[tuple[int, str, str, int]]]:
     words = [known[w] for w in text.encode().split()]
     return np.fromiter((w[0] for w in words), np.uint64, len(words)), words
 
 
+def _folded(words) -> np.ndarray:
+    return np.fromiter((w[3] for w in words), np.uint64, len(words))
+
+
 def _values(words, start: int, size: int) -> list[str]:
-    return [f"{kind}={value}" for _, kind, value in words[start : start + size] if kind]
+    return [f"{kind}={value}" for _, kind, value, _ in words[start : start + size] if kind]
 
 
 def _numbered(words) -> str:
     """Template of a whole item, with the places numbered by value: items that ask the same with other values agree."""
     numbers: dict[tuple, int] = {}
     return " ".join(
-        f"{kind}{numbers.setdefault((kind, value), len(numbers))}" if kind else f"{digest:x}" for digest, kind, value in words
+        f"{kind}{numbers.setdefault((kind, value), len(numbers))}" if kind else f"{digest:x}" for digest, kind, value, _ in words
     )
 
 
@@ -128,7 +139,9 @@ def _templates(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from batches(rows(), ITEMS)
 
 
-def _item_windows(size: int):
+def _item_windows(size: int, fold: bool = False):
+    """Windows of templates, or of the lower-cased words: these have no places for values."""
+
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             known = Canonical()
@@ -136,9 +149,10 @@ def _item_windows(size: int):
                 for item, text in zip(table.column("item_id").to_pylist(), table.column("text").to_pylist()):
                     hashes, words = _read(text, known)
                     wide = min(size, len(words))
+                    hashes = _folded(words) if fold else hashes
                     first, second = (h.view(np.int64).tolist() for h in window_hashes(hashes, wide))
                     for place, (a, b) in enumerate(zip(first, second)):
-                        slots = _values(words, place, wide)
+                        slots = [] if fold else _values(words, place, wide)
                         yield {
                             "first": a, "second": b, "size": wide, "item_id": item, "place": place,
                             "n_words": len(words), "slots": slots, "literals": wide - len(slots),
@@ -149,20 +163,21 @@ def _item_windows(size: int):
     return run
 
 
-def _doc_windows(sizes: list[int], bitmap):
+def _doc_windows(sizes: list[int], bitmap, any_case: bool):
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             known, bits = Canonical(), bitmap.value
             for table in tables:
                 for digest, text in zip(table.column("hash").to_pylist(), table.column("text")):
                     hashes, words = _read(text.as_py(), known)
-                    for size in sizes:
-                        first, second = window_hashes(hashes, size)
+                    kinds = [(hashes, False), (_folded(words), True)] if any_case else [(hashes, False)]
+                    for (found, fold), size in product(kinds, sizes):
+                        first, second = window_hashes(found, size)
                         spot = first >> np.uint64(64 - BITS)
                         for at in np.nonzero(bits[spot >> np.uint64(6)] >> (spot & np.uint64(63)) & np.uint64(1))[0].tolist():
                             yield {
                                 "hash": digest, "first": int(first.view(np.int64)[at]), "second": int(second.view(np.int64)[at]),
-                                "size": size, "at": at, "values": _values(words, at, size),
+                                "size": size, "at": at, "values": [] if fold else _values(words, at, size),
                             }
 
         yield from batches(rows(), DOC_WINDOWS, 5_000)
@@ -187,6 +202,7 @@ def matches(
     size: int = WINDOW,
     share: float = SHARE,
     passage: int = PASSAGE,
+    any_case: bool = False,
 ) -> DataFrame:
     """``hash`` (128 bits of the text), ``leaks`` (item_id, n_items, covered, exact), ``n``: for texts with a leak.
 
@@ -196,6 +212,9 @@ def matches(
     matching windows of consistent stretches, and in windows with the item's own values of all others; ``exact`` tells
     that all values are the item's own. A text holds an item if it covers ``share`` of its words, or ``passage`` words in
     one stretch with the item's values, whatever the rest of that stretch holds.
+
+    With ``any_case``, windows of the words in lower case, of all items, are joined as well: words that agree
+    but for case have the values of the item, or of one of those it stands for.
     """
     spark = docs.sparkSession
     known = items.select(F.col("item_id").cast("bigint").alias("item_id"), text_of("text").alias("text"))
@@ -206,22 +225,25 @@ def matches(
     # The number of an item among the representatives is its text; ids may repeat or be null.
     classes = stored(first.select("i.item_id", "i.text", "n_items", F.xxhash64("template").alias("item_key")))
     windows = stored(classes.select(F.col("item_key").alias("item_id"), "text").mapInArrow(_item_windows(size), kinds))
+    if any_case:
+        every = templates.select(F.xxhash64("template").alias("item_id"), "text").distinct()
+        windows = stored(windows.union(every.mapInArrow(_item_windows(size, fold=True), kinds).distinct()))
     sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())
     bitmap = spark.sparkContext.broadcast(_bitmap(windows))
     digest = F.unhex(F.md5(text_of(text_col).cast("binary")))
     texts = docs.select(digest.alias("hash"), text_of(text_col).alias("text"))
     kinds = "hash binary, first bigint, second bigint, size int, at bigint, values array<string>"
-    found = texts.mapInArrow(_doc_windows(sizes, bitmap), kinds)
+    found = texts.mapInArrow(_doc_windows(sizes, bitmap, any_case), kinds)
     met = found.join(F.broadcast(windows) if fits_broadcast(windows) else windows, ["first", "second", "size"])
     own = F.col("values") == F.col("slots")
     met = met.where(own | (F.col("literals") * 2 >= F.col("size"))).withColumn("own", own)
     # Copies of a text become one here.
     each = met.groupBy("hash", "item_id", (F.col("at") - F.col("place")).alias("shift"), "place").agg(
         F.count(F.lit(1)).alias("n"),
-        F.first("own").alias("own"),
+        F.max("own").alias("own"),
         F.first("n_words").alias("n_words"),
         F.first("size").alias("size"),
-        F.first(F.arrays_zip(F.col("slots").alias("slot"), F.col("values").alias("value"))).alias("pairs"),
+        F.flatten(F.collect_set(F.arrays_zip(F.col("slots").alias("slot"), F.col("values").alias("value")))).alias("pairs"),
     )
     stretch = each.groupBy("hash", "item_id", "shift").agg(
         F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"),
