@@ -141,11 +141,6 @@ PART = 1 << 10
 BANDS = pa.schema([("node", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
 
-@lru_cache(maxsize=200_000)
-def _word_hash(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word, SEED)
-
-
 def bands_for(similar: float, rows: int = LEVELS[0], found: float = FOUND) -> int:
     """How many bands find a pair of similarity ``similar`` with the probability ``found``."""
     agree = similar**rows
@@ -162,7 +157,7 @@ def _functions(n: int) -> tuple[np.ndarray, np.ndarray]:
 def band_keys(text: str, rows: int, bands: int, size: int = SHINGLE) -> list[int]:
     """A key for each band of ``rows`` minima over the shingles of a text."""
     words = words_of(text)
-    hashes = np.fromiter(map(_word_hash, words), np.uint64, len(words))
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
     shingles = (window_hashes(hashes, min(size, len(words)))[0] >> np.uint64(32)).astype(np.uint32)
     masks, factors = _functions(rows * bands)
     least = np.full(rows * bands, (1 << 32) - 1, np.uint32)
