@@ -167,17 +167,17 @@ def test_large_group_of_near_copies(spark):
     assert [r.doc_id for r in simhash.keep_one(spark.createDataFrame(made, "doc_id long, text string")).collect()] == [0]
 
 
-@pytest.mark.parametrize("levels,n", [((1,), 400), ((1, 3), 2_000)])
+@pytest.mark.parametrize("levels,n", [((1,), 400), ((1, 12), 400)])
 def test_unrelated_documents_in_one_key(spark, levels, n):
     """All texts share a passage, so keys hold hundreds of them that are no near copies; one in 20 has one."""
     passage, made = sentence(4242, 60).split(), []
     for i in range(n):
-        own = sentence(30_000 + i, 60).split()
+        own = sentence(30_000 + i, 9).split()
         made.append((i, " ".join(passage + own)))
         if i % 20 == 0:
             made.append((10_000 + i, " ".join(passage + own[:-1] + ["changed"])))
     texts = dict(made)
-    assert simhash.similarity(texts[1], texts[2]) < 0.5 and simhash.similarity(texts[20], texts[10_020]) >= 0.9
+    assert simhash.similarity(texts[1], texts[2]) < 0.8 and simhash.similarity(texts[20], texts[10_020]) >= 0.9
     found = spark.createDataFrame(made, "doc_id long, text string")
     kept = {r.doc_id for r in simhash.keep_one(found, levels=levels).select("doc_id").collect()}
     assert kept == set(range(n))
