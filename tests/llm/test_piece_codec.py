@@ -1,0 +1,95 @@
+import random
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
+from sentencepiece import SentencePieceProcessor
+
+from textloom.llm import piece_codec
+
+from .conftest import rows
+
+PATH = public_tokenizers.path("piece_bpe_32k.model")
+LIBRARY = SentencePieceProcessor(model_file=PATH)
+CODEC = piece_codec.Codec(PATH)
+SIGNS = st.text(st.one_of(st.sampled_from(" ▁  \n\tthe anioxX0-="), st.characters(exclude_categories=["Cs"])), max_size=60)
+
+
+def split(ids, sizes):
+    ends = np.cumsum(sizes)
+    return [ids[e - n : e].tolist() for e, n in zip(ends, sizes)]
+
+
+def same(texts):
+    ids, sizes = CODEC.encode(texts)
+    want = LIBRARY.encode(texts, add_eos=True, num_threads=1)
+    assert split(ids, sizes) == want
+    assert CODEC.decode(ids, sizes) == [LIBRARY.decode(w) for w in want]
+
+
+@settings(deadline=None, max_examples=400)
+@given(st.lists(SIGNS, max_size=5))
+def test_any_text(texts):
+    same(texts)
+
+
+@settings(deadline=None, max_examples=600)
+@given(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 31_999)), max_size=12))
+def test_any_ids(ids):
+    assert CODEC.decode(np.array(ids, np.int64), np.array([len(ids)])) == [LIBRARY.decode(ids)]
+
+
+def test_blank_runs():
+    same([" " * n + "the" for n in range(80)] + ["a" + " " * n for n in range(80)] + [" " * n + "\n" + " " * n for n in range(40)])
+    same([" " * 50_000 + "x" + " " * 30_001])
+
+
+def test_long_words():
+    r = random.Random(3)
+    letters = "".join(r.choice("etaoinshrdlu") for _ in range(20_000))
+    code = "".join(chr(r.randrange(33, 127)) for _ in range(20_000))
+    same([letters, code, "x" * 30_000, "ab" * 20_000, "=-" * 9_000, "漢字🙂" * 5_000, "the" * 9_000])
+
+
+def test_glued_words():
+    r = random.Random(4)
+    words = "the of information being understand there other transformation processing thing".split()
+    same(["".join(r.choice(words) for _ in range(r.randint(1, 60))) for _ in range(500)])
+
+
+def test_memory_is_bounded_and_changes_nothing(monkeypatch):
+    monkeypatch.setattr(piece_codec, "HELD_WORDS", 50)
+    monkeypatch.setattr(piece_codec, "STRETCH", 400)
+    r = random.Random(5)
+    texts = ["".join(r.choice("abc  de\n") for _ in range(r.randint(0, 2_000))) for _ in range(60)]
+    same(texts)
+    assert len(CODEC.known) <= 4_000
+
+
+def test_merges_are_rounds_over_all_words(monkeypatch):
+    rounds = []
+    monkeypatch.setattr(CODEC, "_picked", lambda *a, f=CODEC._picked: rounds.append(1) or f(*a))
+    CODEC.merge(["▁transformation", "▁information"] * 500)
+    assert 1 < len(rounds) < 20
+
+
+def test_odd_documents(spark, docs, texts, no_docs):
+    coded = piece_codec.decode(piece_codec.encode(docs, PATH), PATH)
+    want = []
+    for i, t in texts:
+        ids = LIBRARY.encode(t or "", add_eos=True)
+        want.append((i, ids, LIBRARY.decode(ids)))
+    assert rows(coded) == sorted(want, key=repr)
+    assert piece_codec.decode(piece_codec.encode(no_docs, PATH), PATH).count() == 0
+    named = docs.where("doc_id is not null").select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "text")
+    assert rows(piece_codec.encode(named, PATH).select("doc_id")) == rows(named.select("doc_id"))
+
+
+def test_odd_ids(spark):
+    df = spark.createDataFrame([(1, None), (2, []), (3, [3, 199]), (4, [0, 1, 2])], "doc_id int, ids array<int>")
+    assert rows(piece_codec.decode(df, PATH).select("doc_id", "decoded")) == [(1, ""), (2, ""), (3, "\0�"), (4, LIBRARY.decode([0, 1, 2]))]
+    for bad in ([5, None], [32_000], [-1]):
+        with pytest.raises(Exception, match="null among|does not have"):
+            piece_codec.decode(spark.createDataFrame([(1, bad)], "doc_id int, ids array<int>"), PATH).collect()

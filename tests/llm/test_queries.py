@@ -1,5 +1,6 @@
 """The registered queries over whole tables: against their SQL, or against brute force where SQL cannot tell."""
 
+import hashlib
 import zlib
 from collections import defaultdict
 from pathlib import Path
@@ -8,6 +9,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
@@ -38,7 +40,7 @@ def rows_of(spark, name):
 @pytest.mark.parametrize("name", [n for n in entry.oracle_sql() if n.startswith("op")])
 def test_sql(spark, name):
     db = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "embeddings"):
         db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     result = db.execute(entry.oracle_sql()[name])
     columns = [d[0] for d in result.description]
@@ -115,3 +117,14 @@ def test_op10(spark, tables):
         ends = np.cumsum([n for _, n in sorted(parts)])
         assert [o for o, _ in sorted(parts)] == [0, *ends[:-1]] and ends[-1] <= 2048
     assert len(sequences) <= 1.01 * sum(r["length"] for r in found) / 2048 + 1
+
+
+def test_op11(spark, tables):
+    model = SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    want = {}
+    for i, t, _ in tables["documents"]:
+        ids = model.encode(t, add_eos=True)
+        digests = [hashlib.sha256(x.encode()).hexdigest() for x in (" ".join(map(str, ids)), model.decode(ids))]
+        want[i] = (len(ids), *digests)
+    found = rows_of(spark, "op11_sentencepiece")
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in found} == want and len(found) == len(want)

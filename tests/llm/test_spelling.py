@@ -1,0 +1,108 @@
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from textloom.llm import spelling
+
+from .conftest import rows, sentence
+
+COLUMNS = "word", "form", "root", "n", "n_near", "form_n"
+
+
+def one_edit(a, b):
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    return len(a) + 1 == len(b) and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def grouped(counts, times=10):
+    near = {w: [v for v in counts if one_edit(w, v)] for w in counts}
+    form = {}
+    for w, others in near.items():
+        best = min(others, key=lambda v: (-counts[v], v), default=None)
+        form[w] = best if best is not None and counts[best] >= times * counts[w] else None
+    out = []
+    for w in counts:
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out.append((w, form[w], root, counts[w], len(near[w]), counts.get(form[w])))
+    return sorted(out, key=repr)
+
+
+def counted(texts, one_in=31, shortest=7, least=2):
+    found = Counter()
+    for i, t in texts:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            run = "".join(c.lower() if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            if h % one_in == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            found[run] += 1
+    return {w: n for w, n in found.items() if len(w) >= shortest and n >= least}
+
+
+def table(spark, counts):
+    return spark.createDataFrame(list(counts.items()), "word string, n long").repartition(3)
+
+
+def test_chains_ties_and_equal_letters(spark):
+    counts = {
+        "aaaaaaa": 5_000, "aaaaaaaa": 400, "aaaaaaab": 30, "aaaaaaabb": 2, "aaaabaa": 3, "baaaaaa": 3,
+        "letters": 100, "lettres": 5, "leters": 9, "lettters": 10, "lettert": 100, "lletters": 2, "lettersz": 3,
+        "écoles": 20, "ecoles": 2, "éccoles": 2, "ÿcoles": 20, "alone": 7, "a": 50, "ab": 5, "b": 50, "": 4, "abcdefgh": 1,
+    }
+    assert rows(spelling.group_variants(table(spark, counts)).select(*COLUMNS)) == grouped(counts)
+    assert rows(spelling.group_variants(table(spark, counts), 2).select(*COLUMNS)) == grouped(counts, 2)
+
+
+def test_a_place_shared_by_many_words(spark):
+    """One letter after another at the same place: each pair of words is counted without a row for it."""
+    signs = [chr(c) for c in [*range(97, 123), *range(0xC0, 0x100)]]
+    counts = {f"prefix{c}suffix": 1 + i for i, c in enumerate(signs)} | {"prefixsuffix": 7}
+    assert rows(spelling.group_variants(table(spark, counts), 1).select(*COLUMNS)) == grouped(counts, 1)
+
+
+def test_random_words(spark):
+    r = np.random.default_rng(1)
+    words = {"".join(r.choice(list("ab"), r.integers(3, 9))) for _ in range(300)} | {sentence(k, 1) for k in range(100)}
+    counts = {w: int(10 ** r.uniform(0, 5)) for w in words}
+    assert rows(spelling.group_variants(table(spark, counts)).select(*COLUMNS)) == grouped(counts)
+
+
+def test_odd_documents(spark, docs, texts, no_docs):
+    found = spelling.word_counts(docs, shortest=3, least=1)
+    counts = counted(texts, shortest=3, least=1)
+    assert {r.word: r.n for r in found.collect()} == counts
+    assert rows(spelling.spelling_variants(docs, times=2, one_in=3).select(*COLUMNS)) == grouped(counted(texts, one_in=3), 2)
+    assert spelling.spelling_variants(no_docs).count() == 0
+    again = [(1, "Ünï×çödé÷ÀÉ ÀÉÿßabc ABCDEFG abcdefg"), (1, "abcdefg"), (2, "x" * 30_000), (3, "x" * 30_000 + " " + "x" * 29_999)]
+    df = spark.createDataFrame(again, "doc_id long, text string")
+    assert {r.word: r.n for r in spelling.word_counts(df, least=1, shortest=1).collect()} == counted(again, least=1, shortest=1)
+    long = {"x" * 30_000: 40, "x" * 29_999: 3, "x" * 29_998 + "y": 2}
+    got = {r.word: (r.form, r.n_near) for r in spelling.group_variants(table(spark, long)).collect()}
+    assert got == {"x" * 30_000: (None, 1), "x" * 29_999: ("x" * 30_000, 2), "x" * 29_998 + "y": (None, 1)}
+
+
+def test_numbers_that_meet_are_noticed(spark, monkeypatch):
+    letters, starts, lengths = spelling._flat(["abcdef", "abcxyz"])
+    for backwards in (False, True):
+        nodes = spelling.trie_nodes(letters, starts, lengths, 1, backwards)
+        assert len(set(nodes.tolist())) == (13 if backwards else 10)
+    words = table(spark, {"abcdef": 1, "abcxyz": 2})
+    assert spelling.numbers_are_sound(spelling._nodes(words, 0))
+    schema = "trie int, node long, parent long, letter int"
+    for row in [(0, 5, 1, 98), (0, 5, 2, 97)]:
+        assert not spelling.numbers_are_sound(spark.createDataFrame([(0, 5, 1, 97), row], schema))
+    assert spelling.numbers_are_sound(spark.createDataFrame([(0, 5, 1, 97), (1, 5, 2, 97), (0, 5, 1, 97)], schema))
+    monkeypatch.setattr(spelling, "_nodes", lambda words, seed: seed)
+    monkeypatch.setattr(spelling, "numbers_are_sound", lambda seed: seed == 2)
+    assert spelling._seed(words) == 2
+    monkeypatch.setattr(spelling, "numbers_are_sound", lambda seed: False)
+    with pytest.raises(ValueError, match="all seeds"):
+        spelling._seed(words)
