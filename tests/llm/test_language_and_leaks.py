@@ -52,16 +52,66 @@ def test_one_language_and_none(spark, labelled):
 
 def test_rejected(labelled):
     model = language_id.train(labelled)
-    kept = {r.doc_id for r in language_id.flag_rejected(labelled, model).where("not _rejected").collect()}
-    assert kept == {*range(200), 1003, 1004, None}
-
-
-def test_ambiguous():
-    counts = np.zeros((2, language_id.BUCKETS))
-    counts[0, 1], counts[1, 2] = 100, 100
-    model = language_id.Model(["x", "y"], counts)
-    model.weights[:] = 0
-    assert model.judge("abc")[2] <= language_id.TIE
+    flagged = {r.doc_id: r._rejected for r in language_id.flag_rejected(labelled, model).collect()}
+    texts = {r.doc_id: r.text for r in labelled.collect()}
+    assert flagged == {i: not language_id.has_letter(t) or model.judge(t)[2] <= model.bound for i, t in texts.items()}
+    assert all(flagged[i] for i in (1000, 1001, 1002)) and sum(flagged.values()) <= 6
+
+
+def test_texts_between_languages_are_ambiguous(spark):
+    """Gibberish, code and scripts that were never learned are flagged, of clean held-out texts less than one in a hundred."""
+    rows = [(i, text_in(lang, i, 150), lang) for i, lang in enumerate(sorted(ALPHABETS) * 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    odd = ["zvwy wzxv yxzw vvxy " * 20, "{x[0]+=1;} != (y<<2)&0xff; " * 20, "Это текст о погоде и природе. " * 20, "这是一个中文文本 " * 30]
+    model = language_id.train(docs.where(~language_id.held_out("doc_id")))
+    said = language_id.predict(docs.unionByName(spark.createDataFrame([(-1 - k, t, None) for k, t in enumerate(odd)], docs.schema)), model)
+    flags = {r.doc_id: (r.ambiguous, r.held_out) for r in said.collect()}
+    assert model.bound > 0 and all(flags[-1 - k][0] for k in range(len(odd)))
+    clean = [flag for i, (flag, out) in flags.items() if i >= 0 and out]
+    assert len(clean) > 200 and sum(clean) < 0.01 * len(clean)
+
+
+def brute_judge(counts, text):
+    """Naive Bayes per bit and the loss-weighted nearest codeword, gram by gram in plain Python."""
+    langs = sorted(counts)
+    code = language_id.codewords(langs)
+    share = {k: (counts[k] + 0.5) / (counts[k] + 0.5).sum() for k in langs}
+    grams = [int(g) for part in language_id.buckets_of(text) for g in part]
+    losses, trusts = [], []
+    for bit in range(code.shape[1]):
+        one = [share[k] for k, c in zip(langs, code[:, bit]) if c > 0]
+        zero = [share[k] for k, c in zip(langs, code[:, bit]) if c < 0]
+        weight = np.log(sum(one) / len(one)) - np.log(sum(zero) / len(zero))
+        means = np.array([float((share[k] * weight).sum()) for k in langs])
+        trusts.append(max(1e-6, (means * code[:, bit]).min()))
+        margin = sum(float(weight[g]) for g in grams) / len(grams) / (np.abs(means).mean() + 1e-9)
+        losses.append([np.log1p(np.exp(-2 * margin * c)) for c in code[:, bit]])
+    loss = (np.array(trusts)[:, None] * np.array(losses)).sum(axis=0) / sum(trusts)
+    return langs[int(loss.argmin())], float(np.sort(loss)[1] - np.sort(loss)[0])
+
+
+def test_decoding_by_brute_force(labelled):
+    model, counts = language_id.train(labelled), {}
+    for r in labelled.where("lang is not null and text is not null").collect():
+        if language_id.has_letter(r.text):
+            for part in language_id.buckets_of(r.text):
+                counts[r.lang] = counts.get(r.lang, 0) + np.bincount(part, minlength=language_id.BUCKETS).astype(float)
+    for lang in ALPHABETS:
+        for text in (text_in(lang, 900), text_in(lang, 901, 3), text_in(lang, 902, 600), text_in(lang, 1) + text_in("aa", 2)):
+            said, score, nearer = model.judge(text)
+            want, apart = brute_judge(counts, text)
+            assert said == want and nearer == pytest.approx(apart, rel=1e-3, abs=1e-4) and 0 <= score <= 1
+
+
+def test_too_many_labels(labelled):
+    with pytest.raises(ValueError, match="more than 3 languages"):
+        language_id.train(labelled, max_langs=3)
+
+
+def test_string_ids(labelled):
+    named = labelled.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    found = language_id.identify(named)
+    assert found.schema["doc_id"].dataType.simpleString() == "string" and found.count() == labelled.count()
 
 
 @pytest.mark.parametrize("n", [2, 4, 7, 8, 40])

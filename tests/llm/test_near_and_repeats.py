@@ -113,74 +113,52 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def kept_of(spark, made):
+    return {r.doc_id for r in simhash.keep_one(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+
+
 def test_near_copies_leave_one(docs, texts):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
-    pairs = [(i, t or "") for i, t in texts]
-    comps = smallest_reachable(
-        [i for i, _ in pairs], lambda a, b: simhash.similarity(pairs[a][1], pairs[b][1]) >= simhash.SIMILARITY
-    )
-    want = sorted((i for (i, _), c in zip(pairs, comps) if i is None or i == c), key=repr)
+    fps = [fingerprint(t) for _, t in texts]
+    comps = smallest_reachable([i for i, _ in texts], lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 3)
+    want = sorted((i for (i, _), c in zip(texts, comps) if i is None or i == c), key=repr)
     assert sorted((r.doc_id for r in kept.select("doc_id").collect()), key=repr) == want
-    assert simhash.similarity("a b c d e f", "a b c d e") == 0.5
 
 
-@pytest.mark.parametrize("edits", [1, 3, 5])
-def test_near_copies_are_found(spark, edits):
-    """Pairs of 200 words with a few changed words; every pair of similarity 0.8 or more."""
-    r, made = random.Random(edits), []
-    for i in range(150):
-        words = sentence(10_000 + i, 200).split()
+def test_one_id_of_several_texts(spark):
+    """A row goes by its id and its text: another text under the same id stays."""
+    base = sentence(41, 60)
+    made = [(1, base), (2, base), (2, sentence(42, 60)), (3, base), (3, base)]
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    assert rows(simhash.keep_one(df)) == [(1, base), (2, sentence(42, 60))]
+
+
+def test_string_ids(spark):
+    base = sentence(43, 60)
+    df = spark.createDataFrame([("b", base), ("a", base), ("c", sentence(44, 50))], "doc_id string, text string")
+    assert [r[0] for r in rows(simhash.keep_one(df))] == ["a", "c"]
+    assert {(r.doc_id, r.component_id) for r in simhash.fingerprint_groups(df).collect()} == {("a", "a"), ("b", "a"), ("c", "c")}
+
+
+def test_long_texts_with_a_few_edits(spark):
+    """2,000 words, some of them changed: the pairs within three bits, and no other, leave one."""
+    r, made = random.Random(9), []
+    for i in range(60):
+        words = sentence(10_000 + i, 2_000).split()
         made.append((2 * i, " ".join(words)))
-        for place in r.sample(range(200), edits):
+        for place in r.sample(range(2_000), i % 6):
             words[place] = "edited"
         made.append((2 * i + 1, " ".join(words)))
-    near = [i for i in range(150) if simhash.similarity(made[2 * i][1], made[2 * i + 1][1]) >= 0.8]
-    kept = {row.doc_id for row in simhash.keep_one(spark.createDataFrame(made, "doc_id long, text string")).collect()}
-    assert len(near) > 20 and not set(range(0, 300, 2)) - kept
-    assert sum(2 * i + 1 not in kept for i in near) >= 0.97 * len(near)
-    assert all(2 * i + 1 in kept for i in range(150) if i not in near)
-
-
-@pytest.mark.parametrize("kind", ["appended", "inserted", "cut"])
-def test_blocks_and_cuts_are_found(spark, kind):
-    """Pairs of similarity 0.8 to 0.81 whose words follow Zipf's law and differ in one block."""
-    r, made = np.random.default_rng(len(kind)), []
-    for i in range(300):
-        words = [f"w{x}" for x in r.zipf(1.3, 500)]
-        n = 100 + i % 300
-        block = n // 4 - (11 if kind == "inserted" else 2)
-        if kind == "inserted":
-            other = words[: n // 2] + words[400 : 400 + block] + words[n // 2 : n]
-        else:
-            other = words[: n + block]
-        pair = [words[:n], other] if kind != "cut" else [other, words[:n]]
-        made += [(2 * i + side, " ".join(x)) for side, x in enumerate(pair)]
-    near = [i for i in range(300) if simhash.similarity(made[2 * i][1], made[2 * i + 1][1]) >= 0.8]
-    kept = {row.doc_id for row in simhash.keep_one(spark.createDataFrame(made, "doc_id long, text string")).collect()}
-    assert len(near) > 100 and sum(2 * i + 1 not in kept for i in near) >= 0.99 * len(near)
+    fps = {i: fingerprint(t) for i, t in made}
+    near = {i for i in fps if i % 2 and (fps[i] ^ fps[i - 1]).bit_count() <= 3}
+    assert len(near) > 20 and kept_of(spark, made) == set(fps) - near
 
 
 def test_large_group_of_near_copies(spark):
-    words = sentence(77, 300).split()
+    words = sentence(77, 3_000).split()
     made = [(i, " ".join(words[: i % 290] + [f"w{i}"] + words[i % 290 + 1 :])) for i in range(400)]
-    assert [r.doc_id for r in simhash.keep_one(spark.createDataFrame(made, "doc_id long, text string")).collect()] == [0]
-
-
-@pytest.mark.parametrize("levels,n", [((1,), 400), ((1, 12), 400)])
-def test_unrelated_documents_in_one_key(spark, levels, n):
-    """All texts share a passage, so keys hold hundreds of them that are no near copies; one in 20 has one."""
-    passage, made = sentence(4242, 60).split(), []
-    for i in range(n):
-        own = sentence(30_000 + i, 9).split()
-        made.append((i, " ".join(passage + own)))
-        if i % 20 == 0:
-            made.append((10_000 + i, " ".join(passage + own[:-1] + ["changed"])))
-    texts = dict(made)
-    assert simhash.similarity(texts[1], texts[2]) < 0.8 and simhash.similarity(texts[20], texts[10_020]) >= 0.9
-    found = spark.createDataFrame(made, "doc_id long, text string")
-    kept = {r.doc_id for r in simhash.keep_one(found, levels=levels).select("doc_id").collect()}
-    assert kept == set(range(n))
+    assert kept_of(spark, made) == {0}
 
 
 def removed(texts, size=13):

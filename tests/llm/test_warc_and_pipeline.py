@@ -5,9 +5,10 @@ import pytest
 import zstandard
 
 import corpus_pipeline
-from textloom.llm import simhash, warc
+from textloom.llm import language_id, warc
 
 from .conftest import rows, sentence
+from .test_near_and_repeats import fingerprint, smallest_reachable
 
 PAGES = [
     (1, "http://a/1", "<p>same</p>"), (2, "http://a/2", "<p>same</p>"), (0, None, "<p>same</p>"), (3, "http://a/\r\nX: y", ""), (4, "", None),
@@ -110,18 +111,19 @@ def test_pipeline_on_odd_documents(spark, docs, texts, tmp_path):
         stage = function(spark, stage, str(tmp_path))
         assert stage.columns == docs.columns, name
 
+    model = language_id.train(docs)
+
     def has_letter(t):
-        return any(c.isalpha() for c in t or "")
+        return any(c.isalpha() for c in t or "") and model.judge(t)[2] > model.bound
 
     kept = {}
     for i, t in texts:
         if has_letter(t):
             kept[t] = i if i is not None and (kept.get(t) is None or i > kept[t]) else kept.get(t)
     left = list(kept.items())
-    gone = {
-        a for a, i in left for b, j in left
-        if a != b and i is not None and j is not None and j < i and simhash.similarity(a, b) >= 0.8
-    }
+    fps = {t: fingerprint(t) for t in kept}
+    comps = smallest_reachable([i for _, i in left], lambda a, b: (fps[left[a][0]] ^ fps[left[b][0]]).bit_count() <= 3)
+    gone = {t for (t, i), c in zip(left, comps) if i is not None and i != c}
     want = {t for t in kept if t not in gone and " ".join(passage.split()) not in " ".join(t.split())}
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.text for r in stage.collect()} == want

@@ -1,20 +1,17 @@
-"""Near-duplicates: SimHash fingerprints, linked through Golay keys, and MinHash bands of shingles, verified on the texts."""
+"""Near-duplicates: SimHash fingerprints, linked through Golay keys of their segments and compared bit by bit."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from textloom.llm import golay
-from textloom.llm.common import batches, hot_join, stored, text_of
+from textloom.llm.common import hot_join, stored, text_of
 from textloom.llm.graph import components
-from textloom.llm.substring_dedup import window_hashes
 from textloom.llm.url_filter import only_possible
 
 SEED = 42
@@ -22,7 +19,6 @@ MAX_ERRORS = 3
 #: Shingles whose bits are counted at a time.
 BLOCK = 1 << 15
 
-FINGERPRINTS = pa.schema([("id", pa.int64()), ("fp", pa.int64())])
 KEYS = pa.schema([("key", pa.int64()), ("fp", pa.int64())])
 
 
@@ -57,12 +53,9 @@ def _signed(value: int) -> int:
 
 def _fingerprints(size: int):
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            for table in tables:
-                for i, text in zip(table.column("id").to_pylist(), table.column("text")):
-                    yield {"id": i, "fp": _signed(fingerprint(text.as_py(), size))}
-
-        yield from batches(rows(), FINGERPRINTS)
+        for table in tables:
+            found = [_signed(fingerprint(text.as_py(), size)) for text in table.column("text")]
+            yield pa.RecordBatch.from_arrays([table.column("id"), pa.array(found, pa.int64())], names=["id", "fp"])
 
     return run
 
@@ -94,6 +87,26 @@ def fingerprint_links(values: DataFrame) -> DataFrame:
     return joined.select("a", "b").distinct()
 
 
+def _kept_type(docs: DataFrame, id_col: str) -> str:
+    return docs.schema[id_col].dataType.simpleString()
+
+
+def _fingerprinted(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    return stored(texts.mapInArrow(_fingerprints(size), f"id {_kept_type(docs, id_col)}, fp bigint"))
+
+
+def _groups(rows: DataFrame) -> DataFrame:
+    """``fp``, ``component_id``, ``n`` for the fingerprints of groups of two rows or more, stored."""
+    values = stored(rows.groupBy("fp").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")))
+    labels = components(fingerprint_links(values))
+    linked = values.join(labels.withColumnRenamed("node", "fp"), "fp")
+    first = linked.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    linked = linked.join(first, "component").select("fp", "component_id", "n")
+    alone = values.join(linked.select("fp"), "fp", "left_anti").where("n > 1")
+    return stored(linked.union(alone.select("fp", "first_id", "n")))
+
+
 def fingerprint_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3
 ) -> DataFrame:
@@ -104,18 +117,11 @@ def fingerprint_groups(
     before any join, so copies cost nothing; the values are joined by Golay keys and compared.
 
     Null and empty texts have fingerprint 0 and are linked like any other. Null ids belong to a component, which
-    has a null id only if all its ids are null. Repeated rows stay.
+    has a null id only if all its ids are null. Repeated rows stay, ids keep their type.
     """
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), text_of(text_col).alias("text"))
-    rows = stored(texts.mapInArrow(_fingerprints(size), "id bigint, fp bigint"))
-    values = stored(rows.groupBy("fp").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")))
-    labels = components(fingerprint_links(values))
-    linked = values.join(labels.withColumnRenamed("node", "fp"), "fp")
-    first = linked.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    linked = linked.join(first, "component").select("fp", "component_id", "n")
-    alone = values.join(linked.select("fp"), "fp", "left_anti").where("n > 1")
-    found = stored(linked.union(alone.select("fp", "first_id", "n")))
-    joined = hot_join(rows, found.withColumn("known", F.lit(True)), ["fp"], "n", ["component_id", "known"])
+    rows = _fingerprinted(docs, id_col, text_col, size)
+    found = _groups(rows).withColumn("known", F.lit(True))
+    joined = hot_join(rows, found, ["fp"], "n", ["component_id", "known"])
     component = F.when(F.col("known"), F.col("component_id")).otherwise(F.col("id"))
     return joined.select(
         F.col("id").alias(id_col),
@@ -124,199 +130,23 @@ def fingerprint_groups(
     )
 
 
-# Near-duplicates by similarity: bands of MinHash values over the shingles propose pairs, shingles decide.
-
-#: Minima that make a band, by level. A pair of similarity s agrees in a band with the probability s ** rows.
-LEVELS = (6, 12)
-#: Probability that a pair of the least similarity that counts shares a band, at the least.
-FOUND = 0.999
-#: Documents of a key that are all compared with each other. Those of a crowded key are compared with one of them
-#: first; where that leaves several components, the next level tells them apart.
-COMPARED = 64
-SIMILARITY = 0.8
-SHINGLE = 5
-#: Shingles whose minima are taken at a time.
-PART = 1 << 10
-
-BANDS = pa.schema([("node", pa.int64()), ("bands", pa.list_(pa.int64()))])
-
-
-def bands_for(similar: float, rows: int = LEVELS[0], found: float = FOUND) -> int:
-    """How many bands find a pair of similarity ``similar`` with the probability ``found``."""
-    agree = similar**rows
-    return math.ceil(math.log(1 - found) / math.log(1 - agree)) if agree < 1 else 1
-
-
-@lru_cache(maxsize=8)
-def _functions(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """``n`` hash functions on 32 bits: a mask and an odd factor each."""
-    drawn = np.random.default_rng(SEED).integers(0, 1 << 32, (2, n, 1), np.uint32)
-    return drawn[0], drawn[1] | np.uint32(1)
-
-
-def band_keys(text: str, rows: int, bands: int, size: int = SHINGLE) -> list[int]:
-    """A key for each band of ``rows`` minima over the shingles of a text."""
-    words = words_of(text)
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
-    shingles = (window_hashes(hashes, min(size, len(words)))[0] >> np.uint64(32)).astype(np.uint32)
-    masks, factors = _functions(rows * bands)
-    least = np.full(rows * bands, (1 << 32) - 1, np.uint32)
-    for start in range(0, len(shingles) if words else 0, PART):
-        np.minimum(least, ((shingles[None, start : start + PART] ^ masks) * factors).min(axis=1), out=least)
-    flat, width = least.tobytes(), 4 * rows
-    return [_signed(xxhash.xxh64_intdigest(flat[b * width : (b + 1) * width], b)) for b in range(bands)]
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
+    """The input with one document of each group of ``fingerprint_groups``: that with the smallest id, with all its columns.
 
-
-def similarity(left: str, right: str, size: int = SHINGLE) -> float:
-    """Jaccard similarity of the sets of shingles; 1 for two texts without words."""
-    a, b = (set(shingles_of(words_of(t), size)) for t in (left, right))
-    return len(a & b) / len(a | b) if a or b else 1.0
-
-
-def _bands(rows: int, bands: int, size: int):
-    def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found():
-            for table in tables:
-                for node, text in zip(table.column("node").to_pylist(), table.column("text")):
-                    yield {"node": node, "bands": band_keys(text.as_py(), rows, bands, size)}
-
-        yield from batches(found(), BANDS, 5_000)
-
-    return run
-
-
-def _verified(similar: float, size: int):
-    def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-        for table in tables:
-            left, right = table.column("left"), table.column("right")
-            keep = [similarity(x.as_py(), y.as_py(), size) >= similar for x, y in zip(left, right)]
-            kept = table.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays(kept.columns, schema=schema)
-
-    return run
-
-
-def _node(text: Column) -> tuple[Column, Column]:
-    digest = F.md5(text.cast("binary"))
-    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint"), F.unhex(digest)
-
-
-def _links(texts: DataFrame, pairs: DataFrame, similar: float, size: int) -> DataFrame:
-    """The pairs (a, b) whose texts are near copies; ``texts`` has each node once, with its text."""
-    sides = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a")
-    sides = sides.join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
-    return sides.select("a", "b", "left", "right").mapInArrow(_verified(similar, size), "a bigint, b bigint")
-
-
-def _texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``node`` and ``text`` for each node in ``wanted``, once."""
-    possible, _ = only_possible(rows, wanted, "node")
-    texts = possible.groupBy("node").agg(F.first("text").alias("text"))
-    return stored(texts.join(wanted, "node", "left_semi"))
-
-
-def _apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """The distinct pairs whose nodes are in different components."""
-    pairs = pairs.distinct()
-    if labels is None:
-        return stored(pairs)
-    for side in ("a", "b"):
-        mine = labels.select(F.col("node").alias(side), F.col("component").alias(f"_{side}"))
-        pairs = pairs.join(mine, side, "left")
-    one = F.coalesce("_a", "a") == F.coalesce("_b", "b")
-    return stored(pairs.where(~one).select("a", "b"))
-
-
-def _proposed(heads: DataFrame, met: DataFrame) -> DataFrame:
-    """Pairs a < b of a key: all of them, or those with its first node if it is crowded."""
-    two = heads.where("n = 2").select(F.col("first").alias("a"), F.col("last").alias("b"))
-    lists = met.where(F.col("n") <= COMPARED).groupBy("key").agg(F.collect_list("node").alias("nodes"))
-    each = F.transform(
-        "nodes", lambda a: F.transform(F.filter("nodes", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))
-    )
-    few = lists.select(F.explode(F.flatten(each)).alias("p")).select("p.a", "p.b")
-    many = met.where((F.col("n") > COMPARED) & (F.col("node") > F.col("first")))
-    return two.union(few).union(many.select(F.col("first").alias("a"), F.col("node").alias("b")))
-
-
-def _mixed(crowded: DataFrame, labels: DataFrame) -> DataFrame:
-    """``key``, ``node``, ``component`` for the members of the crowded keys that hold several components."""
-    met = crowded.select("key", "node").join(labels, "node", "left")
-    met = met.select("key", "node", F.coalesce("component", "node").alias("component"))
-    several = met.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-    return stored(met.join(several.select("key"), "key"))
-
-
-def near_duplicates(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    similar: float = SIMILARITY,
-    size: int = SHINGLE,
-    levels: tuple[int, ...] = LEVELS,
-) -> DataFrame:
-    """``hash`` (128 bits of the text), ``keep_id``, ``n``: for each text that has copies or near copies.
-
-    Two texts are near copies where their sets of ``size``-word shingles have a Jaccard similarity of ``similar``
-    or more. Candidates share a band of MinHash values over these sets, whatever the edits between them: a pair of
-    similarity ``similar`` does with the probability FOUND, a closer one more surely. The documents of a key
-    are compared all with each other, up to COMPARED. In a key that holds more, all are compared with one, which
-    joins a group of copies at the cost of its rows. If the key still holds several components, its documents go to the next
-    of ``levels``, whose bands of more minima part unrelated texts; after the last one all pairs of different components
-    are compared. Copies of one text are one candidate. Groups are the components of the verified pairs, and the document
-    with the smallest id stays.
-
-    Null texts count as empty; texts without words are copies of each other.
+    Rows without id stay, and so do rows that repeat the smallest id. Only rows whose id may be among those that go
+    are read again with their texts and meet them in a join, by id and fingerprint.
     """
-    node, digest = _node(F.col("text"))
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), text_of(text_col).alias("text"))
-    keyed = rows.select("id", node.alias("node"), digest.alias("hash"))
-    counts = keyed.groupBy("node", "hash").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-    plain = rows.select(node.alias("node"), "text")
-    links = labels = texts = mixed = None
-    for minima in levels:
-        made = (plain if texts is None else texts).mapInArrow(
-            _bands(minima, bands_for(similar, minima), size), "node bigint, bands array<bigint>"
-        )
-        distinct = stored(made.groupBy("node").agg(F.first("bands").alias("bands")))
-        members = distinct.select(F.explode("bands").alias("key"), "node")
-        heads = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"), F.max("node").alias("last"))
-        heads = stored(heads.where("n > 1"))
-        more = heads.where("n > 2").select("key", "n", "first")
-        some = only_possible(members, more, "key")[0] if texts is None else members
-        met = stored(some.join(more, "key"))
-        pairs = _apart(_proposed(heads, met), labels)
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        new = _links(_texts_of(plain, ends) if texts is None else texts, pairs, similar, size)
-        links = stored(new if links is None else links.union(new))
-        labels = components(links)
-        crowded = met.where(F.col("n") > COMPARED)
-        mixed = None if crowded.isEmpty() else _mixed(crowded, labels)
-        if mixed is None or mixed.isEmpty():
-            mixed = None
-            break
-        texts = _texts_of(plain, mixed.select("node").distinct())
-    if mixed is not None:
-        left = mixed.select("key", F.col("node").alias("a"), F.col("component").alias("x"))
-        right = mixed.select("key", F.col("node").alias("b"), F.col("component").alias("y"))
-        pairs = left.join(right, "key").where("a < b and x <> y").select("a", "b")
-        labels = components(links.union(_links(texts, _apart(pairs, labels), similar, size)))
-
-    nodes = stored(counts.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    groups = nodes.groupBy("component").agg(F.min("first_id").alias("keep_id"), F.sum("n").alias("all"))
-    return nodes.join(groups.where(F.col("all") > 1), "component").select("hash", "keep_id", "n")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The input with one document of each group of near copies, that with the smallest id; rows without id stay."""
-    found = stored(near_duplicates(docs, id_col, text_col, **options))
+    rows = _fingerprinted(docs, id_col, text_col, size)
+    met = hot_join(rows, _groups(rows), ["fp"], "n", ["component_id"])
+    gone = stored(met.where(F.col("id") != F.col("component_id")).groupBy("id", "fp").agg(F.count(F.lit(1)).alias("n")))
     names = [f"_{i}" for i in range(len(docs.columns))]
-    text = text_of(names[docs.columns.index(text_col)])
-    plain = docs.toDF(*names).withColumn("hash", F.unhex(F.md5(text.cast("binary"))))
-    plain = plain.withColumn("key", F.hex("hash"))
-    copies, others = only_possible(plain, found.select(F.hex("hash").alias("key")), "key")
-    joined = hot_join(copies, found, ["hash"], "n", ["keep_id"])
-    mine = F.col(names[docs.columns.index(id_col)])
-    kept = joined.where(F.col("keep_id").isNull() | mine.isNull() | (mine == F.col("keep_id")))
-    return others.select(*names).union(kept.select(*names)).toDF(*docs.columns)
+    plain = docs.toDF(*names).withColumn("id", F.col(names[docs.columns.index(id_col)]))
+    some, others = only_possible(plain, gone, "id")
+
+    @F.pandas_udf("bigint")
+    def fingerprints(texts):
+        return texts.map(lambda text: _signed(fingerprint(text, size))).astype("int64")
+
+    some = some.withColumn("fp", fingerprints(text_of(names[docs.columns.index(text_col)])))
+    left = hot_join(some, gone.withColumn("gone", F.lit(True)), ["id", "fp"], "n", ["gone"]).where("gone is null")
+    return others.select(*names).union(left.select(*names)).toDF(*docs.columns)

@@ -8,9 +8,11 @@ from textloom.llm.common import hot_join, stored
 from textloom.operators.lookup import fits_broadcast
 
 WORDS = 4
-#: Blocks of 256 bits. More listed keys only let more rows through to the exact join.
-BLOCKS = 4_096
-MAX_BLOCKS = 65_536
+#: A block has 256 bits and is made for this many keys: of others it lets about one in a thousand through.
+KEYS_A_BLOCK = 12
+#: Blocks of a filter at most, 8 MB, for three million keys. Beyond that each block holds more keys and lets more rows through
+#: to the exact join, which then is the way for all of them; the result is the same.
+MAX_BLOCKS = 1 << 18
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -39,7 +41,16 @@ def _masks(key: Column) -> list[Column]:
     return [bit(2 * w).bitwiseOR(bit(2 * w + 1)) for w in range(WORDS)]
 
 
-def bloom_filter(keys: DataFrame, key: str, blocks: int = BLOCKS) -> DataFrame:
+def blocks_for(keys: DataFrame) -> int:
+    """How many blocks a filter of these keys has: a power of two from 64 on, by their number."""
+    wanted = keys.limit(MAX_BLOCKS * KEYS_A_BLOCK).count() / KEYS_A_BLOCK
+    blocks = 64
+    while blocks < wanted:
+        blocks *= 2
+    return min(blocks, MAX_BLOCKS)
+
+
+def bloom_filter(keys: DataFrame, key: str, blocks: int) -> DataFrame:
     """One row, ``filter``: the words of all blocks in order. Its size is ``blocks`` times 32 bytes."""
     if not 0 < blocks <= MAX_BLOCKS:
         raise ValueError(f"blocks must be from 1 to {MAX_BLOCKS}")
@@ -59,11 +70,13 @@ def may_contain(words_of: Column, key: Column, blocks: int) -> Column:
     return sure
 
 
-def only_possible(rows: DataFrame, keys: DataFrame, key: str, blocks: int = MAX_BLOCKS) -> tuple[DataFrame, DataFrame]:
+def only_possible(rows: DataFrame, keys: DataFrame, key: str, blocks: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The rows whose ``key`` may be among ``keys``, all that are and few others; and the rows that have none of them.
 
-    Only the first part has to meet the keys in a join, so what moves follows the keys and not the rows.
+    Only the first part has to meet the keys in a join, so what moves follows the keys and not the rows. ``keys`` is
+    counted, so it should be stored.
     """
+    blocks = blocks or blocks_for(keys)
     known = keys.select(F.col(key).cast("string").alias("_key"))
     filtered = rows.withColumn("_filter", bloom_filter(known, "_key", blocks).scalar())
     may = F.coalesce(may_contain(F.col("_filter"), F.col(key).cast("string"), blocks), F.lit(False))
@@ -85,7 +98,7 @@ def judge_urls(
     id_col: str = "page_id",
     url_col: str = "url",
     default: str = "allow",
-    blocks: int = BLOCKS,
+    blocks: int | None = None,
 ) -> DataFrame:
     """One row per page: id, ``host``, ``path``, ``rule``, ``verdict``.
 
@@ -96,31 +109,26 @@ def judge_urls(
     shuffle. Without a rule, ``rule`` is null and the verdict is ``default``.
 
     Null and malformed urls have empty host and path and no rule. Repeated pages give repeated rows.
-    The shapes come to the driver: at most labels of a host times lengths of a path in the list.
+    The shapes that occur in the list are one array: at most labels of a host times lengths of a path.
     """
-    spark = pages.sparkSession
-    keyed = _rule_keys(rules)
-    labels = F.size(F.split("_rule_host", "\\.", -1))
-    shapes = keyed.select(labels.alias("labels"), F.length("_rule_path").alias("length")).distinct().collect()
+    keyed = stored(_rule_keys(rules))
+    blocks = blocks or blocks_for(keyed)
+    labels, length = F.size(F.split("_rule_host", "\\.", -1)), F.length("_rule_path")
+    shapes = keyed.agg(F.sort_array(F.collect_set(F.struct(labels.alias("labels"), length.alias("length")))).alias("shapes"))
     host, path = host_and_path(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("_id"), host.alias("_host"), path.alias("_path"))
     urls = rows.groupBy("_host", "_path").agg(F.count(F.lit(1)).alias("_n")).where("_host <> '' or _path <> ''")
 
-    parts = F.split("_host", "\\.", -1)
-    offers = [
-        F.when(
-            (F.size(parts) >= s["labels"]) & (F.length("_path") >= s["length"]),
-            F.concat(
-                F.array_join(F.slice(parts, -s["labels"], s["labels"]), "."),
-                F.lit("\n"),
-                F.substring("_path", 1, s["length"]),
-            ),
-        )
-        for s in sorted(shapes)
-    ] or [F.lit(None).cast("string")]
+    def offer(shape: Column) -> Column:
+        suffix = F.array_join(F.slice("_parts", -shape["labels"], shape["labels"]), ".")
+        return F.concat(suffix, F.lit("\n"), F.substring(F.col("_path"), F.lit(1), shape["length"]))
+
+    fits = F.filter("_shapes", lambda s: (F.size("_parts") >= s["labels"]) & (F.length("_path") >= s["length"]))
+    offers = F.transform(fits, offer)
     words = bloom_filter(keyed, "_key", blocks).scalar()
-    possible = F.filter(F.array(*offers), lambda key: key.isNotNull() & may_contain(F.col("_filter"), key, blocks))
-    hits = urls.withColumn("_filter", words).select("_host", "_path", "_n", F.explode(possible).alias("_key"))
+    possible = F.filter("_offers", lambda key: may_contain(F.col("_filter"), key, blocks))
+    cut = urls.withColumns({"_parts": F.split("_host", "\\.", -1), "_shapes": shapes.scalar()}).withColumn("_offers", offers)
+    hits = cut.withColumn("_filter", words).select("_host", "_path", "_n", F.explode(possible).alias("_key"))
     small = fits_broadcast(keyed)
     matched = hits.join(F.broadcast(keyed) if small else keyed, "_key")
     rule = F.concat("_rule_host", "_rule_path")
