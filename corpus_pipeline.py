@@ -14,7 +14,7 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go: no text, no letter, or two languages equally near."""
+    """Documents without a language go: no text, no letter, or two languages about equally near."""
     model = language_id.train(docs)
     return language_id.flag_rejected(docs, model).where("not _rejected").drop("_rejected")
 
@@ -25,7 +25,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that with the smallest id."""
+    """One document of each group of near fingerprints (three-word shingles, three bits) stays, that with the smallest id."""
     return simhash.keep_one(docs)
 
 
