@@ -328,6 +328,16 @@ SELECT doc_id, chunk_no, pos, value AS "Text", type AS "Type", 1.0::DOUBLE AS "S
   CASE WHEN doc_id % 2 = 0 THEN 'default_prompt' ELSE 'missing' END AS prompt_name FROM documents""",
     "request_bodies": _BODIES,
     "response_text": _RESPONSES,
+    "reply_paths": """SELECT doc_id,
+  CASE k WHEN 4 THEN NULL WHEN 0 THEN t ELSE 'whole' END AS each, CASE k WHEN 4 THEN NULL WHEN 0 THEN 'last' ELSE 'whole' END AS last,
+  CASE k WHEN 4 THEN NULL WHEN 0 THEN 'text' ELSE 'whole' END AS rest,
+  CASE k WHEN 4 THEN NULL WHEN 2 THEN 'whole' WHEN 3 THEN lang ELSE t END AS deep,
+  CASE k WHEN 4 THEN NULL WHEN 1 THEN t ELSE 'whole' END AS member,
+  CASE k WHEN 4 THEN NULL WHEN 2 THEN t ELSE 'whole' END AS odd, CASE k WHEN 4 THEN NULL WHEN 2 THEN t ELSE 'whole' END AS "inner"
+FROM (SELECT doc_id, nullif(text, '') AS t, lang,
+  CASE WHEN text IS NULL OR (lang IS NULL AND doc_id % 5 IN (1, 3)) THEN 4 ELSE doc_id % 5 END AS k FROM documents)""",
+    "model_ledger": """SELECT doc_id, nullif(coalesce(text, 'None'), '') AS text, NULL::VARCHAR AS error,
+  (SELECT count(DISTINCT coalesce(text, 'None')) FROM documents) AS asked, 0 AS asked_again FROM documents""",
     "model_answers": f"""SELECT page_id, {_prompt(_DEFAULT, 'text')} AS answer, NULL::VARCHAR AS error FROM ({_PAGE_TEXT})""",
     "model_failures": """SELECT page_id, CASE WHEN NOT contains(url, '7') THEN url END AS text, contains(url, '7') AS failed
 FROM pages""",

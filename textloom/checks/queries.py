@@ -15,7 +15,7 @@ from textloom.functions.chunks import chunk_texts
 from textloom.functions.insights import entities, key_phrases
 from textloom.functions.prompts import json_string
 from textloom.functions.text import bare, words
-from textloom.operators import blocks, chat, glossary, insights, names, privacy, prompting, routing, summarize, web
+from textloom.operators import blocks, chat, glossary, insights, ledger, names, privacy, prompting, routing, summarize, web
 from textloom.operators.assemble import complete
 from textloom.operators.inference import call_model
 from textloom.operators.lookup import shared_dir
@@ -373,6 +373,32 @@ def response_text(spark, sf_dir):
     return prompting.read_replies(replies, "$.content[0].text").drop("reply")
 
 
+def reply_paths(spark, sf_dir):
+    """Replies of five shapes and the first match of seven paths in each."""
+    quoted, text = json_string(F.col("text")), F.col("text")
+    number = F.col("doc_id") % 5
+    lang = json_string(F.col("lang"))
+    shapes = [
+        ['{"content":[{"type":"tool"},{"type":"text","text":', quoted, '},{"text":"last"}]}'],
+        ['{"z":{"text":', quoted, '},"a":{"text":', lang, '},"content":[]}'],
+        ['{"odd name":{"out-put":', quoted, '},"outputs":[[1,2],[', quoted, "]]}"],
+        ['{"outputs":[{"a":{"b":[{"text":', lang, '}]}},{"text":', quoted, "}]}"],
+        ["no JSON: ", text],
+    ]
+    reply = F.lit(None).cast("string")
+    for i, shape in enumerate(shapes):
+        reply = F.when(number == i, F.concat(*(F.lit(p) if isinstance(p, str) else p for p in shape))).otherwise(reply)
+    replies = table(spark, sf_dir, "documents").select("doc_id", reply.alias("reply"))
+    paths = {
+        "each": "$.content[*].text", "last": "$.content[-1].text", "rest": "$.content[1:].type", "deep": "$..text",
+        "member": "$.*.text", "odd": "$['odd name']['out-put']", "inner": "$.outputs[1:][0][*]",
+    }
+    for out, path in paths.items():
+        replies = prompting.read_replies(replies, path, out=out)
+    # A path that finds nothing gives the whole reply.
+    return replies.select("doc_id", *[F.when(F.col(c) == F.col("reply"), "whole").otherwise(F.col(c)).alias(c) for c in paths])
+
+
 def echo_client():
     """A stand-in for a hosted model: replies with the content of the request."""
 
@@ -383,6 +409,16 @@ def echo_client():
     return call
 
 
+def model_ledger(spark, sf_dir):
+    """All documents asked twice through one ledger: each distinct request is asked once, each row has its reply."""
+    folder = shared_folder(spark)
+    asked = prompting.build_requests(documents(spark, sf_dir), CHAT_PROPS, "$.messages[0].content")
+    first = ledger.ask_once(asked, echo_client, folder)
+    again = ledger.ask_once(asked, echo_client, folder)
+    replies = prompting.read_replies(ledger.attach_replies(asked, folder), "$.content[0].text")
+    return replies.select("doc_id", "text", "error", F.lit(first).alias("asked"), F.lit(again).alias("asked_again"))
+
+
 def model_answers(spark, sf_dir):
     """Pages to text, tokens, prompt, request, model, reply, values back."""
     texts = html_text(spark, sf_dir).withColumnRenamed("page_id", "doc_id")
@@ -739,7 +775,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         gazetteer_names, org_anonymized, org_phrases, org_phrases_joined,
         chunks, chunk_sizes, chunk_labels, chunk_labels_joined, doc_sentiment, chunk_key_phrases, chunk_entities,
         doc_insights, doc_insights_merged, top_phrases,
-        prompt_default, prompt_fallback, request_bodies, response_text, model_answers, model_failures,
+        prompt_default, prompt_fallback, request_bodies, response_text, reply_paths, model_answers, model_failures,
+        model_ledger,
         extractive_summary, extractive_summary_rare,
         chat_requests, chat_history, chat_full,
         line_rebuild, line_rebuild_gaps, page_lines, sheet_text, sheet_text_all, paragraph_text, workbook_text, word_file_text,

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
-import re
 import string
-from typing import Any
 
 from pyspark.sql import Column, functions as F
 
+from textloom.functions import jsonpath
+from textloom.functions.arrays import let
+
 # The template of unknown names.
 FALLBACK = "Please provide a summary of the following text: {input_text}"
 
@@ -58,56 +59,42 @@ def json_string(text: Column) -> Column:
     return F.substr(wrapped, F.lit(6), F.length(wrapped) - 6)
 
 
-def _steps(path: str) -> list[str | int]:
-    if not re.fullmatch(r"\$?(\.?[A-Za-z_][\w-]*|\[\d+\])*", path):
-        raise ValueError(f"unsupported path {path}")
-    return [int(i) if i else name for name, i in re.findall(r"([A-Za-z_][\w-]*)|\[(\d+)\]", path)]
-
-
-def _lookup(body: Any, steps: list[str | int]) -> tuple[bool, Any]:
-    for step in steps:
-        try:
-            body = body[step]
-        except (KeyError, IndexError, TypeError):
-            return False, None
-    return True, body
-
-
 def request_body(prompt: Column, props: str, input_path: str = "prompt", template: str = "{prompt_text}") -> Column:
-    """JSON request with the prompt set at a path of the body given by ``props``.
+    """JSON request with the prompt set at every match of a JSONPath in the body given by ``props``.
 
     A path that the body does not have changes nothing.
     """
-    body, steps, slot = json.loads(props), _steps(input_path), "\u0000slot\u0000"
-    if not _lookup(body, steps)[0] or not steps:
-        return F.lit(json.dumps(body, ensure_ascii=False, separators=(",", ":")))
-    parent = _lookup(body, steps[:-1])[1]
-    parent[steps[-1]] = slot
+    body, slot = json.loads(props), "\u0000slot\u0000"
+    for box, key in list(jsonpath.find(body, jsonpath.parse(input_path))):
+        box[key] = slot
     text = json.dumps(body, ensure_ascii=False, separators=(",", ":"))
-    before, after = text.split(json.dumps(slot), 1)
-    return F.concat(F.lit(before), json_string(fill_template(template, prompt, "prompt_text")), F.lit(after))
+    pieces = text.split(json.dumps(slot))
+    value = json_string(fill_template(template, prompt, "prompt_text"))
+    parts = [F.lit(pieces[0])]
+    for piece in pieces[1:]:
+        parts += [value, F.lit(piece)]
+    return F.concat(*parts)
 
 
 def reply_text(reply: Column, output_path: str = "$") -> Column:
-    """Value of a JSON reply at a path of names and numbers; the whole reply where the path finds nothing.
+    """The first match of a JSONPath in a JSON reply; the whole reply where the path finds nothing.
 
-    Other paths are refused when the plan is built. A reply that is no JSON and a falsy value (empty, zero, false, null) give NULL.
+    Paths that ``jsonpath.parse`` does not know are refused when the plan is built. A reply that is no JSON and a falsy value (empty,
+    zero, false, null) give NULL. An object or array is given as JSON.
     """
-    path = "$" + "".join(f"[{s}]" if isinstance(s, int) else f".{s}" for s in _steps(output_path))
     parsed = F.try_parse_json(reply)
-    found = F.try_variant_get(parsed, path, "variant")
-    kind = F.schema_of_variant(found)
-    value = F.try_variant_get(parsed, path, "string")
-    falsy = (
-        (kind == "VOID")
-        | (value == "")
-        | ((kind == "BOOLEAN") & (value == "false"))
-        | (kind.rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)") & (F.try_variant_get(parsed, path, "double") == 0))
-        | (value.isin("[]", "{}") & (kind != "STRING"))
-    )
-    return (
-        F.when(parsed.isNull(), F.lit(None).cast("string"))
-        .when(found.isNull(), reply)
-        .when(falsy, F.lit(None).cast("string"))
-        .otherwise(value)
-    )
+    found = jsonpath.first_match(reply, output_path) if jsonpath.parse(output_path) else parsed
+
+    def told(match: Column) -> Column:
+        kind = F.schema_of_variant(match)
+        value = F.try_variant_get(match, "$", "string")
+        falsy = (
+            (kind == "VOID")
+            | (value == "")
+            | ((kind == "BOOLEAN") & (value == "false"))
+            | (kind.rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)") & (F.try_variant_get(match, "$", "double") == 0))
+            | (value.isin("[]", "{}") & (kind != "STRING"))
+        )
+        return F.when(match.isNull(), reply).when(falsy, F.lit(None).cast("string")).otherwise(value)
+
+    return F.when(parsed.isNull(), F.lit(None).cast("string")).otherwise(let(found, told))

@@ -11,7 +11,9 @@ from textloom.session import local_folder
 MAX_INLINE_ROWS = 2_000
 MAX_BROADCAST_ROWS = 500_000
 MAX_BROADCAST_BYTES = 64 << 20
-SALTS = 32
+#: Keys whose entries a join with a large table broadcasts.
+HEAVY_KEYS = 1_000
+SPREAD = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -59,18 +61,35 @@ def lookup_join(
     on: list[str],
     how: str = "left",
     max_rows: int = MAX_BROADCAST_ROWS,
-    salts: int = SALTS,
+    heavy_keys: int = HEAVY_KEYS,
 ) -> DataFrame:
     """Join with a lookup table that has at most one row per key.
 
-    A table within the limits is broadcast. A larger one is joined by shuffle; the left rows of
-    one key are then spread over ``salts`` tasks, so no key lands in one task as a whole.
+    A table within the limits is broadcast. A larger one is joined by shuffle; of the keys that hold many left rows
+    the HEAVY_KEYS heaviest, as counted in ``left``, are broadcast with their entries, and the rows that they serve stay out of
+    the shuffle's groups. No other key holds more than 1 in HEAVY_KEYS of the rows. Rows with a null in the key meet nothing.
     """
     if fits_broadcast(table, max_rows):
         return left.join(F.broadcast(table), on, how)
+    if how not in ("left", "inner"):
+        raise ValueError(f"no {how} join with a large table")
+    known = F.lit(True)
+    for c in on:
+        known = known & F.col(c).isNotNull()
+    counts = left.where(known).groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
+    frequent = materialize(counts.orderBy(F.desc("_n"), *on).limit(heavy_keys))
+    others = [c for c in table.columns if c not in on]
+    entry = F.struct(F.lit(True).alias("_met"), *others)
+    heavy = materialize(table.join(F.broadcast(frequent.drop("_n")), on, "left_semi").select(*on, entry.alias("_heavy")))
+    met = left.join(F.broadcast(heavy), on, "left")
+    waits = known & F.col("_heavy").isNull()
     hashed = [c for c, kind in left.dtypes if "map<" not in kind and "variant" not in kind]
-    # Copies of one row differ by their partition; unlike a random salt this one survives a retry.
-    salt = F.pmod(F.xxhash64(*hashed, F.spark_partition_id()), F.lit(salts)).cast("int")
-    salted = left.withColumn("_salt", salt)
-    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    # Rows that wait for nothing go anywhere; copies of one row differ by their partition, so a task that runs again agrees.
+    spread = F.pmod(F.xxhash64(*hashed, F.spark_partition_id()), F.lit(SPREAD)).cast("int") + 1
+    met = met.withColumn("_salt", F.when(waits, F.lit(0)).otherwise(spread))
+    rest = table.select(*on, entry.alias("_light"), F.lit(0).alias("_salt"))
+    joined = met.join(rest, [*on, "_salt"], "left").withColumn("_entry", F.coalesce("_heavy", "_light"))
+    if how == "inner":
+        joined = joined.where(F.col("_entry").isNotNull())
+    kept = [F.col(c) for c in left.columns if c not in on]
+    return joined.select(*on, *kept, *[F.col("_entry")[c].alias(c) for c in others])
