@@ -174,10 +174,24 @@ def test_documents_without_lines_have_an_empty_text(spark):
     assert lines == {1: "", 2: "a\n\n", 3: "", 4: "x\n", None: "n\n"} or lines[2] == "\na\n"
 
 
-def test_a_rebuilt_document_moves_once(spark):
-    df = spark.createDataFrame([(1, 1, 0, "l1", "LINE", "a", [("CHILD", [])])], BLOCK)
-    plan = blocks.rebuild_lines(df)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") <= 3
+@pytest.mark.parametrize("hashed", [True, False])
+def test_one_document_spreads_over_tasks(spark, hashed):
+    """Words meet their places by document and id; later blocks of an id, several lists and equal words count as before."""
+    lines = [
+        (1, 1, n, f"l{n}", "LINE", None, [("CHILD", [f"w{n}-{k}" for k in range(40)]), ("OTHER", ["x"]), ("CHILD", [f"w{n}-0"] * 2)])
+        for n in range(300)
+    ]
+    words = [(1, 1, 40 * n + k, f"w{n}-{k}", "WORD", f"t{k}", None) for n in range(300) for k in range(40)]
+    again = [(1, 1, 20_000, "w7-0", "WORD", "later", None), (1, 1, 1_000, "l3", "LINE", None, [("CHILD", ["w3-1"])])]
+    df = spark.createDataFrame(lines + words + again, BLOCK).repartition(4)
+    rebuilt = blocks.rebuild_lines(df, hashed=hashed)
+    text = {n: " ".join(f"t{k}" for k in range(40)) + "\nt0 t0" for n in range(300)}
+    text[7] = text[7].replace("t0 ", "later ", 1).replace("t0 t0", "later later")
+    first = [text[n] for n in range(300) if n != 3]
+    assert rebuilt.first()["text"] == "\n".join([*first, "t1"])
+    plan = rebuilt._jdf.queryExecution().executedPlan().toString()
+    assert ("ShuffledHashJoin" in plan) == hashed
+    assert len([p for p in plan.splitlines() if "Exchange hashpartitioning(coalesce" in p and "id#" in p]) >= 1
 
 
 def test_documents_without_cells_or_paragraphs(spark):

@@ -2,62 +2,83 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from textloom.functions.arrays import let
 from textloom.operators.assemble import concat_rows
 
 RELATIONSHIPS = "array<struct<type:string,ids:array<string>>>"
 
 
-def rebuild_lines(blocks: DataFrame, key: str = "doc_id", strict: bool = True) -> DataFrame:
+def _asked(blocks: DataFrame, key: str) -> DataFrame:
+    """A row per place of a line: ``ord``, ``line``, ``list``, ``no`` and the ``id`` of its word; an empty list has a place without.
+
+    A block without lists has one row without ``list``, so its document stays.
+    """
+    each = F.transform(
+        F.when(F.col("block_type") == "LINE", F.col("relationships")),
+        lambda r, n: F.when(
+            r["type"] == "CHILD", F.struct(n.alias("list"), F.coalesce(r["ids"], F.array().cast("array<string>")).alias("ids"))
+        ),
+    )
+    listed = F.explode_outer(F.filter(each, lambda r: r.isNotNull())).alias("_list")
+    lists = blocks.select(F.col(key).alias("_key"), F.col("ord").cast("long").alias("ord"), F.col("id").alias("line"), listed)
+    return lists.select("_key", "ord", "line", F.col("_list.list").alias("list"), F.posexplode_outer("_list.ids").alias("no", "_id"))
+
+
+def _line_text(rows: Column) -> Column:
+    """Text of one line from its places (ord, list, no, word_ord, word): the latest block, the latest word of each place."""
+    last = F.element_at(rows, -1)["ord"]
+
+    def told(rows: Column) -> Column:
+        def piece(row: Column, i: Column) -> Column:
+            before = F.get(rows, i - 1)
+            gap = F.when(i == 0, "").when(before["list"] != row["list"], "\n").otherwise(" ")
+            return F.concat(gap, row["word"])
+
+        return F.array_join(F.transform(rows, piece), "")
+
+    def places(rows: Column) -> Column:
+        def counts(row: Column, i: Column) -> Column:
+            after = F.get(rows, i + 1)
+            return after.isNull() | (after["list"] != row["list"]) | (after["no"] != row["no"])
+
+        return let(F.filter(rows, counts), told)
+
+    return let(F.filter(rows, lambda r: r["ord"] == last), places)
+
+
+def rebuild_lines(blocks: DataFrame, key: str = "doc_id", strict: bool = True, hashed: bool = True) -> DataFrame:
     """``texts(key, text)`` from OCR blocks: lines of words, words joined by blanks.
 
     ``blocks`` has key, ord, id, block_type, text, relationships(type, ids). Each CHILD list of a
     LINE is one line, in the order of ord and id. An unknown word fails, or is left out when not
     strict. Of two blocks with one id the later counts. A document without lines has the empty text.
 
-    The blocks move once, by document; a document is one text at the end in any case. Words and the places that
-    ask for them then meet in a group by id.
+    Words meet the places that ask for them by (key, id) and lines are put together by (key, line), so the words of one
+    document spread over all tasks; lines then meet per stretch and per document. With ``hashed`` the words of a shuffle
+    partition are held in memory, which their number of partitions has to allow; else both sides are sorted.
     """
-    nothing = F.lit(None)
-    place = "struct<ord:long,line:string,list:int,no:int>"
-    one = blocks.repartition(key).groupBy(key, "block_type", "id").agg(
-        F.min("ord").cast("long").alias("ord"),
-        F.max_by(F.coalesce("text", F.lit("")), "ord").alias("text"),
-        F.max_by("relationships", "ord").alias("relationships"),
+    is_word = F.coalesce(F.col("block_type") == "WORD", F.lit(False))
+    words = blocks.where(is_word).select(
+        key, "id", F.col("ord").cast("long").alias("word_ord"), F.coalesce("text", F.lit("")).alias("word"), F.lit(True).alias("known")
     )
-
-    def asked(list_of, n):
-        ids = F.coalesce(list_of["ids"], F.array().cast("array<string>"))
-        ids = F.when(F.size(ids) > 0, ids).otherwise(F.array(nothing.cast("string")))
-        found = F.transform(
-            ids,
-            lambda i, no: F.struct(
-                i.alias("id"),
-                nothing.cast("string").alias("word"),
-                F.struct(F.col("ord").alias("ord"), F.col("id").alias("line"), n.alias("list"), no.alias("no")).alias("place"),
-            ),
-        )
-        return F.when(list_of["type"] == "CHILD", found).otherwise(F.array().cast(found_type))
-
-    found_type = f"array<struct<id:string,word:string,place:{place}>>"
-    lines = F.flatten(F.transform(F.coalesce("relationships", F.array().cast(RELATIONSHIPS)), asked))
-    known = F.array(F.struct("id", F.col("text").alias("word"), nothing.cast(place).alias("place")))
-    rows = F.when(F.col("block_type") == "WORD", known.cast(found_type)).when(F.col("block_type") == "LINE", lines)
-    each = one.select(key, F.explode_outer(rows).alias("_row")).select(key, "_row.*")
-    met = each.groupBy(key, "id").agg(
-        F.max("word").alias("word"),
-        F.collect_list("place").alias("_places"),
-    )
-    wanted = met.select(key, "id", "word", F.explode_outer("_places").alias("_place"))
-    text = F.col("word")
+    asked = _asked(blocks.where(~is_word), key)
+    met = asked.join(words.hint("shuffle_hash") if hashed else words, F.col("_key").eqNullSafe(F.col(key)) & (F.col("_id") == F.col("id")), "full_outer")
+    word = F.coalesce("word", F.lit(""))
     if strict:
-        unknown = F.concat(F.lit("unknown word "), F.col("id"))
-        text = F.when(text.isNull() & F.col("id").isNotNull(), F.raise_error(unknown).cast("string")).otherwise(text)
-    piece = F.when(F.col("_place").isNotNull(), F.coalesce(text, F.lit("")))
-    order = ["ord", "line", "list", "no"]
-    placed = wanted.select(key, *[F.col(f"_place.{o}").alias(o) for o in order], piece.alias("_word"))
-    return concat_rows(placed, key, order, F.col("_word"), separators=("\n", "\n", "\n", " "))
+        unknown = F.raise_error(F.concat(F.lit("unknown word "), F.col("_id"))).cast("string")
+        word = F.when(F.col("known").isNull() & F.col("_id").isNotNull(), unknown).otherwise(word)
+    place = F.struct("ord", "list", F.coalesce("no", F.lit(0)).alias("no"), "word_ord", word.alias("word"))
+    # A word that no line asks for keeps its document; it has no line and no place.
+    mine = F.when(F.col("line").isNull() & F.col("_key").isNull(), F.col(key)).otherwise(F.col("_key"))
+    lines = met.groupBy(mine.alias(key), "line").agg(
+        F.sort_array(F.collect_list(F.when(F.col("list").isNotNull(), place))).alias("_rows")
+    )
+    last = F.get("_rows", F.size("_rows") - 1)["ord"]
+    text = F.when(F.size("_rows") > 0, _line_text(F.col("_rows")))
+    texts = lines.select(key, last.alias("ord"), "line", text.alias("_line"))
+    return concat_rows(texts, key, ["ord", "line"], F.col("_line"), separators=("\n", "\n"))
 
 
 def page_lines(pages: DataFrame, key: str = "doc_id") -> DataFrame:
