@@ -1,0 +1,93 @@
+import pytest
+from pyspark.sql import functions as F
+
+from textloom.sinks import catalog, outcomes
+
+
+def placed(spark, rows):
+    return spark.createDataFrame([(*r, "ENABLED") for r in rows], catalog.PLACED)
+
+
+def terms(df):
+    return sorted((tuple(r)[:4] for r in df.collect()), key=repr)
+
+
+A = [("g1", "cat", "one", "first"), ("g1", "cat", "two", None), ("g1", "cat", "one", "first"), ("g1", "cat", None, "x")]
+B = [("g2", "cat", "one", "first"), ("g2", "cat", "one", "other words"), ("g3", "ca", "tone", "first"), ("g3", None, "", "")]
+
+
+def test_a_batch_written_twice_leaves_one_copy(spark, tmp_path):
+    folder = str(tmp_path / "c")
+    for _ in range(2):
+        catalog.append_once(placed(spark, A), folder, "monday")
+    assert spark.read.parquet(folder).count() == 2
+    want = sorted([("g1", "cat", "one", "first"), ("g1", "cat", "two", None)], key=repr)
+    assert terms(catalog.read_catalog(spark, folder)) == want
+    # Another content under the same name takes the place of the first.
+    catalog.append_once(placed(spark, A[:1]), folder, "monday")
+    assert terms(catalog.read_catalog(spark, folder)) == [("g1", "cat", "one", "first")]
+
+
+def test_two_writers_create_a_category_once(spark, tmp_path):
+    folder, into = str(tmp_path / "c"), str(tmp_path / "d")
+    catalog.append_once(placed(spark, B), folder, "b")
+    catalog.append_once(placed(spark, A), folder, "a")
+    want = [("g1", "cat", "one", "first"), ("g1", "cat", "one", "other words"), ("g1", "cat", "two", None), ("g3", "ca", "tone", "first"), ("g3", None, "", "")]
+    found = catalog.read_catalog(spark, folder)
+    assert terms(found) == sorted(want, key=repr)
+    assert {r.batch for r in found.where("name = 'one' and shortDescription = 'first'").collect()} == {"a"}
+    existing = spark.createDataFrame([("known", "cat"), ("later", "cat"), ("z", "unused")], "id string, name string")
+    catalog.compact(spark, folder, into, existing)
+    again = catalog.read_catalog(spark, into)
+    assert {r.glossary_id for r in again.where("category = 'cat'").collect()} == {"known"} and again.count() == len(want)
+    with pytest.raises(Exception, match="ALREADY_EXISTS|already exists"):
+        catalog.compact(spark, folder, into)
+
+
+def test_odd_batches(spark, tmp_path):
+    folder = str(tmp_path / "c")
+    for name in ("", "a/b"):
+        with pytest.raises(ValueError, match="needs a name"):
+            catalog.append_once(placed(spark, A), folder, name)
+    catalog.append_once(placed(spark, A), folder, "x = 1, 100% ü")
+    catalog.append_once(placed(spark, []), folder, "empty")
+    found = catalog.read_catalog(spark, folder)
+    assert {r.batch for r in found.collect()} == {"x = 1, 100% ü"} and found.count() == 2
+
+
+ROWS = [
+    (1, "out/a", "text"), (2, "out/a", None), (3, None, "t"), (4, "", "t"), (5, "out/", "t"), (6, "out/..", "t"), (7, "../x", "t"),
+    (8, "a\0b", "t"), (9, "out/" + "é" * 128, "t"), (10, "out/é", "é"), (11, "out/x", "漢"), (12, "a..b/c..", ""), (13, None, None),
+]
+ERRORS = {
+    2: "no text to write", 3: "no path", 4: "no path", 5: "path of a folder", 6: "path of a folder", 7: "path leaves its folder",
+    8: "path with a null byte", 9: "name too long", 13: "no text to write",
+}
+
+
+@pytest.mark.parametrize("charset, foreign", [("utf-8", {}), ("ISO-8859-1", {11: "漢"}), ("us-ascii", {10: "é", 11: "漢"})])
+def test_outcomes(spark, tmp_path, charset, foreign):
+    folder, calls = str(tmp_path / "o"), spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def costly(text):
+        calls.add(1)
+        return text
+
+    df = spark.createDataFrame(ROWS, "id int, path string, text string").repartition(3)
+    counts = outcomes.write_outcomes(df.withColumn("text", costly.asNondeterministic()("text")), folder, charset=charset)
+    want = ERRORS | {i: f"not in {charset.lower()}: {sign}" for i, sign in foreign.items()}
+    assert counts == {"rows": 13, "written": 13 - len(want), "failed": len(want)} and calls.value == 13
+    rows = outcomes.read_outcomes(spark, folder)
+    assert {r.id: r.error for r in rows.where("not status").collect()} == want
+    assert {r.id: r.text for r in rows.where("status").collect()} == {i: t for i, _, t in ROWS if i not in want}
+    assert sum(r.n for r in outcomes.failures(spark, folder).collect()) == len(want)
+
+
+def test_earlier_errors_stay_and_runs_append(spark, tmp_path):
+    folder = str(tmp_path / "o")
+    df = spark.createDataFrame([(1, "p", "t", "model is busy"), (2, "p", "t", None)], "id int, path string, text string, error string")
+    for _ in range(2):
+        assert outcomes.write_outcomes(df, folder) == {"rows": 2, "written": 1, "failed": 1}
+    assert [(r.error, r.n) for r in outcomes.failures(spark, folder).collect()] == [("model is busy", 2)]
+    assert outcomes.write_outcomes(df.limit(0), folder) == {"rows": 0, "written": 0, "failed": 0}

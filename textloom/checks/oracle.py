@@ -366,6 +366,12 @@ FROM customer LEFT JOIN ({_SHEETS}) s ON s.doc_id = c_custkey""",
     "glossary_new": _CATALOG,
     "glossary_placed": _PLACED,
     "catalog_terms": _PLACED,
+    "catalog_rerun": f"SELECT DISTINCT * FROM ({_PLACED}) WHERE name IS NOT NULL",
+    "write_outcomes": r"""WITH p AS (SELECT doc_id, CASE WHEN text IS NULL THEN 'no text to write' ELSE CASE doc_id % 11
+    WHEN 0 THEN 'no path' WHEN 1 THEN 'path leaves its folder' WHEN 2 THEN 'path of a folder' WHEN 3 THEN 'name too long'
+    ELSE 'not in iso-8859-1: ' || nullif(regexp_extract(text, '[^\x{00}-\x{ff}]'), '') END END AS error FROM documents)
+  SELECT doc_id, error IS NULL AS status, error, count(*) OVER () AS rows, count(*) FILTER (error IS NULL) OVER () AS written,
+    count(error) OVER () AS failed FROM p""",
     "local_files": _FILES,
     "object_files": _FILES,
     "stored_texts": f"""SELECT doc_id, text, text IS NOT NULL AS status,

@@ -20,7 +20,7 @@ from textloom.operators.assemble import complete
 from textloom.operators.inference import call_model
 from textloom.operators.lookup import shared_dir
 from textloom.plans import enrich
-from textloom.sinks import tables as sinks
+from textloom.sinks import catalog, outcomes, tables as sinks
 from textloom.sources import files, office
 from textloom.streaming.files import run_on_files
 
@@ -706,9 +706,40 @@ def catalog_terms(spark, sf_dir):
     return spark.read.parquet(folder)
 
 
+def catalog_rerun(spark, sf_dir):
+    """Two writers whose batches overlap, one of them run twice: every term once, every category with one glossary."""
+    folder, into = (f"{shared_folder(spark)}/{name}" for name in ("catalog", "compact"))
+    placed = glossary_placed(spark, sf_dir)
+    third = F.crc32(F.col("name").cast("binary")) % 3
+    # The second writer does not know the glossaries that exist.
+    unknowing = placed.withColumn("glossary_id", glossary.glossary_id(F.col("category")))
+    for part, batch in ((placed.where(third < 2), "a"), (unknowing.where(third > 0), "b"), (placed.where(third < 2), "a")):
+        catalog.append_once(part, folder, batch)
+    existing = _existing(spark, sf_dir)
+    catalog.compact(spark, folder, into, existing)
+    return catalog.read_catalog(spark, into, existing).drop("term_id", "batch")
+
+
 # Files, sinks and streams
 
 
+def write_outcomes(spark, sf_dir):
+    """Documents on their way to Latin-1 files, some with paths that cannot be: rows, errors and the counts of the job."""
+    folder = f"{shared_folder(spark)}/outcomes"
+    i = F.col("doc_id")
+    path = (
+        F.when(i % 11 == 0, "")
+        .when(i % 11 == 1, F.concat(F.lit("out/../"), i.cast("string")))
+        .when(i % 11 == 2, F.concat(F.lit("out/"), F.col("source"), F.lit("/")))
+        .when(i % 11 == 3, F.concat(F.lit("out/"), F.repeat(F.lit("x"), 256)))
+        .otherwise(F.concat(F.lit("out/"), i.cast("string")))
+    )
+    docs = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
+    counts = outcomes.write_outcomes(docs, folder, charset="iso-8859-1")
+    totals = [F.lit(counts[name]).alias(name) for name in ("rows", "written", "failed")]
+    return outcomes.read_outcomes(spark, folder).select("doc_id", "status", "error", *totals)
+
+
 def _file_lines(spark, sf_dir, read):
     """Lines and characters per source after the documents went through text files."""
     folder = f"{shared_folder(spark)}/files"
@@ -780,7 +811,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         extractive_summary, extractive_summary_rare,
         chat_requests, chat_history, chat_full,
         line_rebuild, line_rebuild_gaps, page_lines, sheet_text, sheet_text_all, paragraph_text, workbook_text, word_file_text,
-        glossary_valid, glossary_terms, glossary_new, glossary_placed, catalog_terms,
-        local_files, object_files, stored_texts, stream_tokenized, stream_insights,
+        glossary_valid, glossary_terms, glossary_new, glossary_placed, catalog_terms, catalog_rerun,
+        local_files, object_files, stored_texts, write_outcomes, stream_tokenized, stream_insights,
     )
 }
