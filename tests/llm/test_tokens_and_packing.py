@@ -115,3 +115,49 @@ def test_rounded_groups_have_equal_cardinality():
     counts = {x: 10 for x in range(100, 200)}
     groups = packing._groups(counts, list(counts), 10)
     assert len(groups) == 10 and all(len(g) == 10 and max(g) == top for top, g in groups.items())
+
+
+def test_lengths_are_rounded_to_few_sizes(monkeypatch):
+    seen, whole = [], packing._optimised
+    monkeypatch.setattr(packing, "_optimised", lambda demand, limit: seen.append(demand) or whole(demand, limit))
+    counts = dict(Counter(np.random.default_rng(7).integers(400, 1400, 20_000).tolist()))
+    kinds = packing.plan_bins(counts)
+    assert lengths_of(kinds) == Counter(counts) and len(counts) > 900
+    assert seen and all(len(demand) <= packing.GROUPS for demand in seen)
+    large = {x: n for x, n in counts.items() if x * packing.LARGE[0] > packing.LIMIT}
+    assert sum(seen[0].values()) == sum(large.values()) and set(seen[0]) <= set(large) and len(large) > 800
+    assert sum(kinds.values()) <= 1.005 * sum(x * n for x, n in counts.items()) / 2048
+
+
+@settings(deadline=None, max_examples=60)
+@given(st.dictionaries(st.integers(5, 64), st.integers(1, 200), max_size=12))
+def test_configurations_are_optimised(demand):
+    """All demand and no more is placed, in no more sequences than one size after another, and near the least that can do."""
+    found = packing._optimised(demand, 64)
+    assert lengths_of({tuple(sizes) + (0,) * k: n for k, (sizes, n) in enumerate(found)}) - Counter({0: 10**9}) == Counter(demand)
+    assert all(sum(sizes) <= 64 and n > 0 for sizes, n in found)
+    bound = -(-sum(s * n for s, n in demand.items()) // 64)
+    alone = sum(-(-n // (64 // s)) for s, n in demand.items())
+    assert bound <= sum(n for _, n in found) <= alone + 1
+
+
+def test_optimised_beats_one_after_another():
+    """Sizes of which the fullest sequence of the largest first wastes what others need."""
+    demand = {45: 97, 36: 610, 31: 395, 14: 211}
+    greedy = sum(n for _, n in packing._configurations(demand, 100))
+    assert sum(n for _, n in packing._optimised(demand, 100)) <= min(greedy, 454)
+
+
+def test_most_worth_by_brute_force():
+    r = np.random.default_rng(3)
+    for _ in range(50):
+        sizes = sorted({int(x) for x in r.integers(3, 20, 4)}, reverse=True)
+        worth = r.uniform(-0.1, 1, len(sizes))
+        value, taken = packing._most_worth(sizes, worth, 40)
+
+        def best(k, room):
+            if k == len(sizes):
+                return 0.0
+            return max(n * worth[k] + best(k + 1, room - n * sizes[k]) for n in range(room // sizes[k] + 1))
+
+        assert value == pytest.approx(best(0, 40)) and sum(t * s for t, s in zip(taken, sizes)) <= 40

@@ -2,15 +2,17 @@
 
 Only the number of pieces of each length matters, so the plan is made from a histogram of at most
 ``limit`` entries: large lengths are cut into groups of equal cardinality and rounded up to the largest
-of their group; full configurations of these few sizes are searched; actual lengths take the places; and
-small pieces go where they fit best. The plan says, by length, which stretch of pieces goes to which sequences.
+of their group; a linear program over configurations of these few sizes says how often each is used; actual lengths take
+the places, the longest that the room left by rounding allows; and small pieces go where they fit best. The plan says, by length, which stretch of pieces goes to which sequences.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from array import array
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,9 +27,13 @@ LIMIT = 2_048
 SEPARATOR = np.uint32(0).tobytes()
 #: Words whose ids a task remembers.
 HELD = 400_000
-#: Large lengths start at limit / LARGE; they form GROUPS groups.
-LARGE = (4, 16, 64)
-GROUPS = (64, 2_048)
+#: Large lengths start above limit / LARGE; they form GROUPS groups, so they become that many sizes.
+LARGE = (4, 8, 2)
+GROUPS = 40
+#: Stages of the plan.
+STAGES = 8
+#: Rounds of the linear program per size; it may end before its optimum, any round gives a whole plan.
+ROUNDS = 20
 
 PIECES = pa.schema(
     [("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("crc", pa.int64())]
@@ -159,34 +165,99 @@ def _configurations(demand: dict[int, int], limit: int) -> list[tuple[list[int],
     return found
 
 
-def _substitute(configurations, groups: dict[int, list[int]], counts: dict[int, int]) -> Counter:
-    """Kinds of bins with actual lengths in the places of their group's size."""
-    queues = {top: [[x, counts[x]] for x in lengths] for top, lengths in groups.items()}
+def _most_worth(sizes: list[int], worth: np.ndarray, limit: int) -> tuple[float, np.ndarray]:
+    """How many of each size fill a sequence with the most worth (a knapsack with as many of each as fit)."""
+    best, before = np.zeros(limit + 1), []
+    for size, value in zip(sizes, worth):
+        before.append(best)
+        if value > 0:
+            best = best.copy()
+            for start in range(size, limit + 1, size):
+                stop = min(start + size, limit + 1)
+                best[start:stop] = np.maximum(best[start:stop], best[start - size : stop - size] + value)
+    room, taken = limit, np.zeros(len(sizes))
+    for k in range(len(sizes) - 1, -1, -1):
+        held = best
+        best = before[k]
+        while room >= sizes[k] and worth[k] > 0 and held[room] > best[room] + 1e-12:
+            taken[k] += 1
+            room -= sizes[k]
+    return float(worth @ taken), taken
+
+
+def _optimised(demand: dict[int, int], limit: int) -> list[tuple[list[int], int]]:
+    """(sizes, how often) for all demanded sizes, by column generation.
+
+    A linear program has one sequence for each size and finds, by its prices, the configuration that is worth most, until none
+    is worth more than a sequence. Whole numbers of its configurations are used; the sizes that are left, less than a
+    sequence of each, are filled one configuration after another.
+    """
+    sizes = sorted(demand, reverse=True)
+    if not sizes:
+        return []
+    wanted = np.array([demand[s] for s in sizes], float)
+    columns = np.diag([float(limit // s) for s in sizes])
+    for _ in range(ROUNDS * len(sizes)):
+        worth, taken = _most_worth(sizes, np.linalg.solve(columns.T, np.ones(len(sizes))), limit)
+        if worth <= 1 + 1e-7:
+            break
+        often, change = np.linalg.solve(columns, wanted), np.linalg.solve(columns, taken)
+        falls = change > 1e-9
+        if not falls.any():
+            break
+        steps = np.where(falls, np.maximum(often, 0) / np.where(falls, change, 1), np.inf)
+        columns[:, int(steps.argmin())] = taken
+    often = np.floor(np.linalg.solve(columns, wanted) + 1e-6).astype(np.int64)
+    left, found = dict(demand), []
+    for column, n in zip(columns.T.astype(int), often.tolist()):
+        need = {s: int(k) for s, k in zip(sizes, column) if k}
+        n = min([n, *(left[s] // k for s, k in need.items())])
+        if n > 0:
+            found.append(([s for s, k in need.items() for _ in range(k)], n))
+            for s, k in need.items():
+                left[s] -= k * n
+    return found + _configurations({s: n for s, n in left.items() if n}, limit)
+
+
+def _substitute(configurations, counts: dict[int, int], limit: int) -> tuple[Counter, dict[int, int]]:
+    """Kinds of bins with actual lengths in the places of configurations, and the lengths that found no place.
+
+    A place takes the longest piece that is left and leaves room for the places behind it, so what rounding spared in the
+    places before is used; what is left behind the last place takes more pieces where they fit. Configurations with the
+    largest sizes come first.
+    """
     kinds: Counter = Counter()
-    for sizes, often in configurations:
-        need = Counter(sizes)
-        while often:
-            kind, take = [], often
-            for size, n in need.items():
-                queue = queues[size]
-                if queue[0][1] >= n:
-                    kind += [queue[0][0]] * n
-                    take = min(take, queue[0][1] // n)
-                else:  # the places of one bin get several lengths
-                    take, place = 1, 0
-                    while n:
-                        some = min(n, queue[place][1])
-                        kind += [queue[place][0]] * some
-                        n, place = n - some, place + 1
-            for length, n in Counter(kind).items():
-                queue = next(q for top, q in queues.items() if length in groups[top])
-                entry = next(e for e in queue if e[0] == length)
-                entry[1] -= n * take
-            for size in need:
-                queues[size] = [e for e in queues[size] if e[1]]
+    left, lengths = dict(counts), sorted(counts)
+    for sizes, often in sorted(((sorted(sizes, reverse=True), n) for sizes, n in configurations), reverse=True):
+        while often and lengths:
+            kind, behind = [], sum(sizes)
+            mine: Counter = Counter()
+            for size in sizes:
+                behind -= size
+                at = bisect_right(lengths, limit - sum(kind) - behind) - 1
+                while at >= 0 and mine[lengths[at]] >= left[lengths[at]]:
+                    at -= 1
+                if at >= 0:
+                    kind.append(lengths[at])
+                    mine[lengths[at]] += 1
+            at = bisect_right(lengths, limit - sum(kind)) - 1
+            while at >= 0:
+                if mine[lengths[at]] < left[lengths[at]]:
+                    kind.append(lengths[at])
+                    mine[lengths[at]] += 1
+                    at = bisect_right(lengths, limit - sum(kind)) - 1
+                else:
+                    at -= 1
+            if not kind:
+                break
+            take = min([often, *(left[x] // n for x, n in mine.items())])
             kinds[tuple(kind)] += take
             often -= take
-    return kinds
+            for length, n in mine.items():
+                left[length] -= n * take
+                if not left[length]:
+                    lengths.remove(length)
+    return kinds, {x: left[x] for x in lengths}
 
 
 def _best_fit(kinds: Counter, small: dict[int, int], limit: int) -> Counter:
@@ -225,18 +296,28 @@ def _best_fit(kinds: Counter, small: dict[int, int], limit: int) -> Counter:
     return sum(rooms.values(), Counter())
 
 
-def plan_bins(counts: dict[int, int], limit: int = LIMIT) -> Counter:
-    """Kinds of sequences (lengths in order) and how many of each; the best over a few settings of the scheme."""
+def plan_bins(counts: dict[int, int], limit: int = LIMIT, groups: int = GROUPS) -> Counter:
+    """Kinds of sequences (lengths in order) and how many of each; the best over a few bounds of what counts as large.
+
+    The large lengths are planned in STAGES stages. Each uses half of its configurations and leaves the other half of the work to
+    the next one, which groups what is left anew: pieces that took a place of a smaller size are then accounted for.
+    """
     best: Counter | None = None
     for large in LARGE:
-        many = [x for x in counts if x * large > limit]
+        left = {x: n for x, n in counts.items() if x * large > limit}
+        kinds: Counter = Counter()
+        for stage in range(STAGES):
+            grouped = _groups(left, list(left), groups)
+            demand = {top: sum(left[x] for x in lengths) for top, lengths in grouped.items()}
+            configurations = _optimised(demand, limit)
+            if stage + 1 < STAGES:
+                configurations = [(sizes, math.ceil(n / 2)) for sizes, n in configurations]
+            some, left = _substitute(configurations, left, limit)
+            kinds += some
         small = {x: n for x, n in counts.items() if x * large <= limit}
-        for groups in GROUPS:
-            grouped = _groups(counts, many, groups)
-            demand = {top: sum(counts[x] for x in lengths) for top, lengths in grouped.items()}
-            kinds = _best_fit(_substitute(_configurations(demand, limit), grouped, counts), small, limit)
-            if best is None or sum(kinds.values()) < sum(best.values()):
-                best = kinds
+        kinds = _best_fit(kinds, small | left, limit)
+        if best is None or sum(kinds.values()) < sum(best.values()):
+            best = kinds
     return best
 
 
