@@ -1,0 +1,104 @@
+import random
+
+from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
+
+from textloom.functions.text import PUNCTUATION
+from textloom.operators import phrases, privacy
+
+NAMES = [
+    ("Acme", "ORG"), ("Acme Tools", "ORG"), ("Acme Tools of Rome", "ADDRESS"), ("Tools", "NAME"), ("of", None), ("...", "ORG"),
+    (" Ann  Lee. ", "NAME"), ("Ann Lee", "ADDRESS"), ("x, y", "ORG"),
+]
+LISTED = {"Acme": "ORG", "Acme Tools": "ORG", "Acme Tools of Rome": "ADDRESS", "Tools": "NAME", "Ann Lee": "ADDRESS", "x, y": "ORG"}
+
+
+def brute(text, listed):
+    """All runs of words from the left, the longest first."""
+    words, found, i = text.split(), [], 0
+    while i < len(words):
+        for n in range(len(words) - i, 0, -1):
+            run = " ".join(words[i : i + n]).strip(PUNCTUATION)
+            if run in listed:
+                found.append(run)
+                i += n - 1
+                break
+        i += 1
+    return found
+
+
+@settings(deadline=None, max_examples=300)
+@given(st.lists(st.sampled_from(["Acme", "Tools", "of", "Rome", "(Acme", "Tools.", "x,", "y", "-", "Ann", "Lee,", "Acme-Tools"]), max_size=12), st.sampled_from([" ", "\n\t", "　"]))
+def test_trie_equals_brute_force(words, blank):
+    text = blank.join(words)
+    spans = list(phrases.Trie(LISTED.items()).spans(text))
+    assert [s[2] for s in spans] == brute(text, LISTED)
+    assert all(" ".join(text[b:e].split()) == name and LISTED[name] == kind for b, e, name, kind in spans)
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
+TEXTS = {
+    1: "(Acme Tools) and Acme, Tools of Rome; Acme Tools of  Rome!",
+    2: None,
+    3: "",
+    4: "Ann Lee. Ann\nLee at ann@acme.com, +1 555-123-4567 Ann Lee",
+    5: "x, y and x y",
+    6: "nothing here 2024-01-02",
+}
+
+
+def docs(spark):
+    return spark.createDataFrame([(i, t, "n") for i, t in TEXTS.items()], "doc_id long, text string, name string").repartition(3)
+
+
+def test_small_and_large_gazetteers_agree(spark):
+    gazetteer = spark.createDataFrame(NAMES, "name string, type string")
+    for limit in (1_000, 0):
+        found = phrases.find_phrases(docs(spark), gazetteer, max_rows=limit)
+        assert found.columns == ["doc_id", "text", "name", "phrases"]
+        rows = {r.doc_id: r.phrases for r in found.collect()}
+        assert {i: p.matches and [(m.value, m.type) for m in p.matches] for i, p in rows.items()} == {
+            1: [("Acme Tools", "ORG"), ("Acme", "ORG"), ("Tools", "NAME"), ("Acme Tools of  Rome", "ADDRESS")],
+            2: None,
+            3: [],
+            4: [("Ann Lee", "ADDRESS"), ("Ann\nLee", "ADDRESS"), ("Ann Lee", "ADDRESS")],
+            5: [("x, y", "ORG")],
+            6: [],
+        }
+        texts = {r.doc_id: r.text for r in phrases.anonymize_phrases(found).collect()}
+        assert texts == TEXTS | {1: "([Customer]) and [Customer], Tools of Rome; Acme Tools of  Rome!", 5: "[Customer] and x y"}
+
+
+def test_tokens_of_phrases_and_patterns(spark):
+    found = phrases.find_phrases(docs(spark), spark.createDataFrame(NAMES, "name string, type string"))
+    done = phrases.tokenize_phrases(found)
+    rows = {r.doc_id: (r.text, [(e.token, e.value, e.type) for e in r.token_map]) for r in done.collect()}
+    assert rows[4] == (
+        "T1. T2 at T3, T4 T1",
+        [("T1", "Ann Lee", "ADDRESS"), ("T2", "Ann\nLee", "ADDRESS"), ("T3", "ann@acme.com", "EMAIL"), ("T4", "+1 555-123-4567", "PHONE")],
+    )
+    assert rows[6] == ("nothing here T1", [("T1", "2024-01-02", "DATE")])
+    assert rows[2] == (None, []) and rows[3] == ("", [])
+    assert {r.doc_id: r.text for r in privacy.restore(done).collect()} == TEXTS
+
+
+def test_many_names_and_a_long_text(spark):
+    chance = random.Random(1)
+    names = {f"w{chance.randrange(400)} w{chance.randrange(400)}": "ORG" for _ in range(100_000)}
+    text = " ".join(f"w{chance.randrange(450)}" for _ in range(200_000))
+    gazetteer = spark.createDataFrame(list(names.items()), "name string, type string")
+    one = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = phrases.find_phrases(one, gazetteer).select(F.transform("phrases.matches", lambda m: m["name"]).alias("n")).first().n
+    words, want, i = text.split(), [], 0
+    while i < len(words) - 1:
+        pair = f"{words[i]} {words[i + 1]}"
+        hit = pair in names
+        want += [pair] * hit
+        i += 1 + hit
+    assert got == want
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], "name string, type string")
+    assert [r.phrases.matches for r in phrases.find_phrases(docs(spark), none).where("doc_id = 1").collect()] == [[]]
+    assert phrases.find_phrases(docs(spark).limit(0), spark.createDataFrame(NAMES, "name string, type string")).count() == 0

@@ -150,6 +150,19 @@ found AS (SELECT d.doc_id, g.name, g.type, min(d.i) AS seen FROM (
       SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT doc_id, {_words('text')} AS ws FROM documents))) d
   JOIN gazetteer g ON g.name = d.name GROUP BY ALL)"""
 
+# The leftmost longest phrase at each word; then from one to the first that starts after its end.
+_PHRASE_HITS = f"""listed AS (SELECT {_words('text')} AS ws FROM benchmark),
+phrases AS (SELECT name, min(type) AS type FROM (
+    SELECT trim(array_to_string(ws[i:i + n - 1], ' '), ' ' || {_PUNCT}) AS name, CASE n WHEN 2 THEN 'NAME' ELSE 'ORG' END AS type
+    FROM listed, (VALUES (2), (3)) l(n), generate_series(1, len(ws) - n + 1) g(i)) WHERE name <> '' GROUP BY name),
+told AS (SELECT doc_id, {_words('text')} AS ws FROM documents),
+hits AS MATERIALIZED (SELECT doc_id, i, max(n) AS n, arg_max(name, n) AS name, arg_max(type, n) AS type FROM (
+    SELECT doc_id, i, n, trim(array_to_string(ws[i:i + n - 1], ' '), {_PUNCT}) AS name
+    FROM told, (VALUES (1), (2), (3)) l(n), generate_series(1, len(ws) - n + 1) g(i)) JOIN phrases USING (name) GROUP BY doc_id, i),
+linked AS MATERIALIZED (SELECT a.doc_id, a.i, b.i AS after FROM hits a ASOF LEFT JOIN hits b ON a.doc_id = b.doc_id AND a.i + a.n <= b.i),
+taken(doc_id, i) AS (SELECT doc_id, min(i) FROM hits GROUP BY doc_id
+  UNION ALL SELECT l.doc_id, l.after FROM taken t JOIN linked l ON l.doc_id = t.doc_id AND l.i = t.i WHERE l.after IS NOT NULL)"""
+
 # Chunks
 
 _CHUNKS = f"""ws AS MATERIALIZED (SELECT doc_id, {_words('text')} AS ws FROM documents),
@@ -268,6 +281,28 @@ _FILES = """SELECT source, sum(len(string_split(text, chr(10))))::BIGINT AS n_li
 
 _FORM = "replace(url_encode({}), '%20', '+')"
 
+def _talk(text: str) -> str:
+    """History of a chat about a text: as many questions as page_id % 3, answers that count the messages."""
+    return f"""CASE WHEN page_id % 5 = 0 THEN {text} ELSE '{{"messages":[{{"role":"user","content":' || to_json({text}) || '}}'
+  || array_to_string([',{{"role":"user","content":' || to_json('Question ' || i || ' on ' || url) || '}},{{"role":"assistant","content":"Answer to '
+    || 2 * i || '"}}' FOR i IN range(1, page_id % 3 + 1)], '') || ']}}' END"""
+
+
+def _asked(text: str) -> str:
+    return f"nullif(CASE WHEN page_id % 7 = 0 THEN {_prompt(FALLBACK, text)} ELSE {_prompt(_DEFAULT, text)} END, '')"
+
+
+_ROUTED = f"""WITH kinds AS ({_ROUTE}),
+read AS (SELECT k.page_id, k.path, p.url, coalesce(CASE k.input_type WHEN 'http' THEN once.text WHEN 'quip' THEN twice.text ELSE p.html END, '') AS t
+  FROM kinds k JOIN pages p ON p.page_id = k.page_id
+  LEFT JOIN ({_PAGE_TEXT}) once ON once.page_id = k.page_id
+  LEFT JOIN (SELECT page_id, {_text_of('once')} AS text FROM (SELECT page_id, {_text_of('body')} AS once
+    FROM (SELECT page_id, {_FROM_BODY} AS body FROM pages))) twice ON twice.page_id = k.page_id)
+SELECT page_id, path, CASE length(path) % 4 WHEN 0 THEN {_asked('t')} WHEN 1 THEN {_talk('answer')} WHEN 2 THEN {_asked('talk')} ELSE talk END AS text,
+  NULL::VARCHAR AS error
+FROM (SELECT *, {_talk('t')} AS talk, {_asked('t')} AS answer FROM read)"""
+
+
 ORACLE: dict[str, str] = {
     "html_body": f"SELECT page_id, {_BODY} AS body FROM pages",
     "html_text": _PAGE_TEXT,
@@ -296,6 +331,10 @@ SELECT doc_id, ("end" - length(value))::INTEGER AS begin, "end"::INTEGER AS "end
   CASE WHEN NOT regexp_matches(text, {_PII}) THEN 'token map is missing' END AS error FROM documents""",
     "pii_customers": _tokenized(_LETTERS),
     "pii_customer_map": _token_map(_LETTERS),
+    "stream_restored": f"""SELECT d.doc_id, CASE WHEN lost THEN t.text ELSE d.text END AS text,
+  CASE WHEN lost THEN 'quarantine' ELSE 'restored' END AS state, CASE WHEN lost THEN 'token map is missing' END AS error
+FROM documents d JOIN (SELECT doc_id, text FROM ({_TOKENIZED})) t USING (doc_id), LATERAL (SELECT
+  regexp_matches(t.text, 'T[0-9]') AND (d.doc_id % 7 = 0 OR NOT regexp_matches(d.text, {_PII})) AS lost)""",
     "stored_token_map": f"""SELECT doc_id, text,
   CASE WHEN starts_with(text, 'No order') THEN 'token map is missing' END AS error FROM {_LETTERS}""",
     "restored_in_order": _IN_ORDER,
@@ -303,6 +342,9 @@ SELECT doc_id, ("end" - length(value))::INTEGER AS begin, "end"::INTEGER AS "end
     "org_phrases_joined": _PHRASED,
     "gazetteer_names": f"""WITH {_GAZETTEER}
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY seen) - 1)::INTEGER AS pos, name, type FROM found""",
+    "trie_names": f"""WITH RECURSIVE {_PHRASE_HITS}
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS pos, name, type
+FROM taken JOIN hits USING (doc_id, i)""",
     "org_anonymized": f"""WITH {_GAZETTEER},
 orgs AS (SELECT doc_id, list(name ORDER BY length(name) DESC, name) AS names FROM found WHERE type = 'ORG' GROUP BY doc_id)
 SELECT d.doc_id, CASE WHEN names IS NULL THEN text
@@ -338,6 +380,7 @@ FROM (SELECT doc_id, nullif(text, '') AS t, lang,
   CASE WHEN text IS NULL OR (lang IS NULL AND doc_id % 5 IN (1, 3)) THEN 4 ELSE doc_id % 5 END AS k FROM documents)""",
     "model_ledger": """SELECT doc_id, nullif(coalesce(text, 'None'), '') AS text, NULL::VARCHAR AS error,
   (SELECT count(DISTINCT coalesce(text, 'None')) FROM documents) AS asked, 0 AS asked_again FROM documents""",
+    "routed_texts": _ROUTED,
     "model_answers": f"""SELECT page_id, {_prompt(_DEFAULT, 'text')} AS answer, NULL::VARCHAR AS error FROM ({_PAGE_TEXT})""",
     "model_failures": """SELECT page_id, CASE WHEN NOT contains(url, '7') THEN url END AS text, contains(url, '7') AS failed
 FROM pages""",

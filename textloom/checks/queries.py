@@ -15,14 +15,15 @@ from textloom.functions.chunks import chunk_texts
 from textloom.functions.insights import entities, key_phrases
 from textloom.functions.prompts import json_string
 from textloom.functions.text import bare, words
-from textloom.operators import blocks, chat, glossary, insights, ledger, names, privacy, prompting, routing, summarize, web
+from textloom.operators import blocks, chat, glossary, insights, ledger, names, phrases, privacy, prompting, routing, summarize, web
 from textloom.operators.assemble import complete
 from textloom.operators.inference import call_model
 from textloom.operators.lookup import shared_dir
-from textloom.plans import enrich
+from textloom.plans import enrich, routed
 from textloom.sinks import catalog, outcomes, tables as sinks
 from textloom.sources import files, office
 from textloom.streaming.files import run_on_files
+from textloom.streaming.restoring import restore_arriving
 
 # Lexicon of the sentiment queries: frequent words of the test texts.
 LEXICON = {
@@ -97,14 +98,14 @@ def form_payload(spark, sf_dir):
 # Routing
 
 
-def _paths(spark, sf_dir):
+def _paths(spark, sf_dir, *kept):
     number = F.col("page_id").cast("string")
     made = [
         ("s3://pages/", ".pdf"), ("quip://", ""), ("/in/", ".mp3"), ("/in/", ".pdf"), ("/in/", ".docx"),
         ("/in/", ".xlsx"), ("/in/", ".PNG"), ("/in/", ".png"), ("/in/", ".json"), ("https://youtu.be/", ""),
     ]
     paths = F.array("url", *[F.concat(F.lit(a), number, F.lit(z)) for a, z in made])
-    return table(spark, sf_dir, "pages").select("page_id", F.explode(paths).alias("path"))
+    return table(spark, sf_dir, "pages").select("page_id", *kept, F.explode(paths).alias("path"))
 
 
 def route(spark, sf_dir):
@@ -249,6 +250,23 @@ def gazetteer_names(spark, sf_dir):
     return found.select("doc_id", F.posexplode("names").alias("pos", "entry")).select("doc_id", "pos", "entry.*")
 
 
+def _phrase_list(spark, sf_dir):
+    """All runs of two words of the benchmark texts as names, all runs of three as organizations."""
+    listed = table(spark, sf_dir, "benchmark").select(words(F.col("text")).alias("w"))
+    runs = [
+        listed.select(F.explode(F.transform("w", lambda _, i: F.slice("w", i + 1, F.lit(n)))).alias("run"), F.lit(kind).alias("type"))
+        .where(F.size("run") == n)
+        .select(F.array_join("run", " ").alias("name"), "type")
+        for n, kind in ((2, "NAME"), (3, "ORG"))
+    ]
+    return runs[0].union(runs[1]).distinct()
+
+
+def trie_names(spark, sf_dir):
+    found = phrases.find_phrases(documents(spark, sf_dir), _phrase_list(spark, sf_dir))
+    return found.select("doc_id", F.posexplode("phrases.matches").alias("pos", "m")).select("doc_id", "pos", "m.name", "m.type")
+
+
 def org_anonymized(spark, sf_dir):
     found = names.find_names(documents(spark, sf_dir), _gazetteer(spark, sf_dir))
     return names.anonymize(found).select("doc_id", "text")
@@ -433,6 +451,40 @@ def model_answers(spark, sf_dir):
     return answered.select(F.col("doc_id").alias("page_id"), F.col("text").alias("answer"), "error")
 
 
+def numbering_client():
+    """A stand-in for a chat model: tells how many messages it was sent."""
+    return lambda body: f"Answer to {len(json.loads(body)['messages'])}"
+
+
+def routed_texts(spark, sf_dir):
+    """Every page as eleven kinds of input, with all flags, taken through its stages in one plan."""
+    html, url = F.col("html"), F.col("url")
+    kind = F.col("input_type")
+    speech = F.to_json(F.struct(F.struct(F.array(F.struct(html.alias("transcript"))).alias("transcripts")).alias("results")))
+    payload = (
+        F.when(kind == "quip", F.to_json(F.struct("html")))
+        .when(kind.isin("youtube_url", "multimedia_file"), speech)
+        .otherwise(html)
+    )
+    chats = F.array(F.lit(""), F.lit("sum_first"), F.lit("chat_first"), F.lit("chat_only"))
+    number = F.col("page_id") % 3
+    asked = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.concat(F.lit("Question "), i.cast("string"), F.lit(" on "), url))
+    made = _paths(spark, sf_dir, "url", "html").withColumn("input_type", routing.input_type(F.col("path")))
+    records = made.select(
+        "page_id", "path", "input_type", payload.alias("payload"),
+        (F.col("page_id") % 2 == 0).alias("anonymize"),
+        F.get(chats, (F.length("path") % 4).cast("int")).alias("chat"),
+        (number == 0).alias("clipboard"),
+        F.slice(asked, F.lit(1), number.cast("int")).alias("questions"),
+        (F.col("page_id") % 5 != 0).alias("include_chat"),
+        F.when(F.col("page_id") % 7 == 0, "missing").otherwise("default_prompt").alias("prompt_name"),
+    )
+    done = routed.run_stages(
+        records, prompting.template_table(spark), echo_client, numbering_client, CHAT_PROPS, "$.messages[0].content", "$.content[0].text"
+    )
+    return done.select("page_id", "path", "text", "error")
+
+
 def failing_client():
     """A client that cannot answer prompts with a digit 7."""
     answer = echo_client()
@@ -796,6 +848,20 @@ def stream_insights(spark, sf_dir):
     return _streamed(spark, sf_dir, stage)
 
 
+def stream_restored(spark, sf_dir):
+    """Replies that arrive in two runs of one stream, restored from the stored maps; a seventh of the documents has no map."""
+    folder = shared_folder(spark)
+    tokenized = privacy.tokenize(documents(spark, sf_dir))
+    privacy.explode_token_map(tokenized.where("doc_id % 7 <> 0")).write.parquet(f"{folder}/maps")
+    replies = tokenized.select("doc_id", "text")
+    for half in (0, 1):
+        replies.where(F.col("doc_id") % 2 == half).write.mode("append").parquet(f"{folder}/replies")
+        restore_arriving(
+            spark, f"{folder}/replies", "doc_id long, text string", f"{folder}/maps", f"{folder}/out", f"{folder}/state"
+        ).awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("doc_id", "text", "state", "error")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -803,15 +869,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         route, route_plan, request_records,
         pii_spans, pii_token_map, pii_token_map_spans, pii_tokenized, pii_tokenized_spans, pii_roundtrip,
         pii_restored_table, pii_customers, pii_customer_map, stored_token_map, restored_in_order,
-        gazetteer_names, org_anonymized, org_phrases, org_phrases_joined,
+        gazetteer_names, trie_names, org_anonymized, org_phrases, org_phrases_joined,
         chunks, chunk_sizes, chunk_labels, chunk_labels_joined, doc_sentiment, chunk_key_phrases, chunk_entities,
         doc_insights, doc_insights_merged, top_phrases,
         prompt_default, prompt_fallback, request_bodies, response_text, reply_paths, model_answers, model_failures,
-        model_ledger,
+        model_ledger, routed_texts,
         extractive_summary, extractive_summary_rare,
         chat_requests, chat_history, chat_full,
         line_rebuild, line_rebuild_gaps, page_lines, sheet_text, sheet_text_all, paragraph_text, workbook_text, word_file_text,
         glossary_valid, glossary_terms, glossary_new, glossary_placed, catalog_terms, catalog_rerun,
         local_files, object_files, stored_texts, write_outcomes, stream_tokenized, stream_insights,
+        stream_restored,
     )
 }

@@ -38,6 +38,11 @@ def _names_pattern(names: Column) -> Column:
     return F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(escaped, "|"), F.lit(r")(?![\p{L}\p{N}])"))
 
 
+def private_type(value: Column) -> Column:
+    """Type of a value that PRIVATE matches."""
+    return F.when(value.contains("@"), "EMAIL").when(value.rlike(f"^{DATE}$"), "DATE").otherwise("PHONE")
+
+
 def find_private(text: Column, names: Column | None = None) -> tuple[Column, Column]:
     """``(gaps, matches)``: the text between matches, and the matches with their types.
 
@@ -52,9 +57,7 @@ def find_private(text: Column, names: Column | None = None) -> tuple[Column, Col
         hit = hinted | some
 
     def kind(value: Column) -> Column:
-        rule = (
-            F.when(value.contains("@"), "EMAIL").when(value.rlike(f"^{DATE}$"), "DATE").otherwise("PHONE")
-        )
+        rule = private_type(value)
         if names is None:
             return rule
         plain = F.regexp_replace(value, SPACE + "+", " ")

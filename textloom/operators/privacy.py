@@ -18,6 +18,9 @@ from textloom.functions.privacy import (
 TOKEN_MAP_TYPE = "array<struct<token:string,value:string,type:string>>"
 _BLOCK = 1024
 _PAGE = 256
+#: Bits of one row of a bitmap aggregate, and of the filter of ``tokenize_spans``: 8 MB, broadcast.
+_BITMAP = 32_768
+FILTER_BITS = 1 << 26
 
 
 def detect_spans(df: DataFrame, text: str = "text", key: str = "doc_id", names: str | None = None) -> DataFrame:
@@ -74,11 +77,11 @@ def tokenize(
     """Replace personal data in ``text`` by tokens and add the ordered token map of the row."""
     gaps, matches = find_private(F.col(text), F.col(names) if names else None)
     found = df.withColumns({"_gaps": gaps, "_matches": matches})
-    return _replace(found, text, out, types).drop("_gaps", "_matches")
+    return replace_matches(found, text, out, types)
 
 
-def _replace(found: DataFrame, text: str, out: str, types: tuple[str, ...]) -> DataFrame:
-    """Token map and new text from the gaps and matches of each row; NULL means no match."""
+def replace_matches(found: DataFrame, text: str, out: str, types: tuple[str, ...]) -> DataFrame:
+    """Token map and new text from the columns ``_gaps`` and ``_matches`` of each row, which go; NULL means no match."""
     matches = F.coalesce("_matches", F.array().cast("array<struct<value:string,type:string>>"))
     spliced = splice_tokens(F.col("_gaps"), F.col("_matches"), F.col("_groups"), types)
     return (
@@ -89,10 +92,21 @@ def _replace(found: DataFrame, text: str, out: str, types: tuple[str, ...]) -> D
                 text: F.when(F.size("_groups") > 0, spliced).otherwise(F.col(text)),
             }
         )
-        .drop("_groups")
+        .drop("_groups", "_gaps", "_matches")
     )
 
 
+def _flag_listed(df: DataFrame, keys: DataFrame, key: str, bits: int) -> DataFrame:
+    """Add ``_listed``: whether the key of a row may be among ``keys``, by a bitmap of their hashes of ``bits`` bits."""
+    place = F.pmod(F.xxhash64(key), F.lit(bits))
+    bucket, bit = F.floor(place / _BITMAP).alias("_bucket"), F.pmod(place, F.lit(_BITMAP)).alias("_bit")
+    maps = keys.select(bucket, bit).groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bitmap"))
+    byte = F.conv(F.hex(F.substring("_bitmap", (F.floor(F.col("_bit") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    held = byte.bitwiseAND(F.pow(F.lit(2), F.col("_bit") % 8).cast("int")) != 0
+    joined = df.withColumns({"_bucket": bucket, "_bit": bit}).join(F.broadcast(maps), "_bucket", "left")
+    return joined.withColumn("_listed", F.coalesce(held, F.lit(False))).drop("_bucket", "_bit", "_bitmap")
+
+
 def _disjoint(spans):
     """Spans by begin, longest first, without those that start inside a kept one.
 
@@ -127,11 +141,15 @@ def tokenize_spans(
     key: str = "doc_id",
     types: tuple[str, ...] = PRIVATE_TYPES,
     out: str = "token_map",
+    filter_bits: int = FILTER_BITS,
 ) -> DataFrame:
     """As ``tokenize`` for spans (key, begin, end, type) that another detector delivered.
 
     Spans may be unsorted or overlap; of overlapping ones the first and longest counts. Texts
     are cut from blocks, so the cost of a piece depends on its length and not its position.
+
+    A bitmap of ``filter_bits`` bits over the keys of the spans splits off the texts that have none: they stay where they are,
+    and only the others meet their spans. ``df`` is read twice for that. A bit that two keys share costs a move, not the result.
     """
     begin, end = F.col("begin").cast("int"), F.col("end").cast("int")
     # One span per start: a text has fewer of them than characters, however many were delivered.
@@ -155,7 +173,10 @@ def tokenize_spans(
         )
 
     blocks = F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0))
-    joined = df.join(per_text, key, "left").withColumn("_blocks", F.when(F.col("_spans").isNotNull(), blocks))
+    flagged = _flag_listed(df, longest, key, filter_bits)
+    still = flagged.where(~F.col("_listed")).drop("_listed").withColumn(out, F.array().cast(TOKEN_MAP_TYPE))
+    moved = flagged.where("_listed").drop("_listed")
+    joined = moved.join(per_text, key, "left").withColumn("_blocks", F.when(F.col("_spans").isNotNull(), blocks))
     values = F.transform(
         "_spans",
         lambda s: F.struct(cut(F.col("_blocks"), s["begin"], s["end"]).alias("value"), s["type"].alias("type")),
@@ -165,7 +186,7 @@ def tokenize_spans(
     gaps = F.zip_with(ends, begins, lambda e, b: cut(F.col("_blocks"), e, b))
     some = F.col("_spans").isNotNull()
     found = joined.withColumns({"_matches": F.when(some, values), "_gaps": F.when(some, gaps)})
-    return _replace(found, text, out, types).drop("_spans", "_blocks", "_gaps", "_matches")
+    return replace_matches(found, text, out, types).drop("_spans", "_blocks").unionByName(still)
 
 
 def explode_token_map(df: DataFrame, key: str = "doc_id", tokens: str = "token_map") -> DataFrame:
