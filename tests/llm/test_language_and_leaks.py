@@ -228,6 +228,17 @@ def test_licenses(spark):
         7: (None, set()),
         8: ("", set()),
         9: ("PUBLIC domain", {"short"}),
+        11: (f"{PLAIN} {sentence(5, 60_000)} {licenses.NOTICES[15][1]}", {"MIT"}),
+        12: (f"under the {licenses.NOTICES[10][1]}, or (at your option) any later version.", {"GPL-3.0"}),
+        13: (f"under the {licenses.NOTICES[9][1]}, or (at your option) any later version.", {"GPL-2.0"}),
+        14: (f"{PLAIN} {licenses.NOTICES[12][1]}", {"LGPL-3.0"}),
+        15: (f"{PLAIN} {licenses.NOTICES[13][1]} {PLAIN}", {"AGPL-3.0"}),
+        16: (f"{licenses.NOTICES[16][1]} {licenses.NOTICES[17][1]}", {"BSD", "BSD-3-Clause"}),
+        17: (f"/* {licenses.NOTICES[14][1].lower()} */", {"Apache-2.0"}),
+        18: (f"{licenses.NOTICES[18][1]} {PLAIN}", {"ISC"}),
+        19: (f"{licenses.NOTICES[19][1]} {licenses.NOTICES[20][1]}", {"Unlicense", "CC0-1.0", "short"}),
+        20: (f"{PLAIN} {licenses.NOTICES[21][1]}", {"Zlib"}),
+        21: (f"{PLAIN} noninfringement merchantability sublicense unencumbered", set()),
         10: (f"{sentence(3, 3000)} {licenses.NOTICES[4][1]} {sentence(4, 3000)}", {"CC-BY-4.0"}),
     }
     rows = [(i, t, "l", "h") for i, (t, _) in cases.items()] + [(1, cases[1][0], "l", "h"), (None, cases[1][0], "l", "h")]
