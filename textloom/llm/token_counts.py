@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -12,7 +13,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from textloom.llm.common import stored
 
-#: Pre-tokens that every task knows: the most frequent ones, this many at most, each of this many characters at most.
+#: Pre-tokens that every task knows: the most frequent ones, this many at most. Those of more than COMMON_LENGTH characters are
+#: known by a digest, so the size of what is broadcast is bounded and no frequent pre-token is left to the join.
 COMMON = 100_000
 COMMON_LENGTH = 64
 #: Entries of a task's dictionaries before they are emptied.
@@ -146,8 +148,19 @@ class Known(dict):
         return found
 
     def of(self, pieces: list[str]) -> tuple[int, list[str]]:
-        sizes = self.sizes
-        return sum(sizes.get(p, 0) for p in pieces), [p for p in pieces if p not in sizes]
+        known, others = 0, []
+        for piece in pieces:
+            n = self.sizes.get(piece if len(piece) <= COMMON_LENGTH else long_key(piece))
+            if n is None:
+                others.append(piece)
+            else:
+                known += n
+        return known, others
+
+
+def long_key(piece: str) -> str:
+    """A short name for a long pre-token; longer than any pre-token that is known by itself."""
+    return "#" + hashlib.sha256(piece.encode()).hexdigest()
 
 
 def _rows(path: str, common):
@@ -212,14 +225,15 @@ def token_counts(
 
     ``path`` is a byte-level BPE file of the tokenizers library, in the same place on all machines. Pre-tokens are counted per task
     and then over the corpus, and each distinct one is split into tokens once. A task knows the sizes of the ``common`` most
-    frequent ones, of COMMON_LENGTH characters at most; the rest of a document's counts is joined by
-    pre-token and summed. No token ids are kept. Special tokens inside a text count as one token.
+    frequent ones, long ones by their digest; the rest of a document's counts is joined by
+    pre-token and summed, where no key is more frequent than the last of those. No token ids are kept. Special tokens inside a text count as one token.
 
     A null text counts as empty: no bytes, no tokens. Repeated rows and null ids stay as they are.
     """
     spark = docs.sparkSession
     pieces = stored(piece_table(docs, path, text_col))
-    top = pieces.where(F.length("piece") <= COMMON_LENGTH).orderBy(F.desc("freq"), "piece").limit(common)
+    name = F.when(F.length("piece") <= COMMON_LENGTH, F.col("piece")).otherwise(F.concat(F.lit("#"), F.sha2("piece", 256)))
+    top = pieces.select(name.alias("piece"), "freq", "n").orderBy(F.desc("freq"), "piece").limit(common)
     sizes = spark.sparkContext.broadcast({r["piece"]: r["n"] for r in top.select("piece", "n").toLocalIterator()})
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kinds = "part int, row bigint, id bigint, n_bytes bigint, known bigint, unknown array<struct<piece:string,times:bigint>>"
