@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from textloom.llm import decontaminate, language_id, licenses
@@ -203,6 +204,56 @@ def test_copies_in_another_case(spark, change):
     assert {r.doc_id for r in decontaminate.drop_leaks(docs, known, any_case=True).collect()} == {50}
 
 
+def test_runs_of_names_and_numbers(spark):
+    """A name of several words stands for one of one word, and the other way round; so do numbers in words."""
+    far = "before the long walk home with"
+    docs, known = leaks(
+        spark,
+        [
+            (1, f"{PLAIN}. Mary Ann has 30 apples and gives twenty five apples to Mallory {far} Mary Ann"),
+            (2, f"{PLAIN}. Eve has 30 apples and gives 11 apples to Peter van Dyk {far} Eve"),
+            (3, f"{PLAIN}. Mary Ann has 30 apples and gives 11 apples to Mallory {far} Mary Lou"),
+            (4, f"{PLAIN}. Alice has 3 apples and gives 2 apples to Bob {far} Alice"),
+            (5, f"{PLAIN}. Mary Ann has thirty apples and runs for hours"),
+            (6, f"Jim, my Al Gore Jr, has nine pens in the red box and my Al Gore Jr has them all"),
+        ],
+        [*ITEMS[:2], (9, "Tom, my Sue, has 9 pens in the red box and my Sue has them all")],
+    )
+    found = {r.doc_id: (r.item_id, r.exact) for r in decontaminate.find_leaks(docs, known).collect()}
+    assert found == {1: (1, False), 2: (1, False), 4: (1, True), 6: (9, False)}
+
+
+WORDS = st.lists(st.sampled_from(["Ann", "Lee,", "Bob", "x", "3", "four", "seven.", "5kg", "km", "The", "..."]), max_size=30)
+
+
+@settings(deadline=None, max_examples=300)
+@given(WORDS)
+def test_template_words_begin_where_a_plain_loop_says(told):
+    kinds = [decontaminate.canonical(w)[0] if decontaminate.canonical(w)[1] else "" for w in told]
+    starts, i = [], 0
+    while i < len(told):
+        j = i + 1
+        while j < len(told) and kinds[j] == kinds[i] and told[j - 1][-1] not in ",;:.!?)]}\"":
+            j += 1
+        joined = kinds[i] in ("#name", "#number") and j - i <= decontaminate.RUN
+        starts += [i] if joined else range(i, j)
+        i = j
+    words = decontaminate.Vocabulary().read(" ".join(told))
+    assert words.starts.tolist() == starts
+    ends = [*starts[1:], len(told)]
+    values = [f"{kinds[a]}={' '.join(decontaminate.canonical(w)[1] for w in told[a:b])}" for a, b in zip(starts, ends) if kinds[a]]
+    assert words.values(0, len(starts)) == values
+
+
+def test_a_vocabulary_that_is_emptied_reads_the_same(monkeypatch):
+    monkeypatch.setattr(decontaminate, "HELD", 3)
+    few, many = decontaminate.Vocabulary(), decontaminate.Vocabulary()
+    for k in range(50):
+        text = f"Ann Lee has {k} pens{k % 7} in 4 boxes " + " ".join(f"w{j}" for j in range(k * 200))
+        a, b = few.read(text), many.read(text)
+        assert all((a.hashes(f) == b.hashes(f)).all() for f in (False, True)) and a.values(0, 9) == b.values(0, 9)
+
+
 def test_leaks_without_rows(spark):
     docs, known = leaks(spark, [(1, PLAIN)])
     assert decontaminate.find_leaks(docs.limit(0), known).count() == 0

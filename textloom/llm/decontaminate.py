@@ -46,8 +46,10 @@ NUMBER = re.compile(r"[$€£]?[+-]?\d+(?:[.,:/]\d+)*(?:%|st|nd|rd|th)?")
 MEASURE = re.compile(r"[$€£]?[+-]?\d+(?:[.,]\d+)*(?:kg|g|mg|lb|km|cm|mm|m|ml|l|h|s|mph|kph)")
 EDGES = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])).replace("$", "").replace("+", "")
 
-HASHES: dict[str, int] = {}
-HELD = 300_000
+#: Words of a task's dictionary, and their bytes, before it is emptied between two texts.
+HELD, HELD_BYTES = 300_000, 64 << 20
+#: So many names, or number words, side by side are one placeholder; longer runs, as in titles, stay word by word.
+RUN = 4
 
 
 #: Keeps hashes of words in lower case apart from those of templates.
@@ -69,37 +71,92 @@ def canonical(word: str) -> tuple[str, str]:
     return low, ""
 
 
-class Canonical(dict):
-    """Hash of the template word, its kind and value, and hash of the lower-cased word, of each word; bounded."""
+KINDS = ("", "#number", "#measure", "#unit", "#name")
+JOINED = [KINDS.index("#number"), KINDS.index("#name")]
+STOPS = tuple(b",;:.!?)]}\"")
 
-    def __missing__(self, word: bytes) -> tuple[int, str, str, int]:
-        kind, value = canonical(word.decode())
-        folded = xxhash.xxh64_intdigest((value or kind).encode(), FOLD)
-        found = xxhash.xxh64_intdigest(kind.encode()), kind if value else "", value, folded
-        if len(self) < HELD and len(word) < 64:
-            self[word] = found
-        return found
-
-
-def _read(text: str, known: Canonical) -> tuple[np.ndarray, list[tuple[int, str, str, int]]]:
-    words = [known[w] for w in text.encode().split()]
-    return np.fromiter((w[0] for w in words), np.uint64, len(words)), words
 
+class Vocabulary(dict):
+    """Numbers of words, and by number: hash of the template word, its kind and value, hash of the lower-cased word.
 
-def _folded(words) -> np.ndarray:
-    return np.fromiter((w[3] for w in words), np.uint64, len(words))
-
+    ``stops`` tells whether punctuation ends the word, so that no run of names goes on behind it.
+    """
 
-def _values(words, start: int, size: int) -> list[str]:
-    return [f"{kind}={value}" for _, kind, value, _ in words[start : start + size] if kind]
+    def __init__(self):
+        super().__init__()
+        self.template, self.folded = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.uint64)
+        self.kinds, self.stops = np.zeros(1 << 12, np.int8), np.zeros(1 << 12, bool)
+        self.empty()
 
+    def empty(self) -> None:
+        self.clear()
+        self.values: list[str] = []
+        self.held = 0
 
-def _numbered(words) -> str:
+    def __missing__(self, word: bytes) -> int:
+        kind, value = canonical(word.decode())
+        number = len(self.values)
+        if number == len(self.template):
+            for name in ("template", "folded", "kinds", "stops"):
+                column = getattr(self, name)
+                setattr(self, name, np.concatenate([column, np.zeros_like(column)]))
+        self.template[number] = xxhash.xxh64_intdigest(kind.encode())
+        self.folded[number] = xxhash.xxh64_intdigest((value or kind).encode(), FOLD)
+        self.kinds[number] = KINDS.index(kind) if value else 0
+        self.stops[number] = word[-1] in STOPS
+        self.values.append(value)
+        self[word] = number
+        self.held += len(word)
+        return number
+
+    def read(self, text: str) -> Words:
+        if len(self) > HELD or self.held > HELD_BYTES:
+            self.empty()
+        split = text.encode().split()
+        return Words(self, np.fromiter(map(self.__getitem__, split), np.int64, len(split)))
+
+
+class Words:
+    """The words of a text, and its template: ``starts`` are the words that template words begin with."""
+
+    def __init__(self, known: Vocabulary, numbers: np.ndarray):
+        self.known, self.numbers = known, numbers
+        n, kinds = len(numbers), known.kinds[numbers]
+        new = np.ones(n, bool)
+        new[1:] = (kinds[1:] != kinds[:-1]) | known.stops[numbers[:-1]]
+        runs = np.flatnonzero(new)
+        sizes = np.diff(np.append(runs, n))
+        one = (sizes > 1) & (sizes <= RUN) & np.isin(kinds[runs], JOINED)
+        self.starts = np.flatnonzero(new | ~np.repeat(one, sizes))
+        self.kinds = kinds[self.starts]
+
+    def __len__(self) -> int:
+        return len(self.numbers)
+
+    def hashes(self, fold: bool) -> np.ndarray:
+        return self.known.folded[self.numbers] if fold else self.known.template[self.numbers[self.starts]]
+
+    def begin(self, place: int) -> int:
+        """First word of a template word, or the end of the text."""
+        return int(self.starts[place]) if place < len(self.starts) else len(self.numbers)
+
+    def value(self, place: int) -> str:
+        told = self.numbers[self.begin(place) : self.begin(place + 1)].tolist()
+        return " ".join(self.known.values[i] for i in told)
+
+    def values(self, place: int, size: int) -> list[str]:
+        """Kinds and values of the placeholders in a window of template words."""
+        kinds = self.kinds[place : place + size].tolist()
+        return [f"{KINDS[kind]}={self.value(place + i)}" for i, kind in enumerate(kinds) if kind]
+
+
+def _numbered(words: Words) -> str:
     """Template of a whole item, with the places numbered by value: items that ask the same with other values agree."""
     numbers: dict[tuple, int] = {}
-    return " ".join(
-        f"{kind}{numbers.setdefault((kind, value), len(numbers))}" if kind else f"{digest:x}" for digest, kind, value, _ in words
-    )
+    told = []
+    for place, (digest, kind) in enumerate(zip(words.hashes(False).tolist(), words.kinds.tolist())):
+        told.append(f"{KINDS[kind]}{numbers.setdefault((kind, words.value(place)), len(numbers))}" if kind else f"{digest:x}")
+    return " ".join(told)
 
 
 ITEMS = pa.schema([("item_id", pa.int64()), ("text", pa.string()), ("template", pa.binary())])
@@ -109,7 +166,10 @@ ITEM_WINDOWS = pa.schema(
         ("second", pa.int64()),
         ("size", pa.int32()),
         ("item_id", pa.int64()),
+        ("fold", pa.bool_()),
         ("place", pa.int32()),
+        ("begin", pa.int32()),
+        ("end", pa.int32()),
         ("n_words", pa.int32()),
         ("slots", pa.list_(pa.string())),
         ("literals", pa.int32()),
@@ -129,11 +189,11 @@ DOC_WINDOWS = pa.schema(
 
 def _templates(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows():
-        known = Canonical()
+        known = Vocabulary()
         for table in tables:
             for item, text in zip(table.column("item_id").to_pylist(), table.column("text").to_pylist()):
-                words = _read(text, known)[1]
-                if words:
+                words = known.read(text)
+                if len(words):
                     yield {"item_id": item, "text": text, "template": xxhash.xxh3_128_digest(_numbered(words))}
 
     yield from batches(rows(), ITEMS)
@@ -144,18 +204,19 @@ def _item_windows(size: int, fold: bool = False):
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
-            known = Canonical()
+            known = Vocabulary()
             for table in tables:
                 for item, text in zip(table.column("item_id").to_pylist(), table.column("text").to_pylist()):
-                    hashes, words = _read(text, known)
-                    wide = min(size, len(words))
-                    hashes = _folded(words) if fold else hashes
+                    words = known.read(text)
+                    hashes = words.hashes(fold)
+                    wide = min(size, len(hashes))
                     first, second = (h.view(np.int64).tolist() for h in window_hashes(hashes, wide))
                     for place, (a, b) in enumerate(zip(first, second)):
-                        slots = [] if fold else _values(words, place, wide)
+                        slots = [] if fold else words.values(place, wide)
+                        begin, end = (place, place + wide) if fold else (words.begin(place), words.begin(place + wide))
                         yield {
-                            "first": a, "second": b, "size": wide, "item_id": item, "place": place,
-                            "n_words": len(words), "slots": slots, "literals": wide - len(slots),
+                            "first": a, "second": b, "size": wide, "item_id": item, "fold": fold, "place": place,
+                            "begin": begin, "end": end, "n_words": len(words), "slots": slots, "literals": wide - len(slots),
                         }
 
         yield from batches(rows(), ITEM_WINDOWS)
@@ -166,18 +227,17 @@ def _item_windows(size: int, fold: bool = False):
 def _doc_windows(sizes: list[int], bitmap, any_case: bool):
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
-            known, bits = Canonical(), bitmap.value
+            known, bits = Vocabulary(), bitmap.value
             for table in tables:
                 for digest, text in zip(table.column("hash").to_pylist(), table.column("text")):
-                    hashes, words = _read(text.as_py(), known)
-                    kinds = [(hashes, False), (_folded(words), True)] if any_case else [(hashes, False)]
-                    for (found, fold), size in product(kinds, sizes):
-                        first, second = window_hashes(found, size)
+                    words = known.read(text.as_py())
+                    for fold, size in product((False, True) if any_case else (False,), sizes):
+                        first, second = window_hashes(words.hashes(fold), size)
                         spot = first >> np.uint64(64 - BITS)
                         for at in np.nonzero(bits[spot >> np.uint64(6)] >> (spot & np.uint64(63)) & np.uint64(1))[0].tolist():
                             yield {
                                 "hash": digest, "first": int(first.view(np.int64)[at]), "second": int(second.view(np.int64)[at]),
-                                "size": size, "at": at, "values": [] if fold else _values(words, at, size),
+                                "size": size, "at": at, "values": [] if fold else words.values(at, size),
                             }
 
         yield from batches(rows(), DOC_WINDOWS, 5_000)
@@ -213,6 +273,9 @@ def matches(
     that all values are the item's own. A text holds an item if it covers ``share`` of its words, or ``passage`` words in
     one stretch with the item's values, whatever the rest of that stretch holds.
 
+    Up to RUN names, or number words, side by side are one placeholder, so "Mary Ann" may stand for "Alice"; punctuation
+    parts them. Covered words are always words of the item's text.
+
     With ``any_case``, windows of the words in lower case, of all items, are joined as well: words that agree
     but for case have the values of the item, or of one of those it stands for.
     """
@@ -221,7 +284,10 @@ def matches(
     templates = known.mapInArrow(_templates, "item_id bigint, text string, template binary")
     order = F.struct(F.col("item_id").isNull(), "item_id", "text")
     first = templates.groupBy("template").agg(F.min_by(F.struct("item_id", "text"), order).alias("i"), F.count(F.lit(1)).alias("n_items"))
-    kinds = "first bigint, second bigint, size int, item_id bigint, place int, n_words int, slots array<string>, literals int"
+    kinds = (
+        "first bigint, second bigint, size int, item_id bigint, fold boolean, place int, begin int, end int, n_words int, "
+        "slots array<string>, literals int"
+    )
     # The number of an item among the representatives is its text; ids may repeat or be null.
     classes = stored(first.select("i.item_id", "i.text", "n_items", F.xxhash64("template").alias("item_key")))
     windows = stored(classes.select(F.col("item_key").alias("item_id"), "text").mapInArrow(_item_windows(size), kinds))
@@ -238,28 +304,27 @@ def matches(
     own = F.col("values") == F.col("slots")
     met = met.where(own | (F.col("literals") * 2 >= F.col("size"))).withColumn("own", own)
     # Copies of a text become one here.
-    each = met.groupBy("hash", "item_id", (F.col("at") - F.col("place")).alias("shift"), "place").agg(
+    each = met.groupBy("hash", "item_id", "fold", (F.col("at") - F.col("place")).alias("shift"), "place").agg(
         F.count(F.lit(1)).alias("n"),
         F.max("own").alias("own"),
         F.first("n_words").alias("n_words"),
-        F.first("size").alias("size"),
+        F.first(F.struct("begin", "end")).alias("span"),
         F.flatten(F.collect_set(F.arrays_zip(F.col("slots").alias("slot"), F.col("values").alias("value")))).alias("pairs"),
     )
-    stretch = each.groupBy("hash", "item_id", "shift").agg(
+    stretch = each.groupBy("hash", "item_id", "fold", "shift").agg(
         F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"),
-        F.collect_list("place").alias("places"),
-        F.collect_list(F.when(F.col("own"), F.col("place"))).alias("own_places"),
+        F.collect_list("span").alias("places"),
+        F.collect_list(F.when(F.col("own"), F.col("span"))).alias("own_places"),
         F.min("own").alias("exact"),
         F.max("n").alias("n"),
         F.first("n_words").alias("n_words"),
-        F.first("size").alias("size"),
     )
     names = F.filter("pairs", lambda p: p["slot"].startswith("#name"))
     by_place = F.size(F.array_distinct(F.col("pairs.slot"))) == F.size("pairs")
     by_value = F.size(F.array_distinct(names["value"])) == F.size(names)
 
     def words(places):
-        return F.array_distinct(F.flatten(F.transform(places, lambda p: F.sequence(p, p + F.col("size") - 1))))
+        return F.array_distinct(F.flatten(F.transform(places, lambda p: F.sequence(p["begin"], p["end"] - 1))))
 
     counted = F.when(by_place & by_value, F.col("places")).otherwise(F.col("own_places"))
     merged = (
