@@ -18,7 +18,6 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from textloom.llm.common import batches, hot_join, stored, text_of
-from textloom.llm.substring_dedup import window_hashes
 from textloom.llm.url_filter import only_possible
 from textloom.operators.lookup import fits_broadcast
 
@@ -60,10 +59,14 @@ def canonical(word: str) -> tuple[str, str]:
     """Template word and value: a typed placeholder with its value, or the lower-cased word and ''."""
     bare = word.strip(EDGES) or word
     low = bare.lower()
-    if low in NUMBERS or NUMBER.fullmatch(low):
+    if low in NUMBERS:
         return "#number", low
-    if MEASURE.fullmatch(low):
-        return "#measure", low
+    # Both patterns need a digit.
+    if not low.isalpha():
+        if NUMBER.fullmatch(low):
+            return "#number", low
+        if MEASURE.fullmatch(low):
+            return "#measure", low
     if low in UNITS:
         return "#unit", low
     if bare[0].isupper() and low not in PLAIN:
@@ -72,8 +75,9 @@ def canonical(word: str) -> tuple[str, str]:
 
 
 KINDS = ("", "#number", "#measure", "#unit", "#name")
-JOINED = [KINDS.index("#number"), KINDS.index("#name")]
-STOPS = tuple(b",;:.!?)]}\"")
+JOINED = np.array([kind in ("#number", "#name") for kind in KINDS])
+PLACES = {kind: xxhash.xxh64_intdigest(kind.encode()) for kind in KINDS[1:]}
+STOPS = frozenset(b",;:.!?)]}\"")
 
 
 class Vocabulary(dict):
@@ -91,29 +95,40 @@ class Vocabulary(dict):
     def empty(self) -> None:
         self.clear()
         self.values: list[str] = []
+        self.fresh: tuple[list, ...] = ([], [], [], [])
         self.held = 0
 
     def __missing__(self, word: bytes) -> int:
         kind, value = canonical(word.decode())
-        number = len(self.values)
-        if number == len(self.template):
-            for name in ("template", "folded", "kinds", "stops"):
-                column = getattr(self, name)
-                setattr(self, name, np.concatenate([column, np.zeros_like(column)]))
-        self.template[number] = xxhash.xxh64_intdigest(kind.encode())
-        self.folded[number] = xxhash.xxh64_intdigest((value or kind).encode(), FOLD)
-        self.kinds[number] = KINDS.index(kind) if value else 0
-        self.stops[number] = word[-1] in STOPS
+        low = (value or kind).encode()
+        templates, folds, kinds, stops = self.fresh
+        templates.append(PLACES[kind] if value else xxhash.xxh64_intdigest(low))
+        folds.append(xxhash.xxh64_intdigest(low, FOLD))
+        kinds.append(KINDS.index(kind) if value else 0)
+        stops.append(word[-1] in STOPS)
+        number = self[word] = len(self.values)
         self.values.append(value)
-        self[word] = number
         self.held += len(word)
         return number
 
-    def read(self, text: str) -> Words:
+    def settle(self) -> None:
+        """Put the words of this text that were new into the arrays."""
+        n, first = len(self.values), len(self.values) - len(self.fresh[0])
+        for name, told in zip(("template", "folded", "kinds", "stops"), self.fresh):
+            column = getattr(self, name)
+            if n > len(column):
+                column = np.concatenate([column, np.zeros(max(n, 2 * len(column)) - len(column), column.dtype)])
+                setattr(self, name, column)
+            column[first:n] = told
+            told.clear()
+
+    def read(self, text: bytes) -> Words:
         if len(self) > HELD or self.held > HELD_BYTES:
             self.empty()
-        split = text.encode().split()
-        return Words(self, np.fromiter(map(self.__getitem__, split), np.int64, len(split)))
+        split = text.split()
+        numbers = np.fromiter(map(self.__getitem__, split), np.int64, len(split))
+        self.settle()
+        return Words(self, numbers)
 
 
 class Words:
@@ -126,7 +141,7 @@ class Words:
         new[1:] = (kinds[1:] != kinds[:-1]) | known.stops[numbers[:-1]]
         runs = np.flatnonzero(new)
         sizes = np.diff(np.append(runs, n))
-        one = (sizes > 1) & (sizes <= RUN) & np.isin(kinds[runs], JOINED)
+        one = (sizes > 1) & (sizes <= RUN) & JOINED[kinds[runs]]
         self.starts = np.flatnonzero(new | ~np.repeat(one, sizes))
         self.kinds = kinds[self.starts]
 
@@ -159,6 +174,23 @@ def _numbered(words: Words) -> str:
     return " ".join(told)
 
 
+#: Odd factors of the two hashes of a window.
+FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def run_hashes(words: np.ndarray, spots: np.ndarray | None, size: int, factor: np.uint64) -> np.ndarray:
+    """A 64-bit hash of the ``size`` words from each of ``spots``, or from every place that has as many."""
+    n = max(0, len(words) - size + 1) if spots is None else len(spots)
+    total = np.zeros(n, np.uint64)
+    for i in range(size):
+        total *= factor
+        total += words[i : i + n] if spots is None else words[spots + i]
+    total ^= total >> np.uint64(31)
+    total *= factor
+    total ^= total >> np.uint64(29)
+    return total
+
+
 ITEMS = pa.schema([("item_id", pa.int64()), ("text", pa.string()), ("template", pa.binary())])
 ITEM_WINDOWS = pa.schema(
     [
@@ -192,7 +224,7 @@ def _templates(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Vocabulary()
         for table in tables:
             for item, text in zip(table.column("item_id").to_pylist(), table.column("text").to_pylist()):
-                words = known.read(text)
+                words = known.read(text.encode())
                 if len(words):
                     yield {"item_id": item, "text": text, "template": xxhash.xxh3_128_digest(_numbered(words))}
 
@@ -207,10 +239,11 @@ def _item_windows(size: int, fold: bool = False):
             known = Vocabulary()
             for table in tables:
                 for item, text in zip(table.column("item_id").to_pylist(), table.column("text").to_pylist()):
-                    words = known.read(text)
+                    words = known.read(text.encode())
                     hashes = words.hashes(fold)
                     wide = min(size, len(hashes))
-                    first, second = (h.view(np.int64).tolist() for h in window_hashes(hashes, wide))
+                    spots = np.arange(len(hashes) - wide + 1)
+                    first, second = (run_hashes(hashes, spots, wide, f).view(np.int64).tolist() for f in FACTORS)
                     for place, (a, b) in enumerate(zip(first, second)):
                         slots = [] if fold else words.values(place, wide)
                         begin, end = (place, place + wide) if fold else (words.begin(place), words.begin(place + wide))
@@ -229,15 +262,19 @@ def _doc_windows(sizes: list[int], bitmap, any_case: bool):
         def rows():
             known, bits = Vocabulary(), bitmap.value
             for table in tables:
-                for digest, text in zip(table.column("hash").to_pylist(), table.column("text")):
+                for digest, text in zip(table.column("hash").to_pylist(), table.column("text").cast(pa.binary())):
                     words = known.read(text.as_py())
                     for fold, size in product((False, True) if any_case else (False,), sizes):
-                        first, second = window_hashes(words.hashes(fold), size)
+                        hashes = words.hashes(fold)
+                        first = run_hashes(hashes, None, size, FACTORS[0])
                         spot = first >> np.uint64(64 - BITS)
-                        for at in np.nonzero(bits[spot >> np.uint64(6)] >> (spot & np.uint64(63)) & np.uint64(1))[0].tolist():
+                        hits = np.flatnonzero(bits[spot >> np.uint64(6)] >> (spot & np.uint64(63)) & np.uint64(1))
+                        if not len(hits):
+                            continue
+                        second = run_hashes(hashes, hits, size, FACTORS[1]).view(np.int64).tolist()
+                        for at, one, two in zip(hits.tolist(), first[hits].view(np.int64).tolist(), second):
                             yield {
-                                "hash": digest, "first": int(first.view(np.int64)[at]), "second": int(second.view(np.int64)[at]),
-                                "size": size, "at": at, "values": [] if fold else words.values(at, size),
+                                "hash": digest, "first": one, "second": two, "size": size, "at": at, "values": [] if fold else words.values(at, size),
                             }
 
         yield from batches(rows(), DOC_WINDOWS, 5_000)
