@@ -233,7 +233,10 @@ def token_counts(
     spark = docs.sparkSession
     pieces = stored(piece_table(docs, path, text_col))
     name = F.when(F.length("piece") <= COMMON_LENGTH, F.col("piece")).otherwise(F.concat(F.lit("#"), F.sha2("piece", 256)))
-    top = pieces.select(name.alias("piece"), "freq", "n").orderBy(F.desc("freq"), "piece").limit(common)
+    long = F.length("piece") > COMMON_LENGTH
+    # Of equally frequent ones the short come first; a long one that occurs once is in one document alone.
+    listed = pieces.where(~long | (F.col("freq") > 1)).select(name.alias("piece"), "freq", "n", long.alias("long"))
+    top = listed.orderBy(F.desc("freq"), "long", "piece").limit(common)
     sizes = spark.sparkContext.broadcast({r["piece"]: r["n"] for r in top.select("piece", "n").toLocalIterator()})
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kinds = "part int, row bigint, id bigint, n_bytes bigint, known bigint, unknown array<struct<piece:string,times:bigint>>"
