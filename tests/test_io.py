@@ -117,6 +117,50 @@ def test_word_files(spark, tmp_path):
     )
 
 
+def test_printed_numbers_dates_and_places(spark, tmp_path):
+    numbers = ["007", "-0", "+5", "1.50", "1E3", "1e16", "123456789012345678901234567890", "0.0001", "0.00001234", "1.5e-7", "12345678.25", "1e22", ".5"]
+    days = {"0.5": "12:00:00", "1": "1900-01-01 00:00:00", "59": "1900-02-28 00:00:00", "61": "1900-03-01 00:00:00", "45322.999999999": "2024-02-01 00:00:00"}
+    rows = (
+        "<row>" + "".join(f"<c><v>{n}</v></c>" for n in numbers) + "</row><row r='4'><c r='C4'><v>3</v></c><c><v>4</v></c></row>"
+        + "<row>" + "".join(f"<c s='1'><v>{d}</v></c>" for d in days) + "</row>"
+        + "<row><c t='inlineStr'><is><r><t xml:space='preserve'>a </t></r><r><t>&lt;b&gt;</t></r></is></c><c t='str'><v> s </v></c></row>"
+    )
+    workbook(tmp_path / "a.xlsx", rows)
+    workbook(tmp_path / "b.xlsx", '<row><c t="s"><v>9</v></c></row>')
+    workbook(tmp_path / "c.xlsx", "<row><c><v>x</v></c></row>")
+    workbook(tmp_path / "d.xlsx", '<row r="2000000000"><c><v>1</v></c></row>')
+    cells = office.read_cells(spark, str(tmp_path))
+    errors = {k: r["error"] for k, r in by_name(cells.where("error is not null").collect()).items()}
+    assert errors == {"b.xlsx": "no shared string 9", "c.xlsx": "no number: x", "d.xlsx": "row number too large"}
+    found = {(r["row"], r["col"]): r["value"] for r in office.intact(cells).collect()}
+    printed = [str(float(n)) if any(x in n for x in ".eE") else str(int(n)) for n in numbers]
+    assert [found.pop((1, i + 1)) for i in range(len(numbers))] == printed
+    assert [found.pop((5, i + 1)) for i in range(len(days))] == list(days.values())
+    assert found == {(2, 1): None, (3, 1): None, (4, 3): "3", (4, 4): "4", (6, 1): "a <b>", (6, 2): " s "}
+
+
+def test_many_shared_strings(spark, tmp_path):
+    """Strings beyond the broadcast limit meet their cells by path and index; one index holds a third of all cells."""
+    rows = "".join(f'<row r="{i}"><c t="s"><v>{i % 2 if i % 3 else 0}</v></c><c><v>{i}</v></c></row>' for i in range(1, 301))
+    for name in "ab":
+        workbook(tmp_path / f"{name}.xlsx", rows)
+    small = office.read_cells(spark, str(tmp_path))
+    assert small.where("col = 1 and value = 'first'").count() == 400 and small.where("error is not null").count() == 0
+    assert sorted(office.parse_cells(files.read_binary(spark, str(tmp_path)), max_broadcast=1).collect()) == sorted(small.collect())
+
+
+def test_word_marks_and_nesting(spark, tmp_path):
+    """References stay what they are, runs of nested paragraphs and of changes do not count."""
+    inner = "<w:r><w:t>a &amp;lt; &lt;w:t&gt; &#233;</w:t><w:t xml:space='preserve'> b </w:t><w:cr/><w:br w:type='textWrapping'/><w:ptab/></w:r>"
+    nested = "<w:ins><w:r><w:t>new</w:t></w:r></w:ins><w:r><w:pict><w:p><w:r><w:t>box</w:t></w:r></w:p></w:pict></w:r>"
+    body = f"<w:p>{inner}{nested}</w:p><w:sdt><w:p><w:r><w:t>no</w:t></w:r></w:p></w:sdt>"
+    for name, text in (("a", f'<w:document xmlns:w="{W}"><w:body>{body}</w:body></w:document>'), ("b", "<w:document><w:body></w:document>")):
+        with zipfile.ZipFile(tmp_path / f"{name}.docx", "w") as book:
+            book.writestr("word/document.xml", text)
+    read = by_name(office.read_paragraphs(spark, str(tmp_path)).collect())
+    assert read["a.docx"]["text"] == "a &lt; <w:t> é b \n\n\t" and read["b.docx"]["error"] == "not well-formed"
+
+
 def test_writers(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     tables.write_texts(df, f"{tmp_path}/out")

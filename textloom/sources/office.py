@@ -1,216 +1,312 @@
-"""Cells of workbooks and paragraphs of word files, one file per row of the input."""
+"""Cells of workbooks and paragraphs of word files, one file per row of the input.
+
+Python only takes members out of the archives; Spark's XML functions read them.
+"""
 
 from __future__ import annotations
 
 import io
-import re
-import xml.etree.ElementTree as ET
 import zipfile
-from collections.abc import Callable, Iterator
-from datetime import datetime, timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import StructType
 
+from textloom.functions.arrays import let
+from textloom.functions.text import decode_entities
+from textloom.operators.lookup import MAX_BROADCAST_ROWS, lookup_join
 from textloom.sources.files import read_binary
 
-_BATCH = 10_000
-_SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-_WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
-# Number formats that mean a date or a time.
-_DATE_FORMATS = {14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47}
+_XML = {"ignoreNamespace": "true", "ignoreSurroundingSpaces": "false", "mode": "PERMISSIVE"}
+# Number formats that mean a date or a time, and the last row that a sheet can have.
+_DATE_FORMATS = (14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47)
+_LAST_ROW = 1_048_576
+
 
+@F.pandas_udf(StructType().add("xml", "string").add("error", "string"))
+def _member(content: pd.Series, name: pd.Series) -> pd.DataFrame:
+    """Text of one member of each archive; null if the archive has none of that name."""
 
-def _extract(
-    files: DataFrame, rows_of: Callable[[bytes], Iterator[tuple]], columns: list[str], types: str
-) -> DataFrame:
-    """Run ``rows_of`` on every file; one that breaks ends with a row that has an ``error``."""
+    def read(content: bytes, name: str) -> tuple[str | None, str | None]:
+        try:
+            with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                if name is None or name not in archive.namelist():
+                    return None, None
+                raw = archive.read(name)
+            wide = raw[:2] in (b"\xff\xfe", b"\xfe\xff")
+            return raw.decode("utf-16" if wide else "utf-8-sig"), None
+        except Exception as problem:  # noqa: BLE001 - a broken file must not end the job
+            return None, str(problem) or type(problem).__name__
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["path", *columns, "error"]
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                rows: list[tuple] = []
-                try:
-                    for row in rows_of(content):
-                        rows.append((path, *row, None))
-                        if len(rows) >= _BATCH:
-                            yield pd.DataFrame(rows, columns=names, dtype="object")
-                            rows = []
-                except Exception as problem:  # noqa: BLE001 - a broken file must not end the job
-                    rows.append((path, *[None] * len(columns), str(problem)))
-                if rows:
-                    yield pd.DataFrame(rows, columns=names, dtype="object")
+    return pd.DataFrame([read(*pair) for pair in zip(content, name)], columns=["xml", "error"], dtype="object")
 
-    return files.select("path", "content").mapInPandas(run, f"path string, {types}, error string")
 
+def _parsed(xml: Column, fields: str) -> Column:
+    return F.from_xml(xml, f"{fields}, _corrupt_record string", _XML)
 
-def _texts(element: ET.Element, tag: str) -> str:
-    return "".join(t.text or "" for t in element.iter(tag))
 
+def _elements(xml: Column, tag: str) -> Column:
+    """The elements of a name as they are written; an element that does not end is empty. They must not nest."""
+    pieces = F.split(xml, rf"(?=<(?:\w+:)?{tag}[\s/>])")
+    whole = rf"(?s)^<(?:\w+:)?{tag}\b[^>]*/>|^<(?:\w+:)?{tag}\b.*</(?:\w+:)?{tag}\s*>"
+    return F.transform(F.filter(pieces, lambda p: p.rlike(rf"^<(?:\w+:)?{tag}[\s/>]")), lambda p: F.regexp_extract(p, whole, 0))
 
-def _number(text: str) -> int | float:
-    return float(text) if re.search("[.eE]", text) else int(text)
 
+def _joined(parts: Column) -> Column:
+    return F.concat(F.coalesce(parts["t"], F.lit("")), F.coalesce(F.array_join(parts["r"]["t"], ""), F.lit("")))
 
-def _date(serial: float) -> str:
-    day = datetime(1899, 12, 30 if serial >= 60 else 31) + timedelta(days=serial)
-    if serial < 1:
-        return str((day + timedelta(microseconds=500)).time().replace(microsecond=0))
-    return str((day + timedelta(milliseconds=0.5)).replace(microsecond=0))
 
+def _strings(files: DataFrame) -> DataFrame:
+    """``strings(path, index, shared)`` of the workbooks; phonetic hints are left out."""
+    items = _elements(_member("content", F.lit("xl/sharedStrings.xml"))["xml"], "si")
+    each = files.select("path", F.posexplode(items).alias("index", "_item"))
+    return each.select("path", "index", _joined(_parsed(F.col("_item"), "t string, r array<struct<t:string>>")).alias("shared"))
 
-def _column(reference: str) -> int:
-    number = 0
-    for letter in re.match("[A-Z]+", reference)[0]:
-        number = number * 26 + ord(letter) - 64
-    return number
 
+def _target(workbook: Column, links: Column) -> Column:
+    """Member that holds the active sheet."""
+    active = F.coalesce(F.get(workbook["bookViews"]["workbookView"], F.lit(0))["_activeTab"], F.lit(0))
+    sheet = F.get(workbook["sheets"]["sheet"], active)["_id"]
+    target = let(sheet, lambda s: F.get(F.filter(links["Relationship"], lambda r: r["_Id"] == s), F.lit(0))["_Target"])
+    return F.when(target.startswith("/"), F.ltrim(target, F.lit("/"))).otherwise(F.concat(F.lit("xl/"), target))
 
-def _date_styles(book: zipfile.ZipFile) -> set[int]:
+
+def _date_styles(styles: Column) -> Column:
     """Cell styles whose number format shows a date or a time."""
-    if "xl/styles.xml" not in book.namelist():
-        return set()
-    root = ET.fromstring(book.read("xl/styles.xml"))
-    custom = {
-        int(f.get("numFmtId"))
-        for f in root.iter(_SHEET + "numFmt")
-        if re.search("[dmyhs]", re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", f.get("formatCode", "")), re.I)
-    }
-    formats = root.find(_SHEET + "cellXfs")
-    return {
-        i
-        for i, style in enumerate(formats if formats is not None else [])
-        if int(style.get("numFmtId", 0)) in _DATE_FORMATS | custom
-    }
-
-
-def _active_sheet(book: zipfile.ZipFile) -> str:
-    root = ET.fromstring(book.read("xl/workbook.xml"))
-    view = root.find(f"{_SHEET}bookViews/{_SHEET}workbookView")
-    active = int(view.get("activeTab", 0)) if view is not None else 0
-    sheet = root.find(_SHEET + "sheets")[active].get(_REL + "id")
-    for link in ET.fromstring(book.read("xl/_rels/workbook.xml.rels")):
-        if link.get("Id") == sheet:
-            target = link.get("Target")
-            return target.lstrip("/") if target.startswith("/") else "xl/" + target
-    raise KeyError("active sheet not found")
-
-
-def _cell_value(cell: ET.Element, shared: list[str], dates: set[int]) -> str | None:
-    """Text of a cell as Python prints its value; formulas show as formulas."""
-    formula = cell.find(_SHEET + "f")
-    if formula is not None and formula.text:
-        return "=" + formula.text
-    kind = cell.get("t", "n")
-    if kind == "inlineStr":
-        return _texts(cell, _SHEET + "t")
-    value = cell.findtext(_SHEET + "v")
-    if value is None:
-        return None
-    if kind == "s":
-        return shared[int(value)]
-    if kind == "b":
-        return str(bool(int(value)))
-    if kind == "n":
-        number = _number(value)
-        return _date(number) if int(cell.get("s", 0)) in dates else str(number)
-    return value
-
-
-def _cells(content: bytes) -> Iterator[tuple[int, int, str | None]]:
-    """(row, col, value) of the active sheet; a row without values gives one empty cell."""
-    with zipfile.ZipFile(io.BytesIO(content)) as book:
-        shared = []
-        if "xl/sharedStrings.xml" in book.namelist():
-            root = ET.fromstring(book.read("xl/sharedStrings.xml"))
-            shared = [_texts(item, _SHEET + "t") for item in root.iter(_SHEET + "si")]
-        dates = _date_styles(book)
-        last = 0
-        with book.open(_active_sheet(book)) as sheet:
-            for _, element in ET.iterparse(sheet):
-                if element.tag != _SHEET + "row":
-                    continue
-                number = int(element.get("r", last + 1))
-                for empty in range(last + 1, number):
-                    yield empty, 1, None
-                last, col, seen = number, 0, False
-                for cell in element.iter(_SHEET + "c"):
-                    col = _column(cell.get("r")) if cell.get("r") else col + 1
-                    value = _cell_value(cell, shared, dates)
-                    if value is not None:
-                        seen = True
-                        yield number, col, value
-                if not seen:
-                    yield number, 1, None
-                element.clear()
-
-
-def _run_text(run: ET.Element) -> str:
-    parts = []
-    for node in run:
-        if node.tag == _WORD + "t":
-            parts.append(node.text or "")
-        elif node.tag in (_WORD + "tab", _WORD + "ptab"):
-            parts.append("\t")
-        elif node.tag == _WORD + "cr" or (
-            node.tag == _WORD + "br" and node.get(_WORD + "type", "textWrapping") == "textWrapping"
-        ):
-            parts.append("\n")
-        elif node.tag == _WORD + "noBreakHyphen":
-            parts.append("-")
-    return "".join(parts)
-
-
-def _paragraph_text(paragraph: ET.Element) -> str:
-    parts = []
-    for node in paragraph:
-        if node.tag == _WORD + "r":
-            parts.append(_run_text(node))
-        elif node.tag == _WORD + "hyperlink":
-            parts += [_run_text(run) for run in node.findall(_WORD + "r")]
-    return "".join(parts)
-
-
-def _row_cells(table: ET.Element) -> Iterator[list[ET.Element]]:
-    """Cells per row; a merged cell stands in every place that it covers."""
-    above: list[ET.Element] = []
-    for row in table.findall(_WORD + "tr"):
-        cells: list[ET.Element] = []
-        for cell in row.findall(_WORD + "tc"):
-            span = cell.find(f"{_WORD}tcPr/{_WORD}gridSpan")
-            merge = cell.find(f"{_WORD}tcPr/{_WORD}vMerge")
-            continues = merge is not None and merge.get(_WORD + "val", "continue") == "continue"
-            for _ in range(int(span.get(_WORD + "val")) if span is not None else 1):
-                cells.append(above[len(cells)] if continues and len(above) > len(cells) else cell)
-        yield cells
-        above = cells
-
-
-def _paragraphs(content: bytes) -> Iterator[tuple[int, int, str]]:
-    """(part, ord, text): body paragraphs are part 0, paragraphs of table cells part 1."""
-    with zipfile.ZipFile(io.BytesIO(content)) as book:
-        body = ET.fromstring(book.read("word/document.xml")).find(_WORD + "body")
-    for number, paragraph in enumerate(body.findall(_WORD + "p")):
-        yield 0, number, _paragraph_text(paragraph)
-    number = 0
-    for table in body.findall(_WORD + "tbl"):
-        for cells in _row_cells(table):
-            for cell in cells:
-                for paragraph in cell.findall(_WORD + "p"):
-                    yield 1, number, _paragraph_text(paragraph)
-                    number += 1
-
-
-def parse_cells(files: DataFrame) -> DataFrame:
-    """``cells(path, row, col, value, error)`` of the active sheet of each workbook in files(path, content)."""
-    return _extract(files, _cells, ["row", "col", "value"], "row int, col int, value string")
+
+    def shows(code: Column) -> Column:
+        return F.regexp_replace(code, r'"[^"]*"|\[[^\]]*\]|\\.', "").rlike("(?i)[dmyhs]")
+
+    custom = F.filter(styles["numFmts"]["numFmt"], lambda f: F.coalesce(shows(f["_formatCode"]), F.lit(False)))
+    formats = F.concat(F.array(*map(F.lit, _DATE_FORMATS)), F.coalesce(custom["_numFmtId"], F.array().cast("array<int>")))
+    numbered = F.transform(styles["cellXfs"]["xf"], lambda x, i: F.struct(i.alias("i"), F.coalesce(x["_numFmtId"], F.lit(0)).alias("f")))
+    return F.coalesce(F.filter(numbered, lambda x: F.array_contains(formats, x["f"]))["i"], F.array().cast("array<int>"))
+
+
+def _float_text(number: Column) -> Column:
+    """A double as Python prints it: plain from 1e-4 up to 1e16, else with a signed exponent."""
+
+    def told(printed: Column) -> Column:
+        power = F.regexp_extract(printed, r"E(-?\d+)$", 1)
+        plain = F.regexp_replace(F.regexp_replace(number.cast("decimal(38,21)").cast("string"), r"0+$", ""), r"\.$", ".0")
+        size = F.abs(power.try_cast("int"))
+        exponent = F.concat(F.when(power.startswith("-"), "-").otherwise("+"), F.when(size < 10, "0").otherwise(""), size.cast("string"))
+        return (
+            F.when(power == "", printed)
+            .when((F.abs(number) >= 1e-4) & (F.abs(number) < 1e16), plain)
+            .otherwise(F.concat(F.regexp_replace(printed, r"(\.0)?E.*$", ""), F.lit("e"), exponent))
+        )
+
+    return let(number.cast("string"), told)
+
+
+def _number_text(value: Column) -> Column:
+    """A number as Python prints it, null for what is none."""
+    whole = F.regexp_replace(F.regexp_replace(F.trim(value), r"^\+|(?<=^-)0+(?=\d)|^0+(?=\d)", ""), "^-0$", "0")
+    return (
+        F.when(value.rlike(r"^\s*[+-]?\d+\s*$"), whole)
+        .when(value.rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"), _float_text(F.trim(value).try_cast("double")))
+    )
+
+
+def _date_text(serial: Column) -> Column:
+    """Days since the end of 1899 as a date and time, or as a time below one day; the 29th of February 1900 counts."""
+    seconds = F.floor((F.round(serial * 86_400_000_000) + 500) / 1_000_000).cast("long")
+    late = F.when(serial < 60, 86_400).otherwise(0)
+    moment = F.timestamp_add("SECOND", seconds + late, F.lit("1899-12-30 00:00:00").cast("timestamp_ntz")).cast("string")
+    return F.when(serial < 1, F.substring(moment, 12, 8)).otherwise(moment)
+
+
+def _column(reference: Column) -> Column:
+    letters = F.regexp_extract(reference, "^[A-Z]+", 0)
+    return F.when(letters != "", F.aggregate(F.split(letters, ""), F.lit(0), lambda n, x: n * 26 + F.ascii(x) - 64))
+
+
+def _entries(cells: Column, dates: Column, row: Column) -> Column:
+    """Cells with a value as (row, col, value, index, error); ``index`` counts shared strings. Formulas show as formulas."""
+
+    def entry(cell: Column) -> Column:
+        kind, value, formula = F.coalesce(cell["_t"], F.lit("n")), cell["v"], F.coalesce(cell["f"], F.lit(""))
+        dated = F.array_contains(dates, F.coalesce(cell["_s"], F.lit(0)))
+        number = F.when(dated, _date_text(value.try_cast("double"))).otherwise(_number_text(value))
+        has = (formula == "") & (value != "")
+        text = (
+            F.when(formula != "", F.concat(F.lit("="), formula))
+            .when(kind == "inlineStr", _joined(cell["is"]))
+            .when(kind == "s", F.lit(None))
+            .when(kind == "b", F.when(value != "", F.when(F.trim(value) == "0", "False").otherwise("True")))
+            .when(kind == "n", F.when(value != "", number))
+            .otherwise(value)
+        )
+        index = F.when(has & (kind == "s"), F.trim(value).try_cast("int"))
+        bad = has & (((kind == "s") & index.isNull()) | ((kind == "n") & number.isNull()))
+        error = F.when(bad, F.concat(F.lit("no number: "), value)).alias("error")
+        return F.struct(row.alias("row"), cell["col"].alias("col"), text.alias("value"), index.alias("index"), error)
+
+    def placed(cells: Column) -> Column:
+        # A cell without a reference stands right of the one before.
+        shifts = F.transform(cells, lambda c, i: _column(c["_r"]) - i)
+
+        def col(cell: Column, i: Column) -> Column:
+            known = F.filter(F.slice(shifts, 1, i + 1), lambda s: s.isNotNull())
+            return F.coalesce(_column(cell["_r"]), i + F.try_element_at(known, F.lit(-1)), i + 1)
+
+        return F.transform(cells, lambda c, i: F.struct(*[c[f] for f in ("_t", "_s", "f", "v", "is")], col(c, i).alias("col")))
+
+    told = F.transform(placed(cells), entry)
+    return F.filter(told, lambda e: e["value"].isNotNull() | e["index"].isNotNull() | e["error"].isNotNull())
+
+
+def parse_cells(files: DataFrame, max_broadcast: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """``cells(path, row, col, value, error)`` of the active sheet of each workbook in files(path, content).
+
+    Values are texts as Python prints them. A row without values, also one that the sheet leaves out, has one cell without
+    a value; a sheet without rows has none. A file that breaks has a row with an ``error`` beside what could be read (see
+    ``intact``). A path must occur once. Up to ``max_broadcast`` shared strings are broadcast, more are joined by shuffle. The rows of one file meet in one task to be numbered; a sheet has 1,048,576 at most.
+    """
+    files = files.select("path", "content")
+    read = files.select(
+        "*",
+        _member("content", F.lit("xl/workbook.xml")).alias("_book"),
+        _member("content", F.lit("xl/_rels/workbook.xml.rels")).alias("_links"),
+        _member("content", F.lit("xl/styles.xml")).alias("_styles"),
+    ).select(
+        "path",
+        "content",
+        F.col("_book.error").alias("_broken"),
+        _parsed(
+            F.col("_book.xml"),
+            "bookViews struct<workbookView:array<struct<_activeTab:int>>>, sheets struct<sheet:array<struct<_id:string>>>",
+        ).alias("_book"),
+        _parsed(F.col("_links.xml"), "Relationship array<struct<_Id:string,_Target:string>>").alias("_links"),
+        _parsed(
+            F.col("_styles.xml"),
+            "numFmts struct<numFmt:array<struct<_numFmtId:int,_formatCode:string>>>, cellXfs struct<xf:array<struct<_numFmtId:int>>>",
+        ).alias("_styles"),
+    )
+    wrong = F.coalesce("_book._corrupt_record", "_links._corrupt_record", "_styles._corrupt_record")
+    known = read.select(
+        "path",
+        "content",
+        F.coalesce("_broken", F.when(wrong.isNotNull(), "not well-formed")).alias("_broken"),
+        _target(F.col("_book"), F.col("_links")).alias("_target"),
+        _date_styles(F.col("_styles")).alias("_dates"),
+    )
+    sheets = known.select("path", "_broken", "_dates", _member("content", F.col("_target")).alias("_sheet"))
+    missing = F.when(F.col("_sheet.xml").isNull(), "active sheet not found")
+    sheets = sheets.select("path", "_dates", F.coalesce("_broken", "_sheet.error", missing).alias("_broken"), F.col("_sheet.xml").alias("_xml"))
+    pieces = F.when(F.col("_broken").isNull(), _elements(F.col("_xml"), "row")).otherwise(F.array(F.lit(None).cast("string")))
+    rows = sheets.select("path", "_dates", "_broken", F.posexplode(pieces).alias("_no", "_piece"))
+
+    # A row without a number follows the one before.
+    in_file = Window.partitionBy("path").orderBy("_no")
+    given = F.regexp_extract("_piece", r"""^<[^>]*\sr\s*=\s*["'](\d+)["']""", 1).try_cast("int")
+    rows = rows.withColumn("_shift", F.last(given - F.col("_no"), ignorenulls=True).over(in_file))
+    rows = rows.withColumn("row", F.col("_no") + F.coalesce("_shift", F.lit(1)))
+    rows = rows.withColumn("_before", F.lag("row", 1, 0).over(in_file))
+
+    cells = "_r:string,_t:string,_s:int,f:string,v:string,is:struct<t:string,r:array<struct<t:string>>>"
+    rows = rows.withColumn("_row", _parsed(F.col("_piece"), f"c array<struct<{cells}>>"))
+    corrupt = (F.col("_piece") == "") | F.col("_row._corrupt_record").isNotNull()
+    failed = F.coalesce(
+        "_broken",
+        F.when(corrupt, F.concat(F.lit("row not well-formed: "), F.col("row").cast("string"))),
+        F.when(F.col("row") > _LAST_ROW, "row number too large"),
+    )
+    none = "array<struct<row:int,col:int,value:string,index:int,error:string>>"
+
+    def empty(row: Column) -> Column:
+        nothing = [F.lit(None).cast(t).alias(n) for t, n in (("string", "value"), ("int", "index"), ("string", "error"))]
+        return F.struct(row.cast("int").alias("row"), F.lit(1).alias("col"), *nothing)
+
+    skipped = F.when(
+        F.col("row") > F.col("_before") + 1, F.transform(F.sequence(F.col("_before") + 1, F.col("row") - 1), empty)
+    ).otherwise(F.array().cast(none))
+    own = let(
+        F.coalesce(_entries(F.col("_row.c"), F.col("_dates"), F.col("row")), F.array().cast(none)),
+        lambda e: F.when(F.size(e) > 0, e).otherwise(F.array(empty(F.col("row")))),
+    )
+    error = F.array(F.struct(*[F.lit(None).alias(c) for c in ("row", "col", "value", "index")], F.col("_failed").alias("error")).cast(none[6:-1]))
+    entries = F.when(F.col("_failed").isNotNull(), error).otherwise(F.concat(skipped, own))
+    found = rows.withColumn("_failed", failed).select("path", F.explode(entries).alias("_e")).select("path", "_e.*")
+
+    joined = lookup_join(found, _strings(files), ["path", "index"], max_rows=max_broadcast)
+    unknown = F.when(F.col("index").isNotNull() & F.col("shared").isNull(), F.concat(F.lit("no shared string "), F.col("index").cast("string")))
+    return joined.select("path", "row", "col", F.coalesce("value", "shared").alias("value"), F.coalesce("error", unknown).alias("error"))
+
+
+def _paragraph_text(inner: Column) -> Column:
+    """Text of the runs of a paragraph and of its links; ``inner`` is what the paragraph holds, with references as they were."""
+    runs = ("/r", "/hyperlink/r")
+
+    def step(state: Column, token: Column) -> Column:
+        path, text = state["path"], state["text"]
+        name = F.regexp_extract(token, r"^<(?:\w+:)?([\w.-]+)", 1)
+        kind = F.regexp_extract(token, r"""\s(?:\w+:)?type\s*=\s*["']([^"']*)""", 1)
+        sign = (
+            F.when(name.isin("tab", "ptab"), "\t")
+            .when((name == "cr") | ((name == "br") & kind.isin("", "textWrapping")), "\n")
+            .when(name == "noBreakHyphen", "-")
+            .otherwise("")
+        )
+        opened = F.struct(F.concat(path, F.lit("/"), name).alias("path"), F.concat(text, F.when(path.isin(*runs), sign).otherwise("")).alias("text"))
+        closed = F.struct(F.regexp_replace(path, "/[^/]*$", "").alias("path"), text.alias("text"))
+        told = F.when(path.isin(*[f"{r}/t" for r in runs]), decode_entities(token)).otherwise("")
+        return (
+            F.when(token.startswith("</"), closed)
+            .when(token.startswith("<"), opened)
+            .otherwise(F.struct(path.alias("path"), F.concat(text, told).alias("text")))
+        )
+
+    tokens = F.regexp_extract_all(inner, F.lit("<[^>]*>|[^<]+"), F.lit(0))
+    return F.aggregate(tokens, F.struct(F.lit("").alias("path"), F.lit("").alias("text")), step, lambda s: s["text"])
+
+
+def _table_paragraphs(tables: DataFrame) -> DataFrame:
+    """``paragraphs(path, ord, _inner)`` of the cells of tables(path, table, rows); a merged cell stands in every place it covers."""
+
+    def copies(cell: Column) -> Column:
+        merge = cell["tcPr"]["vMerge"]
+        continues = merge.isNotNull() & (F.coalesce(merge["_val"], F.lit("continue")) == "continue")
+        held = F.struct(continues.alias("continues"), F.coalesce(cell["p"], F.array().cast("array<string>")).alias("held"))
+        return F.array_repeat(held, F.coalesce(cell["tcPr"]["gridSpan"]["_val"], F.lit(1)))
+
+    grids = F.transform("rows", lambda r: F.coalesce(F.flatten(F.transform(r["tc"], copies)), F.array().cast("array<struct<continues:boolean,held:array<string>>>")))
+    rows = tables.select("path", "table", grids.alias("_grids")).select(
+        "path", "table", F.transform("_grids", lambda g: F.size(g)).alias("_sizes"), F.posexplode("_grids").alias("_row", "_grid")
+    )
+    above = F.coalesce(F.get("_sizes", F.col("_row") - 1), F.lit(0)).alias("_above")
+    cells = rows.select("path", "table", "_row", above, F.posexplode("_grid").alias("_place", "_cell"))
+    own = F.when(~F.col("_cell.continues") | (F.col("_place") >= F.col("_above")), F.col("_cell.held"))
+    down = Window.partitionBy("path", "table", "_place").orderBy("_row")
+    filled = cells.withColumn("_held", F.last(own, ignorenulls=True).over(down))
+    each = filled.select("path", "table", "_row", "_place", F.posexplode("_held").alias("_no", "_inner"))
+    reading = Window.partitionBy("path").orderBy("table", "_row", "_place", "_no")
+    return each.select("path", (F.row_number().over(reading) - 1).alias("ord"), "_inner")
 
 
 def parse_paragraphs(files: DataFrame) -> DataFrame:
-    """``paragraphs(path, part, ord, text, error)`` of each word file in files(path, content)."""
-    return _extract(files, _paragraphs, ["part", "ord", "text"], "part int, ord int, text string")
+    """``paragraphs(path, part, ord, text, error)`` of each word file in files(path, content).
+
+    Paragraphs of the body are part 0, those of the cells of its tables part 1. A file that breaks has one row with an
+    ``error``. A path must occur once. CDATA sections are read as marked-up text.
+    """
+    # References are escaped once more, so that those inside paragraphs outlast the first reading.
+    read = files.select("path", _member("content", F.lit("word/document.xml")).alias("_m")).select(
+        "path", "_m.error", F.col("_m.xml").isNull().alias("_none"), F.replace("_m.xml", F.lit("&"), F.lit("&amp;")).alias("_xml")
+    )
+    cell = "tcPr:struct<gridSpan:struct<_val:int>,vMerge:struct<_val:string>>,p:array<string>"
+    document = _parsed(F.col("_xml"), f"body struct<p:array<string>,tbl:array<struct<tr:array<struct<tc:array<struct<{cell}>>>>>>>")
+    missing = F.when(F.col("_none"), "word/document.xml not found")
+    corrupt = F.when(F.col("_doc._corrupt_record").isNotNull(), "not well-formed")
+    read = read.withColumn("_doc", document).withColumn("error", F.coalesce("error", missing, corrupt))
+    whole = read.where("error is null")
+    body = whole.select("path", F.lit(0).alias("part"), F.posexplode("_doc.body.p").alias("ord", "_inner"))
+    tables = whole.select("path", F.posexplode("_doc.body.tbl").alias("table", "_table")).select("path", "table", F.col("_table.tr").alias("rows"))
+    cells = _table_paragraphs(tables).select("path", F.lit(1).alias("part"), "ord", "_inner")
+    told = body.unionByName(cells).select("path", "part", "ord", _paragraph_text(F.col("_inner")).alias("text"), F.lit(None).cast("string").alias("error"))
+    broken = read.where("error is not null").selectExpr("path", "int(null) part", "int(null) ord", "string(null) text", "error")
+    return told.unionByName(broken)
 
 
 def intact(rows: DataFrame) -> DataFrame:
