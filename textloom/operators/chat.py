@@ -40,34 +40,34 @@ def chat_requests(turns: DataFrame, questions_only: bool = True, page: int = PAG
     page goes to all later pages of its conversation, where it becomes part of the text before them,
     so the prefixes of a long conversation are put together by as many tasks as it has pages.
     """
+    # A key without nulls, so that the partitioning of the pages serves the joins too.
+    conversation = F.struct("conv_id").alias("_conv")
+    number = F.floor(F.col("turn") / page).alias("_page")
+    numbered = turns.select(conversation, number, "turn", "role", _message().alias("_m"))
     listed = F.sort_array(F.collect_list(F.struct("turn", "role", "_m"))).alias("_turns")
-    number = F.floor(F.col("turn") / page)
-    pages = (
-        turns.select("conv_id", "turn", "role", _message().alias("_m"))
-        .groupBy("conv_id", number.alias("_page"))
-        .agg(listed)
-    )
-    last = turns.groupBy(F.col("conv_id").alias("_conv")).agg(F.max(number).alias("_last"))
+    pages = numbered.groupBy("_conv", "_page").agg(listed)
+    # Only conversations of several pages go on from here; their pages are named before any text is touched.
+    ends = numbered.groupBy("_conv").agg(F.min("_page").alias("_first"), F.max("_page").alias("_last"))
+    long = ends.where("_first < _last").select("_conv", "_last", F.explode(F.expr("sequence(_first, _last - 1)")).alias("_page"))
     text = F.array_join(F.transform("_turns", lambda t: t["_m"]), ",")
     later = (
-        pages.join(last, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("_page") < F.col("_last")))
+        pages.join(long, ["_conv", "_page"])
         .select(
-            F.col("conv_id").alias("_conv"),
+            "_conv",
             F.explode(F.sequence(F.col("_page") + 1, F.col("_last"))).alias("_target"),
             F.struct("_page", text.alias("text"), F.size("_turns").alias("n")).alias("_part"),
         )
-        .groupBy("_conv", "_target")
+        .groupBy("_conv", F.col("_target").alias("_page"))
         .agg(F.sort_array(F.collect_list("_part")).alias("_parts"))
     )
     before = later.select(
         "_conv",
-        "_target",
+        "_page",
         F.array_join(F.col("_parts.text"), ",").alias("_before"),
         F.aggregate("_parts", F.lit(0).cast("long"), lambda n, p: n + p["n"]).alias("_n"),
     )
-    same = F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("_page") == F.col("_target"))
-    placed = pages.join(before, same, "left").select(
-        "conv_id", "_turns", F.coalesce("_before", F.lit("")).alias("_before"), F.coalesce("_n", F.lit(0)).cast("long").alias("_n")
+    placed = pages.join(before, ["_conv", "_page"], "left").select(
+        "_conv.conv_id", "_turns", F.coalesce("_before", F.lit("")).alias("_before"), F.coalesce("_n", F.lit(0)).cast("long").alias("_n")
     )
     return _expand(placed, questions_only)
 
