@@ -254,6 +254,25 @@ def test_a_vocabulary_that_is_emptied_reads_the_same(monkeypatch):
         assert all((a.hashes(f) == b.hashes(f)).all() for f in (False, True)) and a.values(0, 9) == b.values(0, 9)
 
 
+def test_windows_too_many_to_broadcast(spark, monkeypatch):
+    """One boilerplate window in all documents and a third of the items: the split join gives the rows of the broadcast one."""
+    shared = "please read the following question and choose the best answer below"
+    items = [(i, f"{shared} {sentence(i, 20)}" if i % 3 else sentence(i, 20)) for i in range(30)]
+    docs = [(i, f"{sentence(i + 500, 15)} {shared} {items[i % 30][1] if i % 2 else sentence(i + 900, 15)}", i) for i in range(200)]
+    docs += [(200, None, 0), (201, "", 0), (202, docs[1][1], 0)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, _part int")
+    known = spark.createDataFrame(items, "item_id long, text string")
+
+    def leaks():
+        rows = decontaminate.find_leaks(docs, known, any_case=True).collect()
+        return sorted((r.doc_id, r.item_id, r.n_items, r.covered, r.exact) for r in rows)
+
+    expected = leaks()
+    assert {r[0] for r in expected} >= {*range(1, 200, 2), 202}
+    monkeypatch.setattr(decontaminate, "fits_broadcast", lambda df: False)
+    assert leaks() == expected
+
+
 def test_leaks_without_rows(spark):
     docs, known = leaks(spark, [(1, PLAIN)])
     assert decontaminate.find_leaks(docs.limit(0), known).count() == 0

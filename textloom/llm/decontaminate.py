@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from textloom.llm.common import batches, hot_join, stored, text_of
+from textloom.llm.common import HEAVY_KEYS, batches, hot_join, stored, text_of
 from textloom.llm.url_filter import only_possible
 from textloom.operators.lookup import fits_broadcast
 
@@ -25,6 +25,8 @@ WINDOW = 8
 #: Share of an item's words that a document must hold, or words of one passage with the item's own values.
 SHARE = 0.5
 PASSAGE = 13
+#: Parts that a frequent window is split into where the windows are too many to broadcast.
+SPLIT = 64
 #: The prefilter is a bitmap of 2 ** BITS bits, whatever the number of items.
 BITS = 24
 
@@ -292,6 +294,21 @@ def _bitmap(windows: DataFrame) -> np.ndarray:
     return bitmap
 
 
+def _split_join(found: DataFrame, windows: DataFrame, on: list[str]) -> DataFrame:
+    """Join by shuffle where a key may be frequent on both sides; ``found`` is stored.
+
+    The HEAVY_KEYS most frequent keys of ``found`` meet in SPLIT parts each, with a copy of their windows per part; any
+    other key holds at most 1 in HEAVY_KEYS of the rows.
+    """
+    frequent = found.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
+    heavy = F.broadcast(stored(frequent.orderBy(F.desc("_n"), *on).limit(HEAVY_KEYS)))
+    part = F.when(F.col("_n").isNotNull(), F.pmod(F.xxhash64("hash", "at"), F.lit(SPLIT))).otherwise(0)
+    parts = F.when(F.col("_n").isNotNull(), F.sequence(F.lit(0), F.lit(SPLIT - 1))).otherwise(F.array(F.lit(0)))
+    left = found.join(heavy, on, "left").withColumn("_part", part.cast("int")).drop("_n")
+    right = windows.join(heavy, on, "left").withColumn("_part", F.explode(parts)).drop("_n")
+    return left.join(right, [*on, "_part"]).drop("_part")
+
+
 def matches(
     docs: DataFrame,
     items: DataFrame,
@@ -337,7 +354,8 @@ def matches(
     texts = docs.select(digest.alias("hash"), text_of(text_col).alias("text"))
     kinds = "hash binary, first bigint, second bigint, size int, at bigint, values array<string>"
     found = texts.mapInArrow(_doc_windows(sizes, bitmap, any_case), kinds)
-    met = found.join(F.broadcast(windows) if fits_broadcast(windows) else windows, ["first", "second", "size"])
+    on = ["first", "second", "size"]
+    met = found.join(F.broadcast(windows), on) if fits_broadcast(windows) else _split_join(stored(found), windows, on)
     own = F.col("values") == F.col("slots")
     met = met.where(own | (F.col("literals") * 2 >= F.col("size"))).withColumn("own", own)
     # Copies of a text become one here.
