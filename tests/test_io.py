@@ -211,3 +211,16 @@ def test_rows_go_through_the_stage_of_their_type(spark):
     upper = {"pdf": lambda d: d.withColumn("text", F.upper("text")), "http": lambda d: d.withColumn("note", F.lit("x"))}
     rows = {r["text"]: r["note"] for r in enrich.by_input_type(df, upper).collect()}
     assert rows == {"A": None, "b": "x", "c": None}
+
+
+def test_a_workbook_is_read_once(spark, tmp_path):
+    """One opening of each archive, no join: strings go with the rows that show them, however their indexes are written."""
+    shown = ["<v>1</v>", "<v> 01 </v>", "<v>&#49;</v>", "<v><![CDATA[1]]></v>", "<v><!-- x -->0</v>"]
+    rows = "".join(f'<row r="{i + 1}"><c t="str"><v>s</v></c><x:c r="C{i + 1}" t = "s">{v}</x:c><c><v>7</v></c></row>' for i, v in enumerate(shown))
+    workbook(tmp_path / "a.xlsx", rows.replace("<row", '<row xmlns:x="y"'))
+    cells = office.read_cells(spark, str(tmp_path))
+    plan = cells._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and len({line.split("(1)")[0] for line in plan.splitlines() if "ArrowEvalPython" in line}) == 1
+    found = cells.where("col = 3").orderBy("row").collect()
+    assert [(r["value"], r["error"]) for r in found] == [(v, None) for v in ("rich", "rich", "rich", "rich", "first")]
+    assert cells.where("col = 4 and value = '7'").count() == 5

@@ -1,12 +1,13 @@
 """Cells of workbooks and paragraphs of word files, one file per row of the input.
 
-Python only takes members out of the archives; Spark's XML functions read them.
+Python only takes members out of the archives and finds which one is the active sheet; Spark's XML functions read them.
 """
 
 from __future__ import annotations
 
 import io
 import zipfile
+from xml.parsers import expat
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -14,7 +15,7 @@ from pyspark.sql.types import StructType
 
 from textloom.functions.arrays import let
 from textloom.functions.text import decode_entities
-from textloom.operators.lookup import MAX_BROADCAST_ROWS, lookup_join
+from textloom.operators.lookup import MAX_BROADCAST_ROWS
 from textloom.sources.files import read_binary
 
 _XML = {"ignoreNamespace": "true", "ignoreSurroundingSpaces": "false", "mode": "PERMISSIVE"}
@@ -23,22 +24,70 @@ _DATE_FORMATS = (14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47)
 _LAST_ROW = 1_048_576
 
 
-@F.pandas_udf(StructType().add("xml", "string").add("error", "string"))
-def _member(content: pd.Series, name: pd.Series) -> pd.DataFrame:
-    """Text of one member of each archive; null if the archive has none of that name."""
+def _text_of(archive: zipfile.ZipFile, name: str | None) -> str | None:
+    """Text of a member; null if the archive has none of that name."""
+    if name is None or name not in archive.NameToInfo:
+        return None
+    raw = archive.read(name)
+    wide = raw[:2] in (b"\xff\xfe", b"\xfe\xff")
+    return raw.decode("utf-16" if wide else "utf-8-sig")
+
 
-    def read(content: bytes, name: str) -> tuple[str | None, str | None]:
+def _read_each(contents: pd.Series, read, columns: list[str]) -> pd.DataFrame:
+    """``read`` of each archive beside an ``error``; a broken file must not end the job."""
+
+    def one(content: bytes) -> tuple:
         try:
             with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                if name is None or name not in archive.namelist():
-                    return None, None
-                raw = archive.read(name)
-            wide = raw[:2] in (b"\xff\xfe", b"\xfe\xff")
-            return raw.decode("utf-16" if wide else "utf-8-sig"), None
-        except Exception as problem:  # noqa: BLE001 - a broken file must not end the job
-            return None, str(problem) or type(problem).__name__
+                return *read(archive), None
+        except expat.ExpatError:
+            return *[None] * len(columns), "not well-formed"
+        except Exception as problem:  # noqa: BLE001
+            return *[None] * len(columns), str(problem) or type(problem).__name__
+
+    return pd.DataFrame([one(c) for c in contents], columns=[*columns, "error"], dtype="object")
+
+
+@F.pandas_udf(StructType().add("xml", "string").add("error", "string"))
+def _document(content: pd.Series) -> pd.DataFrame:
+    return _read_each(content, lambda archive: (_text_of(archive, "word/document.xml"),), ["xml"])
+
+
+def _elements_at(xml: str | None, path: str) -> list[dict[str, str]]:
+    """Attributes of the elements at a path, by names without prefixes."""
+    at, found = [], []
+
+    def start(name: str, attributes: dict[str, str]) -> None:
+        at.append(name.rpartition(":")[2])
+        if "/".join(at) == path:
+            found.append({k.rpartition(":")[2]: v for k, v in attributes.items()})
+
+    if xml is not None:
+        parser = expat.ParserCreate()
+        parser.StartElementHandler, parser.EndElementHandler = start, lambda _: at.pop()
+        parser.Parse(xml, True)
+    return found
+
+
+def _active_sheet(archive: zipfile.ZipFile) -> str | None:
+    """Member that holds the active sheet."""
+    book = _text_of(archive, "xl/workbook.xml")
+    views, sheets = (_elements_at(book, f"workbook/{p}") for p in ("bookViews/workbookView", "sheets/sheet"))
+    links = _elements_at(_text_of(archive, "xl/_rels/workbook.xml.rels"), "Relationships/Relationship")
+    active = int(views[0].get("activeTab", 0)) if views else 0
+    wanted = sheets[active].get("id") if 0 <= active < len(sheets) else None
+    target = next((link.get("Target") for link in links if wanted is not None and link.get("Id") == wanted), None)
+    return target if target is None else target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+
 
-    return pd.DataFrame([read(*pair) for pair in zip(content, name)], columns=["xml", "error"], dtype="object")
+@F.pandas_udf(StructType().add("sheet", "string").add("styles", "string").add("strings", "string").add("error", "string"))
+def _workbook(content: pd.Series) -> pd.DataFrame:
+    """The active sheet, the styles and the shared strings of each workbook, whose archive is opened once."""
+
+    def read(archive: zipfile.ZipFile) -> tuple[str | None, ...]:
+        return tuple(_text_of(archive, n) for n in (_active_sheet(archive), "xl/styles.xml", "xl/sharedStrings.xml"))
+
+    return _read_each(content, read, ["sheet", "styles", "strings"])
 
 
 def _parsed(xml: Column, fields: str) -> Column:
@@ -56,19 +105,29 @@ def _joined(parts: Column) -> Column:
     return F.concat(F.coalesce(parts["t"], F.lit("")), F.coalesce(F.array_join(parts["r"]["t"], ""), F.lit("")))
 
 
-def _strings(files: DataFrame) -> DataFrame:
-    """``strings(path, index, shared)`` of the workbooks; phonetic hints are left out."""
-    items = _elements(_member("content", F.lit("xl/sharedStrings.xml"))["xml"], "si")
-    each = files.select("path", F.posexplode(items).alias("index", "_item"))
-    return each.select("path", "index", _joined(_parsed(F.col("_item"), "t string, r array<struct<t:string>>")).alias("shared"))
+def _with_strings(rows: Column, strings: Column) -> Column:
+    """``(piece, held)`` of each row as written: ``held`` has ``(index, shared)`` per cell, null for other cells.
+
+    Phonetic hints are left out. A row whose indexes are not plain digits holds all strings.
+    """
+    texts = F.transform(
+        _elements(strings, "si"), lambda s, i: F.struct(i.alias("index"), _joined(_parsed(s, "t string, r array<struct<t:string>>")).alias("shared"))
+    )
+    shares = r"""<(?:\w+:)?c(?=\s)[^>]*\st\s*=\s*["']s["']"""
+    odd = rf"(?s){shares}[^>]*>(?:(?!<(?:\w+:)?c[\s/>]).)*?<(?:\w+:)?v(?:\s[^>]*)?>[^<]*(?:&|<!)"
+
+    def held(piece: Column, known: Column) -> Column:
+        def of(cell: Column) -> Column:
+            index = F.regexp_extract(cell, r"<(?:\w+:)?v(?:\s[^>]*)?>\s*\+?(\d+)\s*</", 1).try_cast("int")
+            return F.when(cell.rlike(f"^{shares}"), F.get(known, index))
 
+        cells = F.split(piece, r"(?=<(?:\w+:)?c[\s/>])")
+        return F.when(~piece.rlike(shares), F.lit(None)).when(piece.rlike(odd), known).otherwise(F.transform(F.slice(cells, 2, F.size(cells)), of))
 
-def _target(workbook: Column, links: Column) -> Column:
-    """Member that holds the active sheet."""
-    active = F.coalesce(F.get(workbook["bookViews"]["workbookView"], F.lit(0))["_activeTab"], F.lit(0))
-    sheet = F.get(workbook["sheets"]["sheet"], active)["_id"]
-    target = let(sheet, lambda s: F.get(F.filter(links["Relationship"], lambda r: r["_Id"] == s), F.lit(0))["_Target"])
-    return F.when(target.startswith("/"), F.ltrim(target, F.lit("/"))).otherwise(F.concat(F.lit("xl/"), target))
+    return let(
+        F.coalesce(texts, F.array().cast("array<struct<index:int,shared:string>>")),
+        lambda known: F.transform(rows, lambda p: F.struct(p.alias("piece"), held(p, known).alias("held"))),
+    )
 
 
 def _date_styles(styles: Column) -> Column:
@@ -122,26 +181,32 @@ def _column(reference: Column) -> Column:
     return F.when(letters != "", F.aggregate(F.split(letters, ""), F.lit(0), lambda n, x: n * 26 + F.ascii(x) - 64))
 
 
-def _entries(cells: Column, dates: Column, row: Column) -> Column:
-    """Cells with a value as (row, col, value, index, error); ``index`` counts shared strings. Formulas show as formulas."""
+def _entries(cells: Column, dates: Column, row: Column, held: Column) -> Column:
+    """Cells with a value as (row, col, value, error); ``held`` are the shared strings of the cells. Formulas show as formulas."""
 
-    def entry(cell: Column) -> Column:
+    def shared(index: Column, place: Column) -> Column:
+        here = F.get(held, place)
+        sought = F.get(F.filter(held, lambda h: h["index"] == index), F.lit(0))["shared"]
+        return F.when(here["index"] == index, here["shared"]).otherwise(sought)
+
+    def entry(cell: Column, place: Column) -> Column:
         kind, value, formula = F.coalesce(cell["_t"], F.lit("n")), cell["v"], F.coalesce(cell["f"], F.lit(""))
         dated = F.array_contains(dates, F.coalesce(cell["_s"], F.lit(0)))
         number = F.when(dated, _date_text(value.try_cast("double"))).otherwise(_number_text(value))
         has = (formula == "") & (value != "")
+        index = F.when(has & (kind == "s"), F.trim(value).try_cast("int"))
         text = (
             F.when(formula != "", F.concat(F.lit("="), formula))
             .when(kind == "inlineStr", _joined(cell["is"]))
-            .when(kind == "s", F.lit(None))
+            .when(kind == "s", F.when(has, shared(index, place)))
             .when(kind == "b", F.when(value != "", F.when(F.trim(value) == "0", "False").otherwise("True")))
             .when(kind == "n", F.when(value != "", number))
             .otherwise(value)
         )
-        index = F.when(has & (kind == "s"), F.trim(value).try_cast("int"))
         bad = has & (((kind == "s") & index.isNull()) | ((kind == "n") & number.isNull()))
-        error = F.when(bad, F.concat(F.lit("no number: "), value)).alias("error")
-        return F.struct(row.alias("row"), cell["col"].alias("col"), text.alias("value"), index.alias("index"), error)
+        unknown = F.when(index.isNotNull() & text.isNull(), F.concat(F.lit("no shared string "), index.cast("string")))
+        error = F.when(bad, F.concat(F.lit("no number: "), value)).otherwise(unknown).alias("error")
+        return F.struct(row.alias("row"), cell["col"].alias("col"), text.alias("value"), error)
 
     def placed(cells: Column) -> Column:
         # A cell without a reference stands right of the one before.
@@ -154,7 +219,7 @@ def _entries(cells: Column, dates: Column, row: Column) -> Column:
         return F.transform(cells, lambda c, i: F.struct(*[c[f] for f in ("_t", "_s", "f", "v", "is")], col(c, i).alias("col")))
 
     told = F.transform(placed(cells), entry)
-    return F.filter(told, lambda e: e["value"].isNotNull() | e["index"].isNotNull() | e["error"].isNotNull())
+    return F.filter(told, lambda e: e["value"].isNotNull() | e["error"].isNotNull())
 
 
 def parse_cells(files: DataFrame, max_broadcast: int = MAX_BROADCAST_ROWS) -> DataFrame:
@@ -162,41 +227,27 @@ def parse_cells(files: DataFrame, max_broadcast: int = MAX_BROADCAST_ROWS) -> Da
 
     Values are texts as Python prints them. A row without values, also one that the sheet leaves out, has one cell without
     a value; a sheet without rows has none. A file that breaks has a row with an ``error`` beside what could be read (see
-    ``intact``). A path must occur once. Up to ``max_broadcast`` shared strings are broadcast, more are joined by shuffle. The rows of one file meet in one task to be numbered; a sheet has 1,048,576 at most.
+    ``intact``). A path must occur once. Shared strings go with the rows that show them, so an archive is opened once and no
+    join is made; ``max_broadcast`` stays for callers and limits nothing. The rows of one file meet in one task to be
+    numbered; a sheet has 1,048,576 at most.
     """
-    files = files.select("path", "content")
-    read = files.select(
-        "*",
-        _member("content", F.lit("xl/workbook.xml")).alias("_book"),
-        _member("content", F.lit("xl/_rels/workbook.xml.rels")).alias("_links"),
-        _member("content", F.lit("xl/styles.xml")).alias("_styles"),
-    ).select(
+    read = files.select("path", _workbook("content").alias("_m")).select(
         "path",
-        "content",
-        F.col("_book.error").alias("_broken"),
-        _parsed(
-            F.col("_book.xml"),
-            "bookViews struct<workbookView:array<struct<_activeTab:int>>>, sheets struct<sheet:array<struct<_id:string>>>",
-        ).alias("_book"),
-        _parsed(F.col("_links.xml"), "Relationship array<struct<_Id:string,_Target:string>>").alias("_links"),
+        "_m.error",
+        F.col("_m.sheet").alias("_xml"),
+        F.col("_m.strings").alias("_strings"),
         _parsed(
-            F.col("_styles.xml"),
+            F.col("_m.styles"),
             "numFmts struct<numFmt:array<struct<_numFmtId:int,_formatCode:string>>>, cellXfs struct<xf:array<struct<_numFmtId:int>>>",
         ).alias("_styles"),
     )
-    wrong = F.coalesce("_book._corrupt_record", "_links._corrupt_record", "_styles._corrupt_record")
-    known = read.select(
-        "path",
-        "content",
-        F.coalesce("_broken", F.when(wrong.isNotNull(), "not well-formed")).alias("_broken"),
-        _target(F.col("_book"), F.col("_links")).alias("_target"),
-        _date_styles(F.col("_styles")).alias("_dates"),
-    )
-    sheets = known.select("path", "_broken", "_dates", _member("content", F.col("_target")).alias("_sheet"))
-    missing = F.when(F.col("_sheet.xml").isNull(), "active sheet not found")
-    sheets = sheets.select("path", "_dates", F.coalesce("_broken", "_sheet.error", missing).alias("_broken"), F.col("_sheet.xml").alias("_xml"))
-    pieces = F.when(F.col("_broken").isNull(), _elements(F.col("_xml"), "row")).otherwise(F.array(F.lit(None).cast("string")))
-    rows = sheets.select("path", "_dates", "_broken", F.posexplode(pieces).alias("_no", "_piece"))
+    wrong = F.when(F.col("_styles._corrupt_record").isNotNull(), "not well-formed")
+    missing = F.when(F.col("_xml").isNull(), "active sheet not found")
+    sheets = read.select("path", "_xml", "_strings", _date_styles(F.col("_styles")).alias("_dates"), F.coalesce("error", wrong, missing).alias("_broken"))
+    broken = F.array(F.lit(None).cast("struct<piece:string,held:array<struct<index:int,shared:string>>>"))
+    pieces = F.when(F.col("_broken").isNull(), _with_strings(_elements(F.col("_xml"), "row"), F.col("_strings"))).otherwise(broken)
+    rows = sheets.select("path", "_dates", "_broken", F.posexplode(pieces).alias("_no", "_p"))
+    rows = rows.select("path", "_dates", "_broken", "_no", F.col("_p.piece").alias("_piece"), F.col("_p.held").alias("_held"))
 
     # A row without a number follows the one before.
     in_file = Window.partitionBy("path").orderBy("_no")
@@ -213,26 +264,22 @@ def parse_cells(files: DataFrame, max_broadcast: int = MAX_BROADCAST_ROWS) -> Da
         F.when(corrupt, F.concat(F.lit("row not well-formed: "), F.col("row").cast("string"))),
         F.when(F.col("row") > _LAST_ROW, "row number too large"),
     )
-    none = "array<struct<row:int,col:int,value:string,index:int,error:string>>"
+    none = "array<struct<row:int,col:int,value:string,error:string>>"
 
     def empty(row: Column) -> Column:
-        nothing = [F.lit(None).cast(t).alias(n) for t, n in (("string", "value"), ("int", "index"), ("string", "error"))]
+        nothing = [F.lit(None).cast("string").alias(n) for n in ("value", "error")]
         return F.struct(row.cast("int").alias("row"), F.lit(1).alias("col"), *nothing)
 
     skipped = F.when(
         F.col("row") > F.col("_before") + 1, F.transform(F.sequence(F.col("_before") + 1, F.col("row") - 1), empty)
     ).otherwise(F.array().cast(none))
     own = let(
-        F.coalesce(_entries(F.col("_row.c"), F.col("_dates"), F.col("row")), F.array().cast(none)),
+        F.coalesce(_entries(F.col("_row.c"), F.col("_dates"), F.col("row"), F.col("_held")), F.array().cast(none)),
         lambda e: F.when(F.size(e) > 0, e).otherwise(F.array(empty(F.col("row")))),
     )
-    error = F.array(F.struct(*[F.lit(None).alias(c) for c in ("row", "col", "value", "index")], F.col("_failed").alias("error")).cast(none[6:-1]))
+    error = F.array(F.struct(*[F.lit(None).alias(c) for c in ("row", "col", "value")], F.col("_failed").alias("error")).cast(none[6:-1]))
     entries = F.when(F.col("_failed").isNotNull(), error).otherwise(F.concat(skipped, own))
-    found = rows.withColumn("_failed", failed).select("path", F.explode(entries).alias("_e")).select("path", "_e.*")
-
-    joined = lookup_join(found, _strings(files), ["path", "index"], max_rows=max_broadcast)
-    unknown = F.when(F.col("index").isNotNull() & F.col("shared").isNull(), F.concat(F.lit("no shared string "), F.col("index").cast("string")))
-    return joined.select("path", "row", "col", F.coalesce("value", "shared").alias("value"), F.coalesce("error", unknown).alias("error"))
+    return rows.withColumn("_failed", failed).select("path", F.explode(entries).alias("_e")).select("path", "_e.*")
 
 
 def _paragraph_text(inner: Column) -> Column:
@@ -292,7 +339,7 @@ def parse_paragraphs(files: DataFrame) -> DataFrame:
     ``error``. A path must occur once. CDATA sections are read as marked-up text.
     """
     # References are escaped once more, so that those inside paragraphs outlast the first reading.
-    read = files.select("path", _member("content", F.lit("word/document.xml")).alias("_m")).select(
+    read = files.select("path", _document("content").alias("_m")).select(
         "path", "_m.error", F.col("_m.xml").isNull().alias("_none"), F.replace("_m.xml", F.lit("&"), F.lit("&amp;")).alias("_xml")
     )
     cell = "tcPr:struct<gridSpan:struct<_val:int>,vMerge:struct<_val:string>>,p:array<string>"
