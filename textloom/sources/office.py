@@ -16,6 +16,7 @@ from pyspark.sql.types import StructType
 from textloom.functions.arrays import let
 from textloom.functions.text import decode_entities
 from textloom.operators.lookup import MAX_BROADCAST_ROWS
+from textloom.session import bound_batches
 from textloom.sources.files import read_binary
 
 _XML = {"ignoreNamespace": "true", "ignoreSurroundingSpaces": "false", "mode": "PERMISSIVE"}
@@ -231,6 +232,7 @@ def parse_cells(files: DataFrame, max_broadcast: int = MAX_BROADCAST_ROWS) -> Da
     join is made; ``max_broadcast`` stays for callers and limits nothing. The rows of one file meet in one task to be
     numbered; a sheet has 1,048,576 at most.
     """
+    bound_batches(files.sparkSession)
     read = files.select("path", _workbook("content").alias("_m")).select(
         "path",
         "_m.error",
@@ -338,6 +340,7 @@ def parse_paragraphs(files: DataFrame) -> DataFrame:
     Paragraphs of the body are part 0, those of the cells of its tables part 1. A file that breaks has one row with an
     ``error``. A path must occur once. CDATA sections are read as marked-up text.
     """
+    bound_batches(files.sparkSession)
     # References are escaped once more, so that those inside paragraphs outlast the first reading.
     read = files.select("path", _document("content").alias("_m")).select(
         "path", "_m.error", F.col("_m.xml").isNull().alias("_none"), F.replace("_m.xml", F.lit("&"), F.lit("&amp;")).alias("_xml")
