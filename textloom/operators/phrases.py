@@ -14,6 +14,7 @@ from textloom.functions.text import PUNCTUATION, WHITESPACE, words
 from textloom.operators.lookup import MAX_BROADCAST_ROWS, rows_if_small
 from textloom.operators.names import find_names
 from textloom.operators.privacy import replace_matches
+from textloom.session import bound_batches
 
 PHRASES_TYPE = "struct<gaps:array<string>,matches:array<struct<value:string,name:string,type:string>>>"
 _WORD = re.compile(r"\S+")
@@ -102,6 +103,7 @@ def find_phrases(
     A gazetteer of up to ``max_rows`` rows and 64 MB is known to every task. A larger one is joined first, by
     ``find_names``, and each text is read with the names that occur in it: the result is the same.
     """
+    bound_batches(df.sparkSession)
     plain = F.btrim(F.array_join(words(F.col("name")), " "), F.lit(WHITESPACE + PUNCTUATION))
     listed = gazetteer.select(plain.alias("name"), "type").where("name <> '' AND type IS NOT NULL")
     listed = listed.groupBy("name").agg(F.min("type").alias("type"))
