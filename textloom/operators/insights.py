@@ -19,7 +19,7 @@ from textloom.functions.insights import (
 )
 from textloom.functions.text import bare_words
 from textloom.operators.assemble import in_order
-from textloom.operators.lookup import lookup_join, rows_if_small
+from textloom.operators.lookup import fits_broadcast, lookup_join, materialize, rows_if_small
 
 Detector = Callable[[Column], Column]
 
@@ -91,6 +91,9 @@ def label_chunks(
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     limit = {} if max_broadcast is None else {"max_rows": max_broadcast}
+    if not fits_broadcast(lexicon, **limit):
+        # The join with a large table reads its left side twice: the words of the chunks are counted once.
+        counted = materialize(counted)
     weighed = lookup_join(counted, lexicon, ["word"], "inner", **limit).withColumn("_w", F.col("weight") * F.col("_n"))
     sums = weighed.groupBy(key, "chunk_no").agg(
         F.sum(F.greatest("_w", F.lit(0))).alias("_plus"), F.sum(F.greatest(-F.col("_w"), F.lit(0))).alias("_minus")
