@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from textloom.functions.arrays import let
 from textloom.functions.text import strip
@@ -11,6 +15,8 @@ from textloom.operators.lookup import materialize
 # At 64 bytes a key at most, this many broadcast words stay far below 100 MB.
 HOT_WORDS = 400_000
 _LONGEST_KEY = 64
+#: Texts that a Python worker holds at once, unless one text or the texts of one key are larger.
+BUCKET_BYTES = 16 << 20
 
 
 def sentences(text: Column) -> Column:
@@ -32,16 +38,6 @@ def word_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     return materialize(per_text.groupBy("word").agg(F.count(F.lit(1)).alias("docs")))
 
 
-def _occurrences(df: DataFrame, text: str, key: str) -> DataFrame:
-    """Per occurrence of a word: its sentence and how often the text has it.
-
-    On texts that are partitioned by ``key`` this only sorts inside each partition.
-    """
-    split = df.select(key, F.posexplode(sentences(F.col(text))).alias("sent_no", "_sentence"))
-    found = split.select(key, "sent_no", F.explode(terms(F.col("_sentence"))).alias("word"))
-    return found.withColumn("_tf", F.count(F.lit(1)).over(Window.partitionBy(key, "word")))
-
-
 def _word_key(word: Column) -> Column:
     """A key of bounded length: the word, or a digest of a long one (no word has a blank)."""
     return F.when(F.octet_length(word) <= _LONGEST_KEY, word).otherwise(F.concat(F.lit(" "), F.md5(word.cast("binary"))))
@@ -62,19 +58,24 @@ def _hot_level(statistics: DataFrame, hot_words: int) -> tuple[Column, int | Non
     return level, None
 
 
-def score_sentences(
-    df: DataFrame,
-    statistics: DataFrame,
-    n_docs: int,
-    text: str = "text",
-    key: str = "doc_id",
-    hot_words: int = HOT_WORDS,
-) -> DataFrame:
-    """``scores(key, sent_no, score, n_words)``; score is in millionths.
+def _dealt(df: DataFrame, size: int, text: str, key: str) -> DataFrame:
+    """Texts with a ``_bucket`` of about BUCKET_BYTES; those of one key share one, those without a key are spread."""
+    buckets = max(size // BUCKET_BYTES + 1, df.sparkSession.sparkContext.defaultParallelism * 2)
+    spread = F.when(F.col(key).isNull(), F.col(text))
+    return df.withColumn("_bucket", F.pmod(F.xxhash64(key, spread), F.lit(buckets)).cast("int")).repartition("_bucket")
+
+
+def _bucket_words(dealt: DataFrame, text: str) -> DataFrame:
+    """``words(_bucket, word, docs)``, stored by a checkpoint: in how many texts of a bucket each of its words occurs."""
+    per_text = dealt.select("_bucket", F.explode(F.array_distinct(terms(F.col(text)))).alias("word"))
+    return materialize(per_text.groupBy("_bucket", "word").agg(F.count(F.lit(1)).alias("docs")))
+
+
+def _weigh(words: DataFrame, statistics: DataFrame, n_docs: int, hot_words: int) -> DataFrame:
+    """``(_bucket, word, idf)`` of the words in ``statistics``, in millionths.
 
-    Every occurrence of a word adds its count in the text times its inverse document frequency.
-    At most ``hot_words`` of the most common words are broadcast, with keys of bounded length,
-    and only rarer words are joined by shuffle: no join key holds a large share of the rows.
+    At most ``hot_words`` of the most common words are broadcast, with keys of bounded length, and only rarer words are
+    joined by shuffle. A word has a row per bucket at most, so no join key holds a large share of the rows.
     """
     weight = F.round(F.log((F.lit(n_docs) + 1) / (F.col("docs") + 1)) * 1_000_000).cast("long")
     weights = statistics.withColumn("idf", weight)
@@ -82,16 +83,69 @@ def score_sentences(
     hot = (weights if lowest is None else weights.where(level >= lowest)).select(
         _word_key(F.col("word")).alias("_key"), "idf"
     )
-    occurrences = _occurrences(df, text, key).withColumn("_key", _word_key(F.col("word")))
-    marked = occurrences.join(F.broadcast(hot), "_key", "inner" if lowest is None else "left")
-    wanted = [key, "sent_no", (F.col("_tf") * F.col("idf")).alias("_w")]
-    weighed = marked.where(F.col("idf").isNotNull()).select(*wanted)
-    if lowest is not None:
-        rare = marked.where(F.col("idf").isNull()).drop("idf").join(
-            weights.where(level < lowest).select("word", "idf").hint("merge"), "word"
-        )
-        weighed = weighed.unionByName(rare.select(*wanted))
-    return weighed.groupBy(key, "sent_no").agg(F.sum("_w").alias("score"), F.count(F.lit(1)).alias("n_words"))
+    marked = words.select("_bucket", "word", _word_key(F.col("word")).alias("_key")).join(
+        F.broadcast(hot), "_key", "inner" if lowest is None else "left"
+    )
+    known = marked.where(F.col("idf").isNotNull()).select("_bucket", "word", "idf")
+    if lowest is None:
+        return known
+    rare = marked.where(F.col("idf").isNull()).select("_bucket", "word")
+    return known.unionByName(
+        rare.join(weights.where(level < lowest).select("word", "idf").hint("merge"), "word").select("_bucket", "word", "idf")
+    )
+
+
+def _add_scores(rows: pa.Table, words: pa.Table, key: str, schema: pa.Schema) -> pa.Table:
+    """The rows of a bucket with ``_scores``, from their ``_terms`` by sentence and the weights of the words of the bucket."""
+    if not rows.num_rows:
+        return schema.empty_table()
+    by_row = rows["_terms"].combine_chunks()
+    by_sentence = by_row.flatten()
+    n_sentences, n_terms = (pc.list_value_length(lists).to_numpy(zero_copy_only=False) for lists in (by_row, by_sentence))
+    found = by_sentence.flatten().dictionary_encode()
+    codes, vocabulary = found.indices.to_numpy(), found.dictionary
+    at = pc.index_in(vocabulary, value_set=words["word"].combine_chunks())
+    known = at.is_valid().to_numpy(zero_copy_only=False)
+    idf = np.append(words["idf"].to_numpy(), 0)[pc.fill_null(at, words.num_rows).to_numpy()]
+    # Rows of one key are one text: their words are counted, and their sentences of one number scored, together.
+    texts = rows[key].combine_chunks().dictionary_encode("encode").indices.to_numpy()
+    width = np.zeros(texts.max() + 1, np.int64)
+    np.maximum.at(width, texts, n_sentences)
+    start = np.cumsum(width) - width
+    before = np.cumsum(n_sentences) - n_sentences
+    slots = np.repeat(start[texts] - before, n_sentences) + np.arange(len(by_sentence))
+    slot = np.repeat(slots, n_terms)
+    text = np.repeat(np.repeat(texts, n_sentences), n_terms).astype(np.int64)
+    _, pair, tf = np.unique(text * len(vocabulary) + codes, return_inverse=True, return_counts=True)
+    score = np.zeros(width.sum(), np.int64)
+    np.add.at(score, slot, tf[pair] * idf[codes])
+    n_words = np.bincount(slot[known[codes]], minlength=len(score))
+    own = width[texts]
+    ends = np.cumsum(own)
+    sent_no = np.arange(own.sum()) - np.repeat(ends - own, own)
+    wanted = np.repeat(start[texts], own) + sent_no
+    scores = pa.StructArray.from_arrays(
+        [pa.array(sent_no, pa.int32()), pa.array(score[wanted], pa.int64()), pa.array(n_words[wanted], pa.int64())],
+        ["sent_no", "score", "n_words"],
+    )
+    lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), scores)
+    return rows.append_column("_scores", lists).select(schema.names)
+
+
+def score_sentences(dealt: DataFrame, weighed: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Adds ``_sentences`` and ``_scores(sent_no, score, n_words)``; scores are in millionths.
+
+    Every occurrence of a word adds its count in the text times its inverse document frequency. The texts of a bucket
+    meet the weights of its words; a word moves once per bucket, not once per occurrence.
+    """
+    cut = F.coalesce(sentences(F.col(text)), F.array().cast("array<string>"))
+    split = dealt.withColumn("_sentences", cut).withColumn("_terms", F.transform("_sentences", terms))
+    scores = F.lit(None).cast("array<struct<sent_no:int,score:bigint,n_words:bigint>>")
+    out = split.drop("_bucket", "_terms").withColumn("_scores", scores).schema
+    arrow = to_arrow_schema(out)
+    return split.groupBy("_bucket").cogroup(weighed.groupBy("_bucket")).applyInArrow(
+        lambda rows, words: _add_scores(rows, words, key, arrow), out
+    )
 
 
 def summarize(
@@ -109,23 +163,17 @@ def summarize(
     Pass ``statistics`` and ``n_docs`` of a corpus to score against it; else they come from
     ``df`` itself. Texts without a word or without a key get an empty summary.
     """
+    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    dealt = _dealt(df, size, text, key)
+    words = _bucket_words(dealt, text)
     if statistics is None or n_docs is None:
-        statistics, n_docs = word_statistics(df, text), df.count()
-    # One move of the texts; words, scores and sentences of a text then stay where it is. Both
-    # uses filter missing keys, so that they share the move.
-    placed = df.where(F.col(key).isNotNull()).repartition(key)
-    scores = score_sentences(placed, statistics, n_docs, text, key, hot_words)
-    best = F.row_number().over(
-        Window.partitionBy(key).orderBy(F.desc(F.col("score") / F.col("n_words")), "sent_no")
-    )
-    chosen = (
-        scores.withColumn("_rank", best)
-        .where(F.col("_rank") <= k)
-        .groupBy(key)
-        .agg(F.sort_array(F.collect_list("sent_no")).alias("_chosen"))
-    )
-    picked = let(
-        sentences(F.col(text)), lambda s: F.array_join(F.transform("_chosen", lambda i: F.get(s, i)), " ")
+        statistics, n_docs = materialize(words.groupBy("word").agg(F.sum("docs").alias("docs"))), rows
+    scored = score_sentences(dealt, _weigh(words, statistics, n_docs, hot_words), text, key)
+    ranked = F.transform(
+        F.filter("_scores", lambda s: s["n_words"] > 0),
+        lambda s: F.struct((-s["score"] / s["n_words"]).alias("mean"), s["sent_no"].alias("no")),
     )
-    summarized = placed.join(chosen, key, "left").withColumn(out, F.coalesce(picked, F.lit(""))).drop("_chosen")
-    return summarized.unionByName(df.where(F.col(key).isNull()).withColumn(out, F.lit("")))
+    best = F.sort_array(F.transform(F.slice(F.sort_array(ranked), 1, k), lambda s: s["no"]))
+    picked = let(best, lambda b: F.array_join(F.transform(b, lambda i: F.get("_sentences", i)), " "))
+    summary = F.when(F.col(key).isNotNull(), picked).otherwise(F.lit(""))
+    return scored.withColumn(out, summary).drop("_sentences", "_scores")
