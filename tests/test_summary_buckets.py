@@ -41,3 +41,11 @@ def test_words_outside_the_statistics_do_not_count(spark, rows, hot_words):
 def test_occurrences_are_no_rows(rows):
     summary = summarize.summarize(rows, 1, "body", "id", hot_words=2)
     assert "Generate" not in summary._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_word_moves_once_per_bucket(spark):
+    texts = spark.range(200).selectExpr("id as doc_id", "concat('Same words here. Same words, word', id % 5) as text")
+    dealt = summarize._dealt(texts, 1, "text", "doc_id")
+    words = summarize._bucket_words(dealt, "text")
+    buckets = dealt.select("_bucket").distinct().count()
+    assert words.where("word = 'same'").count() == buckets and words.agg({"docs": "sum"}).first()[0] == 200 * 4
