@@ -2,26 +2,43 @@
 
 from __future__ import annotations
 
+from itertools import zip_longest
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from textloom.functions.arrays import let
 from textloom.operators.assemble import concat_rows
+from textloom.operators.lookup import materialize, rows_if_small
 
 RELATIONSHIPS = "array<struct<type:string,ids:array<string>>>"
+#: Blocks of a document above which its words are spread over all tasks; 64 bytes of text count as one more.
+LARGE_BLOCKS = 10_000
+#: Blocks that a Python worker holds at once, counted in the same way, and one document more.
+BUCKET_BLOCKS = 1 << 17
+_FIRST = -(1 << 63)
 
 
-def _asked(blocks: DataFrame, key: str) -> DataFrame:
-    """A row per place of a line: ``ord``, ``line``, ``list``, ``no`` and the ``id`` of its word; an empty list has a place without.
-
-    A block without lists has one row without ``list``, so its document stays.
-    """
+def _lists() -> Column:
+    """The CHILD lists of a LINE, as ``array<struct<list, ids>>``."""
     each = F.transform(
         F.when(F.col("block_type") == "LINE", F.col("relationships")),
         lambda r, n: F.when(
             r["type"] == "CHILD", F.struct(n.alias("list"), F.coalesce(r["ids"], F.array().cast("array<string>")).alias("ids"))
         ),
     )
-    listed = F.explode_outer(F.filter(each, lambda r: r.isNotNull())).alias("_list")
+    return F.filter(each, lambda r: r.isNotNull())
+
+
+def _asked(blocks: DataFrame, key: str) -> DataFrame:
+    """A row per place of a line: ``ord``, ``line``, ``list``, ``no`` and the ``id`` of its word; an empty list has a place without.
+
+    A block without lists has one row without ``list``, so its document stays.
+    """
+    listed = F.explode_outer(_lists()).alias("_list")
     lists = blocks.select(F.col(key).alias("_key"), F.col("ord").cast("long").alias("ord"), F.col("id").alias("line"), listed)
     return lists.select("_key", "ord", "line", F.col("_list.list").alias("list"), F.posexplode_outer("_list.ids").alias("no", "_id"))
 
@@ -48,17 +65,8 @@ def _line_text(rows: Column) -> Column:
     return let(F.filter(rows, lambda r: r["ord"] == last), places)
 
 
-def rebuild_lines(blocks: DataFrame, key: str = "doc_id", strict: bool = True, hashed: bool = True) -> DataFrame:
-    """``texts(key, text)`` from OCR blocks: lines of words, words joined by blanks.
-
-    ``blocks`` has key, ord, id, block_type, text, relationships(type, ids). Each CHILD list of a
-    LINE is one line, in the order of ord and id. An unknown word fails, or is left out when not
-    strict. Of two blocks with one id the later counts. A document without lines has the empty text.
-
-    Words meet the places that ask for them by (key, id) and lines are put together by (key, line), so the words of one
-    document spread over all tasks; lines then meet per stretch and per document. With ``hashed`` the words of a shuffle
-    partition are held in memory, which their number of partitions has to allow; else both sides are sorted.
-    """
+def _spread_lines(blocks: DataFrame, key: str, strict: bool, hashed: bool) -> DataFrame:
+    """``rebuild_lines`` for large documents: words meet their places by (key, id), lines are put together by (key, line)."""
     is_word = F.coalesce(F.col("block_type") == "WORD", F.lit(False))
     words = blocks.where(is_word).select(
         key, "id", F.col("ord").cast("long").alias("word_ord"), F.coalesce("text", F.lit("")).alias("word"), F.lit(True).alias("known")
@@ -81,6 +89,125 @@ def rebuild_lines(blocks: DataFrame, key: str = "doc_id", strict: bool = True, h
     return concat_rows(texts, key, ["ord", "line"], F.col("_line"), separators=("\n", "\n"))
 
 
+def _numbered(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """For each value the number of it among the distinct ones, and these; null is a value."""
+    encoded = values.dictionary_encode("encode")
+    return encoded.indices.to_numpy().astype(np.int64), encoded.dictionary
+
+
+def _place_words(asked: pa.Array, texts: np.ndarray, words: pa.Table, of: np.ndarray, strict: bool) -> tuple[np.ndarray, pa.Table]:
+    """The row of each asked id of a text among the words, -1 without, and the words; of two with one id the later comes first."""
+    words = words.combine_chunks()
+    if words["id"].null_count:
+        named = np.flatnonzero(words["id"].is_valid().to_numpy())
+        words, of = words.take(named), of[named]
+    codes, ids = _numbered(words["id"].combine_chunks())
+    own = pa.array(of * len(ids) + codes)
+    if len(own.unique()) < len(own):
+        later = pc.sort_indices(words, [("ord", "descending"), ("word", "descending")])
+        words, own = words.take(later), own.take(later)
+    wanted = pc.index_in(asked, value_set=ids, skip_nulls=True).fill_null(-1).to_numpy().astype(np.int64)
+    hit = pc.index_in(pa.array(np.where(wanted < 0, -1, texts * len(ids) + wanted)), value_set=own).fill_null(-1).to_numpy()
+    if strict:
+        unknown = np.flatnonzero((hit < 0) & asked.is_valid().to_numpy(zero_copy_only=False))
+        if len(unknown):
+            raise ValueError(f"unknown word {asked[int(unknown[0])]}")
+    return hit, words
+
+
+def _bucket_texts(words: pa.Table, lines: pa.Table, key: str, strict: bool, schema: pa.Schema) -> pa.Table:
+    """The texts of a bucket of documents, from their words and from the ``_lists`` of their other blocks."""
+    of, keys = _numbered(pa.concat_arrays([words[key].combine_chunks(), lines[key].combine_chunks()]))
+    text = of[words.num_rows :]
+    codes, ids = _numbered(lines["id"].combine_chunks())
+    rank = np.empty(len(ids), np.int64)
+    rank[pc.sort_indices(ids, null_placement="at_start").to_numpy()] = np.arange(len(ids))
+    order, line = lines["ord"].to_numpy(), rank[codes]
+    # Of two blocks of one line the later counts.
+    same, which = np.unique(text * len(ids) + line, return_inverse=True)
+    last = np.full(len(same), _FIRST)
+    np.maximum.at(last, which, order)
+    at = np.flatnonzero(order == last[which])
+    lists, text, order, line = lines["_lists"].combine_chunks().take(at), text[at], order[at], line[at]
+    n_lists = pc.list_value_length(lists).to_numpy()
+    number, asked = lists.flatten().flatten()
+    text, order, line, number = np.repeat(text, n_lists), np.repeat(order, n_lists), np.repeat(line, n_lists), number.to_numpy()
+    n_asked = pc.list_value_length(asked).to_numpy()
+    ends = np.append(0, np.cumsum(n_asked))
+    asked = asked.flatten()
+    hit, words = _place_words(asked, np.repeat(text, n_asked), words, of[: words.num_rows], strict)
+    found = words["word"].combine_chunks().take(pa.array(hit, mask=hit < 0)).fill_null("")
+    told = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found), " ")
+    placed = np.lexsort((number, line, order, text))
+    told, text = told.take(placed), text[placed]
+    repeats = text[1:] == text[:-1]
+    for part in (order[placed], line[placed], number[placed]):
+        repeats &= part[1:] == part[:-1]
+    if repeats.any():
+        # One line twice at one place: the later word of each place.
+        own, value = words["ord"].to_numpy(), told.to_pylist()
+        starts = np.flatnonzero(np.append(True, ~repeats))
+        for start, stop in zip(starts, np.append(starts[1:], len(placed))):
+            if stop - start > 1:
+                places = [
+                    [(own[h] if h >= 0 else _FIRST, found[int(p)].as_py()) for p, h in zip(range(ends[k], ends[k + 1]), hit[ends[k] : ends[k + 1]])]
+                    for k in placed[start:stop]
+                ]
+                value[start] = " ".join(max(p)[1] for p in zip_longest(*places, fillvalue=(_FIRST, "")))
+        told, text = pa.array([value[k] for k in starts], pa.string()), text[starts]
+    each = np.append(0, np.cumsum(np.bincount(text, minlength=len(keys))))
+    texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(each, pa.int32()), told), "\n")
+    return pa.table([keys, texts], schema=schema)
+
+
+def rebuild_lines(
+    blocks: DataFrame, key: str = "doc_id", strict: bool = True, hashed: bool = True, sizes: DataFrame | None = None
+) -> DataFrame:
+    """``texts(key, text)`` from OCR blocks: lines of words, words joined by blanks.
+
+    ``blocks`` has key, ord, id, block_type, text, relationships(type, ids). Each CHILD list of a
+    LINE is one line, in the order of ord and id. An unknown word fails, or is left out when not
+    strict. Of two blocks with one id the later counts. A document without lines has the empty text.
+
+    Blocks move once: those of a document meet in a bucket of about BUCKET_BLOCKS. The words of documents above LARGE_BLOCKS
+    meet the places that ask for them by (key, id), and lines are put together by (key, line), so such a document spreads
+    over all tasks; its lines then meet per stretch and per document. With ``hashed`` its words in a shuffle partition are
+    held in memory, which their number of partitions has to allow; else both sides are sorted. The blocks are counted for
+    this, unless ``sizes(key, size)`` tells about how many each document has; the texts do not depend on it.
+    """
+    blocks = blocks.withColumn("ord", F.coalesce(F.col("ord").cast("long"), F.lit(_FIRST)))
+    is_word = F.coalesce(F.col("block_type") == "WORD", F.lit(False))
+    word = F.when(is_word, F.coalesce("text", F.lit(""))).otherwise("")
+    if sizes is None:
+        size = F.lit(1) + F.octet_length(word) / 64
+        sizes = materialize(blocks.groupBy(key).agg(F.sum(size).alias("size")))
+    sizes = sizes.select(F.col(key).alias("_key"), "size")
+    total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    large = sizes.where(F.col("size") > LARGE_BLOCKS).select("_key")
+    spread, few = None, rows_if_small(large)
+    if few is None:
+        mine = F.col(key).eqNullSafe(F.col("_key"))
+        spread = _spread_lines(blocks.join(F.broadcast(large), mine, "left_semi"), key, strict, hashed)
+        blocks = blocks.join(F.broadcast(large), mine, "left_anti")
+    elif few:
+        # A filter on the key, unlike a join, goes down to where the blocks come from.
+        named = F.coalesce(F.col(key).isin([r[0] for r in few if r[0] is not None]), F.lit(any(r[0] is None for r in few)))
+        spread = _spread_lines(blocks.where(named), key, strict, hashed)
+        blocks = blocks.where(~named)
+    buckets = max(int(total) // BUCKET_BLOCKS + 1, blocks.sparkSession.sparkContext.defaultParallelism * 2)
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("_bucket")
+    # An empty list instead of null: before each row Spark's Arrow writer passes over the nulls that stand before it.
+    lists = F.coalesce(_lists(), F.array().cast("array<struct<list:int,ids:array<string>>>"))
+    words = blocks.where(is_word).select(bucket, key, "ord", "id", word.alias("word"))
+    lines = blocks.where(~is_word).select(bucket, key, "ord", "id", lists.alias("_lists"))
+    out = blocks.select(key, F.lit("").cast("string").alias("text")).schema
+    arrow = to_arrow_schema(out)
+    texts = words.groupBy("_bucket").cogroup(lines.groupBy("_bucket")).applyInArrow(
+        lambda words, lines: _bucket_texts(words, lines, key, strict, arrow), out
+    )
+    return texts if spread is None else texts.unionByName(spread)
+
+
 def page_lines(pages: DataFrame, key: str = "doc_id") -> DataFrame:
     """``texts(key, text)`` from paged OCR results: the own text of each LINE and a line end.
 
