@@ -49,3 +49,10 @@ def test_a_word_moves_once_per_bucket(spark):
     words = summarize._bucket_words(dealt, "text")
     buckets = dealt.select("_bucket").distinct().count()
     assert words.where("word = 'same'").count() == buckets and words.agg({"docs": "sum"}).first()[0] == 200 * 4
+
+
+def test_texts_are_sorted_before_they_are_cut(rows):
+    plan = summarize.summarize(rows, 1, "body", "id", hot_words=2)._jdf.queryExecution().executedPlan().toString()
+    texts = plan[plan.index("FlatMapCoGroupsInArrow") : plan.index("REPARTITION_BY_COL")]
+    assert texts.count("Sort [_bucket") == 1
+    assert texts.index(" AS _terms") < texts.index(" AS _sentences") < texts.index("Sort [_bucket")

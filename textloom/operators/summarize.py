@@ -136,10 +136,12 @@ def score_sentences(dealt: DataFrame, weighed: DataFrame, text: str = "text", ke
     """Adds ``_sentences`` and ``_scores(sent_no, score, n_words)``; scores are in millionths.
 
     Every occurrence of a word adds its count in the text times its inverse document frequency. The texts of a bucket
-    meet the weights of its words; a word moves once per bucket, not once per occurrence.
+    meet the weights of its words; a word moves once per bucket, not once per occurrence. Texts are sorted by bucket
+    before they are cut: a sort of sentences and terms holds several times their bytes, and spills them.
     """
     cut = F.coalesce(sentences(F.col(text)), F.array().cast("array<string>"))
-    split = dealt.withColumn("_sentences", cut).withColumn("_terms", F.transform("_sentences", terms))
+    in_order = dealt.sortWithinPartitions("_bucket")
+    split = in_order.withColumn("_sentences", cut).withColumn("_terms", F.transform("_sentences", terms))
     scores = F.lit(None).cast("array<struct<sent_no:int,score:bigint,n_words:bigint>>")
     out = split.drop("_bucket", "_terms").withColumn("_scores", scores).schema
     arrow = to_arrow_schema(out)
