@@ -1,287 +1,62 @@
 """Cells of workbooks and paragraphs of word files, one file per row of the input.
 
-Python only takes members out of the archives and finds which one is the active sheet; Spark's XML functions read them.
+Python takes members out of the archives. It reads the XML of workbooks as a stream, in ``sheets``; Spark's XML functions read word files.
 """
 
 from __future__ import annotations
 
-import io
-import zipfile
-from xml.parsers import expat
-
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
-from textloom.functions.arrays import let
 from textloom.functions.text import decode_entities
 from textloom.operators.lookup import MAX_BROADCAST_ROWS
 from textloom.session import bound_batches
+from textloom.sources.archives import Members
 from textloom.sources.files import read_binary
+from textloom.sources.sheets import Cells, broken, read_workbooks
 
 _XML = {"ignoreNamespace": "true", "ignoreSurroundingSpaces": "false", "mode": "PERMISSIVE"}
-# Number formats that mean a date or a time, and the last row that a sheet can have.
-_DATE_FORMATS = (14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47)
-_LAST_ROW = 1_048_576
-
 
-def _text_of(archive: zipfile.ZipFile, name: str | None) -> str | None:
-    """Text of a member; null if the archive has none of that name."""
-    if name is None or name not in archive.NameToInfo:
-        return None
-    raw = archive.read(name)
-    wide = raw[:2] in (b"\xff\xfe", b"\xfe\xff")
-    return raw.decode("utf-16" if wide else "utf-8-sig")
 
+@F.arrow_udf(StructType().add("xml", "string").add("error", "string"))
+def _document(contents: pa.Array) -> pa.Array:
+    """The document of each word file beside an ``error``; a broken file must not end the job."""
 
-def _read_each(contents: pd.Series, read, columns: list[str]) -> pd.DataFrame:
-    """``read`` of each archive beside an ``error``; a broken file must not end the job."""
-
-    def one(content: bytes) -> tuple:
+    def read(content: bytes | None) -> tuple[str | None, str | None]:
         try:
-            with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                return *read(archive), None
-        except expat.ExpatError:
-            return *[None] * len(columns), "not well-formed"
+            return Members(content).text("word/document.xml"), None
         except Exception as problem:  # noqa: BLE001
-            return *[None] * len(columns), str(problem) or type(problem).__name__
-
-    return pd.DataFrame([one(c) for c in contents], columns=[*columns, "error"], dtype="object")
-
-
-@F.pandas_udf(StructType().add("xml", "string").add("error", "string"))
-def _document(content: pd.Series) -> pd.DataFrame:
-    return _read_each(content, lambda archive: (_text_of(archive, "word/document.xml"),), ["xml"])
-
-
-def _elements_at(xml: str | None, path: str) -> list[dict[str, str]]:
-    """Attributes of the elements at a path, by names without prefixes."""
-    at, found = [], []
-
-    def start(name: str, attributes: dict[str, str]) -> None:
-        at.append(name.rpartition(":")[2])
-        if "/".join(at) == path:
-            found.append({k.rpartition(":")[2]: v for k, v in attributes.items()})
-
-    if xml is not None:
-        parser = expat.ParserCreate()
-        parser.StartElementHandler, parser.EndElementHandler = start, lambda _: at.pop()
-        parser.Parse(xml, True)
-    return found
-
-
-def _active_sheet(archive: zipfile.ZipFile) -> str | None:
-    """Member that holds the active sheet."""
-    book = _text_of(archive, "xl/workbook.xml")
-    views, sheets = (_elements_at(book, f"workbook/{p}") for p in ("bookViews/workbookView", "sheets/sheet"))
-    links = _elements_at(_text_of(archive, "xl/_rels/workbook.xml.rels"), "Relationships/Relationship")
-    active = int(views[0].get("activeTab", 0)) if views else 0
-    wanted = sheets[active].get("id") if 0 <= active < len(sheets) else None
-    target = next((link.get("Target") for link in links if wanted is not None and link.get("Id") == wanted), None)
-    return target if target is None else target.lstrip("/") if target.startswith("/") else f"xl/{target}"
-
+            return None, broken(problem)
 
-@F.pandas_udf(StructType().add("sheet", "string").add("styles", "string").add("strings", "string").add("error", "string"))
-def _workbook(content: pd.Series) -> pd.DataFrame:
-    """The active sheet, the styles and the shared strings of each workbook, whose archive is opened once."""
+    texts = list(map(read, contents.to_pylist()))
+    return pa.StructArray.from_arrays([pa.array([t[i] for t in texts], pa.string()) for i in (0, 1)], names=["xml", "error"])
 
-    def read(archive: zipfile.ZipFile) -> tuple[str | None, ...]:
-        return tuple(_text_of(archive, n) for n in (_active_sheet(archive), "xl/styles.xml", "xl/sharedStrings.xml"))
 
-    return _read_each(content, read, ["sheet", "styles", "strings"])
+@F.arrow_udf(ArrayType(StructType().add("row", "integer").add("col", "integer").add("value", "string").add("error", "string")))
+def _cells(contents: pa.Array) -> pa.Array:
+    """The cells of each workbook."""
+    cells = Cells()
+    ends = [0, *read_workbooks(contents.to_pylist(), cells)]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), cells.to_arrow())
 
 
 def _parsed(xml: Column, fields: str) -> Column:
     return F.from_xml(xml, f"{fields}, _corrupt_record string", _XML)
 
 
-def _elements(xml: Column, tag: str) -> Column:
-    """The elements of a name as they are written; an element that does not end is empty. They must not nest."""
-    pieces = F.split(xml, rf"(?=<(?:\w+:)?{tag}[\s/>])")
-    whole = rf"(?s)^<(?:\w+:)?{tag}\b[^>]*/>|^<(?:\w+:)?{tag}\b.*</(?:\w+:)?{tag}\s*>"
-    return F.transform(F.filter(pieces, lambda p: p.rlike(rf"^<(?:\w+:)?{tag}[\s/>]")), lambda p: F.regexp_extract(p, whole, 0))
-
-
-def _joined(parts: Column) -> Column:
-    return F.concat(F.coalesce(parts["t"], F.lit("")), F.coalesce(F.array_join(parts["r"]["t"], ""), F.lit("")))
-
-
-def _with_strings(rows: Column, strings: Column) -> Column:
-    """``(piece, held)`` of each row as written: ``held`` has ``(index, shared)`` per cell, null for other cells.
-
-    Phonetic hints are left out. A row whose indexes are not plain digits holds all strings.
-    """
-    texts = F.transform(
-        _elements(strings, "si"), lambda s, i: F.struct(i.alias("index"), _joined(_parsed(s, "t string, r array<struct<t:string>>")).alias("shared"))
-    )
-    shares = r"""<(?:\w+:)?c(?=\s)[^>]*\st\s*=\s*["']s["']"""
-    odd = rf"(?s){shares}[^>]*>(?:(?!<(?:\w+:)?c[\s/>]).)*?<(?:\w+:)?v(?:\s[^>]*)?>[^<]*(?:&|<!)"
-
-    def held(piece: Column, known: Column) -> Column:
-        def of(cell: Column) -> Column:
-            index = F.regexp_extract(cell, r"<(?:\w+:)?v(?:\s[^>]*)?>\s*\+?(\d+)\s*</", 1).try_cast("int")
-            return F.when(cell.rlike(f"^{shares}"), F.get(known, index))
-
-        cells = F.split(piece, r"(?=<(?:\w+:)?c[\s/>])")
-        return F.when(~piece.rlike(shares), F.lit(None)).when(piece.rlike(odd), known).otherwise(F.transform(F.slice(cells, 2, F.size(cells)), of))
-
-    return let(
-        F.coalesce(texts, F.array().cast("array<struct<index:int,shared:string>>")),
-        lambda known: F.transform(rows, lambda p: F.struct(p.alias("piece"), held(p, known).alias("held"))),
-    )
-
-
-def _date_styles(styles: Column) -> Column:
-    """Cell styles whose number format shows a date or a time."""
-
-    def shows(code: Column) -> Column:
-        return F.regexp_replace(code, r'"[^"]*"|\[[^\]]*\]|\\.', "").rlike("(?i)[dmyhs]")
-
-    custom = F.filter(styles["numFmts"]["numFmt"], lambda f: F.coalesce(shows(f["_formatCode"]), F.lit(False)))
-    formats = F.concat(F.array(*map(F.lit, _DATE_FORMATS)), F.coalesce(custom["_numFmtId"], F.array().cast("array<int>")))
-    numbered = F.transform(styles["cellXfs"]["xf"], lambda x, i: F.struct(i.alias("i"), F.coalesce(x["_numFmtId"], F.lit(0)).alias("f")))
-    return F.coalesce(F.filter(numbered, lambda x: F.array_contains(formats, x["f"]))["i"], F.array().cast("array<int>"))
-
-
-def _float_text(number: Column) -> Column:
-    """A double as Python prints it: plain from 1e-4 up to 1e16, else with a signed exponent."""
-
-    def told(printed: Column) -> Column:
-        power = F.regexp_extract(printed, r"E(-?\d+)$", 1)
-        plain = F.regexp_replace(F.regexp_replace(number.cast("decimal(38,21)").cast("string"), r"0+$", ""), r"\.$", ".0")
-        size = F.abs(power.try_cast("int"))
-        exponent = F.concat(F.when(power.startswith("-"), "-").otherwise("+"), F.when(size < 10, "0").otherwise(""), size.cast("string"))
-        return (
-            F.when(power == "", printed)
-            .when((F.abs(number) >= 1e-4) & (F.abs(number) < 1e16), plain)
-            .otherwise(F.concat(F.regexp_replace(printed, r"(\.0)?E.*$", ""), F.lit("e"), exponent))
-        )
-
-    return let(number.cast("string"), told)
-
-
-def _number_text(value: Column) -> Column:
-    """A number as Python prints it, null for what is none."""
-    whole = F.regexp_replace(F.regexp_replace(F.trim(value), r"^\+|(?<=^-)0+(?=\d)|^0+(?=\d)", ""), "^-0$", "0")
-    return (
-        F.when(value.rlike(r"^\s*[+-]?\d+\s*$"), whole)
-        .when(value.rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"), _float_text(F.trim(value).try_cast("double")))
-    )
-
-
-def _date_text(serial: Column) -> Column:
-    """Days since the end of 1899 as a date and time, or as a time below one day; the 29th of February 1900 counts."""
-    seconds = F.floor((F.round(serial * 86_400_000_000) + 500) / 1_000_000).cast("long")
-    late = F.when(serial < 60, 86_400).otherwise(0)
-    moment = F.timestamp_add("SECOND", seconds + late, F.lit("1899-12-30 00:00:00").cast("timestamp_ntz")).cast("string")
-    return F.when(serial < 1, F.substring(moment, 12, 8)).otherwise(moment)
-
-
-def _column(reference: Column) -> Column:
-    letters = F.regexp_extract(reference, "^[A-Z]+", 0)
-    return F.when(letters != "", F.aggregate(F.split(letters, ""), F.lit(0), lambda n, x: n * 26 + F.ascii(x) - 64))
-
-
-def _entries(cells: Column, dates: Column, row: Column, held: Column) -> Column:
-    """Cells with a value as (row, col, value, error); ``held`` are the shared strings of the cells. Formulas show as formulas."""
-
-    def shared(index: Column, place: Column) -> Column:
-        here = F.get(held, place)
-        sought = F.get(F.filter(held, lambda h: h["index"] == index), F.lit(0))["shared"]
-        return F.when(here["index"] == index, here["shared"]).otherwise(sought)
-
-    def entry(cell: Column, place: Column) -> Column:
-        kind, value, formula = F.coalesce(cell["_t"], F.lit("n")), cell["v"], F.coalesce(cell["f"], F.lit(""))
-        dated = F.array_contains(dates, F.coalesce(cell["_s"], F.lit(0)))
-        number = F.when(dated, _date_text(value.try_cast("double"))).otherwise(_number_text(value))
-        has = (formula == "") & (value != "")
-        index = F.when(has & (kind == "s"), F.trim(value).try_cast("int"))
-        text = (
-            F.when(formula != "", F.concat(F.lit("="), formula))
-            .when(kind == "inlineStr", _joined(cell["is"]))
-            .when(kind == "s", F.when(has, shared(index, place)))
-            .when(kind == "b", F.when(value != "", F.when(F.trim(value) == "0", "False").otherwise("True")))
-            .when(kind == "n", F.when(value != "", number))
-            .otherwise(value)
-        )
-        bad = has & (((kind == "s") & index.isNull()) | ((kind == "n") & number.isNull()))
-        unknown = F.when(index.isNotNull() & text.isNull(), F.concat(F.lit("no shared string "), index.cast("string")))
-        error = F.when(bad, F.concat(F.lit("no number: "), value)).otherwise(unknown).alias("error")
-        return F.struct(row.alias("row"), cell["col"].alias("col"), text.alias("value"), error)
-
-    def placed(cells: Column) -> Column:
-        # A cell without a reference stands right of the one before.
-        shifts = F.transform(cells, lambda c, i: _column(c["_r"]) - i)
-
-        def col(cell: Column, i: Column) -> Column:
-            known = F.filter(F.slice(shifts, 1, i + 1), lambda s: s.isNotNull())
-            return F.coalesce(_column(cell["_r"]), i + F.try_element_at(known, F.lit(-1)), i + 1)
-
-        return F.transform(cells, lambda c, i: F.struct(*[c[f] for f in ("_t", "_s", "f", "v", "is")], col(c, i).alias("col")))
-
-    told = F.transform(placed(cells), entry)
-    return F.filter(told, lambda e: e["value"].isNotNull() | e["error"].isNotNull())
-
-
 def parse_cells(files: DataFrame, max_broadcast: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """``cells(path, row, col, value, error)`` of the active sheet of each workbook in files(path, content).
 
     Values are texts as Python prints them. A row without values, also one that the sheet leaves out, has one cell without
     a value; a sheet without rows has none. A file that breaks has a row with an ``error`` beside what could be read (see
-    ``intact``). A path must occur once. Shared strings go with the rows that show them, so an archive is opened once and no
-    join is made; ``max_broadcast`` stays for callers and limits nothing. The rows of one file meet in one task to be
-    numbered; a sheet has 1,048,576 at most.
+    ``intact``). A path must occur once. An archive is opened once, its XML is read as a stream, and no row moves;
+    ``max_broadcast`` stays for callers and limits nothing. The cells of one sheet are one value: Spark holds 2 GB in it.
     """
     bound_batches(files.sparkSession)
-    read = files.select("path", _workbook("content").alias("_m")).select(
-        "path",
-        "_m.error",
-        F.col("_m.sheet").alias("_xml"),
-        F.col("_m.strings").alias("_strings"),
-        _parsed(
-            F.col("_m.styles"),
-            "numFmts struct<numFmt:array<struct<_numFmtId:int,_formatCode:string>>>, cellXfs struct<xf:array<struct<_numFmtId:int>>>",
-        ).alias("_styles"),
-    )
-    wrong = F.when(F.col("_styles._corrupt_record").isNotNull(), "not well-formed")
-    missing = F.when(F.col("_xml").isNull(), "active sheet not found")
-    sheets = read.select("path", "_xml", "_strings", _date_styles(F.col("_styles")).alias("_dates"), F.coalesce("error", wrong, missing).alias("_broken"))
-    broken = F.array(F.lit(None).cast("struct<piece:string,held:array<struct<index:int,shared:string>>>"))
-    pieces = F.when(F.col("_broken").isNull(), _with_strings(_elements(F.col("_xml"), "row"), F.col("_strings"))).otherwise(broken)
-    rows = sheets.select("path", "_dates", "_broken", F.posexplode(pieces).alias("_no", "_p"))
-    rows = rows.select("path", "_dates", "_broken", "_no", F.col("_p.piece").alias("_piece"), F.col("_p.held").alias("_held"))
-
-    # A row without a number follows the one before.
-    in_file = Window.partitionBy("path").orderBy("_no")
-    given = F.regexp_extract("_piece", r"""^<[^>]*\sr\s*=\s*["'](\d+)["']""", 1).try_cast("int")
-    rows = rows.withColumn("_shift", F.last(given - F.col("_no"), ignorenulls=True).over(in_file))
-    rows = rows.withColumn("row", F.col("_no") + F.coalesce("_shift", F.lit(1)))
-    rows = rows.withColumn("_before", F.lag("row", 1, 0).over(in_file))
-
-    cells = "_r:string,_t:string,_s:int,f:string,v:string,is:struct<t:string,r:array<struct<t:string>>>"
-    rows = rows.withColumn("_row", _parsed(F.col("_piece"), f"c array<struct<{cells}>>"))
-    corrupt = (F.col("_piece") == "") | F.col("_row._corrupt_record").isNotNull()
-    failed = F.coalesce(
-        "_broken",
-        F.when(corrupt, F.concat(F.lit("row not well-formed: "), F.col("row").cast("string"))),
-        F.when(F.col("row") > _LAST_ROW, "row number too large"),
-    )
-    none = "array<struct<row:int,col:int,value:string,error:string>>"
-
-    def empty(row: Column) -> Column:
-        nothing = [F.lit(None).cast("string").alias(n) for n in ("value", "error")]
-        return F.struct(row.cast("int").alias("row"), F.lit(1).alias("col"), *nothing)
-
-    skipped = F.when(
-        F.col("row") > F.col("_before") + 1, F.transform(F.sequence(F.col("_before") + 1, F.col("row") - 1), empty)
-    ).otherwise(F.array().cast(none))
-    own = let(
-        F.coalesce(_entries(F.col("_row.c"), F.col("_dates"), F.col("row"), F.col("_held")), F.array().cast(none)),
-        lambda e: F.when(F.size(e) > 0, e).otherwise(F.array(empty(F.col("row")))),
-    )
-    error = F.array(F.struct(*[F.lit(None).alias(c) for c in ("row", "col", "value")], F.col("_failed").alias("error")).cast(none[6:-1]))
-    entries = F.when(F.col("_failed").isNotNull(), error).otherwise(F.concat(skipped, own))
-    return rows.withColumn("_failed", failed).select("path", F.explode(entries).alias("_e")).select("path", "_e.*")
+    # Of a plain explode Spark asks first whether the list is empty, and reads each file twice.
+    read = files.select("path", _cells("content").alias("_cells"))
+    return read.select("path", F.explode_outer("_cells").alias("_e")).where("_e is not null").select("path", "_e.*")
 
 
 def _paragraph_text(inner: Column) -> Column:
